@@ -1,14 +1,21 @@
 """Queries of this package and their SQL."""
 
-from . import decontaminate, simhash, substring_dedup
+from . import chat_format, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, warc
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_token_store": token_store.op8_token_store,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": chat_format.OP1_SQL,
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
