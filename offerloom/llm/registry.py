@@ -1,16 +1,18 @@
 """Queries of this package and their SQL."""
 
-from . import chat_format, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, warc
+from . import ann_forest, chat_format, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_ann": ann_forest.op3_ann,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_store": token_store.op8_token_store,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
