@@ -6,7 +6,8 @@ r"""Substring dedup: Rabin-Karp hashes of every window of words, grouped in Spar
    documents share costs each task a few entries.
 2. What travels is dealt by hash prefix, as packed arrays (hash, document, position). Each bucket
    finds the smallest document of each hash and returns the windows of all other documents.
-3. Those windows are gathered by document and merged into maximal intervals, which are cut out.
+3. Those windows are gathered by groups of documents, again packed, and merged into maximal
+   intervals, which are joined to the texts and cut out.
 
 Windows are told apart by a 64-bit hash: two different windows among n collide with a probability
 of about n * n / 2**61 in all.
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, column, fresh, offsets_of, packed, slices, text_bytes, unpacked
-from .words import SPACED, window_hashes, words
+from .common import arrow_schema, column, fresh, in_batches, offsets_of, packed, slices, text_bytes, unpacked
+from .words import SPACED, mixed, window_hashes, words
 
 #: Text bytes whose windows one bucket takes, on average.
 BUCKET_BYTES = 16 << 20
@@ -32,6 +33,7 @@ BUCKET_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 
 _FORWARD = "bucket int, hash binary, doc binary, twin binary, at binary, till binary"
+_REPLY = "`group` int, doc binary, twin binary, at binary, till binary"
 _GONE = "doc long, twin long, at array<int>, till array<int>"
 
 
@@ -86,15 +88,17 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _settle(table: pa.Table, width: int) -> pa.Table:
-    """The windows of one bucket that start in a smaller document too, by document."""
+_KINDS = {"hash": np.uint64, "doc": np.int64, "twin": np.int64, "at": np.int32, "till": np.int32}
+
+
+def _settle(table: pa.Table, width: int, groups: int) -> Iterator[tuple]:
+    """The windows of one bucket that start in a smaller document too, packed for each group of documents."""
     parts = {"hash": [], "doc": [], "twin": [], "at": []}
     gone = {"doc": [], "twin": [], "at": [], "till": []}
-    kinds = {"hash": np.uint64, "doc": np.int64, "twin": np.int64, "at": np.int32, "till": np.int32}
     for i in range(table.num_rows):
         settled = not table["hash"][i].is_valid
         for k, to in (gone if settled else parts).items():
-            to.append(unpacked(table[k][i].as_py(), kinds[k]))
+            to.append(unpacked(table[k][i].as_py(), _KINDS[k]))
     if parts["hash"]:
         hashes, doc, twin, at = (np.concatenate(parts.pop(k)) for k in ("hash", "doc", "twin", "at"))
         by = np.lexsort((doc, hashes))
@@ -107,9 +111,24 @@ def _settle(table: pa.Table, width: int) -> pa.Table:
         gone["twin"].append(twin[by[lost]])
         gone["at"].append(at[by[lost]])
         gone["till"].append(gone["at"][-1] + np.int32(width))
-    doc, twin, at, till = (np.concatenate(gone[k]) if gone[k] else np.zeros(0, kinds[k]) for k in ("doc", "twin", "at", "till"))
+    doc, twin, at, till = _merged(gone)
+    group = (mixed(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    by = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[by], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cuts)):
+        x = by[cuts[g] : cuts[g + 1]]
+        yield int(g), packed(doc[x]), packed(twin[x]), packed(at[x]), packed(till[x])
+
+
+def _merged(gone: dict[str, list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    doc, twin, at, till = (np.concatenate(gone[k]) if gone[k] else np.zeros(0, _KINDS[k]) for k in ("doc", "twin", "at", "till"))
     by = np.lexsort((at, twin, doc))
-    doc, twin, at, till = _runs(doc[by], twin[by], at[by], till[by])
+    return _runs(doc[by], twin[by], at[by], till[by])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All that goes from the documents of one group, as interval lists by document."""
+    doc, twin, at, till = _merged({k: [unpacked(x.as_py(), _KINDS[k]) for x in table[k]] for k in ("doc", "twin", "at", "till")})
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])
     first = np.flatnonzero(new)
@@ -127,8 +146,14 @@ def repeated_intervals(docs: DataFrame, *, width: int = 50, bucket_bytes: int =
         for row in _forward(batches, buckets, width):
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
+    groups = max(4, buckets // 4)
+    reply = arrow_schema(_REPLY)
+
+    def settle(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(in_batches(_settle(table, width, groups), reply)), reply)
+
     sent = docs.mapInArrow(forward, _FORWARD)
-    return sent.groupBy("bucket").applyInArrow(lambda table: _settle(table, width), _GONE)
+    return sent.groupBy("bucket").applyInArrow(settle, _REPLY).groupBy("group").applyInArrow(_gather, _GONE)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, names: dict[str, str], layout: str) -> Iterator[pa.RecordBatch]:
@@ -148,11 +173,9 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, names: dict[str,
                 n = int(sizes[i])
                 mark = None
                 if ats[i].is_valid and n:
-                    at = np.concatenate([np.asarray(x.values) for x in ats[i].values])
-                    till = np.concatenate([np.asarray(x.values) for x in tills[i].values])
                     mark = np.zeros(n + 1, np.int64)
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, till, -1)
+                    mark[np.asarray(ats[i].values)] += 1  # merged intervals: no start or end twice
+                    mark[np.asarray(tills[i].values)] -= 1
                     mark = np.cumsum(mark)[:n] > 0
                 if mark is None or not mark.any():
                     n_removed.append(0)
@@ -210,7 +233,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     repeats = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
     keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text_col) if repeats else F.lit(0).cast("long")})
     gone = repeated_intervals(keyed.select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), F.col(text_col).alias("text")), width=width, bucket_bytes=bucket_bytes)
-    gone = gone.groupBy(F.col("doc").alias(gdoc), F.col("twin").alias(gtwin)).agg(F.collect_list("at").alias(at), F.collect_list("till").alias(till))
+    gone = gone.select(F.col("doc").alias(gdoc), F.col("twin").alias(gtwin), F.col("at").alias(at), F.col("till").alias(till))
     joined = keyed.join(gone, (F.col(doc) == F.col(gdoc)) & (F.col(twin) == F.col(gtwin)), "left").drop(doc, twin, gdoc, gtwin)
     span = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("till", T.IntegerType())]))
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", span)])
