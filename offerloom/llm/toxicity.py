@@ -5,8 +5,8 @@ can't be chance. Its trie is intersected with the Levenshtein automata of its te
 two for long terms; a swap of neighbours is one edit) and made deterministic as words come; a
 task walks all distinct words of a slice through it at once. A hit is weighed by the window of
 words around it: quotation marks around it or words of reporting near it speak for a quotation.
-Spellings close to a term that also occur in clean labelled rows are not hits. A logistic model of four
-sums for each document gives the score; it is fitted on rows that the lexicon was not learned from.
+Spellings close to a term that also occur in clean labelled rows are not hits. A logistic model of three
+figures for each document gives the score.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from .words import ALNUM_LOWER, Words, words
 #: At most so many labelled rows are learned from (chosen by hash).
 SAMPLE = 40_000
 #: Lengths of word beginnings that may be terms.
-STEMS = range(3, 7)
+STEMS = range(3, 9)
 #: Terms of at least so many letters are also found with one edit, with two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words before and after a hit that are its context.
 WINDOW = 8
 # Words that report speech, in the languages of the test data.
 REPORTING = frozenset("said says say quote quoted quotes called calls wrote writes word words term sagte sagt schrieb nannte wort dit disait écrit mot dijo dice escribió palabra".split())
-QUOTES = frozenset("\"“”„«»‹›‘’")
+OPENING, CLOSING = "“„«‹", "”“»›"
 
 
 class Automaton:
@@ -150,12 +150,13 @@ class Automaton:
 
 @dataclass
 class Model:
-    """terms, stems: log odds of the lexicon. benign: close spellings that clean rows hold. weights: of 1 and the four sums; prior alone if nothing was learned."""
+    """terms, stems: log ratios of the lexicon's rates. benign: close spellings that clean rows hold. close: the weight of another one. weights: of 1 and the three figures."""
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     benign: frozenset[str] = frozenset()
-    weights: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0, 0.0)
+    close: float = 0.0
+    weights: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)
 
 
 class Finder:
@@ -192,15 +193,17 @@ class Finder:
 
 
 def quotation(before: str, after: str) -> float:
-    """How much a context speaks for a quotation: 0, 0.5 (words of reporting) or 0.8 (quotation marks on both sides)."""
-    if any(c in QUOTES for c in before) and any(c in QUOTES for c in after):
+    """How much a context speaks for a quotation: 0, 0.5 (words of reporting) or 0.8 (a quotation opens before and closes after)."""
+    straight = before.count('"') % 2 == 1 and '"' in after
+    opened = max((before.rfind(c) for c in OPENING), default=-1) > max((before.rfind(c) for c in "”»›"), default=-1)
+    if straight or (opened and any(c in CLOSING for c in after)):
         return 0.8
     return 0.5 if REPORTING & {*before.lower().split(), *after.lower().split()} else 0.0
 
 
 def sums(texts: pa.Array, finder: Finder) -> tuple[np.ndarray, list[list[dict]]]:
-    """For each text: the weights of its terms, of close spellings, of quoted hits, and of the strongest; and its hits."""
-    out = np.zeros((len(texts), 4))
+    """For each text: the weights of its hits, of what is quoted of them, and of its hits in 100 words; and its hits."""
+    out = np.zeros((len(texts), 3))
     hits: list[list[dict]] = [[] for _ in range(len(texts))]
     model = finder.model
     for lo, hi in slices(texts):
@@ -217,12 +220,9 @@ def sums(texts: pa.Array, finder: Finder) -> tuple[np.ndarray, list[list[dict]]]
             # marks directly before the window's first word or behind its last belong to it
             before = data[max(a - 1, found.start[first] - 1 if i - WINDOW < first else a - 1, 0) : found.start[i]].decode("utf-8", "replace")
             after = data[found.end[i] : b + 3].decode("utf-8", "replace")
-            w = model.stems.get(term) if term in model.stems and (edits == 0 and term not in model.terms) else model.terms.get(term, 0.0)
+            w = model.close if edits else model.stems[term] if term in model.stems and term not in model.terms else model.terms[term]
             q = quotation(before, after)
-            row = out[lo + doc]
-            row[1 if edits else 0] += w * (1 - q)
-            row[2] += w * q
-            row[3] = max(row[3], w * (1 - q) * (0.5 if edits else 1))
+            out[lo + doc] += w * (1 - q), w * q, w * (1 - q) * 100 / max(100, last + 1 - first)
             hits[lo + doc].append({"word": i - first, "spelling": spelling, "term": term, "edits": edits, "quotation": q})
     return out, hits
 
@@ -246,34 +246,68 @@ def _logistic(features: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple
     return tuple(float(v) for v in w)
 
 
-def _terms(text: str) -> set[tuple[str, bool]]:
-    """(term, is a beginning) of a text: its words and their beginnings."""
-    out = set()
+def _terms(text: str) -> dict[tuple[str, bool], int]:
+    """(term, is a beginning) of a text, its words and their beginnings, and how often each stands there."""
     found = words(pa.array([text]), ALNUM_LOWER)
     raw = found.buf.tobytes()
-    for word in {raw[a:b] for a, b in zip(found.start.tolist(), found.end.tolist())}:
+    times: dict[bytes, int] = {}
+    for a, b in zip(found.start.tolist(), found.end.tolist()):
+        times[raw[a:b]] = times.get(raw[a:b], 0) + 1
+    out: dict[tuple[str, bool], int] = {}
+    for word, n in times.items():
         word = word.decode("utf-8", "replace").lower()
-        out.add((word, False))
-        out.update((word[:n], True) for n in STEMS if len(word) > n)
+        out[word, False] = out.get((word, False), 0) + n
+        for size in STEMS:
+            if len(word) <= size:
+                break
+            key = (word[:size], True)
+            out[key] = out.get(key, 0) + n
     return out
 
 
 def _counted(sample: DataFrame, which: frozenset | None) -> DataFrame:
-    """In how many documents each term stands; counts are added up in each task first."""
+    """In how many documents each term stands, and how often; counts are added up in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        found: dict[tuple[str, bool], int] = {}
+        docs: dict[tuple[str, bool], int] = {}
+        twice: dict[tuple[str, bool], int] = {}
+        often: dict[tuple[str, bool], int] = {}
+        times: dict[tuple[str, bool], int] = {}
         for batch in batches:
             for text in column(batch, "text").to_pylist():
-                for t in _terms(text or ""):
+                for t, n in _terms(text or "").items():
                     if which is None or t in which:
-                        found[t] = found.get(t, 0) + 1
-            if len(found) > 500_000:
-                yield from ((t, stem, n) for (t, stem), n in found.items())
-                found = {}
-        yield from ((t, stem, n) for (t, stem), n in found.items())
+                        docs[t] = docs.get(t, 0) + 1
+                        twice[t] = twice.get(t, 0) + (n > 1)
+                        often[t] = often.get(t, 0) + min(n, 4)
+                        times[t] = times.get(t, 0) + n
+                if len(docs) > 500_000:
+                    yield from ((*t, n, twice[t], often[t], times[t]) for t, n in docs.items())
+                    docs, twice, often, times = {}, {}, {}, {}
+        yield from ((*t, n, twice[t], often[t], times[t]) for t, n in docs.items())
+
+    return map_rows(sample, count, "term string, stem boolean, n long, twice long, often long, times long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("n", "twice", "often", "times")))
+
+
+def _settings(sample: DataFrame, which: frozenset) -> DataFrame:
+    """In how many settings each term stands: the words next to its first place in each document. Copies share theirs."""
+
+    def settings(batches: Iterator[pa.RecordBatch]):
+        seen = set()
+        for batch in batches:
+            for text in column(batch, "text").to_pylist():
+                found = words(pa.array([text]), ALNUM_LOWER)
+                raw = found.buf.tobytes()
+                spelled = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(found.start.tolist(), found.end.tolist())]
+                done = set()
+                for i, word in enumerate(spelled):
+                    for t in ((word, False), *((word[:n], True) for n in STEMS if n < len(word))):
+                        if t in which and t not in done:
+                            done.add(t)
+                            seen.add((*t, " ".join(spelled[max(i - 1, 0) : i] + ["_"] + spelled[i + 1 : i + 2])))
+        yield from seen
 
-    return map_rows(sample, count, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    return map_rows(sample, settings, "term string, stem boolean, setting string").groupBy("term", "stem").agg(F.countDistinct("setting").alias("n"))
 
 
 def _surprise(n1: int, n0: int, base: float) -> float:
@@ -284,25 +318,45 @@ def _surprise(n1: int, n0: int, base: float) -> float:
     return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0))
 
 
-def choose_terms(toxic: dict[tuple[str, bool], int], clean: dict[tuple[str, bool], int], n1: int, n0: int, chance: float = 0.05, least_share: float = 0.6) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that are toxic beyond chance, given how many were looked at. What a chosen beginning covers is left out."""
+#: Counts of a term in the toxic or the clean rows: (term, is a beginning) -> (documents, documents that hold it twice or more, times but at most 4 a document, times).
+Counts = dict[tuple[str, bool], tuple[int, int, int, int]]
+
+
+def eligible(toxic: Counts, clean: Counts, n1: int, n0: int, settings: dict[tuple[str, bool], int] | None = None, chance: float = 0.05, least_share: float = 0.35) -> set[tuple[str, bool]]:
+    """Terms that are toxic beyond chance, given how many were looked at: in documents that hold them, or hold them twice. settings: no more than so many documents of each count."""
     base = n1 / (n1 + n0)
-    need = math.log(max(len(toxic), 1) / chance)
-    good = {}
-    for t, a in toxic.items():
-        b = clean.get(t, 0)
-        if a / (a + b) >= least_share and _surprise(a, b, base) >= need:
-            good[t] = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
+    need = math.log(2 * max(len(toxic), 1) / chance)
+    out = set()
+    for t, (a, twice1, _, _) in toxic.items():
+        b, twice0, _, _ = clean.get(t, (0, 0, 0, 0))
+        most = a if settings is None else settings.get(t, 0)
+        for x, y in ((min(a, most), b), (min(twice1, most), twice0)):
+            if x + y and x / (x + y) >= least_share and _surprise(x, y, base) >= need:
+                out.add(t)
+    return out
+
+
+def choose_terms(good: set[tuple[str, bool]], toxic: Counts, clean: Counts, n1: int, n0: int, words1: int, words0: int, least_weight: float = 2.0) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and word beginnings with the log ratio of their rates, if it is at least least_weight.
+
+    Of terms that begin with one another, the most surprising is taken; of equals a word before a beginning,
+    and the longer beginning.
+    """
+    base = n1 / (n1 + n0)
+    ranked = []
+    for t, stem in good:
+        (_, _, often1, times1), (_, _, often0, times0) = toxic[t, stem], clean.get((t, stem), (0, 0, 0, 0))
+        w = math.log((times1 + 0.5) / (words1 + 1)) - math.log((times0 + 0.5) / (words0 + 1))
+        ranked.append((-_surprise(often1, often0, base), stem, -len(t), t, w))
+    terms: dict[str, float] = {}
     stems: dict[str, float] = {}
-    terms = {t: w for (t, stem), w in good.items() if not stem}
-    for (t, stem), w in sorted(good.items(), key=lambda x: (len(x[0][0]), x[0][0])):
-        if not stem or any(t[:n] in stems for n in STEMS if n <= len(t)):
+    beginnings: set[str] = set()
+    for _, stem, _, t, w in sorted(ranked):
+        own = [t[:n] for n in range(1, len(t) + 1)]
+        if w < least_weight or any(x in stems for x in own) or (stem and (t in beginnings or any(x in terms for x in own))):
             continue
-        # a beginning of one word only is that word
-        own = max((toxic[x] for x in toxic if not x[1] and x[0] in terms and x[0].startswith(t)), default=0)
-        if toxic[t, True] > 1.2 * own:
-            stems[t] = w
-    terms = {t: w for t, w in terms.items() if not any(t[:n] in stems for n in STEMS if n < len(t))}
+        (stems if stem else terms)[t] = w
+        beginnings.update(own)
     return terms, stems
 
 
@@ -316,15 +370,20 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded, so one side of this join is
     rows = stored(texts.join(F.broadcast(marked), "id").select("text", "y", "fold"), "labelled")
-    counts = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = counts.get((False, 1), 0), counts.get((False, 0), 0)
-    if not n1 or not n0:
+    counts = {r["y"]: (r["n"], r["words"] or 0) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("words")).collect()}
+    if len(counts) < 2:
         return Model()
-    learned = rows.where("not fold")
-    toxic = {(r["term"], r["stem"]): r["n"] for r in _counted(learned.where("y = 1"), None).where(F.col("n") >= 4).collect()}
-    candidates = frozenset(toxic)
-    clean = {(r["term"], r["stem"]): r["n"] for r in _counted(learned.where("y = 0"), candidates).collect()}
-    terms, stems = choose_terms(toxic, clean, n1, n0)
+    (n0, words0), (n1, words1) = counts[0], counts[1]
+
+    def collected(found: DataFrame) -> Counts:  # bounded, as the sample is
+        return {(r["term"], r["stem"]): (r["n"], r["twice"], r["often"], r["times"]) for r in found.collect()}
+
+    toxic = collected(_counted(rows.where("y = 1"), None).where(F.col("n") >= 4))
+    clean = collected(_counted(rows.where("y = 0"), frozenset(toxic)))
+    good = frozenset(eligible(toxic, clean, n1, n0))
+    settings = {(r["term"], r["stem"]): r["n"] for r in _settings(rows.where("y = 1"), good).collect()}
+    good = eligible(toxic, clean, n1, n0, settings)
+    terms, stems = choose_terms(good, toxic, clean, n1, n0, words1, words0)
     model = Model(terms, stems)
 
     def close(batches: Iterator[pa.RecordBatch]):
@@ -334,7 +393,23 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 finder.find(words(column(batch, "text")[lo:hi], ALNUM_LOWER))
         yield from ((s,) for _, edits, s in finder.hits.values() if edits)
 
-    model.benign = frozenset(r["s"] for r in map_rows(learned.where("y = 0"), close, "s string").distinct().collect())
+    def spellings(clean_rows: DataFrame) -> frozenset[str]:  # bounded: what the automaton accepts
+        return frozenset(r["s"] for r in map_rows(clean_rows, close, "s string").distinct().collect())
+
+    # the weights are fitted where the benign spellings were not learned
+    apart = spellings(rows.where("y = 0 and not fold"))
+    model.benign, benign = apart, apart | spellings(rows.where("y = 0 and fold"))
+    # misspelt terms are taken to be a tenth as frequent in toxic rows as the terms; how frequent close spellings are in clean rows is counted
+    def close_ones(batches: Iterator[pa.RecordBatch]):
+        finder = Finder(model)
+        for batch in batches:
+            for lo, hi in slices(column(batch, "text")):
+                found = words(column(batch, "text")[lo:hi], ALNUM_LOWER)
+                yield len(found.start), sum(edits > 0 for _, _, edits, _ in finder.find(found))
+
+    n_words, n_close = map_rows(rows.where("y = 0 and fold"), close_ones, "words long, close long").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("close"), F.lit(0))).head()
+    times = sum(toxic[t, False][3] for t in terms if Automaton.allowed(t))
+    model.close = max(0.0, math.log((0.1 * times + 0.5) / (words1 + 1)) - math.log((n_close + 0.5) / (n_words + 1)))
 
     def measured(batches: Iterator[pa.RecordBatch]):
         finder = Finder(model)
@@ -342,12 +417,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             features, _ = sums(column(batch, "text"), finder)
             yield from zip(column(batch, "y").to_pylist(), *features.T.tolist())
 
-    found = map_rows(rows.where("fold"), measured, "y int, a double, b double, c double, d double").toArrow()
+    found = map_rows(rows.where("fold"), measured, "y int, a double, b double, c double").toArrow()
     y = np.asarray(found["y"], float)
     if len(y) and 0 < y.sum() < len(y):
-        model.weights = _logistic(np.stack([np.asarray(found[c]) for c in "abcd"], 1), y)
+        model.weights = _logistic(np.stack([np.asarray(found[c]) for c in "abc"], 1), y)
     else:
-        model.weights = (-4.0, 2.0, 0.5, 0.0, 1.0)
+        model.weights = (-4.0, 2.0, 0.0, 1.0)
+    model.benign = benign
     return model
 
 
