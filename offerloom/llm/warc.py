@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import column, map_rows, open_fs, shared_dir, text_bytes
 
 #: Payload bytes that one range of page ids takes on average; compressed bytes after which a file is rolled.
-RANGE_BYTES, FILE_BYTES = 64 << 20, 128 << 20
+RANGE_BYTES, FILE_BYTES = 32 << 20, 128 << 20
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 100
 _DATE = "2020-01-01T00:00:00Z"
@@ -79,14 +79,17 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     n_ranges = max(1, -(-text_bytes(pages, payload_col) // range_bytes))
     bounds = sorted(set(rows.approxQuantile("page", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
     part = F.coalesce(sum((F.when(F.col("page") > b, 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(0))
-    dealt = rows.join(first, rows["digest"] == first["twin"], "left").select("page", "url", "payload", "digest", "size", F.col("least.page").alias("to"), F.coalesce(F.col("least") < key, F.lit(False)).alias("later"), F.col("least").isNotNull().alias("twins"), part.cast("int").alias("part"))
-    dealt = dealt.withColumn("payload", F.when(F.col("later"), F.lit(b"")).otherwise(F.col("payload")))
-    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page").asc_nulls_first(), "url", "digest")
+    # Payloads are shuffled once, to where they are written. What is known of a payload that others share travels beside it
+    # as a row of its own and is sorted directly before it.
+    known = rows.select("page", "url", "digest", part.cast("int").alias("part"), key.alias("key")).join(first, F.col("digest") == F.col("twin"))
+    known = known.select("part", "page", "url", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size"), F.col("least.page").alias("to"), (F.col("least") < F.col("key")).alias("later"))
+    dealt = known.union(rows.select(part.cast("int"), "page", "url", "digest", F.lit(1), "payload", "size", F.lit(None).cast("long"), F.lit(None).cast("boolean")))
+    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest", "kind")
 
     def files(batches: Iterator[pa.RecordBatch]):
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        f, at_part, seq, name, n, size, before = None, None, 0, "", 0, 0, None
+        f, at_part, seq, name, n, size, before, told = None, None, 0, "", 0, 0, None, None
 
         def close():
             f.close()
@@ -94,7 +97,11 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
             return name, at_part, seq, n, size
 
         for batch in batches:
-            for p, page, url, payload, digest, length, to, later, twins in zip(*(column(batch, c).to_pylist() for c in ("part", "page", "url", "payload", "digest", "size", "to", "later", "twins"))):
+            for p, page, url, digest, kind, payload, length, to, later in zip(*(column(batch, c).to_pylist() for c in ("part", "page", "url", "digest", "kind", "payload", "size", "to", "later"))):
+                same = (page, url, digest)
+                if not kind:
+                    told = (same, to, later)
+                    continue
                 if f and (p != at_part or size >= file_bytes):
                     yield close()
                     f, seq = None, seq + 1 if p == at_part else 0
@@ -104,9 +111,9 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
                     at_part, n, size = p, 0, 0
                     name = f"pages-{p:06d}-{seq:04d}-{uuid.uuid4().hex[:8]}.warc.gz"
                     f = fs.open_output_stream(f"{root}/_{name}.tmp", compression=None)
-                same = (page, url, digest)
-                revisit = later or (twins and same == before)
-                data = record(page, url, payload, digest, length, (page if not later else to) if revisit else None, revisit)
+                _, to, later = told if told and told[0] == same else (same, None, None)
+                revisit = later is not None and (later or same == before)  # a repeated row refers to its first
+                data = record(page, url, payload, digest, length, (to if later else page) if revisit else None, revisit)
                 before = same
                 f.write(data)
                 n, size = n + 1, size + len(data)
