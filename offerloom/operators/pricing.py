@@ -50,11 +50,14 @@ def with_margin(cost: Column, percent: Column) -> Column:
 
 
 def blockers(c: dict[str, Column]) -> Column:
-    """Codes of what blocks a price, in order. c: incoterm, fob, stems, weight, freight_rate, freight_unit, costs, source, target, rate, margin."""
+    """Codes of what blocks a price, in order. c: incoterm, fob, stems, weight, freight_rate, freight_unit, costs, source, target, rate, margin.
+
+    A cost for each kilogram needs the weight as freight does; such a line is blocked, not priced without the cost.
+    """
     cif = c["incoterm"].isin("CFR", "DDP")
     ddp = c["incoterm"] == "DDP"
     has = lambda cats: F.coalesce(F.exists(c["costs"], lambda x: x["category"].isin(*cats)), F.lit(False))
-    per_kg = F.coalesce(c["freight_unit"], F.lit("PER_KG")) == "PER_KG"
+    per_kg = (F.coalesce(c["freight_unit"], F.lit("PER_KG")) == "PER_KG") | (ddp & F.coalesce(F.exists(c["costs"], lambda x: x["unit"] == "PER_KG"), F.lit(False)))
     one = F.array(
         F.when(c["fob"].isNull(), "MISSING_FOB_PRICE").when(c["fob"] < 0, "NEGATIVE_PRICE").when(c["fob"] == 0, "MISSING_FOB_PRICE"),
         F.when(c["stems"].isNull(), "MISSING_STEMS_PER_BOX").when(c["stems"] == 0, "ZERO_STEMS_PER_BOX").when(c["stems"] < 0, "NEGATIVE_PRICE"),

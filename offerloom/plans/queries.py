@@ -360,13 +360,13 @@ CONTEXT = f"""x AS (SELECT line_id, coalesce(f.origin_id, CASE lower(f.country)
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY destination_id ORDER BY customer_id) AS n FROM {{buyer}}) WHERE n = 1 AND destination_id % 5 = 0),
     rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin_id, destination_id ORDER BY CASE WHEN transport = 'AIR' THEN 0 ELSE 1 END, created_at, route_id) AS n FROM {{route}}) WHERE n = 1),
     cs AS (SELECT route_id, sum(CASE WHEN unit = 'FLAT' THEN amount ELSE 0 END) AS flat, sum(CASE WHEN unit = 'PER_KG' THEN amount ELSE 0 END) AS kg, sum(CASE WHEN unit = 'PER_STEM' THEN amount ELSE 0 END) AS stem, sum(CASE WHEN unit = 'PER_BOX' THEN amount ELSE 0 END) AS box,
-      bool_or(category IN ('CLEARING', 'INSPECTION')) AS clr, bool_or(category = 'HANDLING') AS hnd FROM {{cost}} WHERE cost_type_id IS NOT NULL GROUP BY route_id),
+      bool_or(category IN ('CLEARING', 'INSPECTION')) AS clr, bool_or(category = 'HANDLING') AS hnd, bool_or(unit = 'PER_KG') AS by_kg FROM {{cost}} WHERE cost_type_id IS NOT NULL GROUP BY route_id),
     fxr AS (SELECT arg_max(rate, effective_from) AS rate FROM {{fx}} WHERE effective_from <= TIMESTAMP '{AS_OF}' AND (effective_to IS NULL OR effective_to >= TIMESTAMP '{AS_OF}')),
-    p AS (SELECT x.*, b.customer_id, b.incoterm, b.target_currency, b.margin_pct, rt.route_id, t.rate, t.rate_unit, cs.flat, cs.kg, cs.stem, cs.box, coalesce(cs.clr, false) AS clr, coalesce(cs.hnd, false) AS hnd,
+    p AS (SELECT x.*, b.customer_id, b.incoterm, b.target_currency, b.margin_pct, rt.route_id, t.rate, t.rate_unit, cs.flat, cs.kg, cs.stem, cs.box, coalesce(cs.clr, false) AS clr, coalesce(cs.hnd, false) AS hnd, coalesce(cs.by_kg, false) AS by_kg,
       CASE b.incoterm WHEN 'CFR' THEN coalesce(rt.supports_cfr, true) WHEN 'DDP' THEN coalesce(rt.supports_ddp, true) ELSE true END AS supported, (SELECT rate FROM fxr) AS fx
       FROM x CROSS JOIN b LEFT JOIN rt ON rt.origin_id = x.origin AND rt.destination_id = b.destination_id LEFT JOIN {{current_tariff}} t ON t.route_id = rt.route_id LEFT JOIN cs ON cs.route_id = rt.route_id),
     i AS (SELECT *, CASE WHEN NOT supported THEN 'INCOTERM_NOT_SUPPORTED_ON_ROUTE' ELSE array_to_string(list_filter([
-        CASE WHEN incoterm <> 'FOB' AND coalesce(rate_unit, 'PER_KG') = 'PER_KG' AND w IS NULL THEN 'MISSING_WEIGHT' END,
+        CASE WHEN incoterm <> 'FOB' AND (coalesce(rate_unit, 'PER_KG') = 'PER_KG' OR (incoterm = 'DDP' AND by_kg)) AND w IS NULL THEN 'MISSING_WEIGHT' END,
         CASE WHEN incoterm <> 'FOB' AND rate IS NULL AND origin IS NOT NULL THEN 'MISSING_FREIGHT_RATE' END,
         CASE WHEN incoterm = 'DDP' AND NOT clr AND origin IS NOT NULL THEN 'MISSING_DDP_CLEARING_INSPECTION' END, CASE WHEN incoterm = 'DDP' AND NOT hnd AND origin IS NOT NULL THEN 'MISSING_DDP_HANDLING' END,
         CASE WHEN currency <> target_currency AND fx IS NULL THEN 'MISSING_EXCHANGE_RATE' END, CASE WHEN margin_pct IS NULL THEN 'MISSING_MARGIN' END,
@@ -384,11 +384,14 @@ def prc_blockers(t):
     return _priced(t).select("line_id", "customer_id", "route_id", F.array_join("issues", ",").alias("issues"))
 
 
-@query(
-    f"""WITH {CONTEXT}, f AS (SELECT *, CAST(CASE WHEN incoterm = 'FOB' THEN 0 WHEN rate_unit = 'PER_STEM' THEN rate WHEN rate_unit = 'PER_BOX' THEN rate * r ELSE CAST(w AS DECIMAL(8,3)) * rate * r END AS DECIMAL(18,9)) AS freight,
+PRICED = f"""f AS (SELECT *, CAST(CASE WHEN incoterm = 'FOB' THEN 0 WHEN rate_unit = 'PER_STEM' THEN rate WHEN rate_unit = 'PER_BOX' THEN rate * r ELSE CAST(w AS DECIMAL(8,3)) * rate * r END AS DECIMAL(18,9)) AS freight,
       CAST(CASE WHEN incoterm <> 'DDP' THEN 0 ELSE coalesce(stem, 0) + (coalesce(flat, 0) + coalesce(box, 0)) * r + coalesce(kg * CAST(w AS DECIMAL(8,3)) * r, 0) END AS DECIMAL(18,9)) AS extra FROM i WHERE issues = ''),
     m AS (SELECT *, CAST(fob + freight + extra AS DECIMAL(18,9)) AS cost FROM f),
-    x2 AS (SELECT *, CAST(CASE WHEN currency = target_currency THEN cost WHEN currency = 'EUR' THEN cost * fx ELSE cost * CASE fx WHEN 1.25 THEN 0.8 WHEN 1.6 THEN 0.625 WHEN 0.8 THEN 1.25 WHEN 2 THEN 0.5 ELSE 1 END END AS DECIMAL(18,9)) AS target FROM m)
+    x2 AS (SELECT *, CAST(CASE WHEN currency = target_currency THEN cost WHEN currency = 'EUR' THEN cost * fx ELSE cost * CASE fx WHEN 1.25 THEN 0.8 WHEN 1.6 THEN 0.625 WHEN 0.8 THEN 1.25 WHEN 2 THEN 0.5 ELSE 1 END END AS DECIMAL(18,9)) AS target FROM m)"""
+
+
+@query(
+    f"""WITH {CONTEXT}, {PRICED}
     SELECT line_id, customer_id, CAST(round(freight, 6) AS DOUBLE) AS freight, CAST(round(extra, 6) AS DOUBLE) AS additional, CAST(round(cost, 6) AS DOUBLE) AS cost_source, CAST(round(target, 6) AS DOUBLE) AS cost_target,
       CAST(round(target * (100 + margin_pct) * 0.01, 2) AS DOUBLE) AS calculated, CAST(round(coalesce(manual, target * (100 + margin_pct) * 0.01), 2) AS DOUBLE) AS final_price, manual IS NOT NULL AS is_manual FROM x2"""
 )
@@ -398,6 +401,17 @@ def prc_sell_price(t):
     return p.select("line_id", "customer_id", dbl(C("freight")).alias("freight"), dbl(C("additional")).alias("additional"), dbl(C("cost_source")).alias("cost_source"), dbl(C("cost_target")).alias("cost_target"), C("calculated_rounded").cast("double").alias("calculated"), C("final_price").cast("double").alias("final_price"), "is_manual")
 
 
+@query(
+    f"""WITH {CONTEXT}, {PRICED} SELECT customer_id, count(*) AS n_lines, CAST(sum(quantity) AS BIGINT) AS total_boxes, CAST(sum(quantity * stems_per_box) AS BIGINT) AS total_stems,
+    CAST(sum(CAST(round(coalesce(manual, target * (100 + margin_pct) * 0.01), 2) AS DECIMAL(12,2)) * (quantity * stems_per_box)) AS DOUBLE) AS total_value FROM x2 GROUP BY customer_id"""
+)
+def quote_value_per_customer(t):
+    """The flagship: every line priced for every customer, blocked lines left out, quotes summed up."""
+    p = _priced(t).where(F.size("issues") == 0).select("customer_id", "stems_per_box", C("quantity").alias("quantity_boxes"), C("final_price").alias("calculated_price"), F.lit(None).cast("decimal(12,6)").alias("manual_price"))
+    n = p.groupBy("customer_id").agg(F.count("*").alias("n_lines"))
+    return n.join(Q.totals(p, "customer_id"), "customer_id").withColumn("total_value", C("total_value").cast("double"))
+
+
 @query(
     f"""WITH a AS (SELECT *, {RECIPROCAL} AS r, CAST(article_id % 50 * 0.1 AS DECIMAL(10,4)) AS rate, CASE article_id % 3 WHEN 0 THEN 'PER_KG' WHEN 1 THEN 'PER_BOX' ELSE 'PER_STEM' END AS u FROM {{article}})
     SELECT article_id, CAST(round(CASE u WHEN 'PER_STEM' THEN CAST(rate AS DECIMAL(18,9)) WHEN 'PER_BOX' THEN rate * r ELSE CAST(box_weight AS DECIMAL(8,3)) * rate * r END, 6) AS DOUBLE) AS freight, CAST(round(2.5 * r, 6) AS DOUBLE) AS handling FROM a"""
