@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 from ..functions.text import S, extract
@@ -201,7 +202,7 @@ def expand_length_ranges(lines: DataFrame, tiers: DataFrame, doc: str, line: str
 CHUNK_ROWS, CHUNK_BYTES, SINGLE_ROWS, SINGLE_BYTES = 22, 12_000, 30, 12_000
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _chunk_numbers(kinds: pd.Series, sizes: pd.Series) -> pd.Series:
     """The chunk of each line: a new one behind CHUNK_ROWS product rows or CHUNK_BYTES. Both bounds restart, which no window can express."""
 
