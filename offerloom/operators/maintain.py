@@ -159,3 +159,11 @@ def validated_manual_lines(lines: DataFrame, articles: DataFrame) -> DataFrame:
     bad_quantity = ~F.coalesce((F.col("quantity") > 0) & (F.col("quantity") == F.floor("quantity")), F.lit(False))
     outcome = F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), "BAD_PRICE").when(bad_quantity, "BAD_QUANTITY").when(~F.coalesce(F.col("farm_id") == F.col("_f"), F.lit(False)), "OTHER_SUPPLIER").when(~first, "DUPLICATE").otherwise("OK")
     return j.select(*lines.columns, outcome.alias("outcome"))
+
+
+def retarget_mappings(changes: DataFrame, mappings: DataFrame, articles: DataFrame) -> DataFrame:
+    """Changes of what a wording stands for (mapping_id, article_id): outcome OK, NOT_FOUND, ARTICLE_GONE or OTHER_SUPPLIER."""
+    m = mappings.select(F.col("mapping_id").alias("_m"), F.col("farm_id").alias("_mf"))
+    a = articles.select(F.col("article_id").alias("_a"), F.col("farm_id").alias("_af"))
+    j = changes.join(m, F.col("mapping_id") == F.col("_m"), "left").join(a, F.col("article_id") == F.col("_a"), "left")
+    return j.select(*changes.columns, F.when(F.col("_m").isNull(), "NOT_FOUND").when(F.col("_a").isNull(), "ARTICLE_GONE").when(F.col("_mf") != F.col("_af"), "OTHER_SUPPLIER").otherwise("OK").alias("outcome"))

@@ -274,3 +274,36 @@ def bulk_offer_paste(lines: DataFrame, line: str = "line") -> DataFrame:
     rows = lines.withColumn("_c", T.cells(F.col(line)))
     out = rows.select(*lines.columns, at(1).alias("product_group"), at(2).alias("variety"), at(3).alias("color"), at(4).alias("grade"), extract(at(5), r"^([+-]?\d+)").cast("int").alias("boxes"), extract(at(6), r"^([+-]?\d+)").cast("int").alias("stems_per_box"), T.decimal_string(at(7)).alias("price"))
     return out.withColumn("valid", F.expr("product_group is not null and coalesce(stems_per_box > 0, false) and price is not null"))
+
+
+#: Lines that one structured response may give.
+RESPONSE_LINES = 1000
+_RESPONSE = "rawText string, productGroup string, variety string, length string, boxType string, boxesAvailable int, stemsPerBox int, fobPricePerStem string, weightPerBoxKg string, currency string, treatment string, confidence string, needsReview boolean"
+
+
+def structured_lines(responses: DataFrame, text: str = "response") -> DataFrame:
+    """Lines of structured responses, each a JSON object with `lines`; at most 1,000 of one response.
+
+    Added: line_no, raw_text, product_group, variety, length_raw, length_cm, box_type, boxes, stems_per_box, price, weight, currency,
+    treatment, confidence, needs_review, recovered, warnings (codes). A line whose fields have other types is recovered field by
+    field, is of low confidence and needs review. Responses without such an object give no lines.
+    """
+    shape = F.from_json(F.col(text), "lines array<string>")
+    items = F.slice(shape["lines"], 1, RESPONSE_LINES)
+    df = responses.select(*[c for c in responses.columns if c != text], F.posexplode(items).alias("line_no", "_item"))
+    df = df.withColumn("_strict", F.from_json("_item", _RESPONSE, {"mode": "PERMISSIVE"}))
+    at = lambda f: F.nullif(T.trimmed(F.get_json_object("_item", f"$.{f}")), F.lit(""))
+    number = lambda f: at(f).try_cast("int")
+    fits = lambda f: at(f).isNull() | F.col(f"_strict.{f}").isNotNull()
+    whole = fits("boxesAvailable") & fits("stemsPerBox") & F.col("_strict.rawText").isNotNull() & F.col("_strict.confidence").isin("high", "medium", "low") & F.col("_strict.needsReview").isNotNull()
+    length = length_spec(at("length"))
+    price, weight = T.decimal_string(at("fobPricePerStem")), T.decimal_string(at("weightPerBoxKg"))
+    currency = F.when(at("currency").isin("USD", "EUR"), at("currency"))
+    good = F.coalesce(whole, F.lit(False))
+    warnings = F.array_compact(F.array(F.when(~good, "RECOVERED"), F.when(at("length").isNotNull() & (length["kind"] == "none"), "LENGTH_UNREADABLE"), F.when(at("fobPricePerStem").isNotNull() & price.isNull(), "PRICE_UNREADABLE"), F.when(at("weightPerBoxKg").isNotNull() & weight.isNull(), "WEIGHT_UNREADABLE"), F.when(good & currency.isNull(), "CURRENCY_NOT_STATED")))
+    review = ~good | F.coalesce(F.col("_strict.needsReview"), F.lit(True)) | at("boxType").isNull() | (F.coalesce(number("stemsPerBox"), F.lit(0)) == 0) | price.isNull() | currency.isNull()
+    return df.select(
+        *[c for c in responses.columns if c != text], "line_no", F.coalesce(at("rawText"), F.lit(T.PLACEHOLDERS[0])).alias("raw_text"), at("productGroup").alias("product_group"), at("variety").alias("variety"), at("length").alias("length_raw"), F.when(length["kind"] == "single", length["min"]).alias("length_cm"),
+        at("boxType").alias("box_type"), number("boxesAvailable").alias("boxes"), number("stemsPerBox").alias("stems_per_box"), price.alias("price"), weight.alias("weight"), currency.alias("currency"), F.coalesce(at("treatment"), F.lit("normal")).alias("treatment"),
+        F.when(good, F.col("_strict.confidence")).otherwise("low").alias("confidence"), review.alias("needs_review"), (~good).alias("recovered"), warnings.alias("warnings"),
+    )

@@ -116,3 +116,36 @@ def dashboard(quotes: DataFrame, lines: DataFrame, articles: DataFrame, routes:
         .crossJoin(articles.agg(F.count_if(F.col("box_weight").isNull()).alias("missing_weight")))
         .crossJoin(without(routes, tariffs, "route_id").agg(F.count("*").alias("unrated_routes")))
     )
+
+
+def quotable_candidates(lines: DataFrame, preselected: DataFrame) -> DataFrame:
+    """Lines that may be quoted: of a reviewed offer, matched, with an article, and with a price unless they were picked before (preselected: line_id). Picked ones first, then by farm and time."""
+    p = preselected.select(F.col("line_id").alias("_p")).distinct()
+    j = lines.join(p, F.col("line_id") == F.col("_p"), "left").withColumn("preselected", F.col("_p").isNotNull()).drop("_p")
+    fits = (F.col("offer_status") == "REVIEWED") & F.col("match_status").isin("AUTO_MATCHED", "DERIVED", "USER_LINKED") & F.col("article_id").isNotNull() & (F.col("price").isNotNull() | F.col("preselected"))
+    return j.where(fits)
+
+
+def mapped_flag(lines: DataFrame, mappings: DataFrame, source: Column) -> DataFrame:
+    """lines with has_mapping: whether their wording stands for their article."""
+    m = mappings.select(F.col("farm_id").alias("_f"), F.col("normalized_source").alias("_s"), F.col("article_id").alias("_a")).distinct()
+    j = lines.join(m, (F.col("farm_id") == F.col("_f")) & (source == F.col("_s")) & (F.col("article_id") == F.col("_a")), "left")
+    return j.select(*lines.columns, F.col("_a").isNotNull().alias("has_mapping"))
+
+
+def distinct_per(df: DataFrame, key: str, column: str, most: int | None = None) -> DataFrame:
+    """key, values (distinct, in order, at most `most`) and n, how many there are in all."""
+    v = df.where(F.col(column).isNotNull()).select(key, column).distinct()
+    values = F.array_sort(F.collect_list(column))
+    return v.groupBy(key).agg((F.slice(values, 1, most) if most else values).alias("values"), F.count("*").alias("n"))
+
+
+def sorted_by(df: DataFrame, key: str, descending: bool = False, missing=-1, tie: str | None = None) -> DataFrame:
+    """df in the order of a column; missing values count as `missing`."""
+    c = F.coalesce(F.col(key), F.lit(missing))
+    return df.orderBy(c.desc() if descending else c.asc(), *([tie] if tie else []))
+
+
+def recent(df: DataFrame, at: str, tie: str, n: int = 5) -> DataFrame:
+    """The n latest rows."""
+    return df.orderBy(F.col(at).desc(), tie).limit(n)
