@@ -44,6 +44,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def short_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with Arrow batches of its session bounded to so many rows: texts may be long, and a batch is held whole by both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, None) or 10_000) > rows:
+        conf.set(key, rows)
+    return df
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in a column, to size buckets by; one column is read."""
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).head()["n"] or 0)
@@ -65,6 +73,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """Row ranges of a string array that hold at most limit bytes each, one row at least."""
     ends = offsets_of(texts)
     lo, n = 0, len(texts)
+    total = int(ends[-1] - ends[0])
+    limit = -(-total // max(1, -(-total // limit)))  # even parts
     while lo < n:
         hi = int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1
         hi = min(max(hi, lo + 1), n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, column, map_rows, open_fs, shared_dir, slices, text_bytes
+from .common import arrow_schema, column, map_rows, open_fs, shared_dir, short_batches, slices, text_bytes
 from .words import ALNUM_LOWER, Words, window_hashes, words
 
 #: Bytes of item texts in one block of the index.
@@ -189,7 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     replaced, others pass through. Without items nothing is hit.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "items", "contaminated", "spans")
+    docs = short_batches(docs).drop("n_words", "n_hit", "items", "contaminated", "spans")
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
     if text_bytes(items) <= block_bytes:
         got = items.toArrow()

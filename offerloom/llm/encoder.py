@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
 
+#: The letters that byte-level vocabularies write bytes as: printable Latin-1 characters stand for themselves, the rest for what follows U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     """The default for the tokenizer parameters: the path of an installed public vocabulary file."""
     import public_tokenizers
@@ -15,16 +22,26 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def shared_encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder for each Python worker, so that its memo serves all the worker's tasks."""
+    return Encoder(path, special_as_text)
+
+
 class Encoder:
-    """encode(text): ids as little-endian unsigned 32-bit integers.
+    """encode(texts): ids as little-endian unsigned 32-bit integers.
 
-    For tokenizers that drop white space and never join over it, as word_bpe_49k does: a text's ids are those of
-    its pieces between spaces and line ends, one after the other. Pieces recur, so most are looked
-    up; the memo is bounded and long pieces are not kept.
+    For tokenizers that lower-case, drop white space and never join over it, as word_bpe_49k does: a text's
+    ids are those of its pieces between spaces and line ends, one after the other. Pieces recur, so most are looked
+    up. A piece of plain letters and closing punctuation is looked up as its letters in lower case and its
+    punctuation. The memo has two generations of bounded size; long pieces are not kept.
     """
 
-    MOST_PIECES = 300_000
+    MOST_PIECES = 200_000
     LONGEST_PIECE = 48
+    #: Letters of one code point whose lower case is one code point, whatever stands around them.
+    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([.,;:!?)]*)")
+    _mark = "\x00"
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,23 +49,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        (self.mark_id,) = self.tokenizer.encode(self._mark, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+        if len(self.memo) > self.MOST_PIECES:
+            self.memo, self.old = {"": b""}, self.memo
+        passing = self._learn(set().union(*split).difference(self.memo))
+        known = self.memo.__getitem__
+        out = [b"".join(map(known, pieces)) for pieces in split]
+        for p in passing:
+            del self.memo[p]
+        return out
+
+    def _learn(self, missing: set[str]) -> list[str]:
+        """Adds pieces to the memo; returns those too long to stay."""
+        memo, old = self.memo, self.old
+        parts: dict[str, tuple[str, str]] = {}
+        cores, wanted = set(), set()
+        for p in missing:
+            if p in old:
+                memo[p] = old[p]
+            elif m := self._plain.fullmatch(p):
+                core, tail = m[1].lower(), m[2]
+                parts[p] = core, tail
+                cores.add(core)
+                wanted.add(tail)
+            else:
+                wanted.add(p)
+        for p in cores.difference(memo):
+            memo[p] = old[p] if p in old else self._word(p)
+        for p in wanted.difference(memo):
+            if p in old:
+                memo[p] = old[p]
+        memo.update(self._ids([p for p in wanted if p not in memo]))
+        for p, (core, tail) in parts.items():
+            memo[p] = memo[core] + memo[tail]
+        return [p for p in {*missing, *wanted, *cores} if len(p) > self.LONGEST_PIECE]
+
+    def _word(self, core: str) -> bytes:
+        """A word of plain lower-case letters: no normalizer changes it and it is one piece to the merges, so these are asked directly."""
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
+
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """Many pieces in one string, apart by a mark whose id stands for nothing else."""
+        out = {}
+        alone = [p for p in pieces if self._mark in p]
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        pieces = [p for p in pieces if self._mark not in p]
+        for lo in range(0, len(pieces), 10_000):
+            some = pieces[lo : lo + 10_000]
+            (e,) = self.tokenizer.encode_batch_fast([f" {self._mark} ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            for p, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                out[p] = raw[4 * a : 4 * b]
+        return out
+
 
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            missing = {p for p in pieces if p not in memo}
-        if len(memo) + len(missing) > self.MOST_PIECES:
-            self.memo = memo = {"": b""}
-            missing = set(pieces) - {""}
-        new = self._ids(missing)
-        found = b"".join([new[p] if p in new else memo[p] for p in pieces])
-        memo.update((p, ids) for p, ids in new.items() if len(p) <= self.LONGEST_PIECE)
-        return found
-
-    def _ids(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        pieces = list(pieces)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
+def encoded(texts, encoder: Encoder, step: int = 512, most_bytes: int = 2 << 20):
+    """ids of each text of an Arrow array; null is empty."""
+    held, size = [], 0
+    for text in texts:
+        t = text.as_py() or ""
+        held.append(t)
+        size += len(t)
+        if len(held) >= step or size >= most_bytes:
+            yield from encoder.encode(held)
+            held, size = [], 0
+    if held:
+        yield from encoder.encode(held)

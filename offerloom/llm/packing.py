@@ -3,9 +3,11 @@ r"""Packing token ids into sequences of bounded length by multiway Karmarkar-Kar
 A document gives full sequences while it lasts; the tails that are left are packed block by block,
 as the scan delivers them, so nothing is shuffled. In a block, differencing merges the two partial
 partitions of the largest imbalance, the fullest windows of one with the emptiest of the other,
-until one partition into k near-equal windows is left. If a window exceeds the capacity, the count
-rises: tokens are set aside for further sequences until the rest fits. What is set aside fills
-sequences of exactly a power of two of tokens, which need no padding.
+until one partition into k near-equal windows is left, k being the number of sequences that the
+tokens fill. What exceeds a window's capacity is cut off; it fills the windows that have room, and for
+the rest the window count rises: by sequences of exactly a power of two of tokens, which need no
+padding. Without cuts (cut=False) the count rises by one and differencing begins again, until
+every window fits.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_rows
-from .encoder import Encoder, public_tokenizer
+from .common import column, map_rows, short_batches
+from .encoder import encoded, public_tokenizer, shared_encoder
 
 #: (item, from, length)
 Piece = tuple[int, int, int]
@@ -50,47 +52,52 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def pack_block(sizes: list[int], capacity: int, slack: int = 8) -> list[list[Piece]]:
+def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[Piece]]:
     """Sequences of pieces that hold every token of every item once. Items are shorter than the capacity."""
     total = sum(sizes)
-    while True:
-        k = total // capacity
-        while k and total - k * (capacity - slack) >= 2 * capacity:
+    if not cut:
+        k = -(-total // capacity)
+        while True:
+            windows = differencing(sizes, k)
+            if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+                return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
             k += 1
-        aside = max(0, total - k * (capacity - slack))
-        out: list[list[Piece]] = []
-        cut = [0] * len(sizes)
-        if aside:
-            room = [1 << b for b in range(aside.bit_length() - 1, -1, -1) if aside >> b & 1]
-            room = [min(r, capacity) for r in room for _ in range(max(1, r // capacity))]
-            item, seq, left = 0, [], room[0]
-            n = 0
-            while n < len(room):
-                have = sizes[item] - cut[item]
-                if not have:
-                    item += 1
-                    continue
-                take = min(have, left)
-                seq.append((item, cut[item], take))
-                cut[item] += take
-                left -= take
-                if not left:
-                    out.append(seq)
-                    seq, n = [], n + 1
-                    left = room[n] if n < len(room) else 0
-        if not k:
-            return out
-        rest = [i for i, s in enumerate(sizes) if s > cut[i]]
-        windows = differencing([sizes[i] - cut[i] for i in rest], k)
-        if max(sum(sizes[rest[i]] - cut[rest[i]] for i in w) for w in windows) <= capacity:
-            return out + [[(rest[i], cut[rest[i]], sizes[rest[i]] - cut[rest[i]]) for i in w] for w in windows if w]
-        slack *= 2
-        if slack >= capacity:
-            slack = capacity - 1
-
-
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, block_windows: int) -> Iterator[tuple]:
-    encoder = Encoder(tokenizer)
+    out: list[list[Piece]] = []
+    over: list[Piece] = []
+    short: list[tuple[list[Piece], int]] = []
+    for w in differencing(sizes, total // capacity) if total >= capacity else [range(len(sizes))]:
+        room = capacity if total >= capacity else 0
+        pieces = []
+        for i in w:
+            take = min(sizes[i], room)
+            if take:
+                pieces.append((i, 0, take))
+                room -= take
+            if take < sizes[i]:
+                over.append((i, take, sizes[i] - take))
+        if pieces:
+            out.append(pieces)
+            if room:
+                short.append((pieces, room))
+    left = sum(p[2] for p in over) - sum(room for _, room in short)
+    for b in range(left.bit_length() - 1, -1, -1):  # less than the capacity is left
+        if left >> b & 1:
+            out.append([])
+            short.append((out[-1], 1 << b))
+    over.reverse()
+    for pieces, room in short:
+        while room:
+            i, a, n = over.pop()
+            take = min(n, room)
+            pieces.append((i, a, take))
+            room -= take
+            if take < n:
+                over.append((i, a + take, n - take))
+    return out
+
+
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, block_windows: int, cut: bool = True) -> Iterator[tuple]:
+    encoder = shared_encoder(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
@@ -99,7 +106,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
 
     def flush():
         nonlocal sequence, held, waiting
-        for pieces in pack_block([len(h[1]) // 4 for h in held], capacity):
+        for pieces in pack_block([len(h[1]) // 4 for h in held], capacity, cut):
             offset = 0
             for i, a, n in pieces:
                 doc, ids, before, total = held[i]
@@ -109,8 +116,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
         held, waiting = [], 0
 
     for batch in batches:
-        for doc, text in zip(column(batch, "doc").to_pylist(), column(batch, "text")):
-            ids = encoder.encode(text.as_py() or "") + end
+        for doc, ids in zip(column(batch, "doc").to_pylist(), encoded(column(batch, "text"), encoder)):
+            ids += end
             total = len(ids) // 4
             full = total // capacity * capacity
             for a in range(0, full, capacity):
@@ -125,18 +132,18 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
         yield from flush()
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, block_windows: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, block_windows: int = 128, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents: the id column, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    Each document is its ids and end_id. A null or empty text is one token, its end_id. Rows that repeat an
+    Each document is its ids and end_id. Documents longer than a sequence are cut; others only with cut. A null or empty text is one token, its end_id. Rows that repeat an
     id, or have none, are packed one by one like any other. Sequences never hold more than `capacity` tokens;
     offsets in a sequence run from 0 without gaps. sequence_id: the task's number in the upper bits, then a
     count. An empty table gives an empty table; other columns are not used.
     """
     tokenizer = tokenizer or public_tokenizer()
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
-    out = map_rows(source, lambda b: _pack(b, tokenizer, end_id, capacity, block_windows), f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long")
+    out = map_rows(source, lambda b: _pack(b, tokenizer, end_id, capacity, block_windows, cut), f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long")
     return out.withColumnRenamed("doc", id_col)
 
 

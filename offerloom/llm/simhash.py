@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fresh, slices, stored
+from .common import column, fresh, short_batches, slices, stored
 from .words import SPACED_LOWER, words
 
 _U = np.uint64
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(text_fingerprints(column(batch, "text"), shingle).view(np.int64))], names=["doc", "print"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source = short_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     prints = stored(source.mapInArrow(hashed, schema), "fingerprints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc").alias("node")), "nodes")
     # an id with several texts joins their components

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, column, fresh, in_batches, offsets_of, packed, slices, text_bytes, unpacked
+from .common import arrow_schema, column, fresh, in_batches, offsets_of, packed, short_batches, slices, text_bytes, unpacked
 from .words import SPACED, mixed, window_hashes, words
 
 #: Text bytes whose windows one bucket takes, on average.
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     among themselves: none removes words of another, whether or not their texts are equal. An
     empty table gives an empty table.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "spans")
+    docs = short_batches(docs).drop("n_words", "n_removed", "kept", "spans")
     doc, twin, at, till, gdoc, gtwin = fresh(docs, "_doc", "_twin", "_at", "_till", "_gdoc", "_gtwin")
     repeats = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
     keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text_col) if repeats else F.lit(0).cast("long")})

@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_rows, open_fs, shared_dir
-from .encoder import Encoder, public_tokenizer
+from .common import column, map_rows, open_fs, shared_dir, short_batches
+from .encoder import encoded, public_tokenizer, shared_encoder
 
 #: Bytes of one block; any multiple of the id width.
 BLOCK_BYTES = 4 << 20
@@ -32,23 +32,23 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, eo
     Returns the files that count: file (number), name, bytes; files of lost tasks are not among them.
     """
     tokenizer = tokenizer or public_tokenizer()
-    eod = Encoder(tokenizer).tokenizer.get_vocab_size() - 1 if eod is None else eod
+    eod = shared_encoder(tokenizer).tokenizer.get_vocab_size() - 1 if eod is None else eod
     if eod >= 1 << 16:
         raise ValueError("ids of more than 16 bits")
 
     def files(batches):
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        encoder = Encoder(tokenizer, special_as_text=True)
+        encoder = shared_encoder(tokenizer, special_as_text=True)
         file = TaskContext.get().partitionId() << 12
         f, name, size = None, "", 0
         end = np.array([eod], "<u2").tobytes()
         for batch in batches:
-            for text in column(batch, "text"):
+            for ids in encoded(column(batch, "text"), encoder):
                 if f is None:
                     name, size = f"flat-{file:08d}-{uuid.uuid4().hex[:8]}.u16", 0
                     f = fs.open_output_stream(f"{root}/_{name}.tmp")
-                data = np.frombuffer(encoder.encode(text.as_py() or ""), "<u4").astype("<u2").tobytes() + end
+                data = np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end
                 f.write(data)
                 size += len(data)
                 if size >= file_bytes:
@@ -62,7 +62,7 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, eo
             yield file, name, size
 
     spark = docs.sparkSession
-    written = map_rows(docs.select(F.col(text_col).alias("text")), files, "file long, name string, bytes long").collect()  # one row a file
+    written = map_rows(short_batches(docs).select(F.col(text_col).alias("text")), files, "file long, name string, bytes long").collect()  # one row a file
     return spark.createDataFrame([tuple(r) for r in written], "file long, name string, bytes long")
 
 
@@ -102,6 +102,6 @@ def count_tokens(files: DataFrame, folder: str, eod: int, *, block_bytes: int =
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     """Flat files of all documents, scanned: one row for each document, in the order of the files."""
     folder = shared_dir(spark, "flat-tokens")
-    eod = Encoder(public_tokenizer()).tokenizer.get_vocab_size() - 1
+    eod = shared_encoder(public_tokenizer()).tokenizer.get_vocab_size() - 1
     files = write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), folder, eod=eod)
     return count_tokens(files, folder, eod)

@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_rows, open_fs, shared_dir, text_bytes
-from .encoder import Encoder, public_tokenizer
+from .common import column, map_rows, open_fs, shared_dir, short_batches, text_bytes
+from .encoder import encoded, public_tokenizer, shared_encoder
 
 MAGIC = b"TOKSTOR1"
 #: Text bytes that one range of ids takes on average.
@@ -57,17 +57,16 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     ids' bytes). A null or empty text is end_id alone. Returns the manifest. An empty table gives a manifest without files.
     """
     tokenizer = tokenizer or public_tokenizer()
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     sample = source.where("text is not null").select("doc", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-    wide = Encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+    wide = shared_encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
 
     def plain(batches):
-        encoder = Encoder(tokenizer)
         for batch in batches:
-            for text in column(batch, "text").to_pylist():
-                yield (np.frombuffer(encoder.encode(text), "<u4").astype(kind).tobytes(),)
+            for ids in encoded(column(batch, "text"), shared_encoder(tokenizer)):
+                yield (np.frombuffer(ids, "<u4").astype(kind).tobytes(),)
 
     dictionary = _train([bytes(r["ids"]) for r in map_rows(sample, plain, "ids binary").collect()])
     digest = hashlib.sha256(dictionary).digest()
@@ -77,11 +76,11 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     edges = np.array(bounds, np.int64)
 
     def frames(batches):
-        encoder, press = Encoder(tokenizer), compressor(dictionary)
+        press = compressor(dictionary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc, text in zip(column(batch, "doc").to_pylist(), column(batch, "text")):
-                ids = np.frombuffer(encoder.encode(text.as_py() or "") + end, "<u4")
+            for doc, ids in zip(column(batch, "doc").to_pylist(), encoded(column(batch, "text"), shared_encoder(tokenizer))):
+                ids = np.frombuffer(ids + end, "<u4")
                 yield 0 if doc is None else int(np.searchsorted(edges, doc, "right")), doc, press.compress(ids.astype(kind).tobytes()), len(ids)
 
     ranged = map_rows(source, frames, "part int, doc long, frame binary, n_tokens long")

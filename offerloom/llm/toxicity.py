@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, column, map_rows, slices, stored
+from .common import arrow_schema, column, map_rows, short_batches, slices, stored
 from .words import ALNUM_LOWER, Words, words
 
 #: At most so many labelled rows are learned from (chosen by hash).
@@ -367,7 +367,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3)) == 0)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded, so one side of this join is
     rows = stored(texts.join(F.broadcast(marked), "id").select("text", "y", "fold"), "labelled")
     counts = {r["y"]: (r["n"], r["words"] or 0) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("words")).collect()}
@@ -433,7 +433,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     Null and empty texts score as a text without hits. Nothing but the text is looked at. Columns of the new names are
     replaced, others pass through; an empty table gives an empty table.
     """
-    docs = docs.drop("score", "predicted", "hits")
+    docs = short_batches(docs).drop("score", "predicted", "hits")
     hit = T.ArrayType(T.StructType.fromDDL("word int, spelling string, term string, edits int, quotation double"))
     out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("hits", hit)])
     schema = arrow_schema(out)
