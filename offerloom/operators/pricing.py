@@ -190,16 +190,16 @@ def with_context(pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs:
     """Lines for customers with all that their prices need: route, freight, costs, rate.
 
     pairs: resolved_origin, destination_id, incoterm, source_currency, target_currency. The rate is that of the currency that isn't
-    the base, towards the target currency. One join for each dimension, whatever the number of lines and customers.
+    the base, towards the target currency. One join for each dimension, whatever the number of lines and customers; the dimensions are sent to the pairs, which are too many to shuffle.
     """
     r = best_routes(routes).select(F.col("origin_id").alias("_o"), F.col("destination_id").alias("_d"), "route_id", "supports_cfr", "supports_ddp")
     t = tariffs.select(F.col("route_id").alias("_tr"), F.col("rate").alias("_rate"), F.col("rate_unit").alias("_unit"))
     c = route_costs(costs).select(F.col("route_id").alias("_cr"), F.col("costs").alias("_costs"))
     x = rates_as_of(rates, as_of, base)
-    j = pairs.join(r, (F.col("resolved_origin") == F.col("_o")) & (F.col("destination_id") == F.col("_d")), "left")
-    j = j.join(t, F.col("route_id") == F.col("_tr"), "left").join(c, F.col("route_id") == F.col("_cr"), "left")
+    j = pairs.join(F.broadcast(r), (F.col("resolved_origin") == F.col("_o")) & (F.col("destination_id") == F.col("_d")), "left")
+    j = j.join(F.broadcast(t), F.col("route_id") == F.col("_tr"), "left").join(F.broadcast(c), F.col("route_id") == F.col("_cr"), "left")
     other = F.when(F.col("source_currency") != F.col("target_currency"), F.when(F.col("source_currency") == base, F.col("target_currency")).otherwise(F.col("source_currency")))
-    j = j.withColumn("_other", other).join(x, F.col("_other") == F.col("currency"), "left")
+    j = j.withColumn("_other", other).join(F.broadcast(x), F.col("_other") == F.col("currency"), "left")
     cif = F.col("incoterm").isin("CFR", "DDP")
     supports = F.when(F.col("incoterm") == "CFR", F.coalesce("supports_cfr", F.lit(True))).when(F.col("incoterm") == "DDP", F.coalesce("supports_ddp", F.lit(True))).otherwise(F.lit(True))
     found = F.col("fx_rate").isNotNull()
@@ -219,4 +219,4 @@ def with_context(pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs:
 
 def price_for_customers(lines: DataFrame, customers: DataFrame, *context, as_of: str) -> DataFrame:
     """Every line priced for every customer: the customers are a stated set, so their cross join is meant. context: routes, tariffs, costs, rates."""
-    return priced(with_context(lines.crossJoin(customers), *context, as_of=as_of))
+    return priced(with_context(lines.crossJoin(F.broadcast(customers)), *context, as_of=as_of))

@@ -56,11 +56,11 @@ def all_or_nothing(lines: DataFrame, batch: str, code: str = "code") -> DataFram
     return lines.join(bad, F.col(batch).eqNullSafe(F.col("_b"))).select(*lines.columns, (F.col("_bad") == 0).alias("accepted"))
 
 
-def totals(lines: DataFrame, quote: str = "quote_id") -> DataFrame:
-    """Boxes, stems and value of each quote; a line's price is its manual one, else the calculated one."""
+def totals(lines: DataFrame, quote: str = "quote_id", *more: Column) -> DataFrame:
+    """Boxes, stems and value of each quote, and more aggregates; a line's price is its manual one, else the calculated one."""
     stems = F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long")
     price = F.coalesce("manual_price", "calculated_price").cast("decimal(12,6)")
-    return lines.groupBy(quote).agg(F.sum(F.col("quantity_boxes").cast("long")).alias("total_boxes"), F.sum(stems).alias("total_stems"), F.sum(price * stems.cast("decimal(14,0)")).cast("decimal(28,6)").alias("total_value"))
+    return lines.groupBy(quote).agg(F.sum(F.col("quantity_boxes").cast("long")).alias("total_boxes"), F.sum(stems).alias("total_stems"), F.sum(price * stems.cast("decimal(14,0)")).cast("decimal(28,6)").alias("total_value"), *more)
 
 
 def numbered(quotes: DataFrame, existing: DataFrame, created: str = "created_at") -> DataFrame:

@@ -346,13 +346,11 @@ RECIPROCAL = "CASE stems_per_box WHEN 20 THEN 0.05 WHEN 25 THEN 0.04 WHEN 40 THE
 
 
 def _context(t):
-    """Lines with their article, for one buyer of each destination."""
+    """All lines with their article, and all buyers."""
     a = t("article").select(C("article_id").alias("own_article"), "stems_per_box", C("box_weight").alias("weight_kg"), "box_type")
-    lines = t("line").where("quantity <= 5").join(a, "own_article")
+    lines = t("line").join(a, "own_article")
     lines = PR.origins(lines.withColumn("origin_id", F.lit(None).cast("int")), t("farm"), t("location")).select("line_id", "resolved_origin", "fob", C("currency").alias("source_currency"), "stems_per_box", "weight_kg", "quantity", "box_type", F.when(C("part_id") % 40 == 0, C("fob") * 3).cast("decimal(12,6)").alias("manual_price"))
-    w = Window.partitionBy("destination_id").orderBy("customer_id")
-    buyers = t("buyer").withColumn("n", F.row_number().over(w)).where("n = 1 and destination_id % 5 = 0").drop("n", "customer_name")
-    return lines, buyers
+    return lines, t("buyer").drop("customer_name")
 
 
 CONTEXT = f"""x AS (SELECT line_id, coalesce(f.origin_id, CASE lower(f.country) WHEN 'ecuador' THEN (SELECT location_id FROM {{location}} WHERE lower(city) = 'quito') END) AS origin, fob, currency, stems_per_box, box_weight AS w, quantity, {RECIPROCAL} AS r,
@@ -373,11 +371,14 @@ CONTEXT = f"""x AS (SELECT line_id, coalesce(f.origin_id, CASE lower(f.country)
         CASE WHEN incoterm <> 'FOB' AND origin IS NULL THEN 'ORIGIN_NOT_CONFIGURED' END], lambda q: q IS NOT NULL), ',') END AS issues FROM p)"""
 
 
-def _priced(t):
-    lines, buyers = _context(t)
+def _for_customers(t, lines, buyers):
     return PR.price_for_customers(lines, buyers, t("route"), t("current_tariff"), t("cost"), t("fx"), as_of=AS_OF)
 
 
+def _priced(t):
+    return _for_customers(t, *_context(t))
+
+
 @query(f"WITH {CONTEXT} SELECT line_id, customer_id, route_id, issues FROM i")
 def prc_blockers(t):
     """PRC-07, PRC-10, PRC-11, JON-09 to JON-12, JON-14"""
@@ -406,10 +407,16 @@ def prc_sell_price(t):
     CAST(sum(CAST(round(coalesce(manual, target * (100 + margin_pct) * 0.01), 2) AS DECIMAL(12,2)) * (quantity * stems_per_box)) AS DOUBLE) AS total_value FROM x2 GROUP BY customer_id"""
 )
 def quote_value_per_customer(t):
-    """The flagship: every line priced for every customer, blocked lines left out, quotes summed up."""
-    p = _priced(t).where(F.size("issues") == 0).select("customer_id", "stems_per_box", C("quantity").alias("quantity_boxes"), C("final_price").alias("calculated_price"), F.lit(None).cast("decimal(12,6)").alias("manual_price"))
-    n = p.groupBy("customer_id").agg(F.count("*").alias("n_lines"))
-    return n.join(Q.totals(p, "customer_id"), "customer_id").withColumn("total_value", C("total_value").cast("double"))
+    """The flagship: every line priced for every customer, blocked lines left out, quotes summed up.
+
+    All that a price takes from a customer is destination, incoterm, currency and margin: customers who agree in these have
+    equal quotes, so each such kind is priced once, for its first customer, and its sums go to all of them.
+    """
+    lines, buyers = _context(t)
+    kinds = buyers.withColumn("kind", F.min("customer_id").over(Window.partitionBy("destination_id", "incoterm", "target_currency", "margin_pct")))
+    p = _for_customers(t, lines, kinds.where("customer_id = kind")).where(F.size("issues") == 0).select("kind", "stems_per_box", C("quantity").alias("quantity_boxes"), C("final_price").alias("calculated_price"), F.lit(None).cast("decimal(12,6)").alias("manual_price"))
+    sums = Q.totals(p, "kind", F.count("*").alias("n_lines"))
+    return kinds.join(sums, "kind").select("customer_id", "n_lines", "total_boxes", "total_stems", C("total_value").cast("double").alias("total_value"))
 
 
 @query(
