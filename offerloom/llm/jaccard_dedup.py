@@ -1,0 +1,148 @@
+"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, verified exactly.
+
+Equal texts are one node. Each node has BANDS band values of ROWS minima each; two texts of similarity 0.8 share none with a
+probability of (1 - 0.8^5)^20, 0.04 %. Of a band value that several nodes share, each is compared with the least; then, unless
+a component holds both already, with a second one by another order in each band, and all with all where at most PAIRED share it.
+No group of copies is gathered in one task or written out as pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import column, fresh, short_batches, slices, stored
+from .simhash import components
+from .words import SPACED_LOWER, mixed, window_hashes, words
+
+_U = np.uint64
+BANDS, ROWS = 20, 5
+#: Nodes sharing a band value that are compared all with all.
+PAIRED = 16
+#: Ids that are sent to the texts; of more, the texts are shuffled.
+MOST_SENT = 4_000_000
+_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_TIMES, _PLUS = (_SEEDS >> _U(32)).astype(np.uint32) | np.uint32(1), _SEEDS.astype(np.uint32)
+
+
+def shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, hashes, first) of slices of texts: a 64-bit hash of all words of each, 0 without words; those of its shingles in order, and where each text's begin.
+
+    Words are split at white space, A-Z in lower case. A text of fewer words than width is one shingle.
+    """
+    for lo, hi in slices(texts, 2 << 20):
+        found = words(texts[lo:hi], SPACED_LOWER)
+        h, n = found.hashes(), np.diff(found.first)
+        _, long = window_hashes(h, found.first, width)
+        keys = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) if b > a else 0 for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist())], _U)
+        count = np.where(n >= width, n - width + 1, n > 0)
+        first = np.concatenate([[0], np.cumsum(count)])
+        short = (n > 0) & (n < width)
+        out = np.zeros(first[-1], _U)
+        alone = np.zeros(first[-1], bool)
+        alone[first[:-1][short]] = True
+        out[alone], out[~alone] = keys[short], long
+        yield keys, out, first
+
+
+def bands(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with shingles, their band values: one row of BANDS each)."""
+    rows = np.flatnonzero(np.diff(first))
+    least = np.zeros((len(rows), BANDS * ROWS), _U)
+    if len(rows):
+        h = (hashes >> _U(32)).astype(np.uint32)
+        for i in range(BANDS * ROWS):
+            least[:, i] = np.minimum.reduceat(h * _TIMES[i] + _PLUS[i], first[:-1][rows])
+    out = np.broadcast_to(_SEEDS[:BANDS], (len(rows), BANDS)).copy()
+    for j in range(ROWS):
+        out = mixed(out ^ least[:, j::ROWS])
+    return rows, out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of keys whose sets are similar."""
+
+    def judged(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), _U) for v in column(batch, c)] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([similarity(p, q) >= least for p, q in zip(x, y)], pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(judged, "a long, b long")
+
+
+def _pairs(df: DataFrame, a, b) -> DataFrame:
+    return df.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc, component): the least id that each id is linked to by texts of similarity `least` and more.
+
+    Texts without words are equal. Rows with a null id take no part; an id with several texts joins their components.
+    """
+    source = short_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+
+    def hashed(batches):
+        for batch in batches:
+            doc, at = column(batch, "doc"), 0
+            for keys, h, first in shingles(column(batch, "text"), width):
+                rows, values = bands(h, first)
+                ends = np.zeros(len(keys) + 1, np.int32)
+                ends[rows + 1] = BANDS
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([doc[at : at + len(keys)], pa.array(keys.view(np.int64)), lists], names=["doc", "key", "bands"])
+                at += len(keys)
+
+    def gathered(batches):
+        for batch in batches:
+            for keys, h, first in shingles(column(batch, "text"), width):
+                kept = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kept, pa.binary())], names=["key", "shingles"])
+
+    hashes = stored(source.mapInArrow(hashed, "doc long, key long, bands array<long>"), "minhashes")
+    prints = hashes.select("doc", "key")
+    nodes = stored(prints.groupBy("key").agg(F.min("doc").alias("node")), "nodes")
+    # equal texts have equal bands, so one row of each is enough
+    each = hashes.join(nodes.withColumnRenamed("node", "doc"), ["doc", "key"]).dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    key, band = F.col("key"), F.col("band")
+    shared = each.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("one"), F.min(key.bitwiseXOR(band)).bitwiseXOR(band).alias("two")).where("n > 1")
+    meet = stored(each.join(shared, "band"), "bands")
+    wanted = meet.select("key").distinct()
+    ids = stored(wanted.join(nodes, "key").select(F.col("node").alias("doc")).distinct(), "ids")
+    if ids.count() <= MOST_SENT:
+        ids = F.broadcast(ids)
+    sets = stored(source.join(ids, "doc", "left_semi").mapInArrow(gathered, "key long, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+
+    named = lambda pairs: pairs.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("node")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("to")), "b").select("node", "to")
+    links = stored(named(_verified(_pairs(meet, key, F.col("one")), sets, least)), "links")
+    twice = prints.groupBy("doc").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").limit(1).count() > 0
+    if twice:
+        links = links.union(prints.join(nodes, "key").where("doc != node").select(F.col("doc").alias("node"), F.col("node").alias("to")))
+    done = stored(nodes.join(components(links), "node", "left").select("key", F.coalesce("component", "node").alias("component")), "components")
+
+    few = meet.where(F.col("n") <= PAIRED).groupBy("band").agg(F.collect_list("key").alias("p"))
+    few = few.select(F.explode("p").alias("key"), "p").select("key", F.explode("p").alias("other"))
+    more = _pairs(few, key, F.col("other")).union(_pairs(meet.where(F.col("n") > PAIRED), key, F.col("two"))).distinct()
+    more = more.join(done.select(F.col("key").alias("a"), F.col("component").alias("c")), "a").join(done.select(F.col("key").alias("b"), F.col("component").alias("d")), "b").where("c != d").select("a", "b")
+    found = components(links.union(named(_verified(more, sets, least))))
+    if twice:
+        return prints.select("doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
+    return prints.join(nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component")), "key").select("doc", "component")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without the rows whose component has a smaller id. Rows with a null id stay; of rows that repeat an id, all stay or none."""
+    (gone,) = fresh(docs, "_gone")
+    lost = near_copies(docs, id_col=id_col, text_col=text_col, width=width, least=least).where("doc != component").select(F.col("doc").alias(gone)).distinct()
+    return docs.join(lost, docs[id_col] == lost[gone], "left_anti")
