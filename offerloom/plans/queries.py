@@ -457,8 +457,8 @@ def agg_quote_totals(t):
 )
 def prc_line_warnings(t):
     """PRC-13"""
-    c = {"confidence": F.lit("HIGH"), "linked": F.lit(False), "rate_updated": F.lit(AS_OF), "weight": F.lit(4), "is_manual": F.lit(False), "final_price": C("fob")}
-    return t("line").where("part_id % 5 = 1").select("line_id", F.array_join(PR.line_warnings(c, F.lit(AS_OF)), ",").alias("warnings"))
+    c = {"confidence": F.lit("HIGH"), "linked": C("part_id") % 5 != 1, "rate_updated": F.lit(AS_OF), "weight": F.lit(4), "is_manual": F.lit(False), "final_price": C("fob")}
+    return t("line").select("line_id", F.array_join(PR.line_warnings(c, F.lit(AS_OF)), ",").alias("warnings"))
 
 
 # --- quantities, gating, validation --------------------------------------------------------------

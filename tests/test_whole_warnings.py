@@ -1,0 +1,21 @@
+import os
+from decimal import Decimal as D
+
+import pytest
+
+from offerloom.plans import queries as Q
+from offerloom.plans.domain import table
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+
+
+def test_every_line_is_judged(spark):
+    """The registered SQL judges unlinked lines only; theirs are the same here."""
+    want = {}
+    for r in table(spark, SF, "line").select("line_id", "part_id", "fob").collect():
+        codes = ["NOT_LINKED"] * (r["part_id"] % 5 == 1) + ["UNUSUAL_SELL_PRICE"] * (not D("0.05") <= r["fob"] <= 20)
+        want[r["line_id"]] = ",".join(codes)
+    got = Q.QUERIES["prc_line_warnings"](spark, SF).collect()
+    assert len(got) == len(want) and {r["line_id"]: r["warnings"] for r in got} == want
+    assert set(want.values()) == {"", "NOT_LINKED", "UNUSUAL_SELL_PRICE", "NOT_LINKED,UNUSUAL_SELL_PRICE"}
