@@ -5,10 +5,14 @@ norm M, all vectors are of one length, so the largest inner product is the small
 that has zero there. Trees split by the hyperplane between two random vectors of a sample.
 
 The trees are fitted on a bounded sample; every vector is then routed to one leaf of each tree. A query
-searches all trees through one priority queue, ordered by the largest margin on the way, until it has
-seen enough leaves: as many as held 94 in 100 true neighbours when queries of the sample were
-held against the whole sample. Vectors and queries meet by leaf in a shuffle; inner products of all
-leaf candidates are exact.
+takes the leaves of all trees from one priority queue, ordered by the largest margin on the way. That
+margin never falls from a node to its children, so the queue yields leaves in ascending order of it: a
+whole batch of queries gets its order from one pass over the nodes. A query stops when it has seen
+enough leaves: as many as held the wanted share of true neighbours for queries of the sample.
+
+Vectors and queries meet by leaf in a shuffle, in parts of bounded size: small leaves share a part,
+large ones are split over several, and queries come in blocks. Leaf candidates are reranked by single-precision
+products with a bound on their error; whatever could be among the best is scored in double precision.
 
 Equal vectors are gathered first: a query with k neighbours never needs more than the k + 1 least ids of one
 vector, so no leaf fills up with copies, and no neighbour is lost.
@@ -16,7 +20,6 @@ vector, so no leaf fills up with copies, and no neighbour is lost.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +32,13 @@ from .common import column, map_rows, stored
 
 #: The trees are fitted on so many distinct vectors at most (chosen by hash); the number of leaves to visit on so many of them.
 SAMPLE, TRIALS = 65_536, 128
-TREES, LEAF = 4, 64
+TREES, LEAF = 2, 256
 #: The share of true neighbours that the visited leaves are to hold, on the sample.
-RECALL = 0.94
-#: Vectors, counted once a tree, that one group of the shuffle takes on average; the fewest groups.
-PART, LEAST_PARTS = 32_768, 32
+RECALL = 0.925
+#: Vectors of one part and queries of one block at most, on average: a group of the shuffle holds one of each.
+PART, QUERY_BLOCK = 32_768, 8192
+#: Products that a task holds at once.
+PRODUCTS = 4 << 20
 
 
 @dataclass
@@ -112,24 +117,16 @@ def route(forest: Forest, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def visit(forest: Forest, query: np.ndarray, visits: int) -> list[int]:
-    """The first `visits` leaves over all trees in order of their margins."""
-    length = np.sqrt(query @ query)
-    margins = (forest.normal[:, :-1] @ (query * (np.sqrt(forest.norm2) / length)) - forest.offset).tolist()
-    heap = [(-np.inf, int(r)) for r in forest.roots]
-    heapq.heapify(heap)
-    found = []
-    children = forest.children
-    while heap and len(found) < visits:
-        far, node = heapq.heappop(heap)
-        if node < 0:
-            found.append(-1 - node)
-            continue
-        m = margins[node]
-        left, right = children[node]
-        heapq.heappush(heap, (max(far, m), int(left)))
-        heapq.heappush(heap, (max(far, -m), int(right)))
-    return found
+def queue(forest: Forest, queries: np.ndarray) -> np.ndarray:
+    """The leaves of all trees in the order in which one priority queue yields them, as an array (queries, leaves)."""
+    length = np.sqrt((queries * queries).sum(1))
+    margins = forest.normal[:, :-1] @ (queries * (np.sqrt(forest.norm2) / length)[:, None]).T - forest.offset[:, None]
+    far = np.full((len(forest.normal), len(queries)), -np.inf)
+    leaves = np.full((forest.leaves, len(queries)), -np.inf)
+    for n, (left, right) in enumerate(forest.children.tolist()):  # parents stand before their children
+        for child, margin in ((left, margins[n]), (right, -margins[n])):
+            np.maximum(far[n], margin, out=far[child] if child >= 0 else leaves[-1 - child])
+    return np.argsort(leaves.T, axis=1, kind="stable")
 
 
 def enough_visits(forest: Forest, sample: np.ndarray, k: int, recall: float, trials: int = TRIALS, seed: int = 11) -> int:
@@ -139,17 +136,42 @@ def enough_visits(forest: Forest, sample: np.ndarray, k: int, recall: float, tri
         return forest.leaves
     rows = np.random.default_rng(seed).choice(n, min(trials, n), replace=False)
     cells = route(forest, sample)
+    order = queue(forest, sample[rows])
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(forest.leaves)[None, :], axis=1)
     needed = []
-    for i in rows:
-        scores = sample @ sample[i]
-        scores[i] = -np.inf
-        near = np.argpartition(-scores, k)[:k]
-        order = np.empty(forest.leaves, np.int64)
-        order[visit(forest, sample[i], forest.leaves)] = np.arange(forest.leaves)
-        needed.append(order[cells[near]].min(1))
+    for lo in range(0, len(rows), 16):
+        scores = sample[rows[lo : lo + 16]] @ sample.T
+        scores[np.arange(len(scores)), rows[lo : lo + 16]] = -np.inf
+        near = np.argpartition(-scores, k, axis=1)[:, :k]
+        needed += [place[lo + i][cells[own]].min(1) for i, own in enumerate(near)]
     return int(np.quantile(np.concatenate(needed), recall, method="higher")) + 1
 
 
+@dataclass
+class Parts:
+    """first, split: of each leaf, the number of its first part and how many parts it is split over; count: of all parts."""
+
+    first: np.ndarray
+    split: np.ndarray
+    count: int
+
+
+def parted(sizes: np.ndarray, most: int) -> Parts:
+    """Parts of about `most` vectors: neighbouring small leaves share one, large ones are split."""
+    split = np.maximum(1, -(-sizes // most)).astype(np.int64)
+    first = np.zeros(len(sizes), np.int64)
+    part, held = 0, 0
+    for i, (n, over) in enumerate(zip(sizes.tolist(), split.tolist())):
+        if held and held + n > most:
+            part, held = part + 1, 0
+        first[i] = part
+        held += n
+        if over > 1:
+            part, held = part + over, 0
+    return Parts(first, split, part + (held > 0))
+
+
 def _matrix(values: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -168,39 +190,46 @@ def _best(query: np.ndarray, node: np.ndarray, score: np.ndarray, k: int) -> tup
     return query[place < k], node[place < k], score[place < k]
 
 
+def _scaled(x: np.ndarray, each: bool) -> np.ndarray:
+    """x in single precision, divided by its norms or by the largest of them: only the scale of products changes."""
+    norm = np.sqrt((x * x).sum(1))
+    return (x / (norm[:, None] if each else norm.max(initial=1e-300))).astype(np.float32)
+
+
 def _rerank(vectors: pa.Table, queries: pa.Table, dims: int, k: int) -> pa.Table:
-    """The k nearest of one group's vectors for each of its queries."""
+    """The k nearest of one part's vectors for each query of a block."""
     cells, ids = np.asarray(vectors["cell"]), np.asarray(vectors["node"])
     by = np.lexsort((ids, cells))
     cells, ids = cells[by], ids[by]
     x = _matrix(vectors["vector"], dims)[by].astype(np.float64)
     q, q_ids = _matrix(queries["vector"], dims).astype(np.float64), np.asarray(queries["node"])
+    x_small, q_small = _scaled(x, False), _scaled(q, True)
+    slack = np.float32(2 * (dims + 8) * 2.0**-23)  # products of norms below 1, each off by half of that at most
+    leaf, first = np.unique(cells, return_index=True)
+    stop = np.append(first[1:], len(cells))
     wanted = queries["cells"].combine_chunks()
     found = []
-    for lo in range(0, len(q), 2048):
-        part = wanted[lo : lo + 2048]
-        asking, cell = np.asarray(part.value_parent_indices()) + lo, np.asarray(part.flatten())
-        q_by = np.argsort(cell, kind="stable")
-        asking, cell = asking[q_by], cell[q_by]
-        hits = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
-        for a, b in zip(starts, np.append(starts[1:], len(cell))):
-            i, j = np.searchsorted(cells, cell[a]), np.searchsorted(cells, cell[a], "right")
-            if i == j:
-                continue
-            rough = q[asking[a:b]] @ x[i:j].T
-            if j - i > k:  # what rounding could lift among the k best stays
-                least = np.partition(rough, j - i - k, axis=1)[:, j - i - k]
-                m, n = np.nonzero(rough >= (least - 1e-9 * np.abs(rough).max(1))[:, None])
-            else:
-                m, n = (v.reshape(-1) for v in np.indices(rough.shape))
-            # summed in the same order for every pair: equal vectors have equal scores
-            scores = (q[asking[a:b]][m] * x[i:j][n]).sum(-1)
-            hits = [np.concatenate(h) for h in zip(hits, (asking[a:b][m], i + n, scores))]
-            if len(hits[0]) > 1 << 20:
-                hits = list(_best(hits[0], hits[1], hits[2], k))
-        query, row, score = hits
-        found.append(_best(q_ids[query], ids[row], score, k))
+    step = max(1, PRODUCTS // max(1, len(x)))
+    for lo in range(0, len(q) if len(x) else 0, step):
+        part = wanted[lo : lo + step]
+        asking, cell = np.asarray(part.value_parent_indices()), np.asarray(part.flatten())
+        at = np.minimum(np.searchsorted(leaf, cell), len(leaf) - 1)
+        there = leaf[at] == cell
+        asking, at = asking[there], at[there]
+        q_by = np.argsort(at, kind="stable")
+        asking, at = asking[q_by], at[q_by]
+        rough = np.full((len(part), len(x)), -np.inf, np.float32)
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+        for a, b in zip(edge, np.append(edge[1:], len(at))):
+            rows, i, j = asking[a:b], first[at[a]], stop[at[a]]
+            rough[rows, i:j] = q_small[lo + rows] @ x_small[i:j].T
+        if len(x) > k:
+            least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+            rough[rough < (least - slack)[:, None]] = -np.inf
+        row, col = np.nonzero(rough > -np.inf)
+        # summed in the same order for every pair: equal vectors have equal scores
+        scores = np.concatenate([(q[lo + row[m : m + 65_536]] * x[col[m : m + 65_536]]).sum(-1) for m in range(0, max(1, len(row)), 65_536)])
+        found.append(_best(q_ids[lo + row], ids[col], scores, k))
     cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table([pa.array(c) for c in cols], names=["query", "node", "score"])
 
@@ -239,32 +268,41 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
     points = _matrix(picked["vector"], dims) if picked.num_rows else np.zeros((0, dims), np.float32)
     fitted = fit(points, float(norm2), trees, leaf)
     visits = visits or enough_visits(fitted, points.astype(np.float64), k, recall)
-    n_parts = max(LEAST_PARTS, distinct.count() * trees // PART)
-    forest = spark.sparkContext.broadcast(fitted)  # bounded by the sample
+    total, n_queries = distinct.count(), asked.select("query").distinct().count()
+    sizes = np.bincount(route(fitted, points.astype(np.float64)).reshape(-1), minlength=fitted.leaves) * max(1, total) // max(1, len(points))
+    # the number of parts only spreads the work: no result depends on it
+    parts = parted(sizes, min(PART, max(LEAF, total * trees // (2 * spark.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    held = spark.sparkContext.broadcast((fitted, parts))  # bounded by the sample
 
     def indexed(batches: Iterator[pa.RecordBatch]):
+        forest, parts = held.value
         for batch in batches:
-            cells = route(forest.value, _matrix(column(batch, "vector"), dims).astype(np.float64))
+            cells = route(forest, _matrix(column(batch, "vector"), dims).astype(np.float64))
+            node = np.asarray(column(batch, "node"))
             for t in range(cells.shape[1]):
                 cell = cells[:, t]
-                yield pa.RecordBatch.from_arrays([pa.array(cell * n_parts // fitted_leaves), pa.array(cell), column(batch, "node"), column(batch, "vector")], names=["part", "cell", "node", "vector"])
+                part = (parts.first[cell] + node % parts.split[cell]) * blocks
+                for block in range(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(part + block), pa.array(cell), column(batch, "node"), column(batch, "vector")], names=["part", "cell", "node", "vector"])
 
     def searched(batches: Iterator[pa.RecordBatch]):
+        forest, parts = held.value
         for batch in batches:
-            x = _matrix(column(batch, "vector"), dims).astype(np.float64)
-            for lo in range(0, len(x), 256):
-                row, part, lists = [], [], []
-                for i in range(lo, min(lo + 256, len(x))):
-                    cell = np.sort(np.array(visit(forest.value, x[i], visits), np.int64))
-                    parts = cell * n_parts // fitted_leaves
-                    first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
-                    row += [i] * len(first)
-                    part += parts[first].tolist()
-                    lists += np.split(cell, first[1:])
-                row = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(lists, pa.list_(pa.int64())), column(batch, "node").take(row), column(batch, "vector").take(row)], names=["part", "cells", "node", "vector"])
-
-    fitted_leaves = fitted.leaves
+            x, node = _matrix(column(batch, "vector"), dims).astype(np.float64), np.asarray(column(batch, "node"))
+            for lo in range(0, len(x), 1024):
+                cell = np.sort(queue(forest, x[lo : lo + 1024])[:, :visits], axis=1)
+                row = np.repeat(np.arange(len(cell)), cell.shape[1])
+                cell = cell.reshape(-1)
+                over = parts.split[cell]
+                row, cell, part = np.repeat(row, over), np.repeat(cell, over), np.repeat(parts.first[cell], over) + np.arange(over.sum()) - np.repeat(np.cumsum(over) - over, over)
+                by = np.lexsort((cell, part, row))
+                row, cell, part = row[by], cell[by], part[by]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell))
+                row = lo + row[first]
+                yield pa.RecordBatch.from_arrays([pa.array(part[first] * blocks + node[row] % blocks), lists, pa.array(node[row]), column(batch, "vector").take(pa.array(row))], names=["part", "cells", "node", "vector"])
+
     kind = rows.schema["vector"].dataType.simpleString()
     index = distinct.select("node", "vector").mapInArrow(indexed, f"part long, cell long, node long, vector {kind}")
     seen = distinct.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vector").mapInArrow(searched, f"part long, cells array<long>, node long, vector {kind}")

@@ -33,6 +33,49 @@ def test_recall_on_clustered_vectors(spark):
     assert sum(len(set(found[q]) & set(want[q])) for q in want) / (10 * len(want)) >= 0.9
 
 
+def test_recall_on_isotropic_vectors_in_blocks_and_split_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+
+    def found():
+        out = {}
+        for r in A.nearest(df, lambda i: i % 20 == 0, k=20).collect():
+            out.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        return out
+
+    got = found()
+    assert all(sorted(v) == list(range(1, 21)) for v in got.values()) and set(got) == set(want)
+    assert sum(len(set(got[q].values()) & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+    monkeypatch.setattr(A, "PART", 100)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(A, "PRODUCTS", 1000)
+    assert found() == got
+
+
+def test_one_queue_over_all_trees():
+    import heapq
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    forest = A.fit(x, float((x.astype(float) ** 2).sum(1).max()), 3, 20)
+    for q, order in zip(x[:20].astype(float), A.queue(forest, x[:20].astype(float))):
+        margins = forest.normal[:, :-1] @ (q * np.sqrt(forest.norm2) / np.sqrt(q @ q)) - forest.offset
+        heap, popped = [(-np.inf, int(r)) for r in forest.roots], []
+        while heap:
+            far, node = heapq.heappop(heap)
+            if node < 0:
+                popped.append((far, -1 - node))
+                continue
+            for child, m in zip(forest.children[node].tolist(), (margins[node], -margins[node])):
+                heapq.heappush(heap, (max(far, m), child))
+        far = dict((leaf, f) for f, leaf in popped)
+        assert sorted(order.tolist()) == sorted(far)
+        assert np.allclose([f for f, _ in popped], [far[i] for i in order.tolist()])
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(i, v) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [float("nan"), 0.0, 0.0]), (104, [float("inf"), 0.0, 0.0]), (105, [1.0, 2.0]), (None, v), (120, [-1.0, 0.0, 0.0]), (7, [0.5, 0.5, 0.5])]
