@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 from array import array
@@ -28,19 +30,35 @@ def shared_encoder(path: str, special_as_text: bool = False) -> Encoder:
     return Encoder(path, special_as_text)
 
 
+#: Normalizer and pre-tokenizer under which a text's ids are those of its pieces between spaces: lower case, and no match reaches over white space.
+_APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class Encoder:
     """encode(texts): ids as little-endian unsigned 32-bit integers.
 
-    For tokenizers that lower-case, drop white space and never join over it, as word_bpe_49k does: a text's
-    ids are those of its pieces between spaces and line ends, one after the other. Pieces recur, so most are looked
-    up. A piece of plain letters and closing punctuation is looked up as its letters in lower case and its
-    punctuation. The memo has two generations of bounded size; long pieces are not kept.
+    A tokenizer that lower-cases, drops white space and never joins over it, as word_bpe_49k does, gives
+    a text the ids of its pieces between spaces and line ends, one after the other. Pieces recur, so most are looked
+    up. A piece of plain letters and closing punctuation is put together from its letters in lower case and its
+    punctuation. The memo has two generations of bounded size; long pieces are not kept. Texts go whole to
+    any tokenizer of other rules.
     """
 
-    MOST_PIECES = 200_000
+    MOST_PIECES = 300_000
     LONGEST_PIECE = 48
     #: Letters of one code point whose lower case is one code point, whatever stands around them.
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([.,;:!?)]*)")
+    _plain = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
+    _closing = ".,;:!?)"
     _mark = "\x00"
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -49,46 +67,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        (self.mark_id,) = self.tokenizer.encode(self._mark, add_special_tokens=False).ids
+        rules = json.loads(self.tokenizer.to_str())
+        self.apart = all(rules[k] == v for k, v in _APART.items()) and rules["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in rules["added_tokens"])
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        if self.apart:
+            (self.mark_id,) = self.tokenizer.encode(self._mark, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.memo) > self.MOST_PIECES:
-            self.memo, self.old = {"": b""}, self.memo
-        passing = self._learn(set().union(*split).difference(self.memo))
-        known = self.memo.__getitem__
-        out = [b"".join(map(known, pieces)) for pieces in split]
-        for p in passing:
-            del self.memo[p]
-        return out
+        if not self.apart:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and there are many small objects
+        try:
+            split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+            if len(self.memo) > self.MOST_PIECES:
+                self.memo, self.old = {"": b""}, self.memo
+            passing = self._learn(set().union(*split).difference(self.memo))
+            known = self.memo.__getitem__
+            out = [b"".join(map(known, pieces)) for pieces in split]
+            for p in passing:
+                self.memo.pop(p, None)
+            return out
+        finally:
+            if collects:
+                gc.enable()
 
     def _learn(self, missing: set[str]) -> list[str]:
         """Adds pieces to the memo; returns those too long to stay."""
-        memo, old = self.memo, self.old
-        parts: dict[str, tuple[str, str]] = {}
-        cores, wanted = set(), set()
+        memo, old, tails, closing = self.memo, self.old, self.tails, self._closing
+        plain, longest = self._plain.fullmatch, self.LONGEST_PIECE
+        rest, passing = [], []
         for p in missing:
-            if p in old:
-                memo[p] = old[p]
-            elif m := self._plain.fullmatch(p):
-                core, tail = m[1].lower(), m[2]
-                parts[p] = core, tail
-                cores.add(core)
-                wanted.add(tail)
-            else:
-                wanted.add(p)
-        for p in cores.difference(memo):
-            memo[p] = old[p] if p in old else self._word(p)
-        for p in wanted.difference(memo):
-            if p in old:
-                memo[p] = old[p]
-        memo.update(self._ids([p for p in wanted if p not in memo]))
-        for p, (core, tail) in parts.items():
-            memo[p] = memo[core] + memo[tail]
-        return [p for p in {*missing, *wanted, *cores} if len(p) > self.LONGEST_PIECE]
+            if len(p) > longest:
+                passing.append(p)
+            if (ids := old.get(p)) is not None:
+                memo[p] = ids
+                continue
+            core = p.rstrip(closing)
+            if not (core.isalpha() and (core.isascii() or plain(core))):
+                rest.append(p)
+                continue
+            low = core.lower()
+            ids = memo.get(low)
+            if ids is None:
+                ids = old.get(low)
+                if ids is None:
+                    ids = self._word(low)
+                if len(low) <= longest:
+                    memo[low] = ids
+            if len(core) < len(p):
+                tail = p[len(core) :]
+                if tail not in tails:
+                    if len(tails) > 1000:
+                        tails.clear()
+                    tails.update(self._ids([tail]))
+                ids += tails[tail]
+            memo[p] = ids
+        memo.update(self._ids(rest))
+        return passing
 
     def _word(self, core: str) -> bytes:
         """A word of plain lower-case letters: no normalizer changes it and it is one piece to the merges, so these are asked directly."""

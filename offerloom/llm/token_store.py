@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_rows, open_fs, shared_dir, short_batches, text_bytes
+from .common import column, map_rows, open_fs, shared_dir, short_batches
 from .encoder import encoded, public_tokenizer, shared_encoder
 
 MAGIC = b"TOKSTOR1"
@@ -31,7 +31,10 @@ MAGIC = b"TOKSTOR1"
 RANGE_BYTES = 32 << 20
 #: Frames are rolled into a new file beyond so many bytes.
 FILE_BYTES = 64 << 20
-#: The dictionary is trained on so many documents at most, with so many of their first characters: these only bound the sample, not what is stored.
+#: Ranges at most: the driver holds a bound for each. Beyond, ranges grow; tasks stream them into files of FILE_BYTES.
+MOST_RANGES = 4096
+#: The dictionary is trained on so many distinct texts at most, on a slice of so many characters at a hashed position of each:
+#: these only bound the sample, not what is stored.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 
 
@@ -59,7 +62,18 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     tokenizer = tokenizer or public_tokenizer()
     source = short_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
-    sample = source.where("text is not null").select("doc", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    # one pass for the layout: ids are cut into ranges of equal counts
+    grid = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    layout = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.percentile_approx("doc", grid, 20 * MOST_RANGES).alias("edges")).head()
+    n_ranges = min(MOST_RANGES, max(1, -(-(layout["bytes"] or 0) // range_bytes)))
+    bounds = layout["edges"] or []
+    edges = np.array(sorted({bounds[i * MOST_RANGES // n_ranges - 1] for i in range(1, n_ranges)}) if bounds else [], np.int64)
+
+    # one of so many hashes, so that about twice the sample is left before copies go
+    h, room = F.xxhash64("text"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    some = source.where("text is not null").where(F.pmod(h, F.lit(max(1, layout["n"] // (2 * SAMPLE_DOCS)))) == 0)
+    some = some.select(h.alias("h"), F.substring("text", F.pmod(F.xxhash64("text", F.lit(1)), room.cast("long")).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+    sample = some.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS)
     wide = shared_encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
 
@@ -71,20 +85,19 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     dictionary = _train([bytes(r["ids"]) for r in map_rows(sample, plain, "ids binary").collect()])
     digest = hashlib.sha256(dictionary).digest()
 
-    n_ranges = max(1, -(-text_bytes(source) // range_bytes))
-    bounds = sorted(set(source.approxQuantile("doc", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
-    edges = np.array(bounds, np.int64)
-
     def frames(batches):
         press = compressor(dictionary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc, ids in zip(column(batch, "doc").to_pylist(), encoded(column(batch, "text"), shared_encoder(tokenizer))):
+            docs = column(batch, "doc")
+            least = np.iinfo(np.int64).min  # a null id stands before all others
+            parts = np.searchsorted(edges, np.asarray(docs.fill_null(least)), "right").tolist()
+            for part, doc, ids in zip(parts, docs.to_pylist(), encoded(column(batch, "text"), shared_encoder(tokenizer))):
                 ids = np.frombuffer(ids + end, "<u4")
-                yield 0 if doc is None else int(np.searchsorted(edges, doc, "right")), doc, press.compress(ids.astype(kind).tobytes()), len(ids)
+                yield part, doc, press.compress(ids.astype(kind).tobytes()), len(ids)
 
     ranged = map_rows(source, frames, "part int, doc long, frame binary, n_tokens long")
-    ranged = ranged.repartition(len(edges) + 1, "part").sortWithinPartitions("part", F.col("doc").asc_nulls_first(), "frame")
+    ranged = ranged.repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", F.col("doc").asc_nulls_first(), "frame")
 
     def files(batches: Iterator[pa.RecordBatch]):
         fs, root = open_fs(folder)

@@ -66,3 +66,18 @@ def test_encoder_is_the_library():
         assert [e.encode([t])[0] for t in texts] == want
     plain = Encoder(public_tokenizer(), special_as_text=True)
     assert 49407 not in np.frombuffer(plain.encode(["a<|endoftext|>b"])[0], "<u4")
+
+
+def test_other_tokenizers_encode_as_the_library_does():
+    texts = ["Hello world, this is New York.", "", "  two  spaces\n", "don't", "Ünï 123"]
+    seen = 0
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        try:
+            path = public_tokenizer(name)
+        except Exception:
+            continue
+        e = Encoder(path)
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert e.apart == (name == "word_bpe_49k.json")
+        seen += 1
+    assert seen
