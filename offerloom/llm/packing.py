@@ -3,11 +3,11 @@ r"""Packing token ids into sequences of bounded length by multiway Karmarkar-Kar
 A document gives full sequences while it lasts; the tails that are left are packed block by block,
 as the scan delivers them, so nothing is shuffled. In a block, differencing merges the two partial
 partitions of the largest imbalance, the fullest windows of one with the emptiest of the other,
-until one partition into k near-equal windows is left, k being the number of sequences that the
-tokens fill. What exceeds a window's capacity is cut off; it fills the windows that have room, and for
-the rest the window count rises: by sequences of exactly a power of two of tokens, which need no
-padding. Without cuts (cut=False) the count rises by one and differencing begins again, until
-every window fits.
+until one partition into k near-equal windows is left. A block takes as many tokens as k windows hold, by a
+cut through its last tail, so windows come out full but for a few tokens more or less. One more window would keep
+every tail whole at the price of a whole window's padding; with cuts, the few tokens too many go to
+windows that lack a few. What a scan has left at its end fills sequences of exactly a power of two of tokens, which
+need no padding. Without cuts (cut=False) the count rises by one and differencing begins again, until every window fits.
 """
 
 from __future__ import annotations
@@ -53,46 +53,79 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[Piece]]:
-    """Sequences of pieces that hold every token of every item once. Items are shorter than the capacity."""
-    total = sum(sizes)
-    if not cut:
-        k = -(-total // capacity)
-        while True:
-            windows = differencing(sizes, k)
-            if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-                return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
-            k += 1
+    """Sequences of pieces that hold every token of every item once. Items are at most the capacity.
+
+    With cuts nothing is padded: see cut_block and powers_of_two. Without, as few near-equal windows as hold all items whole.
+    """
+    if cut:
+        windows, taken, part = cut_block(sizes, capacity)
+        return windows + [[(taken + i, at + part * (i == 0), n) for i, at, n in w] for w in powers_of_two(_rest(sizes, taken, part), capacity)]
+    k = -(-sum(sizes) // capacity)
+    while True:
+        windows = differencing(sizes, k)
+        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+            return [[(i, 0, sizes[i]) for i in w] for w in windows if w]
+        k += 1
+
+
+def _rest(sizes: list[int], taken: int, part: int) -> list[int]:
+    return [n - part * (i == 0) for i, n in enumerate(sizes[taken:])]
+
+
+def cut_block(sizes: list[int], capacity: int) -> tuple[list[list[Piece]], int, int]:
+    """(full windows of pieces, number of items they take whole, tokens they take of the next one).
+
+    As many windows as all items would fill, near-equal by differencing; only what exceeds a window's
+    capacity is cut off, and goes to the windows with the most room.
+    """
+    k = sum(sizes) // capacity
+    taken, part = 0, k * capacity
+    while taken < len(sizes) and sizes[taken] <= part:
+        part -= sizes[taken]
+        taken += 1
+    items = sizes[:taken] + [part] * (part > 0)
     out: list[list[Piece]] = []
     over: list[Piece] = []
-    short: list[tuple[list[Piece], int]] = []
-    for w in differencing(sizes, total // capacity) if total >= capacity else [range(len(sizes))]:
-        room = capacity if total >= capacity else 0
-        pieces = []
-        for i in w:
-            take = min(sizes[i], room)
+    rooms: list[tuple[int, int]] = []
+    for n, window in enumerate(differencing(items, k)):
+        room, pieces = capacity, []
+        for i in sorted(window, key=items.__getitem__):  # the largest is cut
+            take = min(items[i], room)
             if take:
                 pieces.append((i, 0, take))
                 room -= take
-            if take < sizes[i]:
-                over.append((i, take, sizes[i] - take))
-        if pieces:
-            out.append(pieces)
-            if room:
-                short.append((pieces, room))
-    left = sum(p[2] for p in over) - sum(room for _, room in short)
-    for b in range(left.bit_length() - 1, -1, -1):  # less than the capacity is left
-        if left >> b & 1:
-            out.append([])
-            short.append((out[-1], 1 << b))
-    over.reverse()
-    for pieces, room in short:
+            if take < items[i]:
+                over.append((i, take, items[i] - take))
+        out.append(pieces)
+        if room:
+            rooms.append((room, n))
+    rooms.sort()
+    for i, at, left in over:
+        while left:
+            room, n = rooms.pop()
+            take = min(left, room)
+            out[n].append((i, at, take))
+            at, left = at + take, left - take
+            if take < room:
+                rooms.append((room - take, n))
+    return out, taken, part
+
+
+def powers_of_two(sizes: list[int], capacity: int) -> list[list[Piece]]:
+    """All tokens of the items, one item after the other, in sequences of exactly a power of two, at most the capacity each."""
+    out, rest = [], [(i, 0, n) for i, n in enumerate(sizes)][::-1]
+    left = sum(sizes)
+    while left:
+        length = room = min(1 << left.bit_length() - 1, 1 << capacity.bit_length() - 1)
+        left -= length
+        out.append([])
         while room:
-            i, a, n = over.pop()
+            i, at, n = rest.pop()
             take = min(n, room)
-            pieces.append((i, a, take))
+            out[-1].append((i, at, take))
             room -= take
             if take < n:
-                over.append((i, a + take, n - take))
+                rest.append((i, at + take, n - take))
     return out
 
 
@@ -104,16 +137,25 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
     held: list[tuple] = []
     waiting = 0
 
-    def flush():
+    def flush(last: bool):
         nonlocal sequence, held, waiting
-        for pieces in pack_block([len(h[1]) // 4 for h in held], capacity, cut):
+        sizes = [len(h[1]) // 4 for h in held]
+        if last or not cut:
+            windows, taken, part = pack_block(sizes, capacity, cut), len(held), 0
+        else:
+            windows, taken, part = cut_block(sizes, capacity)
+        for pieces in windows:
             offset = 0
             for i, a, n in pieces:
                 doc, ids, before, total = held[i]
                 yield doc, before + a, n, ids[4 * a : 4 * (a + n)], total, sequence, offset
                 offset += n
             sequence += 1
-        held, waiting = [], 0
+        held = held[taken:]
+        if part:
+            doc, ids, before, total = held[0]
+            held[0] = doc, ids[4 * part :], before + part, total
+        waiting = sum(len(h[1]) // 4 for h in held)
 
     for batch in batches:
         for doc, ids in zip(column(batch, "doc").to_pylist(), encoded(column(batch, "text"), encoder)):
@@ -127,9 +169,9 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
                 held.append((doc, ids[4 * full :], full, total))
                 waiting += total - full
             if waiting >= block_windows * capacity:
-                yield from flush()
+                yield from flush(False)
     if held:
-        yield from flush()
+        yield from flush(True)
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, block_windows: int = 128, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,6 +131,31 @@ def test_little_padding():
     assert max(sum(x[2] for x in w) for w in whole) <= 4096 and len(whole) * 4096 < 1.05 * sum(sizes)
 
 
+def test_differencing_decides_the_windows():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 1500, 900).tolist()
+    windows, taken, part = P.cut_block(sizes, 4096)
+    assert len(windows) == sum(sizes) // 4096 and all(sum(n for _, _, n in w) == 4096 for w in windows)
+    covered = {}
+    for i, at, n in sorted(p for w in windows for p in w):
+        assert at == covered.get(i, 0)
+        covered[i] = at + n
+    assert covered == {i: n for i, n in enumerate(sizes[:taken])} | ({taken: part} if part else {})
+    # a fill in the order of arrival cuts an item at the end of nearly every window
+    ends = np.cumsum(sizes)
+    filled = sum(e not in ends for e in range(4096, int(ends[-1]), 4096))
+    pieces = [i for w in windows for i, _, _ in w]
+    assert sum(pieces.count(i) > 1 for i in set(pieces)) < 0.8 * filled
+    assert max(abs(sum(n for i, at, n in w if at == 0) - 4096) for w in windows) <= 40
+
+
+def test_powers_of_two():
+    for sizes in ([], [1], [5, 9, 4000], [3, 3]):
+        out = P.powers_of_two(sizes, 4096)
+        assert all((n := sum(x[2] for x in w)) & (n - 1) == 0 and n <= 4096 for w in out)
+        assert sum(x[2] for w in out for x in w) == sum(sizes)
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 200
     rows = [(3, "http://a/\r\nX: y", big), (1, None, big), (2, "http://b", "small"), (4, "http://c", "small"), (5, "u", None), (6, "u", ""), (3, "http://a/\r\nX: y", big), (None, "n", big), (8, "z", big + "1"), (9, "m", "a\r\n\r\nb" * 50)]
