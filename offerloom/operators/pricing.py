@@ -173,33 +173,57 @@ def rates_as_of(rates: DataFrame, as_of: str, base: str = "EUR") -> DataFrame:
     return now.groupBy(F.col("quote").alias("currency")).agg(F.max_by("rate", "effective_from").alias("fx_rate"))
 
 
+def rate_spans(rates: DataFrame, base: str = "EUR") -> DataFrame:
+    """_c, _month, _last, _inside, _before: for each currency and month from its first rate to its last change, the changes inside and the one before.
+
+    A change (at, rate) is a time from which another rate is the newest valid one, or none is (null). _last is the currency's last month.
+    """
+    r = rates.where(F.col("base") == base)
+    start, end = F.col("effective_from").cast("timestamp"), F.col("effective_to").cast("timestamp")
+    r = r.select(F.col("quote").alias("_c"), start.alias("_from"), end.alias("_to"), "rate")
+    behind = F.col("_to") + F.make_dt_interval(secs=F.lit("0.000001").cast("decimal(18,6)"))
+    points = r.select("_c", F.col("_from").alias("_p")).union(r.where("_to is not null").select("_c", behind)).distinct()
+    valid = valid_at(F.col("_from"), F.col("_to"), F.col("_p"))
+    newest = F.max_by("rate", F.when(valid, F.col("_from"))).alias("rate")  # null if none is valid
+    changes = points.join(r, "_c").groupBy("_c", "_p").agg(newest).withColumn("_month", F.trunc("_p", "month"))
+    inside = changes.groupBy("_c", "_month").agg(F.array_sort(F.collect_list(F.struct(F.col("_p").alias("at"), "rate"))).alias("_inside"))
+    bounds = changes.groupBy("_c").agg(F.min("_month").alias("_first"), F.max("_month").alias("_last"))
+    months = bounds.select("_c", "_last", F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))).alias("_month"))
+    w = Window.partitionBy("_c").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.try_element_at("_inside", F.lit(-1)), ignorenulls=True).over(w)
+    return months.join(inside, ["_c", "_month"], "left").withColumn("_before", before)
+
+
 def rates_at_each(events: DataFrame, rates: DataFrame, *, at: str = "at", currency: str = "currency", base: str = "EUR") -> DataFrame:
-    """events with fx_rate: the newest rate valid at each event's own time. Rates and events are sorted together for each currency; no pairs are made.
+    """events with fx_rate: of the rates valid at each event's own time, the newest; null if none is.
 
-    Validity windows of one currency must not leave a newer window before an older one ends.
+    The rates become changes by month; events meet them by currency and month, so that no currency is sorted
+    in one task and an event looks through the changes of one month only. Windows may overlap in any way.
     """
-    r = rates.where(F.col("base") == base).select(F.col("quote").alias("_c"), F.col("effective_from").alias("_t"), F.lit(0).alias("_k"), F.struct("rate", "effective_to").alias("_r"))
-    every = events.withColumns({"_c": F.col(currency), "_t": F.col(at).cast("timestamp"), "_k": F.lit(1)})
-    both = every.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("_c").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_s", F.last("_r", ignorenulls=True).over(w)).where("_k = 1")
-    return seen.withColumn("fx_rate", F.when(F.col("_s.effective_to").isNull() | (F.col("_s.effective_to") >= F.col("_t")), F.col("_s.rate"))).select(*events.columns, "fx_rate")
+    spans = rate_spans(rates, base)
+    last = spans.select("_c", "_last").distinct().select(F.col("_c").alias("_b"), F.col("_last").alias("_until"))
+    time = F.col(at).cast("timestamp")
+    e = events.join(last, F.col(currency) == F.col("_b"), "left").withColumn("_m", F.least(F.trunc(time, "month"), F.col("_until")))
+    j = e.join(spans.drop("_last"), (F.col("_b") == F.col("_c")) & (F.col("_m") == F.col("_month")), "left")
+    now = F.try_element_at(F.filter("_inside", lambda x: x["at"] <= time), F.lit(-1))
+    return j.select(*events.columns, F.coalesce(now, F.col("_before"))["rate"].alias("fx_rate"))
 
 
 def with_context(pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs: DataFrame, rates: DataFrame, as_of: str, base: str = "EUR") -> DataFrame:
     """Lines for customers with all that their prices need: route, freight, costs, rate.
 
     pairs: resolved_origin, destination_id, incoterm, source_currency, target_currency. The rate is that of the currency that isn't
-    the base, towards the target currency. One join for each dimension, whatever the number of lines and customers; the dimensions are sent to the pairs, which are too many to shuffle.
+    the base, towards the target currency. One join for each dimension, whatever the number of lines and customers;
+    Spark sends a dimension to the pairs where its size allows that.
     """
     r = best_routes(routes).select(F.col("origin_id").alias("_o"), F.col("destination_id").alias("_d"), "route_id", "supports_cfr", "supports_ddp")
     t = tariffs.select(F.col("route_id").alias("_tr"), F.col("rate").alias("_rate"), F.col("rate_unit").alias("_unit"))
     c = route_costs(costs).select(F.col("route_id").alias("_cr"), F.col("costs").alias("_costs"))
     x = rates_as_of(rates, as_of, base)
-    j = pairs.join(F.broadcast(r), (F.col("resolved_origin") == F.col("_o")) & (F.col("destination_id") == F.col("_d")), "left")
-    j = j.join(F.broadcast(t), F.col("route_id") == F.col("_tr"), "left").join(F.broadcast(c), F.col("route_id") == F.col("_cr"), "left")
+    j = pairs.join(r, (F.col("resolved_origin") == F.col("_o")) & (F.col("destination_id") == F.col("_d")), "left")
+    j = j.join(t, F.col("route_id") == F.col("_tr"), "left").join(c, F.col("route_id") == F.col("_cr"), "left")
     other = F.when(F.col("source_currency") != F.col("target_currency"), F.when(F.col("source_currency") == base, F.col("target_currency")).otherwise(F.col("source_currency")))
-    j = j.withColumn("_other", other).join(F.broadcast(x), F.col("_other") == F.col("currency"), "left")
+    j = j.withColumn("_other", other).join(x, F.col("_other") == F.col("currency"), "left")
     cif = F.col("incoterm").isin("CFR", "DDP")
     supports = F.when(F.col("incoterm") == "CFR", F.coalesce("supports_cfr", F.lit(True))).when(F.col("incoterm") == "DDP", F.coalesce("supports_ddp", F.lit(True))).otherwise(F.lit(True))
     found = F.col("fx_rate").isNotNull()
@@ -217,6 +241,6 @@ def with_context(pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs:
     )
 
 
-def price_for_customers(lines: DataFrame, customers: DataFrame, *context, as_of: str) -> DataFrame:
-    """Every line priced for every customer: the customers are a stated set, so their cross join is meant. context: routes, tariffs, costs, rates."""
-    return priced(with_context(lines.crossJoin(F.broadcast(customers)), *context, as_of=as_of))
+def price_for_requests(lines: DataFrame, customers: DataFrame, *context, as_of: str) -> DataFrame:
+    """Every line of a request priced for every customer of it. lines, customers: request_id; context: routes, tariffs, costs, rates."""
+    return priced(with_context(lines.join(customers, "request_id"), *context, as_of=as_of))

@@ -47,6 +47,8 @@ TABLES = {
                CASE c_custkey % 3 WHEN 0 THEN 'FOB' WHEN 1 THEN 'CFR' ELSE 'DDP' END AS incoterm,
                CAST(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 10 + c_custkey % 15 END AS DECIMAL(6,3)) AS margin_pct
         FROM {customer}""",
+    "request": """
+        SELECT o_orderkey AS request_id, o_custkey AS customer_id FROM {orders} UNION SELECT o_orderkey, o_custkey + 1 FROM {orders}""",
     "route": """
         SELECT o.n_nationkey * 100 + d.n_nationkey + 10000 * v AS route_id, o.n_nationkey AS origin_id, d.n_nationkey AS destination_id,
                CASE WHEN (o.n_nationkey + d.n_nationkey + v) % 3 = 0 THEN 'SEA' ELSE 'AIR' END AS transport,

@@ -346,23 +346,28 @@ RECIPROCAL = "CASE stems_per_box WHEN 20 THEN 0.05 WHEN 25 THEN 0.04 WHEN 40 THE
 
 
 def _context(t):
-    """All lines with their article, and all buyers."""
+    """The lines of each order with their article, and the buyers each order is quoted to."""
     a = t("article").select(C("article_id").alias("own_article"), "stems_per_box", C("box_weight").alias("weight_kg"), "box_type")
-    lines = t("line").join(a, "own_article")
-    lines = PR.origins(lines.withColumn("origin_id", F.lit(None).cast("int")), t("farm"), t("location")).select("line_id", "resolved_origin", "fob", C("currency").alias("source_currency"), "stems_per_box", "weight_kg", "quantity", "box_type", F.when(C("part_id") % 40 == 0, C("fob") * 3).cast("decimal(12,6)").alias("manual_price"))
-    return lines, t("buyer").drop("customer_name")
-
-
-CONTEXT = f"""x AS (SELECT line_id, coalesce(f.origin_id, CASE lower(f.country) WHEN 'ecuador' THEN (SELECT location_id FROM {{location}} WHERE lower(city) = 'quito') END) AS origin, fob, currency, stems_per_box, box_weight AS w, quantity, {RECIPROCAL} AS r,
-      CAST(CASE WHEN part_id % 40 = 0 THEN fob * 3 END AS DECIMAL(12,6)) AS manual FROM {{line}} JOIN {{article}} ON own_article = article_id JOIN {{farm}} f ON f.farm_id = {{line}}.farm_id WHERE quantity <= 5),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY destination_id ORDER BY customer_id) AS n FROM {{buyer}}) WHERE n = 1 AND destination_id % 5 = 0),
+    lines = PR.origins(t("line").join(a, "own_article").withColumn("origin_id", F.lit(None).cast("int")), t("farm"), t("location"))
+    manual = F.when(C("part_id") % 40 == 0, C("fob") * 3).cast("decimal(12,6)").alias("manual_price")
+    packaging = ["stems_per_box", "weight_kg", "quantity", "box_type"]
+    lines = lines.select(C("offer_id").alias("request_id"), "line_id", "resolved_origin", "fob", C("currency").alias("source_currency"), *packaging, manual)
+    return lines, t("request").join(t("buyer").drop("customer_name"), "customer_id")
+
+
+CONTEXT = f"""x AS (
+      SELECT line_id, offer_id,
+        coalesce(f.origin_id, CASE lower(f.country) WHEN 'ecuador' THEN (SELECT location_id FROM {{location}} WHERE lower(city) = 'quito') END) AS origin,
+        fob, currency, stems_per_box, box_weight AS w, quantity, {RECIPROCAL} AS r, CAST(CASE WHEN part_id % 40 = 0 THEN fob * 3 END AS DECIMAL(12,6)) AS manual
+      FROM {{line}} JOIN {{article}} ON own_article = article_id JOIN {{farm}} f ON f.farm_id = {{line}}.farm_id),
+    b AS (SELECT request_id, {{buyer}}.* FROM {{request}} JOIN {{buyer}} ON {{request}}.customer_id = {{buyer}}.customer_id),
     rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin_id, destination_id ORDER BY CASE WHEN transport = 'AIR' THEN 0 ELSE 1 END, created_at, route_id) AS n FROM {{route}}) WHERE n = 1),
     cs AS (SELECT route_id, sum(CASE WHEN unit = 'FLAT' THEN amount ELSE 0 END) AS flat, sum(CASE WHEN unit = 'PER_KG' THEN amount ELSE 0 END) AS kg, sum(CASE WHEN unit = 'PER_STEM' THEN amount ELSE 0 END) AS stem, sum(CASE WHEN unit = 'PER_BOX' THEN amount ELSE 0 END) AS box,
       bool_or(category IN ('CLEARING', 'INSPECTION')) AS clr, bool_or(category = 'HANDLING') AS hnd, bool_or(unit = 'PER_KG') AS by_kg FROM {{cost}} WHERE cost_type_id IS NOT NULL GROUP BY route_id),
     fxr AS (SELECT arg_max(rate, effective_from) AS rate FROM {{fx}} WHERE effective_from <= TIMESTAMP '{AS_OF}' AND (effective_to IS NULL OR effective_to >= TIMESTAMP '{AS_OF}')),
     p AS (SELECT x.*, b.customer_id, b.incoterm, b.target_currency, b.margin_pct, rt.route_id, t.rate, t.rate_unit, cs.flat, cs.kg, cs.stem, cs.box, coalesce(cs.clr, false) AS clr, coalesce(cs.hnd, false) AS hnd, coalesce(cs.by_kg, false) AS by_kg,
       CASE b.incoterm WHEN 'CFR' THEN coalesce(rt.supports_cfr, true) WHEN 'DDP' THEN coalesce(rt.supports_ddp, true) ELSE true END AS supported, (SELECT rate FROM fxr) AS fx
-      FROM x CROSS JOIN b LEFT JOIN rt ON rt.origin_id = x.origin AND rt.destination_id = b.destination_id LEFT JOIN {{current_tariff}} t ON t.route_id = rt.route_id LEFT JOIN cs ON cs.route_id = rt.route_id),
+      FROM x JOIN b ON b.request_id = x.offer_id LEFT JOIN rt ON rt.origin_id = x.origin AND rt.destination_id = b.destination_id LEFT JOIN {{current_tariff}} t ON t.route_id = rt.route_id LEFT JOIN cs ON cs.route_id = rt.route_id),
     i AS (SELECT *, CASE WHEN NOT supported THEN 'INCOTERM_NOT_SUPPORTED_ON_ROUTE' ELSE array_to_string(list_filter([
         CASE WHEN incoterm <> 'FOB' AND (coalesce(rate_unit, 'PER_KG') = 'PER_KG' OR (incoterm = 'DDP' AND by_kg)) AND w IS NULL THEN 'MISSING_WEIGHT' END,
         CASE WHEN incoterm <> 'FOB' AND rate IS NULL AND origin IS NOT NULL THEN 'MISSING_FREIGHT_RATE' END,
@@ -371,12 +376,8 @@ CONTEXT = f"""x AS (SELECT line_id, coalesce(f.origin_id, CASE lower(f.country)
         CASE WHEN incoterm <> 'FOB' AND origin IS NULL THEN 'ORIGIN_NOT_CONFIGURED' END], lambda q: q IS NOT NULL), ',') END AS issues FROM p)"""
 
 
-def _for_customers(t, lines, buyers):
-    return PR.price_for_customers(lines, buyers, t("route"), t("current_tariff"), t("cost"), t("fx"), as_of=AS_OF)
-
-
 def _priced(t):
-    return _for_customers(t, *_context(t))
+    return PR.price_for_requests(*_context(t), t("route"), t("current_tariff"), t("cost"), t("fx"), as_of=AS_OF)
 
 
 @query(f"WITH {CONTEXT} SELECT line_id, customer_id, route_id, issues FROM i")
@@ -407,16 +408,11 @@ def prc_sell_price(t):
     CAST(sum(CAST(round(coalesce(manual, target * (100 + margin_pct) * 0.01), 2) AS DECIMAL(12,2)) * (quantity * stems_per_box)) AS DOUBLE) AS total_value FROM x2 GROUP BY customer_id"""
 )
 def quote_value_per_customer(t):
-    """The flagship: every line priced for every customer, blocked lines left out, quotes summed up.
-
-    All that a price takes from a customer is destination, incoterm, currency and margin: customers who agree in these have
-    equal quotes, so each such kind is priced once, for its first customer, and its sums go to all of them.
-    """
-    lines, buyers = _context(t)
-    kinds = buyers.withColumn("kind", F.min("customer_id").over(Window.partitionBy("destination_id", "incoterm", "target_currency", "margin_pct")))
-    p = _for_customers(t, lines, kinds.where("customer_id = kind")).where(F.size("issues") == 0).select("kind", "stems_per_box", C("quantity").alias("quantity_boxes"), C("final_price").alias("calculated_price"), F.lit(None).cast("decimal(12,6)").alias("manual_price"))
-    sums = Q.totals(p, "kind", F.count("*").alias("n_lines"))
-    return kinds.join(sums, "kind").select("customer_id", "n_lines", "total_boxes", "total_stems", C("total_value").cast("double").alias("total_value"))
+    """The flagship: every order's lines priced for all buyers it is quoted to, blocked lines left out, summed up per buyer."""
+    p = _priced(t).where(F.size("issues") == 0).withColumnsRenamed({"quantity": "quantity_boxes", "final_price": "calculated_price", "manual_price": "_manual"})
+    p = p.withColumn("manual_price", F.lit(None).cast("decimal(12,6)"))
+    sums = Q.totals(p, "customer_id", F.count("*").alias("n_lines"))
+    return sums.select("customer_id", "n_lines", "total_boxes", "total_stems", C("total_value").cast("double").alias("total_value"))
 
 
 @query(
@@ -431,8 +427,8 @@ def prc_freight_per_stem(t):
 
 
 @query(
-    """SELECT o_orderkey, CAST((SELECT arg_max(rate, effective_from) FROM {fx} f WHERE f.effective_from <= o_orderdate) AS DOUBLE) AS newest,
-    (SELECT arg_max(CASE WHEN effective_to IS NULL OR effective_to >= o_orderdate THEN CAST(rate AS DOUBLE) END, effective_from) FROM (SELECT * FROM {fx}) f WHERE f.effective_from <= o_orderdate AND f.effective_from = (SELECT max(effective_from) FROM {fx} g WHERE g.effective_from <= o_orderdate)) AS fx_rate FROM {orders}""".replace("CAST((SELECT arg_max(rate, effective_from) FROM {fx} f WHERE f.effective_from <= o_orderdate) AS DOUBLE) AS newest,\n    ", "")
+    """SELECT o_orderkey, (SELECT CAST(arg_max(rate, effective_from) AS DOUBLE) FROM {fx} f
+      WHERE f.effective_from <= o_orderdate AND (f.effective_to IS NULL OR f.effective_to >= o_orderdate)) AS fx_rate FROM {orders}"""
 )
 def prc_fx_asof(t):
     """JON-13, FLT-02: the rate valid at each order's own time"""
@@ -453,12 +449,29 @@ def agg_quote_totals(t):
 
 
 @query(
-    """SELECT line_id, CASE WHEN fob < 0.05 THEN 'NOT_LINKED,UNUSUAL_SELL_PRICE' ELSE 'NOT_LINKED' END AS warnings FROM (SELECT line_id, fob FROM {line} WHERE part_id % 5 = 1)"""
+    f"""SELECT line_id, array_to_string(list_filter([
+        CASE WHEN length(raw_text) % 7 = 0 THEN 'LOW_CONFIDENCE' END,
+        CASE WHEN part_id % 5 = 1 THEN 'NOT_LINKED' END,
+        CASE WHEN quantity > 14 THEN 'STALE_RATE' END,
+        CASE WHEN box_weight < 0.5 OR box_weight > 10 * 3 THEN 'UNUSUAL_WEIGHT' END,
+        CASE WHEN part_id % 40 = 0 THEN 'MANUAL_PRICE' END,
+        CASE WHEN price < 0.05 OR price > 20 THEN 'UNUSUAL_SELL_PRICE' END], lambda q: q IS NOT NULL), ',') AS warnings
+      FROM (SELECT l.*, a.box_weight * (part_id % 5) AS box_weight, fob * CASE WHEN part_id % 40 = 0 THEN 30 ELSE 1 END AS price
+            FROM {{line}} l JOIN {{article}} a ON own_article = article_id)"""
 )
 def prc_line_warnings(t):
-    """PRC-13"""
-    c = {"confidence": F.lit("HIGH"), "linked": C("part_id") % 5 != 1, "rate_updated": F.lit(AS_OF), "weight": F.lit(4), "is_manual": F.lit(False), "final_price": C("fob")}
-    return t("line").select("line_id", F.array_join(PR.line_warnings(c, F.lit(AS_OF)), ",").alias("warnings"))
+    """PRC-13: judged on each line's text, link, age of its rate (its quantity in days), weight and price"""
+    a = t("article").select(C("article_id").alias("own_article"), "box_weight")
+    manual = C("part_id") % 40 == 0
+    c = {
+        "confidence": F.when(F.length("raw_text") % 7 == 0, "LOW").otherwise("HIGH"),
+        "linked": C("part_id") % 5 != 1,
+        "rate_updated": F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=C("quantity")),
+        "weight": C("box_weight") * (C("part_id") % 5),
+        "is_manual": manual,
+        "final_price": C("fob") * F.when(manual, 30).otherwise(1),
+    }
+    return t("line").join(a, "own_article").select("line_id", F.array_join(PR.line_warnings(c, F.lit(AS_OF)), ",").alias("warnings"))
 
 
 # --- quantities, gating, validation --------------------------------------------------------------

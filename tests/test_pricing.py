@@ -112,4 +112,4 @@ def test_override_and_clear(spark):
 def test_rates_at_each_time(spark):
     rates = spark.createDataFrame([("EUR", "USD", D("1.1"), "2024-01-01", None), ("EUR", "USD", D("1.2"), "2024-02-01", "2024-02-10")], "base string, quote string, rate decimal(12,6), f string, t string").select("base", "quote", "rate", F.col("f").cast("timestamp").alias("effective_from"), F.col("t").cast("timestamp").alias("effective_to"))
     events = spark.createDataFrame([(1, "2024-01-15"), (2, "2024-02-05"), (3, "2024-03-01"), (4, "2023-01-01")], "id int, at string").withColumn("currency", F.lit("USD"))
-    assert {r["id"]: r["fx_rate"] for r in P.rates_at_each(events, rates).collect()} == {1: D("1.1"), 2: D("1.2"), 3: None, 4: None}
+    assert {r["id"]: r["fx_rate"] for r in P.rates_at_each(events, rates).collect()} == {1: D("1.1"), 2: D("1.2"), 3: D("1.1"), 4: None}  # 3: the older rate is still valid
