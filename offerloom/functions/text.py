@@ -138,7 +138,7 @@ def treatment(c: Column) -> Column:
 @lru_cache(maxsize=1)
 def _decompositions() -> tuple[str, str, str, str]:
     """What compatibility decomposition without accents does, by Python's Unicode tables: (from, to) for one letter to one,
-    a class and a JSON map for one to many. Alphabets, punctuation, symbols and wide forms; East Asian scripts stay as they are."""
+    the letters and a JSON map for one to many. Alphabets, punctuation, symbols and wide forms; East Asian scripts stay as they are."""
     one_from, one_to, many = [], [], {}
     for code in (*range(0x80, 0x300), *range(0x370, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
         c = chr(code)
@@ -150,16 +150,21 @@ def _decompositions() -> tuple[str, str, str, str]:
             one_to.append(folded)
         else:
             many[c] = folded
-    return "".join(one_from), "".join(one_to), "[" + "".join(f"\\u{ord(c):04x}" for c in many) + "]", json.dumps(many)
+    return "".join(one_from), "".join(one_to), "".join(many), json.dumps(many)
 
 
 def without_accents(c: Column) -> Column:
     """Compatibility decomposition with the combining accents dropped."""
     one_from, one_to, several, table = _decompositions()
-    single = F.translate(F.regexp_replace(c, r"[\u0300-\u036f]", ""), one_from, one_to)
-    letters = F.split(single, "")
-    spelled = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), x), x)), "")
-    return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).when(single.rlike(several), spelled).otherwise(single)
+    accents = "".join(map(chr, range(0x300, 0x370)))
+    single = F.translate(c, one_from + accents, one_to)  # what has no counterpart goes
+
+    def spelled(x: Column) -> Column:
+        letters = F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), y), y))
+        return F.when(F.length(F.translate(x, several, "")) != F.length(x), F.array_join(letters, "")).otherwise(x)
+
+    # in an array, so that the translated text is made once
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.transform(F.array(single), spelled)[0])
 
 
 def match_key(c: Column) -> Column:
