@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,9 +21,13 @@ SLICE_BYTES = 6 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a local one.
+    A session without that setting gets a folder of this machine if it runs on this machine alone, else an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,6 +62,21 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).head()["n"] or 0)
 
 
+def range_number(value, bounds: list[int]):
+    """How many of the sorted bounds are below a value (0 for null): searched in two steps over constant arrays."""
+    step = max(1, math.isqrt(len(bounds)))
+    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    array = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    if not bounds:
+        return F.lit(0)
+    # in an array, so that the first step is made once
+    fine = F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";")
+    below = lambda x: F.size(F.filter(x, lambda b: b < value))
+    both = lambda n: n * step + F.coalesce(below(F.split(F.try_element_at(fine, n + 1), ",").cast("array<bigint>")), F.lit(0))
+    number = F.transform(F.array(below(array([c[-1] for c in chunks]))), lambda n: F.when(n < len(chunks), both(n)).otherwise(len(bounds)))[0]
+    return F.when(value.isNull(), 0).otherwise(number).cast("int")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that df's columns don't use, for columns that an operator needs meanwhile."""
     taken = {c.lower() for c in df.columns}

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, map_rows, open_fs, shared_dir, text_bytes
+from .common import column, map_rows, open_fs, range_number, shared_dir
 
 #: Payload bytes that one range of page ids takes on average; compressed bytes after which a file is rolled.
 RANGE_BYTES, FILE_BYTES = 32 << 20, 128 << 20
+#: Ranges at most: the driver holds a bound for each. Beyond, ranges grow; tasks stream them into files.
+MOST_RANGES = 4096
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 100
 _DATE = "2020-01-01T00:00:00Z"
@@ -31,12 +33,13 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(page: int | None) -> str:
-    return f"<urn:page:{'null' if page is None else page}>"
+def _record_id(page: int | None, digest: str, again: int = 0) -> str:
+    """Rows that repeat a page's id differ in their payload or count how often it came before."""
+    return f"<urn:page:{'null' if page is None else page}:{digest[:32]}:{again}>"
 
 
 def _page(record_id: str) -> int | None:
-    number = record_id.removeprefix("<urn:page:").removesuffix(">")
+    number = record_id.removeprefix("<urn:page:").split(":")[0]
     return None if number == "null" else int(number)
 
 
@@ -45,24 +48,45 @@ def _clean(uri: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool, date: str = _DATE) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool, again: int = 0, date: str = _DATE) -> bytes:
     """One record, its own gzip member, the same bytes for the same arguments."""
     block = _HTTP % size + (b"" if revisit else payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page)}",
+        f"WARC-Record-ID: {_record_id(page, digest, again)}",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {_clean(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        *([f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}"] if revisit else []),
+        *([f"WARC-Profile: {_REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def _bounds(rows: DataFrame, range_bytes: int) -> list[int]:
+    """Page ids that cut the rows into ranges of about so many bytes, MOST_RANGES at most.
+
+    The cuts follow from the rows alone, however they are partitioned: ids are sampled by hash, about 64 for each range, with the bytes they stand for.
+    """
+    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).head()
+    ranges = min(MOST_RANGES, max(1, -(-(total["bytes"] or 0) // range_bytes)))
+    if ranges == 1:
+        return []
+    one_of = max(1, total["n"] // (64 * ranges))
+    some = rows.where("page is not null").where(F.pmod(F.xxhash64("page"), F.lit(one_of)) == 0).groupBy("page").agg(F.sum("size").alias("bytes"))
+    held = sorted((r["page"], r["bytes"]) for r in some.collect())  # bounded by 64 ids a range, on average
+    share = max(1, sum(b for _, b in held)) / ranges
+    out, size = [], 0
+    for page, n in held:
+        size += n
+        if size >= share * (len(out) + 1) and len(out) < ranges - 1:
+            out.append(page)
+    return out
+
+
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> dict:
     """Writes every row of pages and returns the manifest: file names in order, with records and bytes.
 
@@ -76,24 +100,23 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     first = first.where("n > 1").select(F.col("digest").alias("twin"), "least")
 
-    n_ranges = max(1, -(-text_bytes(pages, payload_col) // range_bytes))
-    bounds = sorted(set(rows.approxQuantile("page", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
-    part = F.coalesce(sum((F.when(F.col("page") > b, 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(0))
+    part = range_number(F.col("page"), bounds := _bounds(rows, range_bytes))
     # Payloads are shuffled once, to where they are written. What is known of a payload that others share travels beside it
     # as a row of its own and is sorted directly before it.
     known = rows.select("page", "url", "digest", part.cast("int").alias("part"), key.alias("key")).join(first, F.col("digest") == F.col("twin"))
     known = known.select("part", "page", "url", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size"), F.col("least.page").alias("to"), (F.col("least") < F.col("key")).alias("later"))
     dealt = known.union(rows.select(part.cast("int"), "page", "url", "digest", F.lit(1), "payload", "size", F.lit(None).cast("long"), F.lit(None).cast("boolean")))
-    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest", "kind")
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest", "kind")
 
     def files(batches: Iterator[pa.RecordBatch]):
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        f, at_part, seq, name, n, size, before, told = None, None, 0, "", 0, 0, None, None
+        of_page, came = None, {}
+        f, at_part, seq, name, temporary, n, size, before, told = None, None, 0, "", "", 0, 0, None, None
 
         def close():
             f.close()
-            fs.move(f"{root}/_{name}.tmp", f"{root}/{name}")
+            fs.move(f"{root}/{temporary}", f"{root}/{name}")  # a task that runs again writes the same bytes
             return name, at_part, seq, n, size
 
         for batch in batches:
@@ -109,11 +132,15 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
                     if p != at_part:
                         seq = 0
                     at_part, n, size = p, 0, 0
-                    name = f"pages-{p:06d}-{seq:04d}-{uuid.uuid4().hex[:8]}.warc.gz"
-                    f = fs.open_output_stream(f"{root}/_{name}.tmp", compression=None)
+                    name = f"pages-{p:06d}-{seq:04d}.warc.gz"
+                    temporary = f"_{name}.{uuid.uuid4().hex[:8]}.tmp"
+                    f = fs.open_output_stream(f"{root}/{temporary}", compression=None)
                 _, to, later = told if told and told[0] == same else (same, None, None)
                 revisit = later is not None and (later or same == before)  # a repeated row refers to its first
-                data = record(page, url, payload, digest, length, (to if later else page) if revisit else None, revisit)
+                if page != of_page:
+                    of_page, came = page, {}
+                came[digest] = again = came.get(digest, -1) + 1
+                data = record(page, url, payload, digest, length, (to if later else page) if revisit else None, revisit, again)
                 before = same
                 f.write(data)
                 n, size = n + 1, size + len(data)

@@ -175,6 +175,36 @@ def test_warc_round_trip(spark):
     assert payloads[9].decode() == "a\r\n\r\nb" * 50 and payloads[1].decode() == big
 
 
+def test_warc_files_follow_from_the_rows_and_record_ids_are_unique(spark):
+    big = "y" * 120
+    rows = [(i % 37, f"http://{i % 5}", big if i % 3 else f"{i}" * 40) for i in range(300)] + [(None, "u", big)] * 2
+
+    def files(parts):
+        folder = shared_dir(spark, "w")
+        m = W.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), folder, range_bytes=3000, file_bytes=500)
+        fs, root = open_fs(folder)
+        return {e["name"]: fs.open_input_file(f"{root}/{e['name']}").readall() for e in m["files"]}
+
+    one, other = files(1), files(5)
+    assert one == other and len(one) > 5
+    ids, refers = [], []
+    for name in one:
+        for head, _ in W.parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(one[name])))):
+            ids.append(head["warc-record-id"])
+            refers += [head["warc-refers-to"]] if "warc-refers-to" in head else []
+    assert len(set(ids)) == len(ids) == len(rows) and refers and set(refers) <= set(ids)
+
+
+def test_range_numbers(spark):
+    from pyspark.sql import functions as F
+    from offerloom.llm.common import range_number
+
+    values = [None, -5, 0, 1, 2, 3, 10, 11, 99, 100, 101, 10**12]
+    for bounds in ([], [1], [1, 2], [0, 3, 10, 50, 99, 100, 10**6], list(range(0, 200, 2))):
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", range_number(F.col("v"), bounds).alias("n")).collect()
+        assert {r["v"]: r["n"] for r in got} == {v: 0 if v is None else sum(b < v for b in bounds) for v in values}
+
+
 def test_warc_repeated_first_page(spark):
     big = "x" * 150
     folder = shared_dir(spark, "w")
