@@ -3,7 +3,9 @@ r"""Benchmark decontamination by winnowing.
 Of every `window - gram + 1` consecutive k-grams the one with the least hash is kept, on both sides.
 Every span of `window` words that a document shares with an item therefore shares a kept k-gram.
 Kept k-grams are joined on their hashes, and each hit is extended word by word as far as a window
-around it can reach; where the match is a window or longer, its words are hit.
+around it can reach; where the match is a window or longer, its words are hit. Equal surroundings of a gram
+extend alike, so each is held against the index once: texts that repeat themselves make no pairs of all
+their places, and pairs are made in blocks of bounded size.
 
 The items are the small side: blocks of bounded bytes form the index. One block goes to the tasks
 as a broadcast variable; if the items fill more, tasks write blocks to the shared folder and every
@@ -24,17 +26,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, column, map_rows, open_fs, shared_dir, short_batches, slices, text_bytes
-from .words import ALNUM_LOWER, Words, window_hashes, words
+from .words import ALNUM_LOWER, Words, mixed, window_hashes, words
 
 #: Bytes of item texts in one block of the index.
 BLOCK_BYTES = 8 << 20
+#: Pairs of document and item grams that are extended at once.
+MOST_PAIRS = 1 << 20
 
 
 @dataclass
 class Index:
     """Items of one block. hashes: of all words; first, last: the item's bounds for each word; item: its number; ids: the names of each item.
 
-    print, at: kept k-grams, sorted, and where they begin. short: length -> (hashes, item number) of items below a window.
+    print, at: kept k-grams, sorted, and where they begin, one of each surroundings in an item. short: length -> (hashes, item number) of items below a window.
     """
 
     ids: list[list[str]]
@@ -92,59 +96,95 @@ def build_index(ids: list[str | None], texts: pa.Array, window: int, gram: int)
     bounds = np.array(bounds)
     sizes = np.diff(bounds)
     at, prints = kept_grams(flat, bounds, window, gram)
+    item, begin, end = (np.repeat(x, sizes) for x in (np.arange(len(sizes)), bounds[:-1], bounds[1:]))
+    around = surroundings(flat, at, begin[at], end[at], window, gram)
+    _, one = np.unique(around ^ mixed(item[at].astype(np.uint64)), return_index=True)
+    at, prints = at[one], prints[one]
     by = np.argsort(prints, kind="stable")
     table = {}
     for n, found_short in short.items():
         found_short.sort()
         table[n] = (np.array([h for h, _ in found_short], np.uint64), np.array([x for _, x in found_short]))
-    return Index(names, flat, np.repeat(np.arange(len(sizes)), sizes), np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes), prints[by], at[by], table)
-
-
-def _matches(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (position in probe, position in keys) of equal values; keys are sorted."""
-    lo, hi = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-    hit = np.flatnonzero(hi > lo)
-    sizes = (hi - lo)[hit]
-    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.repeat(hit, sizes), np.repeat(lo[hit], sizes) + inner
+    return Index(names, flat, item, begin, end, prints[by], at[by], table)
+
+
+def surroundings(hashes: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """A hash of the words that a gram at `at` can be extended over, within begin and end."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(gram - window, window):
+        inside = (at + j >= begin) & (at + j < end)
+        word = np.where(inside, hashes[np.where(inside, at + j, 0)], np.uint64(0)) if len(hashes) else out
+        out = mixed(out ^ word) + np.uint64(j - gram + window)
+    return out
+
+
+def _blocks(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (row, place) of rows with places from lo to hi, at most so many at once."""
+    sizes = hi - lo
+    ends = np.cumsum(sizes)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, most):
+        number = np.arange(start, min(start + most, int(ends[-1])))
+        row = np.searchsorted(ends, number, "right")
+        yield row, lo[row] + number - (ends[row] - sizes[row])
+
+
+def _extended(hashes: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, q: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): equal words before place p of a document and q of an item, and from there on."""
+    low, high = np.minimum(low, q - index.first[q]), np.minimum(high, index.last[q] - q)
+    left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    more = np.ones(len(p), bool)
+    for j in range(window):  # from the gram's first word: it is compared too
+        more &= high > j
+        i = np.flatnonzero(more)
+        more[i] = hashes[p[i] + j] == index.hashes[q[i] + j]
+        right += more
+    more = right > 0
+    for j in range(1, window - gram + 1):
+        more &= low >= j
+        i = np.flatnonzero(more)
+        more[i] = hashes[p[i] - j] == index.hashes[q[i] - j]
+        left += more
+    return left, right
 
 
-def find_hits(found: Words, hashes: np.ndarray, kept: tuple[np.ndarray, np.ndarray], index: Index, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from word, to word, item number) of matches in a slice of documents."""
-    begin, end, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def find_hits(found: Words, hashes: np.ndarray, kept: tuple[np.ndarray, np.ndarray], index: Index, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(from word, to word) of what is hit in a slice of documents, (document, item number) of who hits, each once."""
+    begin, end, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
     at, prints = kept
-    if len(at) and len(index.print):
-        x, y = _matches(index.print, prints)
-        p, q = at[x], index.at[y]
-        row = found.doc[p]
-        low = np.minimum(p - found.first[row], q - index.first[q])
-        high = np.minimum(found.first[row + 1] - p, index.last[q] - q)
-        left = np.zeros(len(p), np.int64)
-        right = np.zeros(len(p), np.int64)
-        more = np.ones(len(p), bool)
-        for j in range(window - 1, -1, -1):  # to the right from the gram's first word: it is compared too
-            j = window - 1 - j
-            more &= high > j
-            i = np.flatnonzero(more)
-            more[i] = hashes[p[i] + j] == index.hashes[q[i] + j]
-            right += more
-        more = right > 0
-        for j in range(1, window - gram + 1):
-            more &= low >= j
-            i = np.flatnonzero(more)
-            more[i] = hashes[p[i] - j] == index.hashes[q[i] - j]
-            left += more
-        whole = left + right >= window
-        begin.append((p - left)[whole])
-        end.append((p + right)[whole])
-        item.append(index.item[q[whole]])
+    lo, hi = np.searchsorted(index.print, prints, "left"), np.searchsorted(index.print, prints, "right")
+    if (some := np.flatnonzero(hi > lo)).size:
+        p, row = at[some], found.doc[at[some]]
+        low, high = p - found.first[row], found.first[row + 1] - p
+        _, one, of = np.unique(surroundings(hashes, p, found.first[row], found.first[row + 1], window, gram), return_index=True, return_inverse=True)
+        most_left, most_right = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        hits = [np.zeros((2, 0), np.int64)]
+        for i, place in _blocks(lo[some][one], hi[some][one], MOST_PAIRS):
+            q = index.at[place]
+            left, right = _extended(hashes, p[one][i], low[one][i], high[one][i], index, q, window, gram)
+            whole = np.flatnonzero(left + right >= window)
+            # all matches of a place hold its first word, so they are one stretch
+            np.maximum.at(most_left, i[whole], left[whole])
+            np.maximum.at(most_right, i[whole], right[whole])
+            hits.append(np.unique(np.stack([i[whole], index.item[q[whole]]]), axis=1))
+        hit = np.flatnonzero(most_right[of])
+        begin.append(p[hit] - most_left[of[hit]])
+        end.append(p[hit] + most_right[of[hit]])
+        who, item = np.unique(np.concatenate(hits, axis=1), axis=1)
+        doc, kind = np.unique(np.stack([row[hit], of[hit]]), axis=1)
+        for i, place in _blocks(np.searchsorted(who, kind, "left"), np.searchsorted(who, kind, "right"), MOST_PAIRS):
+            pair = np.unique(np.stack([doc[i], item[place]]), axis=1)
+            docs.append(pair[0])
+            items.append(pair[1])
     for n, (keys, names) in index.short.items():
         starts, grams = window_hashes(hashes, found.first, n)
-        x, y = _matches(keys, grams)
+        place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)  # items of equal words are one, so keys are distinct
+        x = np.flatnonzero(keys[place] == grams)
         begin.append(starts[x])
         end.append(starts[x] + n)
-        item.append(names[y])
-    return np.concatenate(begin), np.concatenate(end), np.concatenate(item)
+        pair = np.unique(np.stack([found.doc[starts[x]], names[place[x]]]), axis=1)
+        docs.append(pair[0])
+        items.append(pair[1])
+    return tuple(np.concatenate(v) for v in (begin, end, docs, items))
 
 
 def _judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, blocks, text: str, window: int, gram: int, share: float) -> Iterator[pa.RecordBatch]:
@@ -157,11 +197,10 @@ def _judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, blocks, text: s
             mark = np.zeros(len(hashes) + 1, np.int64)
             items: dict[int, set] = {}
             for index in blocks():
-                begin, end, item = find_hits(found, hashes, kept, index, window, gram)
+                begin, end, doc, item = find_hits(found, hashes, kept, index, window, gram)
                 np.add.at(mark, begin, 1)
                 np.add.at(mark, end, -1)
-                pairs = np.unique(np.stack([found.doc[begin], item]), axis=1) if len(begin) else np.zeros((2, 0), int)
-                for d, x in zip(*pairs.tolist()):
+                for d, x in zip(doc.tolist(), item.tolist()):
                     items.setdefault(d, set()).update(index.ids[x])
             hit = (np.cumsum(mark)[: len(hashes)] > 0).astype(np.int64)
             total = np.concatenate([[0], np.cumsum(hit)])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +189,25 @@ def test_decontamination_against_brute_force(spark, block_bytes):
         assert sum(s["till"] - s["at"] for s in r["spans"]) == r["n_hit"]
 
 
+def test_decontamination_of_texts_that_repeat_themselves(spark, monkeypatch):
+    items = [(1, "a " * 40), (2, "a " * 20 + "b " * 20), (3, "a b " * 15), (4, "a"), (5, "b " * 13)]
+    docs = [(i, t) for i, t in enumerate(["a " * 90, "b " * 12, "b " * 14, "a b " * 30, "a " * 14 + "c " + "b " * 20, "a b b " * 20, "c " * 30])]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute_hits(t, items, 13) for i, t in docs}
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in D.decontaminate(df, bench).collect()} == want
+    index = D.build_index(["x"], pa.array(["word " * 600]), 13, 7)
+    assert len(index.print) < 30
+    monkeypatch.setattr(D, "MOST_PAIRS", 3)
+    texts = pa.array([t for _, t in docs])
+    found = D.words(texts, D.ALNUM_LOWER)
+    hashes = found.hashes()
+    index = D.build_index([str(i) for i, _ in items], pa.array([t for _, t in items]), 13, 7)
+    begin, end, doc, item = D.find_hits(found, hashes, D.kept_grams(hashes, found.first, 13, 7), index, 13, 7)
+    for i, _ in docs:
+        hit = {w for a, b in zip(begin.tolist(), end.tolist()) for w in range(a, b) if found.first[i] <= w < found.first[i + 1]}
+        assert len(hit) == want[i][1] and sorted({x for d, n in zip(doc.tolist(), item.tolist()) if d == i for x in index.ids[n]}) == want[i][2]
+
+
 def test_winnowing_without_items_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c")], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
