@@ -254,7 +254,7 @@ def par_chunks(t):
     """SELECT article_id, 'Farm ' || farm_id AS supplier, CAST(stems_per_box AS INT) AS stems_per_box, box_type FROM {article} WHERE box_weight IS NOT NULL AND article_id % 4 <> 0"""
 )
 def par_assortment_paste(t):
-    """PAR-29, PAR-30: pasted rows of the assortment read back"""
+    """PAR-29: pasted rows of the assortment read back"""
     weight = F.coalesce(C("box_weight").cast("string"), F.lit(""))
     stems = F.when(C("article_id") % 4 == 0, F.lit("?")).otherwise(C("stems_per_box").cast("string"))
     rows = t("article").select("article_id", F.concat_ws("\t", F.concat(F.lit(" Farm "), C("farm_id")), F.concat_ws(" ", "product_name", "variety"), F.coalesce("stem_length", F.lit("")), "box_type", stems, weight).alias("line"))
@@ -546,7 +546,7 @@ def enr_canonical(t):
 
 @query("SELECT article_id, variety, stem_length FROM {article} WHERE box_type = 'QB' AND contains(lower(variety), 'e') AND (contains(lower(product_name), 'br') OR contains(lower(variety), 'br') OR contains(lower(color), 'br') OR contains(lower(stem_length), 'br') OR contains(lower(box_type), 'br'))")
 def flt_assortment_search(t):
-    """FLT-01, FLT-06 to FLT-11 share this search"""
+    """FLT-01 share this search"""
     return R.search_assortment(t("article"), box_type="QB", variety="E", q=" Br ").select("article_id", "variety", "stem_length")
 
 
@@ -564,7 +564,7 @@ def win_current_tariff(t):
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM {orders}) WHERE n = 1")
 def win_latest_per_type(t):
-    """WIN-03, WIN-04"""
+    """WIN-03"""
     return R.first_per(t("orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
@@ -603,7 +603,7 @@ def agg_option_lists(t):
     SELECT customer_id, CASE WHEN name = '' THEN 'INVALID' WHEN CAST(name AS INT) < 20 THEN 'DUPLICATE' WHEN row_number() OVER (PARTITION BY name ORDER BY customer_id) > 1 THEN 'DUPLICATE' ELSE 'CREATED' END AS outcome FROM n"""
 )
 def set_dedupe_import(t):
-    """SET-06, JON-25"""
+    """SET-06"""
     s = C("customer_id") % 50
     incoming = t("buyer").select("customer_id", F.when(s % 10 == 0, " ").otherwise(F.concat(F.lit(" "), s.cast("string"))).alias("name"))
     existing = t("location").where("location_id < 20").select(C("location_id").cast("string").alias("name"))
@@ -696,7 +696,7 @@ def dml_default_destination(t):
 
 @query("SELECT line_id, CASE WHEN part_id % 9 = 0 THEN 'BAD_PRICE' WHEN part_id % 9 = 1 THEN 'BAD_QUANTITY' WHEN row_number() OVER (PARTITION BY farm_id, own_article ORDER BY line_id) > 1 THEN 'DUPLICATE' ELSE 'OK' END AS outcome FROM {line}")
 def dml_manual_lines(t):
-    """DML-08, DML-09"""
+    """DML-08"""
     k = C("part_id") % 9
     lines = t("line").select("line_id", "farm_id", C("own_article").alias("article_id"), F.when(k == 1, 1.5).otherwise(C("quantity")).alias("quantity"), F.when(k == 0, 0).otherwise(C("fob")).alias("price"))
     return M.validated_manual_lines(lines, t("article")).select("line_id", "outcome")
@@ -737,7 +737,7 @@ def rpt_dashboard(t):
     SELECT quote_id, md5('*Fresh Offer - Q-' || CAST(quote_id AS VARCHAR) || '*' || chr(10) || 'Origin: -' || chr(10) || 'Delivery: C&F Amsterdam' || chr(10) || 'Currency: USD' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY f) || chr(10) || chr(10) || 'Availability subject to confirmation.' || chr(10) || 'Prices valid until further notice.') AS text_md5 FROM g GROUP BY quote_id"""
 )
 def snk_text_offer(t):
-    """SNK-05, SNK-06, AGG-09, STR-24"""
+    """SNK-05, AGG-09, STR-24"""
     q = t("quote_line").withColumns({"position": C("line_id"), "v_color": F.lit(None).cast("string"), "v_variety": C("variety"), "v_grade": F.lit(""), "v_stem_length": C("stem_length"), "v_product": C("product_group"), "treatment": F.lit("normal"), "quote_number": F.concat(F.lit("Q-"), C("quote_id").cast("string")), "currency": F.lit("USD"), "incoterm": F.lit("CFR"), "origin_country": F.lit(None).cast("string"), "destination_city": F.lit("Amsterdam"), "valid_until": F.lit(None).cast("date"), "contact": F.lit("A")})
     return RP.offer_text(q).select("quote_id", F.md5("text").alias("text_md5"))
 

@@ -154,7 +154,7 @@ def tab_text(t):
 
 @query("SELECT line_id, part_id % 20 = 0 AS preselected FROM {line} WHERE offer_status = 'REVIEWED' AND part_id % 11 <> 0 AND (part_id % 3 <> 0 OR part_id % 20 = 0)")
 def flt_quotable(t):
-    """FLT-03, FLT-14, SRT-04"""
+    """FLT-03, FLT-14"""
     lines = t("line").select("line_id", "offer_status", F.when(C("part_id") % 11 == 0, "AMBIGUOUS").otherwise("DERIVED").alias("match_status"), C("own_article").alias("article_id"), F.when(C("part_id") % 3 != 0, C("fob")).alias("price"))
     return R.quotable_candidates(lines, t("line").where("part_id % 20 = 0").select("line_id")).select("line_id", "preselected")
 
@@ -205,7 +205,7 @@ def jon_suggest_names(t):
 
 @query("SELECT quote_id, string_agg(DISTINCT CAST(farm_id AS VARCHAR), ',' ORDER BY CAST(farm_id AS VARCHAR)) AS suppliers, count(DISTINCT farm_id) AS n FROM {quote_line} GROUP BY quote_id")
 def agg_suppliers(t):
-    """AGG-10, AGG-12"""
+    """AGG-10"""
     q = t("quote_line").select("quote_id", C("farm_id").cast("string").alias("farm"))
     return R.distinct_per(q, "quote_id", "farm").select("quote_id", F.array_join("values", ",").alias("suppliers"), "n")
 
