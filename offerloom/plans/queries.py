@@ -546,7 +546,7 @@ def enr_canonical(t):
 
 @query("SELECT article_id, variety, stem_length FROM {article} WHERE box_type = 'QB' AND contains(lower(variety), 'e') AND (contains(lower(product_name), 'br') OR contains(lower(variety), 'br') OR contains(lower(color), 'br') OR contains(lower(stem_length), 'br') OR contains(lower(box_type), 'br'))")
 def flt_assortment_search(t):
-    """FLT-01 share this search"""
+    """FLT-01"""
     return R.search_assortment(t("article"), box_type="QB", variety="E", q=" Br ").select("article_id", "variety", "stem_length")
 
 

@@ -87,7 +87,7 @@ def src_mail_text(t):
     """SELECT offer_id, CAST(count(*) AS BIGINT) AS n, string_agg(line_id, ',' ORDER BY line_id) FILTER (part_id % 3 = 0) AS chosen, CASE WHEN count(*) FILTER (part_id % 3 = 0) = 0 THEN 'unchecked' WHEN count(*) FILTER (part_id % 3 = 0) = count(*) THEN 'checked' ELSE 'indeterminate' END AS header FROM {line} GROUP BY offer_id"""
 )
 def arr_selections(t):
-    """ARR-05 to ARR-07"""
+    """ARR-05, ARR-06"""
     g = t("line").groupBy("offer_id").agg(F.array_sort(F.collect_list("line_id")).alias("v"), F.array_sort(F.collect_list(F.when(C("part_id") % 3 == 0, C("line_id")))).alias("s"))
     chosen = A.visible_selected(C("s"), C("v"))
     ids = A.bulk_ids(chosen)
@@ -117,7 +117,7 @@ def _grid(t):
 
 @query("SELECT CAST(f.farm_id AS VARCHAR) AS path, CAST(2 AS INT) AS header, CAST(2 + count(a.article_id) AS INT) AS last, 'scanned-header' AS source FROM {farm} f JOIN {article} a ON a.farm_id = f.farm_id GROUP BY f.farm_id")
 def tab_regions(t):
-    """PAR-11 to PAR-13"""
+    """PAR-11, PAR-13"""
     return TB.regions(_grid(t)).select("path", "header", "last", "source")
 
 
