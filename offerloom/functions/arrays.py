@@ -84,6 +84,48 @@ def patched(old: Column, new: Column, enabled: Column) -> Column:
     return F.when(enabled, new).otherwise(old)
 
 
+# The fields of a bulk edit, in the order in which they are shown, and their labels.
+EDIT_LABELS = {
+    "length": "Lengte",
+    "box_type": "Box/verpakking",
+    "weight": "Doosgewicht (kg)",
+    "stems": "Stelen per doos",
+    "code": "Leverancierscode",
+    "notes": "Aantekeningen",
+}
+EMPTY_VALUE = "(leeg)"
+
+
+def edit_error(enabled: dict[str, Column], values: dict[str, Column]) -> Column:
+    """Why a bulk edit can't be made: NOTHING_ENABLED, BAD_WEIGHT, BAD_STEMS or NO_BOX_TYPE, the first that holds; null if it can."""
+    on = lambda f: F.coalesce(enabled.get(f, F.lit(False)), F.lit(False))
+    text = lambda f: F.coalesce(values.get(f, F.lit(None)).cast("string"), F.lit(""))
+    weight = F.trim(text("weight")).try_cast("double")
+    stems = F.nullif(F.regexp_extract(text("stems"), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("bigint")
+    some = F.lit(False)
+    for f in EDIT_LABELS:
+        some = some | on(f)
+    heavy = F.coalesce((weight > 0) & (weight < float("inf")), F.lit(False))
+    return (
+        F.when(~some, "NOTHING_ENABLED")
+        .when(on("weight") & ~heavy, "BAD_WEIGHT")
+        .when(on("stems") & ~F.coalesce(stems > 0, F.lit(False)), "BAD_STEMS")
+        .when(on("box_type") & (F.trim(text("box_type")) == ""), "NO_BOX_TYPE")
+    )
+
+
+def edit_summary(enabled: dict[str, Column], values: dict[str, Column]) -> Column:
+    """Array of struct(label, value): what a bulk edit changes, to be confirmed."""
+    shown = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(EMPTY_VALUE))
+    each = [F.when(enabled[f], F.struct(F.lit(label).alias("label"), shown(values[f]).alias("value"))) for f, label in EDIT_LABELS.items() if f in enabled]
+    return F.array_compact(F.array(*each))
+
+
+def edited(old: Column, new: Column, enabled: Column) -> Column:
+    """A text field after a bulk edit: trimmed, empty ones null, others as they were."""
+    return patched(old, F.nullif(F.trim(new.cast("string")), F.lit("")), F.coalesce(enabled, F.lit(False)))
+
+
 #: Fields of the snapshot that an offer line keeps of what was read.
 SNAPSHOT = ["raw_text", "product_group", "product_name", "variety", "length_cm", "quantity", "unit", "stems_per_box", "stems_per_bunch", "box_type", "box_weight", "price", "currency", "warnings", "confidence"]
 

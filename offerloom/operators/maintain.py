@@ -121,12 +121,50 @@ def length_from_grade(variants: DataFrame) -> DataFrame:
 
 
 def consolidate_clearing(costs: DataFrame) -> DataFrame:
-    """Costs with each route's inspection added to its clearing, and inspections that have no clearing turned into one. costs: route_id, category, amount."""
-    clearing, inspection = costs.where("category = 'CLEARING'"), costs.where("category = 'INSPECTION'").select(F.col("route_id").alias("_r"), F.col("amount").alias("_i"))
-    both = clearing.join(inspection, F.col("route_id") == F.col("_r"), "left").select("route_id", F.lit("CLEARING_INSPECTION").alias("category"), (F.col("amount") + F.coalesce("_i", F.lit(0))).cast("decimal(12,4)").alias("amount"))
-    alone = inspection.join(clearing, F.col("_r") == F.col("route_id"), "left_anti").select(F.col("_r").alias("route_id"), F.lit("CLEARING_INSPECTION").alias("category"), F.col("_i").cast("decimal(12,4)").alias("amount"))
-    rest = costs.where("category not in ('CLEARING', 'INSPECTION')").select("route_id", "category", F.col("amount").cast("decimal(12,4)").alias("amount"))
-    return both.union(alone).union(rest)
+    """Costs with each route's clearings and inspections in one row, their sum; other rows stay. costs: route_id, category, amount."""
+    amount = lambda c: c.cast("decimal(12,4)").alias("amount")
+    both = costs.where("category in ('CLEARING', 'INSPECTION')").groupBy("route_id").agg(F.sum("amount").alias("amount"))
+    rest = costs.where("category not in ('CLEARING', 'INSPECTION')").select("route_id", "category", amount(F.col("amount")))
+    return both.select("route_id", F.lit("CLEARING_INSPECTION").alias("category"), amount(F.col("amount"))).union(rest)
+
+
+# The three types of costs that always exist, and the names that mean them.
+COST_TYPES = [("Clearing", "CLEARING", "PER_STEM"), ("Handling", "HANDLING", "PER_BOX"), ("Inspection", "INSPECTION", "FLAT")]
+COST_SYNONYMS = {
+    "clearing": ["clearing", "inklaring", "customs clearance", "douane"],
+    "handling": ["handling", "handling fee", "afhandeling"],
+    "inspection": ["inspection", "inspectie", "quality inspection"],
+}
+
+
+def cost_type_of(name: Column) -> Column:
+    """The normalized name of the type that a cost's name stands for: that of a synonym, else its own; null without one."""
+    key = cost_type_key(name)
+    return F.coalesce(*(F.when(key.isin(*words), F.lit(k)) for k, words in COST_SYNONYMS.items()), key)
+
+
+def seed_cost_types(costs: DataFrame, types: DataFrame) -> DataFrame:
+    """types (normalized_name, name, category, unit) with the three that always exist and one for each other name of costs without a type.
+
+    costs: cost_type_id, name, category, unit. A name with several categories or units takes the least of both. No type is replaced.
+    """
+    fixed = costs.sparkSession.createDataFrame([(n.lower(), n, c, u) for n, c, u in COST_TYPES], types.select("normalized_name", "name", "category", "unit").schema)
+    loose = costs.where("cost_type_id is null and name is not null and category is not null").withColumn("_key", cost_type_of(F.col("name")))
+    least = F.min(F.struct("category", F.coalesce("unit", F.lit("FLAT")).alias("unit")))
+    own = loose.groupBy("_key").agg(F.min(F.trim("name")).alias("name"), least.alias("_l"))
+    own = own.select(F.col("_key").alias("normalized_name"), "name", "_l.category", "_l.unit")
+    columns = ["normalized_name", "name", "category", "unit"]
+    out = types.select(*columns)
+    for more in (fixed, own):
+        out = out.union(more.join(out.select("normalized_name"), "normalized_name", "left_anti").select(*columns))
+    return out
+
+
+def link_cost_types(costs: DataFrame, types: DataFrame) -> DataFrame:
+    """costs with type_name: the normalized name of the type that a cost without cost_type_id is linked to; null where none has its name."""
+    known = types.select(F.col("normalized_name").alias("type_name")).distinct()
+    wanted = F.when(F.col("cost_type_id").isNull(), cost_type_of(F.col("name")))
+    return costs.withColumn("_key", wanted).join(known, F.col("_key") == F.col("type_name"), "left").drop("_key")
 
 
 def cost_vocabulary(costs: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
     name = T.without_first(base, F.coalesce(box["matched"], F.lit("\u0000")), " ")
     name = T.collapsed(T.without_first(name, F.coalesce(priced, F.lit("\u0000")), " "))
     found = found.withColumns({"_base": base, "_box": box, "_name": name}).withColumn("grade", T.grade(F.col("_name")))
-    rest = F.col("_name")
-    for g in T.GRADES:
-        rest = F.when(F.col("grade") == g, T.trimmed(T.replace_first(F.col("_name"), rf"(?i)\b{g}\b", ""))).otherwise(rest)
+    at = F.regexp_instr("_name", F.concat(F.lit(r"(?i)\b"), F.col("grade"), F.lit(r"\b")))
+    ungraded = F.concat(F.substring("_name", F.lit(1), at - 1), F.substring("_name", at + F.length("grade"), F.length("_name")))
+    rest = F.when(F.col("grade").isNotNull(), T.trimmed(ungraded)).otherwise(F.col("_name"))
     words = F.filter(F.split(rest, f"{S}+"), lambda w: w != "")
     found = found.withColumn("_words", words)
     first = F.try_element_at("_words", F.lit(1))

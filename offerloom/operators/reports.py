@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How currencies and incoterms are shown.
@@ -41,6 +41,68 @@ def internal_sheet(lines: DataFrame) -> DataFrame:
     return lines.select("quote_id", "line_id", "incoterm", "stems_per_box", "quantity_boxes", "weight_kg", "fob", "freight", "clearing_inspection", "handling", rest.alias("other"), "cost_source", "source_currency", F.coalesce("fx_rate", "quote_fx_rate").alias("fx_rate"), "cost_target", "margin_pct", "calculated_price", "manual_price", final_price(lines).alias("final_price"))
 
 
+# The headings of the two workbooks.
+CUSTOMER_HEADINGS = "Productgroep;Product;Variëteit;Lengte;Kleur;Kwaliteit;Behandeling;Box type;Stelen/doos;Dozen;Totaal stelen;Prijs per steel;Valuta;Incoterm;Herkomst;Bestemming;Opmerkingen".split(";")
+INTERNAL_HEADINGS = (
+    "Product;Leverancier;Dozen;Stelen/doos;Totaal stelen;Incoterm;FOB/steel;Vracht/steel;Clearing & Inspection/steel;Handling/steel;Overige kosten/steel;Kostprijs/steel (bron);"
+    "Bronvaluta;Doelvaluta;Wisselkoers;Koers handmatig;Kostprijs/steel (offertevaluta);Marge %;Berekende verkoopprijs;Handmatige prijs;Definitieve verkoopprijs"
+).split(";")
+#: Columns of the workbooks that hold numbers, and prices of two decimals.
+CUSTOMER_NUMBERS, CUSTOMER_PRICES, INTERNAL_NUMBERS = [8, 9, 10], [11], [2, 3, 4, *range(6, 12), 14, *range(16, 21)]
+
+
+def _sheet_rows(lines: DataFrame, headings: list[str], cells: list[Column], first: int, sheet: Column, above: dict[int, Column]) -> DataFrame:
+    """(path, sheet, row, cells): what stands above, the headings in the row before `first`, then the lines by position."""
+    of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    path = F.col("quote_id").cast("string")
+    row = (F.row_number().over(Window.partitionBy("quote_id").orderBy("position")) + first - 1).cast("int")
+    body = lines.select(path.alias("path"), sheet.alias("sheet"), row.alias("row"), F.array(*map(of, cells)).alias("cells"))
+    once = lines.groupBy("quote_id").agg(F.first(sheet).alias("sheet"), *(F.first(c).alias(f"_{r}") for r, c in above.items()))
+    heads = {r: F.col(f"_{r}") for r in above} | {first - 1: F.array(*map(F.lit, headings))}
+    top = F.explode(F.array(*(F.struct(F.lit(r).alias("row"), c.alias("cells")) for r, c in heads.items())))
+    return once.select(path.alias("path"), "sheet", top.alias("h")).select("path", "sheet", "h.row", "h.cells").union(body)
+
+
+def customer_workbook(lines: DataFrame) -> DataFrame:
+    """Rows of one sheet a quote for customers: a title, places and currency, headings in the fifth row, then the lines.
+
+    lines: quote_id, position, those of customer_sheet, and the quote's quote_number, customer_name, currency, incoterm, origin_country,
+    origin_city and destination_city; columns that are missing are empty.
+    """
+    has = lambda c: F.col(c).cast("string") if c in lines.columns else F.lit(None).cast("string")
+    pick = lambda *cs: F.coalesce(*map(has, cs))
+    shown = lambda c, empty="": F.coalesce(has(c), F.lit(empty))
+    cells = [
+        pick("v_product_group", "product_group"), pick("v_product", "product_group"), pick("v_variety", "variety"), pick("v_stem_length", "stem_length"), pick("v_color", "color"), pick("v_grade", "grade"), has("treatment"),
+        has("box_type"), has("stems_per_box"), has("quantity_boxes"), F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"), pick("manual_price", "calculated_price"),
+        has("currency"), has("incoterm"), has("origin_city"), has("destination_city"), has("notes"),
+    ]
+    title = F.concat(F.lit("Aanbieding "), shown("quote_number"), F.lit(" - "), shown("customer_name"))
+    places = F.concat(F.lit("Herkomst: "), shown("origin_country", "-"), F.lit("  |  Levering: "), shown("incoterm"), F.lit(" "), shown("destination_city"), F.lit("  |  Valuta: "), shown("currency"))
+    sheet = F.substring(F.concat(F.lit("Offerte "), shown("quote_number")), 1, 31)
+    return _sheet_rows(lines, CUSTOMER_HEADINGS, cells, 5, sheet, {0: F.array(title), 2: F.array(places)})
+
+
+def internal_workbook(lines: DataFrame) -> DataFrame:
+    """Rows of one sheet a quote with costs, margin and rates; never for customers. Columns that are missing are empty, missing costs are 0.
+
+    lines: quote_id, position, product columns, supplier, fob, freight, clearing_inspection, handling, additional, cost_source, source_currency,
+    fx_rate, fx_base, fx_quote (and the quote's, quote_fx_*), fx_note, currency, incoterm, cost_target, margin_pct, calculated_price, manual_price.
+    """
+    has = lambda c: F.col(c).cast("string") if c in lines.columns else F.lit(None).cast("string")
+    cost = lambda c: F.coalesce(has(c).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    rate = lambda c: F.coalesce(has(f"fx_{c}"), has(f"quote_fx_{c}"))
+    named = F.nullif(F.concat_ws(" - ", *(F.nullif(has(c), F.lit("")) for c in ("v_product", "v_variety", "v_color", "v_grade", "v_stem_length"))), F.lit(""))
+    converts = rate("rate").isNotNull()
+    rest = F.greatest(F.lit(0).cast("decimal(18,6)"), (cost("additional") - cost("clearing_inspection") - cost("handling")).cast("decimal(18,6)"))
+    cells = [
+        F.when(has("v_product").isNotNull(), named).otherwise(has("product_group")), has("supplier"), has("quantity_boxes"), has("stems_per_box"), F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"), has("incoterm"),
+        has("fob"), cost("freight"), cost("clearing_inspection"), cost("handling"), rest, has("cost_source"), F.when(converts, rate("base")).otherwise(has("source_currency")), F.when(converts, rate("quote")).otherwise(has("currency")),
+        rate("rate"), F.when(converts, has("fx_note")), has("cost_target"), has("margin_pct"), has("calculated_price"), has("manual_price"), F.coalesce(has("manual_price"), has("calculated_price")),
+    ]
+    return _sheet_rows(lines, INTERNAL_HEADINGS, cells, 1, F.lit("Interne calculatie"), {})
+
+
 def product_label(lines: DataFrame) -> Column:
     """Colour, variety, grade and length of the variant, else the product group, else the line's first 40 characters; and a treatment that isn't normal."""
     parts = F.nullif(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("v_color", "v_variety", "v_grade", "v_stem_length"))), F.lit(""))

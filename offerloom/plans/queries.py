@@ -238,12 +238,6 @@ def par_range_expand(t):
     return P.expand_length_ranges(lines, tiers, "doc", "line_id").select("line_id", "child_no", "length_cm", "price", F.size("warnings").alias("n_warnings"))
 
 
-@query(None)
-def par_offer_lines(t):
-    """PAR-02 to PAR-06; its cases are tested one by one"""
-    return P.parse_offer_line(t("offer_text"), "text").drop("text").withColumn("warnings", F.array_join("warnings", "|"))
-
-
 @query(None)
 def par_chunks(t):
     """PAR-20: both bounds restart with each chunk; tested against a fold"""
@@ -747,13 +741,3 @@ def str_quote_number(t):
     """STR-27"""
     q = t("orders").select(C("o_orderkey").alias("quote_id"), C("o_orderdate").alias("created_at"))
     return Q.numbered(q, q.limit(0)).select(C("quote_id").alias("o_orderkey"), "quote_number")
-
-
-@query(None)
-def tab_sheet_lines(t):
-    """PAR-08 to PAR-10: sheets of a farm's articles read back; cell grids are tested one by one"""
-    a = t("article")
-    head = t("farm").select(C("farm_id").cast("string").alias("path"), F.lit("S").alias("sheet"), F.lit(0).alias("row"), F.array(*(F.lit(x) for x in ("Product", "Variety", "Length", "Stems per box", "FOB"))).alias("cells"))
-    row = F.row_number().over(Window.partitionBy("farm_id").orderBy("article_id"))
-    body = a.select(C("farm_id").cast("string").alias("path"), F.lit("S").alias("sheet"), row.alias("row"), F.array("product_name", "variety", "stem_length", C("stems_per_box").cast("string"), F.concat(F.lit("$ 0,"), (C("variant_id") % 90 + 10).cast("string"))).alias("cells"))
-    return TB.parse_sheet(head.union(body)).select("path", "row", "product_group", "variety", "length_cm", "stems_per_box", "price", "confidence")

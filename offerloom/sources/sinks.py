@@ -23,6 +23,17 @@ def write_together(folder: str, **tables: DataFrame) -> str:
 
 
 def read_together(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of all listed batches. The list, one entry a batch, goes through the driver."""
-    batches = [r["batch"] for r in spark.read.parquet(f"{folder}/_batches").orderBy("batch").collect()]
-    return spark.read.parquet(*(f"{folder}/{name}/{b}" for b in batches)).withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})/", 1))
+    """A table of all listed batches, with each row's batch."""
+    listed = spark.read.parquet(f"{folder}/_batches").distinct()
+    rows = spark.read.parquet(f"{folder}/{name}/*").withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})/", 1))
+    return rows.join(listed, "batch", "left_semi")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; without that setting, one of this machine if the session runs here alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,9 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby, islice
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,15 +85,22 @@ def workbook_tables(data: bytes) -> Iterator[tuple[str, str, str]]:
                         yield sheet.get("name"), t.get("name"), t.get("ref")
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, cells) of all workbooks below a path."""
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells) of workbooks (path, content)."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"]):
-                yield pd.DataFrame([(name, *r) for r in workbook_rows(data)], columns=["path", "sheet", "row", "cells"])
+                found = workbook_rows(data)
+                while some := list(islice(found, 10_000)):
+                    yield pd.DataFrame([(name, *r) for r in some], columns=["path", "sheet", "row", "cells"])
+
+    return files.select("path", "content").mapInPandas(rows, "path string, sheet string, row int, cells array<string>")
+
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(rows, "path string, sheet string, row int, cells array<string>")
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row, cells) of all workbooks below a path."""
+    return workbook_cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path))
 
 
 def read_xlsx_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -103,3 +112,68 @@ def read_xlsx_tables(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(name, *t) for t in workbook_tables(data)], columns=["path", "sheet", "name", "ref"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(tables, "path string, sheet string, name string, ref string")
+
+
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    f'<Relationship Id="rId1" Type="{_REL[1:-1]}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    f'<Relationship Id="rId1" Type="{_REL[1:-1]}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_REL[1:-1]}/styles" Target="styles.xml"/></Relationships>',
+    # cell styles: 0 plain, 1 bold, 2 two decimals
+    "xl/styles.xml": f'<styleSheet xmlns="{_MAIN[1:-1]}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders>'
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf/><xf fontId="1" applyFont="1"/><xf numFmtId="2" applyNumberFormat="1"/></cellXfs></styleSheet>',
+}
+_NUMBER = re.compile(r"-?[0-9]+(\.[0-9]+)?")
+#: What XML can't hold.
+_UNFIT = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def _letters(i: int) -> str:
+    return (_letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+
+def workbook(sheet: str, rows: Iterator[tuple[int, list[str | None]]], numbers: frozenset[int], prices: frozenset[int], bold: frozenset[int]) -> bytes:
+    """A workbook of one sheet. rows ascend by their number, from 0; columns in numbers and prices hold numbers below the bold rows."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, part in _PARTS.items():
+            book.writestr(name, part)
+        title = quoteattr(_UNFIT.sub(" ", re.sub(r"[\[\]:*?/\\]", " ", sheet))[:31])
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name={title} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as part:
+            part.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+            for at, cells in rows:
+                shown = []
+                for i, c in enumerate(cells):
+                    if c is None or c == "":
+                        continue
+                    ref = f'r="{_letters(i)}{at + 1}"'
+                    if at not in bold and (i in numbers or i in prices) and _NUMBER.fullmatch(c):
+                        shown.append(f'<c {ref}{" s=" + chr(34) + "2" + chr(34) if i in prices else ""}><v>{c}</v></c>')
+                    else:
+                        style = ' s="1"' if at in bold else ""
+                        shown.append(f'<c {ref}{style} t="inlineStr"><is><t xml:space="preserve">{escape(_UNFIT.sub(" ", c))}</t></is></c>')
+                part.write(f'<row r="{at + 1}">{"".join(shown)}</row>'.encode())
+            part.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def workbooks(rows: DataFrame, *, numbers: list[int] = (), prices: list[int] = (), bold: list[int] = ()) -> DataFrame:
+    """(path, content): one workbook of each path. rows: path, sheet, row (from 0), cells array<string>.
+
+    Rows are dealt by path, sorted and written as they come; of a workbook only its compressed bytes are held.
+    """
+    numbers, prices, bold = frozenset(numbers), frozenset(prices), frozenset(bold)
+
+    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for f in frames for r in zip(f["path"], f["sheet"], f["row"], f["cells"]))
+        for (path, sheet), group in groupby(each, key=lambda r: r[:2]):
+            content = workbook(sheet, ((int(r[2]), list(r[3])) for r in group), numbers, prices, bold)
+            yield pd.DataFrame({"path": [path], "content": [content]})
+
+    dealt = rows.select("path", "sheet", "row", "cells").repartition("path").sortWithinPartitions("path", "sheet", "row")
+    return dealt.mapInPandas(written, "path string, content binary")
