@@ -1,6 +1,6 @@
 """Queries of this package and their SQL."""
 
-from . import ann_forest, chat_format, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, toxicity, warc
+from . import ann_forest, chat_format, conv_repair, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_repair": conv_repair.op11_repair,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op11_repair": conv_repair.OP11_SQL,
 }
