@@ -350,7 +350,7 @@ def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     dropped = F.coalesce(F.col(dropped_col), F.lit(False)) if dropped_col else F.lit(False)
     held = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.when(dropped, "").otherwise(role).alias("role"), F.when(dropped, "").otherwise(text).alias("text"), dropped.alias("dropped"))
     kind = held.schema["conv"].dataType.simpleString()
-    source = in_order(held.withColumn("mark", mark(F.col("role"), F.col("text"))))
+    source = in_order(held.withColumn("mark", mark(F.col("role"), F.col("text"))), "conv", "turn", "role", "text", "mark", "dropped")
     found = stored(map_rows(source, _settle, f"conv {kind}, {_PIECE}, {_RESULT}"), "repair")
     whole = found.where("part is null").drop("part", "piece", "at", "roles", "texts", "marks")
     pieces = short_batches(found.where("part is not null").select("conv", "part", "piece", "at", "roles", "texts", "marks"), 8)
