@@ -190,7 +190,7 @@ def _result(facts: Facts, cost: int, audit: str, sha: str) -> tuple:
     return facts.gaps(), facts.blank, facts.duplicate, facts.truncated, facts.illegal, cost, audit, sha
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _settle(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[tuple]:
     """Whole conversations inside this partition as results; pieces of the first, the last and of long ones."""
     from pyspark import TaskContext
 
@@ -219,7 +219,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 begun, conv, runs = True, c, runs + 1
             if dropped:
                 continue
-            if len(held[0]) >= PIECE_ROWS or size and size + len(text) > PIECE_BYTES:
+            if len(held[0]) >= piece_rows or size and size + len(text) > PIECE_BYTES:
                 yield cut()
             for values, value in zip(held, (turn, role, text, key)):
                 values.append(value)
@@ -299,7 +299,7 @@ def _joined(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataF
     return a.join(other, condition, how).drop(*(f"_{k}" for k in keys))
 
 
-def _long_conversations(pieces: DataFrame, kind: str) -> DataFrame:
+def _long_conversations(pieces: DataFrame, kind: str, fan: int) -> DataFrame:
     """Results of the conversations that lie in pieces."""
     marks = pieces.select("conv", "part", "piece", F.explode(F.array_distinct("marks")).alias("mark"))
     first = marks.groupBy("conv", "mark").agg(F.min(F.struct("part", "piece")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
@@ -309,18 +309,18 @@ def _long_conversations(pieces: DataFrame, kind: str) -> DataFrame:
     level = stored(map_rows(_joined(pieces, earlier, "conv", "part", "piece", how="left"), _judge_piece, node), "repair-tree")
     levels, widest = [level], int(level.agg(F.max("part")).head()[0] or 0)
     while True:
-        grouped = level.withColumn("above", F.col("part") if len(levels) == 1 else F.expr(f"int(part div {FAN})"))
+        grouped = level.withColumn("above", F.col("part") if len(levels) == 1 else F.expr(f"int(part div {fan})"))
         level = stored(grouped.groupBy("conv", "above").applyInArrow(_node, node), "repair-tree")
         levels.append(level)
         if len(levels) > 2:
-            widest //= FAN
+            widest //= fan
         if not widest:
             break
     ends = F.filter(F.array(*(F.when(F.col("elements")[j].isNotNull(), F.struct(F.col("elements")[j]["cost"].alias("cost"), F.col("elements")[j]["audit"].alias("audit"), F.lit(j).alias("leave"))) for j in (START, ASSISTANT))), lambda e: e.isNotNull())
     roots = level.withColumn("best", F.array_min(ends))
     states = roots.select("conv", "part", "piece", F.lit(START).alias("enter"), F.col("best.leave").alias("leave"))
     for depth in range(len(levels) - 1, 0, -1):
-        children = levels[depth - 1].select("conv", "part", "piece", "elements").withColumn("above", F.col("part") if depth == 1 else F.expr(f"int(part div {FAN})"))
+        children = levels[depth - 1].select("conv", "part", "piece", "elements").withColumn("above", F.col("part") if depth == 1 else F.expr(f"int(part div {fan})"))
         above = states.select("conv", F.col("part").alias("above"), "enter", "leave")
         states = stored(_joined(children, above, "conv", "above").groupBy("conv", "above").applyInArrow(_states, f"conv {kind}, part int, piece int, enter int, leave int"), "repair-states")
     chosen = _joined(levels[0].select("conv", "part", "piece", "elements"), states, "conv", "part", "piece")
@@ -332,7 +332,7 @@ def _long_conversations(pieces: DataFrame, kind: str) -> DataFrame:
     return _joined(facts, hashes, "conv")
 
 
-def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
+def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", dropped_col: str | None = None, piece_rows: int = PIECE_ROWS, fan: int = FAN) -> DataFrame:
     """One row a conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     gaps: turn numbers missing between the least and the largest. blank, duplicate, truncated: turns by their first fault.
@@ -342,7 +342,7 @@ def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     Null roles and texts are one space. Null turns stand first and make no gap. Rows of the same turn by role, then text (see
     in_order); equal rows are duplicates of the first. A null conversation is one of its own. An empty role has no initial, so it
     is never kept. Texts may be of any length; one piece holds one text at least. dropped_col: a boolean column; rows where it is true are
-    no turns, but their conversation is returned. A conversation without turns has zeros, an empty audit and the
+    no turns, but their conversation is returned. piece_rows: of a conversation that is not settled within a partition; fan: children of a node of the tree. A conversation without turns has zeros, an empty audit and the
     digest of an empty text. An empty table gives an empty table. Other columns are not used.
     """
     space = F.lit(" ")
@@ -351,10 +351,10 @@ def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     held = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.when(dropped, "").otherwise(role).alias("role"), F.when(dropped, "").otherwise(text).alias("text"), dropped.alias("dropped"))
     kind = held.schema["conv"].dataType.simpleString()
     source = in_order(held.withColumn("mark", mark(F.col("role"), F.col("text"))), "conv", "turn", "role", "text", "mark", "dropped")
-    found = stored(map_rows(source, _settle, f"conv {kind}, {_PIECE}, {_RESULT}"), "repair")
+    found = stored(map_rows(source, lambda b: _settle(b, piece_rows), f"conv {kind}, {_PIECE}, {_RESULT}"), "repair")
     whole = found.where("part is null").drop("part", "piece", "at", "roles", "texts", "marks")
     pieces = short_batches(found.where("part is not null").select("conv", "part", "piece", "at", "roles", "texts", "marks"), 8)
-    return whole.unionByName(_long_conversations(pieces, kind)).withColumnRenamed("conv", "conv_id")
+    return whole.unionByName(_long_conversations(pieces, kind, fan)).withColumnRenamed("conv", "conv_id")
 
 
 def damaged(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of this package and their SQL."""
 
-from . import ann_forest, chat_format, conv_repair, conv_trie, decontaminate, packing, simhash, substring_dedup, token_counts, token_store, toxicity, warc
+from . import ann_forest, chat_format, conv_repair, conv_trie, decontaminate, katz, packing, simhash, substring_dedup, token_counts, token_store, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_repair": conv_repair.op11_repair,
+    "op12_katz": katz.op12_katz,
     "op13_trie": conv_trie.op13_trie,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op11_repair": conv_repair.OP11_SQL,
+    "op12_katz": katz.op12_katz,
     "op13_trie": conv_trie.OP13_SQL,
 }
