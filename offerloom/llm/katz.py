@@ -98,8 +98,11 @@ def _encode(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator
             docs = np.arange(hi - lo)
             tokens = np.full(len(found.start) + len(docs), END)
             tokens[np.arange(len(found.start)) + found.doc] = found.hashes()
-            vocabulary, stream = np.unique(tokens, return_inverse=True)
-            yield number, "slice", None, pack(vocabulary), pack(stream.astype(np.int32)), pack((np.diff(found.first) + 1).astype(np.int64)), ids[lo:hi].to_pylist(), out[lo:hi].to_pylist()
+            vocabulary, stream, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            frequent = np.argsort(-counts, kind="stable")  # small numbers pack better
+            rank = np.empty(len(frequent), np.int32)
+            rank[frequent] = np.arange(len(frequent))
+            yield number, "slice", None, pack(vocabulary[frequent]), pack(rank[stream]), pack((np.diff(found.first) + 1).astype(np.int64)), ids[lo:hi].to_pylist(), out[lo:hi].to_pylist()
             number += 1
 
     for batch in batches:
@@ -223,20 +226,23 @@ def _in_groups(step: Callable, *parameters) -> Callable[[pa.Table], pa.Table]:
     return of_group
 
 
+def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int, heavy: int) -> Iterator[tuple]:
+    """Requests for the words of slices, made where the slices lie."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield from Slice(pa.Table.from_batches([batch.slice(i, 1)]), buckets, heavy).ask_words()
+
+
 def _ask(table: pa.Table, buckets: int, heavy: int, n: int, base: float, schema: pa.Schema) -> pa.Table:
-    """Requests of order n of one slice, which has the replies of the orders below."""
+    """Requests of order n > 1 of one slice, which has the replies of the orders below."""
     s = Slice(table, buckets, heavy)
-    if n == 1:
-        rows = list(s.ask_words())
-    else:
-        s.read_words()
-        for i in range(2, n):
-            s.next_order(i)
-            s.read_grams(i)
-            s.read_contexts(i)
-        s.next_order(n)
-        rows = list(s.ask_grams(n, base))
-    return pa.Table.from_batches(list(in_batches(iter(rows), schema)), schema)
+    s.read_words()
+    for i in range(2, n):
+        s.next_order(i)
+        s.read_grams(i)
+        s.read_contexts(i)
+    s.next_order(n)
+    return pa.Table.from_batches(list(in_batches(s.ask_grams(n, base), schema)), schema)
 
 
 def _score(table: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
@@ -368,6 +374,7 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
     source = short_batches(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held")))
     buckets = model.buckets if model else max(8, -(-text_bytes(source) // bucket_bytes))
     learned = model or Model(order, buckets, heavy)
+    learned_heavy = learned.heavy
     form = _SLICE.format(id=id_type)
     id_arrow = arrow_schema(f"id {id_type}").field(0).type
     have = _saved(map_rows(source, lambda b: _encode(b, id_arrow), form), "katz-slices")
@@ -375,8 +382,11 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
     table_rows = lambda df, kind: df.select("part", "slice", F.lit(kind).alias("kind"), "keys", F.col("a").alias("counts"), F.col("b").alias("low"), F.lit(None).cast("binary").alias("more"))
 
     for n in range(1, learned.order + 1):
-        asked = have.groupBy("slice").applyInArrow(_in_groups(_ask, buckets, learned.heavy, n, learned.total, arrow_schema(_REQUEST)), _REQUEST)
-        asked = _saved(asked, "katz-requests") if n > 1 else asked
+        if n == 1:
+            asked = map_rows(have, lambda b: _ask_words(b, buckets, learned_heavy), _REQUEST)
+        else:
+            step = _in_groups(_ask, buckets, learned.heavy, n, learned.total, arrow_schema(_REQUEST))
+            asked = _saved(have.groupBy("slice").applyInArrow(step, _REQUEST), "katz-requests")
         grams = asked.where(F.col("kind") == f"n{n}")
         if model:
             grams = grams.unionByName(table_rows(model.tables[n - 1], f"n{n}"))
