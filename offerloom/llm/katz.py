@@ -276,11 +276,12 @@ def _gathered(rows: list[dict], kind: str, types: dict[str, type]) -> tuple[list
 
 
 def _count(table: pa.Table, n: int, buckets: int, schema: pa.Schema) -> pa.Table:
-    """One bucket: its part of the table, and each slice's replies."""
+    """One bucket: its part of the table, and each slice's replies. Requests for contexts pass through: they are answered when the table is whole."""
     part = table["part"][0].as_py()
-    rows = table.to_pylist()
+    every = table.to_pylist()
+    rows = [r for r in every if r["kind"] == f"n{n}"]
     keys, sent = _gathered(rows, f"n{n}", {"counts": np.int64} | ({"low": np.int64} if n > 1 else {}))
-    out = []
+    out = [(r["slice"], f"c{n}", part, r["more"], None, r["keys"], None) for r in every if r["kind"] == f"c{n}"]
     if rows:
         order = np.lexsort(keys[::-1])
         keys = [k[order] for k in keys]
@@ -386,11 +387,10 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
             asked = map_rows(have, lambda b: _ask_words(b, buckets, learned_heavy), _REQUEST)
         else:
             step = _in_groups(_ask, buckets, learned.heavy, n, learned.total, arrow_schema(_REQUEST))
-            asked = _saved(have.groupBy("slice").applyInArrow(step, _REQUEST), "katz-requests")
-        grams = asked.where(F.col("kind") == f"n{n}")
+            asked = have.groupBy("slice").applyInArrow(step, _REQUEST)
         if model:
-            grams = grams.unionByName(table_rows(model.tables[n - 1], f"n{n}"))
-        counted = _saved(grams.groupBy("part").applyInArrow(_in_groups(_count, n, buckets, arrow_schema(_REPLY)), _REPLY), f"katz-{n}")
+            asked = asked.unionByName(table_rows(model.tables[n - 1], f"n{n}"))
+        counted = _saved(asked.groupBy("part").applyInArrow(_in_groups(_count, n, buckets, arrow_schema(_REPLY)), _REPLY), f"katz-{n}")
         have = have.unionByName(replies(counted.where(F.col("kind") == f"n{n}")))
         if not model:
             table = counted.where(F.col("kind") == f"table{n}")
@@ -407,7 +407,9 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
             if not model:
                 d, d_low = learned.discounts[n - 1], learned.discounts[n - 2]
                 learned.contexts.append(map_rows(learned.tables[n - 1].select("keys", "a", "b"), lambda b, n=n, d=d, d_low=d_low: _sums(b, n, d, d_low, buckets), _REQUEST))
-            contexts = asked.where(F.col("kind") == f"c{n}").unionByName(learned.contexts[n - 2])
+            none = F.lit(None).cast("binary")
+            contexts = counted.where(F.col("kind") == f"c{n}").select("part", "slice", "kind", "keys", none.alias("counts"), none.alias("low"), F.col("a").alias("more"))
+            contexts = contexts.unionByName(learned.contexts[n - 2])
             weighed = _saved(contexts.groupBy("part").applyInArrow(_in_groups(_weigh, n, arrow_schema(_REPLY)), _REPLY), f"katz-weights-{n}")
             have = have.unionByName(replies(weighed))
     out = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
