@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 from ..functions.text import S, extract
+from ..sources.sinks import shared_folder
 
 # Lines that are never offers (greetings, closings, mail headers, page numbers, links).
 NOISE = [
@@ -202,20 +201,39 @@ def expand_length_ranges(lines: DataFrame, tiers: DataFrame, doc: str, line: str
 CHUNK_ROWS, CHUNK_BYTES, SINGLE_ROWS, SINGLE_BYTES = 22, 12_000, 30, 12_000
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _chunk_numbers(kinds: pd.Series, sizes: pd.Series) -> pd.Series:
-    """The chunk of each line: a new one behind CHUNK_ROWS product rows or CHUNK_BYTES. Both bounds restart, which no window can express."""
+def _next_breaks(lines: DataFrame, key: str) -> DataFrame:
+    """lines (key, i, kind, bytes) with next: where the next chunk begins if one begins here; null if the rest doesn't fill one.
 
-    def fold(kind, size):
-        out, chunk, rows, held = [], 0, 0, 0
-        for k, n in zip(kind, size):
-            if rows >= CHUNK_ROWS or held >= CHUNK_BYTES:
-                chunk, rows, held = chunk + 1, 0, 0
-            rows, held = rows + (k == "B"), held + n
-            out.append(chunk)
-        return out
-
-    return pd.Series([fold(k, n) for k, n in zip(kinds, sizes)])
+    Running sums of product rows and bytes grow with i. The line that brings the 22nd product row is met by its number; the one that
+    brings 12,000 bytes is the first whose sum reaches that of this line plus the bound, found in one order of all sums and bounds.
+    """
+    so_far = Window.partitionBy(key).orderBy("i")
+    sums = lines.select(key, "i", (F.col("kind") == "B").cast("int").alias("b"), "bytes").withColumns({"rows": F.sum("b").over(so_far), "size": F.sum("bytes").over(so_far)})
+    nth = sums.where("b = 1").select(F.col(key).alias("_k"), F.col("rows").alias("_nth"), (F.col("i") + 1).alias("_by_rows"))
+    asked = F.struct((F.col("size") - F.col("bytes") + CHUNK_BYTES).alias("at"), F.lit(1).alias("asked"))
+    both = sums.withColumn("x", F.explode(F.array(F.struct(F.col("size").alias("at"), F.lit(0).alias("asked")), asked)))
+    above = Window.partitionBy(key).orderBy(F.desc("x.at"), "x.asked").rowsBetween(Window.unboundedPreceding, 0)
+    by_size = both.withColumn("_by_size", F.min(F.when(F.col("x.asked") == 0, F.col("i"))).over(above) + 1).where("x.asked = 1")
+    found = by_size.join(nth, (F.col(key) == F.col("_k")) & (F.col("rows") - F.col("b") + CHUNK_ROWS == F.col("_nth")), "left")
+    return found.select(key, "i", F.least("_by_rows", "_by_size").alias("next"))
+
+
+def _reached(breaks: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, i) of the breaks that are reached from line 0, by pointer doubling: after n rounds all within 2 ** n chunks are known. Each round is written, which cuts the lineage."""
+    spark = breaks.sparkSession
+    folder = shared_folder(spark, "chunks")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    jump = breaks.where("next is not null")
+    reached = kept(breaks.where("i = 0").select(key, "i"), "start")
+    for n in range(max(0, most - 1).bit_length()):
+        reached = kept(reached.unionByName(reached.join(jump, [key, "i"]).select(key, F.col("next").alias("i"))), f"reached-{n}")
+        onward = jump.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("next").alias("_next"))
+        jump = kept(jump.join(onward, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_i"))).select(key, "i", F.col("_next").alias("next")), f"jump-{n}")
+    return reached.join(breaks.select(key, "i"), [key, "i"], "left_semi")
 
 
 def chunk_offers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -223,28 +241,40 @@ def chunk_offers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A text of at most 30 product rows and 12,000 bytes is one chunk as it is. Else a chunk ends with its 22nd product row or once it
     has 12,000 bytes; what precedes the first product row is the header of every chunk, price tiers are shared by all,
-    and the last section heading before a chunk goes with it. Lines behind the last chunk that has a product row go with
-    that one. Null texts have no chunks.
+    and the last section heading before a chunk goes with it. A last chunk that is not full and has no product row goes with
+    the one before it. Null texts have no chunks; keys must be unique.
     """
     raws = lambda c: F.array_join(F.transform(c, lambda x: x["raw"]), "\n")
     heading = lambda s: ~s.rlike(r"\d") & s.rlike("[A-Za-z]{2,}") & (F.size(F.split(T.trimmed(s), f"{S}+")) <= 4)
-    lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.struct(s.alias("raw"), line_class(s).alias("kind"), (F.octet_length(s) + 1).alias("bytes")))
-    df = docs.select(key, F.col(text).alias("_text"), lines.alias("_lines")).where(F.col("_text").isNotNull())
+    parsed = lambda s: F.struct(s.alias("raw"), line_class(s).alias("kind"), (F.octet_length(s) + 1).cast("long").alias("bytes"))
+    df = docs.select(key, F.col(text).alias("_text"), F.transform(F.split(text, r"\r?\n"), parsed).alias("_lines")).where(F.col("_text").isNotNull())
     rows = F.size(F.filter("_lines", lambda x: x["kind"] == "B"))
-    df = df.withColumns({"_rows": rows, "_one": (rows <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES), "price_lines": raws(F.filter("_lines", lambda x: x["kind"] == "C")), "_rest": F.filter("_lines", lambda x: x["kind"] != "C")})
-    first = F.array_position(F.transform("_rest", lambda x: x["kind"]), "B")
-    df = df.withColumn("_first", first.cast("int")).withColumn("header", raws(F.slice("_rest", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0)))))
+    price_lines, rest = raws(F.filter("_lines", lambda x: x["kind"] == "C")), F.filter("_lines", lambda x: x["kind"] != "C")
+    df = df.withColumns({"_rows": rows, "_one": (rows <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES), "price_lines": price_lines, "_rest": rest})
+    df = df.withColumn("_first", F.array_position(F.transform("_rest", lambda x: x["kind"]), "B").cast("int"))
+    df = df.withColumn("header", raws(F.slice("_rest", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0)))))
     single = F.col("_one") | (F.col("_first") == 0)
-    whole = df.where(single).select(key, F.lit(0).alias("chunk"), F.lit(1).alias("total"), F.col("_text").alias("body"), F.lit("").alias("header"), F.lit(None).cast("string").alias("section"), F.lit("").alias("price_lines"), F.col("_rows").alias("product_rows"))
-    many = df.where(~single).withColumn("_body", F.slice("_rest", F.col("_first"), F.size("_rest")))
-    many = many.withColumn("_chunks", _chunk_numbers(F.transform("_body", lambda x: x["kind"]), F.transform("_body", lambda x: x["bytes"])))
-    each = many.select(key, "header", "price_lines", F.posexplode(F.arrays_zip("_body", "_chunks")).alias("i", "_x")).select(key, "header", "price_lines", "i", F.col("_x._body.raw").alias("raw"), F.col("_x._body.kind").alias("kind"), F.col("_x._chunks").alias("chunk"))
-    so_far = Window.partitionBy(key).orderBy("i")
-    each = each.withColumns({"section": F.last(F.when((F.col("kind") == "A") & heading(F.col("raw")), F.col("raw")), ignorenulls=True).over(so_far), "_last": F.max(F.when(F.col("kind") == "B", F.col("chunk"))).over(Window.partitionBy(key))})
-    each = each.withColumn("chunk", F.least("chunk", "_last"))
-    cut = each.groupBy(key, "header", "price_lines", "chunk", "_last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "\n").alias("body"), F.min_by("section", "i").alias("section"), F.min_by("raw", "i").alias("_top"), F.sum(F.when(F.col("kind") == "B", 1).otherwise(0)).cast("int").alias("product_rows"))
+    nothing = F.lit(None).cast("string")
+    whole = df.where(single).select(key, F.lit(0).alias("chunk"), F.lit(1).alias("total"), F.col("_text").alias("body"), F.lit("").alias("header"), nothing.alias("section"), F.lit("").alias("price_lines"), F.col("_rows").alias("product_rows"))
+    many = df.where(~single)
+    each = many.select(key, F.posexplode(F.slice("_rest", F.col("_first"), F.size("_rest"))).alias("i", "_x")).select(key, "i", "_x.raw", "_x.kind", "_x.bytes")
+    breaks = _next_breaks(each, key)
+    size = each.groupBy(key).agg(F.sum((F.col("kind") == "B").cast("int")).alias("b"), F.sum("bytes").alias("s"))
+    most = size.agg(F.max(F.col("b") / CHUNK_ROWS + F.col("s") / CHUNK_BYTES)).head()[0] or 0
+    starts = _reached(breaks, key, int(most) + 2).join(breaks, [key, "i"]).select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("next").isNotNull().alias("_full"))
+    so_far, all_of = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key)
+    title = F.last(F.when((F.col("kind") == "A") & heading(F.col("raw")), F.col("raw")), ignorenulls=True).over(so_far)
+    each = each.join(starts, (F.col(key) == F.col("_k")) & (F.col("i") == F.col("_i")), "left").withColumns({"chunk": F.count("_i").over(so_far).cast("int") - 1, "section": title})
+    empty_end = F.max(F.when(~F.col("_full"), F.col("chunk"))).over(all_of)
+    each = each.withColumn("_open", empty_end).withColumn("_open_rows", F.sum(F.when((F.col("kind") == "B") & (F.col("chunk") == F.col("_open")), 1).otherwise(0)).over(all_of))
+    into = F.when((F.col("_open_rows") == 0) & (F.col("chunk") == F.col("_open")) & (F.col("chunk") > 0), F.col("chunk") - 1).otherwise(F.col("chunk"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "\n")
+    product_rows = F.sum(F.when(F.col("kind") == "B", 1).otherwise(0)).cast("int")
+    each = each.withColumn("chunk", into).withColumn("total", F.max("chunk").over(all_of) + 1)
+    cut = each.groupBy(key, "chunk", "total").agg(body.alias("body"), F.min_by("section", "i").alias("section"), F.min_by("raw", "i").alias("_top"), product_rows.alias("product_rows"))
+    cut = cut.join(many.select(key, "header", "price_lines"), key)
     section = F.when(T.trimmed(F.col("_top")) == T.trimmed(F.col("section")), None).otherwise(F.col("section"))
-    return whole.union(cut.select(key, "chunk", F.col("_last") + 1, "body", "header", section, "price_lines", "product_rows"))
+    return whole.union(cut.select(key, "chunk", "total", "body", "header", section, "price_lines", "product_rows"))
 
 
 def assortment_paste(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import numbered_within
+
 QUOTABLE = ["AUTO_MATCHED", "DERIVED", "USER_LINKED"]
 
 
@@ -67,8 +69,7 @@ def numbered(quotes: DataFrame, existing: DataFrame, created: str = "created_at"
     """quotes with quote_number Q-yyyymmdd-NNNN, counted on from that day's existing quotes, in order of time and id."""
     day = F.date_format(created, "yyyyMMdd")
     before = existing.groupBy(day.alias("_day")).agg(F.count("*").alias("_before"))
-    w = Window.partitionBy("_d").orderBy(created, "quote_id")
-    n = quotes.withColumn("_d", day).withColumn("_n", F.row_number().over(w)).join(before, F.col("_d") == F.col("_day"), "left")
+    n = numbered_within(quotes.withColumn("_d", day), "_d", [created, "quote_id"], "_n").join(before, F.col("_d") == F.col("_day"), "left")
     return n.select(*quotes.columns, F.format_string("Q-%s-%04d", "_d", F.col("_n") + F.coalesce("_before", F.lit(0))).alias("quote_number"))
 
 

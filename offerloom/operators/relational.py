@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
+
 # Rows on a page.
 PAGE_SIZES, DEFAULT_PAGE_SIZE = (25, 50, 100), 50
 
@@ -45,6 +47,34 @@ def page(df: DataFrame, order: list, number: int = 1, size: int = DEFAULT_PAGE_S
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def in_global_order(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's number (from 1) in one order of all rows. Ties must be told apart by `order`.
+
+    Rows are dealt to sorted ranges and written; a row's number is its place in its range behind the rows of all
+    ranges before. Only the ranges' counts, one number each, pass through the driver: no window holds all rows.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits of this id count the rows of a partition in their order
+    placed = sorted_rows.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    path = shared_folder(df.sparkSession, "order")
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    counts = sorted((r["_range"], r["n"]) for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for i, n in counts:
+        starts.append((i, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_r int, _before long"))
+    return rows.join(offsets, F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
+
+
+def numbered_within(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """df with each row's number (from 1) within its group. However large a group is, no task holds it: numbers run over all rows, less those of the groups before."""
+    rows = in_global_order(df, [group, *order], "_all")
+    starts = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_all").alias("_first"))
+    return rows.join(starts, F.col(group).eqNullSafe(F.col("_g"))).select(*df.columns, (F.col("_all") - F.col("_first") + 1).alias(name))
+
+
 def first_per(df: DataFrame, keys: list[str], order: list, name: str | None = None) -> DataFrame:
     """The first row of each key; with a name, all rows with their rank instead."""
     w = Window.partitionBy(*keys).orderBy(*order)

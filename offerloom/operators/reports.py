@@ -42,11 +42,16 @@ def internal_sheet(lines: DataFrame) -> DataFrame:
 
 
 # The headings of the two workbooks.
-CUSTOMER_HEADINGS = "Productgroep;Product;Variëteit;Lengte;Kleur;Kwaliteit;Behandeling;Box type;Stelen/doos;Dozen;Totaal stelen;Prijs per steel;Valuta;Incoterm;Herkomst;Bestemming;Opmerkingen".split(";")
-INTERNAL_HEADINGS = (
-    "Product;Leverancier;Dozen;Stelen/doos;Totaal stelen;Incoterm;FOB/steel;Vracht/steel;Clearing & Inspection/steel;Handling/steel;Overige kosten/steel;Kostprijs/steel (bron);"
-    "Bronvaluta;Doelvaluta;Wisselkoers;Koers handmatig;Kostprijs/steel (offertevaluta);Marge %;Berekende verkoopprijs;Handmatige prijs;Definitieve verkoopprijs"
-).split(";")
+CUSTOMER_HEADINGS = [
+    "Productgroep", "Product", "Variëteit", "Lengte", "Kleur", "Kwaliteit", "Behandeling", "Box type", "Stelen/doos", "Dozen",
+    "Totaal stelen", "Prijs per steel", "Valuta", "Incoterm", "Herkomst", "Bestemming", "Opmerkingen",
+]
+INTERNAL_HEADINGS = [
+    "Product", "Leverancier", "Dozen", "Stelen/doos", "Totaal stelen", "Incoterm", "FOB/steel", "Vracht/steel",
+    "Clearing & Inspection/steel", "Handling/steel", "Overige kosten/steel", "Kostprijs/steel (bron)", "Bronvaluta", "Doelvaluta",
+    "Wisselkoers", "Koers handmatig", "Kostprijs/steel (offertevaluta)", "Marge %", "Berekende verkoopprijs", "Handmatige prijs",
+    "Definitieve verkoopprijs",
+]
 #: Columns of the workbooks that hold numbers, and prices of two decimals.
 CUSTOMER_NUMBERS, CUSTOMER_PRICES, INTERNAL_NUMBERS = [8, 9, 10], [11], [2, 3, 4, *range(6, 12), 14, *range(16, 21)]
 

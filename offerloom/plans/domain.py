@@ -120,6 +120,8 @@ def duckdb_sql(sql: str) -> str:
     plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
     ctes = [f"{n} AS ({plain(TABLES[n])})" for n in needs(sql)]
     body = plain(sql).strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join([*ctes, body[15:]])}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join([*ctes, body[5:]])}" if ctes else body
     return f"WITH {', '.join(ctes)} {body}" if ctes else body

@@ -11,8 +11,10 @@ from ..operators import maintain as M
 from ..operators import parse as P
 from ..operators import reports as RP
 from ..operators import tables as TB
+from ..sources import delimited as CSV
 from ..sources import files as FI
 from ..sources import sinks as SK
+from ..sources import workbooks as W
 from ..sources import xlsx as X
 from ..streaming import offers as ST
 from .domain import duckdb_sql
@@ -84,20 +86,24 @@ def dml_link_cost_types(t):
 
 
 def _read_back(rows, **kinds):
-    """Rows written to workbooks and read from these; the cells that a row ends with may be empty and are then not read."""
-    width = F.regexp_replace(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|"), r"\|+$", "")
-    return X.workbook_cells(X.workbooks(rows, **kinds)).select("path", "sheet", "row", F.md5(width).alias("cells_md5"))
+    """Rows written to workbooks and read from these, with their number of cells. Empty cells at the end of a row are not written."""
+    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\u001f")
+    return X.workbook_cells(X.workbooks(rows, **kinds)).select("path", "sheet", "row", F.size("cells").alias("n_cells"), F.md5(shown).alias("cells_md5"))
+
+
+#: What is read back of a row whose cells stand between separators that no cell holds.
+WRITTEN = "CAST(CASE WHEN rtrim(cells, chr(31)) = '' THEN 0 ELSE len(string_split(rtrim(cells, chr(31)), chr(31))) END AS INT) AS n_cells, md5(rtrim(cells, chr(31))) AS cells_md5"
 
 
 @query(
     """WITH b AS (SELECT CAST(quote_id AS VARCHAR) AS path, *, row_number() OVER (PARTITION BY quote_id ORDER BY line_id) AS n FROM {quote_line}),
-    r AS (SELECT path, 4 + n AS row, concat_ws('|', product_group, product_group, variety, coalesce(stem_length, ''), '', '', '', box_type, stems_per_box, quantity_boxes, CAST(stems_per_box AS BIGINT) * quantity_boxes,
+    r AS (SELECT path, 4 + n AS row, concat_ws(chr(31), product_group, product_group, variety, coalesce(stem_length, ''), '', '', '', box_type, stems_per_box, quantity_boxes, CAST(stems_per_box AS BIGINT) * quantity_boxes,
         CAST(coalesce(manual_price, calculated_price) AS VARCHAR), 'USD', 'CFR', 'Quito & co', 'A <b>') AS cells FROM b
       UNION ALL SELECT DISTINCT path, 0, 'Aanbieding Q-' || path || ' - Buyer "x"' FROM b
       UNION ALL SELECT DISTINCT path, unnest([1, 3]), '' FROM b
       UNION ALL SELECT DISTINCT path, 2, 'Herkomst: -  |  Levering: CFR A <b>  |  Valuta: USD' FROM b
-      UNION ALL SELECT DISTINCT path, 4, 'Productgroep|Product|Variëteit|Lengte|Kleur|Kwaliteit|Behandeling|Box type|Stelen/doos|Dozen|Totaal stelen|Prijs per steel|Valuta|Incoterm|Herkomst|Bestemming|Opmerkingen' FROM b)
-    SELECT path, 'Offerte Q-' || path AS sheet, CAST(row AS INT) AS row, md5(cells) AS cells_md5 FROM r"""
+      UNION ALL SELECT DISTINCT path, 4, '__CUSTOMER__' FROM b)
+    SELECT path, 'Offerte Q-' || path AS sheet, CAST(row AS INT) AS row, __CELLS__ FROM r""".replace("__CELLS__", WRITTEN).replace("__CUSTOMER__", "\x1f".join(RP.CUSTOMER_HEADINGS)).replace("__INTERNAL__", "\x1f".join(RP.INTERNAL_HEADINGS))
 )
 def snk_customer_workbook(t):
     """SNK-03, SRC-04, SRC-05: each quote's workbook, written and read back"""
@@ -109,11 +115,11 @@ def snk_customer_workbook(t):
 @query(
     """WITH q AS (SELECT *, CASE WHEN quantity_boxes % 3 = 0 THEN 'YES' END AS conv, CAST(calculated_price * 0.5 AS DECIMAL(12,6)) AS fob, CAST(quantity_boxes * 0.01 AS DECIMAL(12,6)) AS clearing FROM {quote_line}),
     b AS (SELECT CAST(quote_id AS VARCHAR) AS path, *, row_number() OVER (PARTITION BY quote_id ORDER BY line_id) AS n FROM q),
-    r AS (SELECT path, n AS row, concat_ws('|', product_group || ' - ' || variety, farm_id, quantity_boxes, stems_per_box, CAST(stems_per_box AS BIGINT) * quantity_boxes, 'DDP', CAST(fob AS VARCHAR), '0.000000', CAST(clearing AS VARCHAR), '0.020000',
+    r AS (SELECT path, n AS row, concat_ws(chr(31), product_group || ' - ' || variety, farm_id, quantity_boxes, stems_per_box, CAST(stems_per_box AS BIGINT) * quantity_boxes, 'DDP', CAST(fob AS VARCHAR), '0.000000', CAST(clearing AS VARCHAR), '0.020000',
         CAST(greatest(0, CAST(0.25 - clearing - 0.02 AS DECIMAL(18,6))) AS VARCHAR), CAST(fob AS VARCHAR), CASE WHEN conv IS NULL THEN 'USD' ELSE 'EUR' END, CASE WHEN conv IS NULL THEN 'EUR' ELSE 'USD' END, CASE WHEN conv IS NULL THEN '' ELSE '1.25' END,
         CASE WHEN conv IS NULL THEN '' ELSE 'ja' END, CAST(fob AS VARCHAR), '12', CAST(calculated_price AS VARCHAR), coalesce(CAST(manual_price AS VARCHAR), ''), CAST(coalesce(manual_price, calculated_price) AS VARCHAR)) AS cells FROM b
-      UNION ALL SELECT DISTINCT path, 0, 'Product|Leverancier|Dozen|Stelen/doos|Totaal stelen|Incoterm|FOB/steel|Vracht/steel|Clearing & Inspection/steel|Handling/steel|Overige kosten/steel|Kostprijs/steel (bron)|Bronvaluta|Doelvaluta|Wisselkoers|Koers handmatig|Kostprijs/steel (offertevaluta)|Marge %|Berekende verkoopprijs|Handmatige prijs|Definitieve verkoopprijs' FROM b)
-    SELECT path, 'Interne calculatie' AS sheet, CAST(row AS INT) AS row, md5(cells) AS cells_md5 FROM r"""
+      UNION ALL SELECT DISTINCT path, 0, '__INTERNAL__' FROM b)
+    SELECT path, 'Interne calculatie' AS sheet, CAST(row AS INT) AS row, __CELLS__ FROM r""".replace("__CELLS__", WRITTEN).replace("__CUSTOMER__", "\x1f".join(RP.CUSTOMER_HEADINGS)).replace("__INTERNAL__", "\x1f".join(RP.INTERNAL_HEADINGS))
 )
 def snk_internal_workbook(t):
     """SNK-04: the same for the internal sheet, with a rate on a third of the lines"""
@@ -146,6 +152,39 @@ def src_csv_cells(t):
     return cells.select("path", "row", F.md5(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|")).alias("cells_md5"))
 
 
+@query(
+    """SELECT article_id, variety || CASE WHEN article_id % 10 = 1 THEN ';"' || chr(10) || 'x' WHEN article_id % 10 = 2 THEN chr(13) || chr(10) ELSE '' END AS variety, stem_length, CAST(3 AS INT) AS cells FROM {article}"""
+)
+def src_csv_scan(t):
+    """SRC-06: delimited files written to a folder and read in blocks"""
+    k = C("article_id") % 10
+    quoted = F.concat(F.lit('"'), C("variety"), F.when(k == 1, F.lit(';""\nx"')).otherwise(F.lit('\r\n"')))
+    line = F.concat_ws(";", C("article_id").cast("string"), F.when(k.isin(1, 2), quoted).otherwise(C("variety")), F.coalesce("stem_length", F.lit("")))
+    rows = t("article").select(line.alias("value"))
+    folder = SK.shared_folder(rows.sparkSession, "csv")
+    rows.write.option("lineSep", "\r\n").text(folder)
+    found = CSV.read_csv(rows.sparkSession, folder).select("cells")
+    return found.select(F.get("cells", F.lit(0)).cast("long").alias("article_id"), F.get("cells", F.lit(1)).alias("variety"), F.get("cells", F.lit(2)).alias("stem_length"), F.size("cells").alias("cells"))
+
+
+@query(
+    """WITH a AS (SELECT farm_id, row_number() OVER (PARTITION BY farm_id ORDER BY article_id) AS n, * EXCLUDE (farm_id) FROM {article})
+    SELECT farm_id, CAST(n AS INT) AS row, variety, stem_length, CAST(stems_per_box AS INT) AS stems_per_box FROM a"""
+)
+def src_workbook_scan(t):
+    """SRC-04, SRC-05: each farm's workbook written as a file and read by the data source, its filter on the sheet pushed down"""
+    path = C("farm_id").cast("string").alias("path")
+    row = F.row_number().over(Window.partitionBy("farm_id").orderBy("article_id"))
+    cells = F.array("variety", "stem_length", C("stems_per_box").cast("string"))
+    head = t("farm").select(path, F.lit("List").alias("sheet"), F.lit(0).alias("row"), F.array(*map(F.lit, ("Variety", "Length", "Stems"))).alias("cells"))
+    books = head.union(t("article").select(path, F.lit("List").alias("sheet"), row.alias("row"), cells.alias("cells")))
+    folder = SK.shared_folder(books.sparkSession, "workbooks")
+    W.write_workbooks(X.workbooks(books, numbers=[2], bold=[0]), folder)
+    found = W.read_workbooks(books.sparkSession, folder).where((C("sheet") == "List") & (C("row") > 0))
+    farm = F.regexp_extract("path", r"([0-9]+)\.xlsx$", 1).cast("long")
+    return found.select(farm.alias("farm_id"), "row", F.get("cells", F.lit(0)).alias("variety"), F.get("cells", F.lit(1)).alias("stem_length"), F.get("cells", F.lit(2)).cast("int").alias("stems_per_box"))
+
+
 @query(
     """WITH p AS (SELECT quote_id, product_group AS g, line_id, '  - ' || variety || CASE WHEN stem_length IS NULL THEN '' ELSE ' ' || stem_length END || CASE WHEN quantity_boxes % 2 = 0 THEN ' (tinted)' ELSE '' END || ' - ' || CAST(stems_per_box AS VARCHAR)
         || ' stems/' || box_type || ' - €' || CAST(CAST(round(coalesce(manual_price, calculated_price), 2) AS DECIMAL(12,2)) AS VARCHAR) || ' per stem' AS l FROM {quote_line}),

@@ -99,16 +99,12 @@ def flt_review_filters(t):
     return lines.select("line_id", F.explode(passed).alias("n"))
 
 
-@query(
-    """SELECT line_id, row_number() OVER (ORDER BY part_id % 20 = 0 DESC, farm_name, l.part_id % 97, line_id) AS place FROM {line} l JOIN {farm} f ON f.farm_id = l.farm_id
-      QUALIFY place <= 500"""
-)
+@query("SELECT line_id, row_number() OVER (ORDER BY part_id % 20 = 0 DESC, farm_name, l.part_id % 97, line_id) AS place FROM {line} l JOIN {farm} f ON f.farm_id = l.farm_id")
 def srt_wizard_order(t):
-    """SRT-04: the first 500 candidates as the wizard lists them"""
-    c = t("line").join(t("farm").select("farm_id", "farm_name"), "farm_id").select("line_id", "farm_name", (C("part_id") % 20 == 0).alias("preselected"), (C("part_id") % 97).alias("created_at"))
-    first = L.in_wizard_order(c).limit(500)
-    by = [F.desc("preselected"), "farm_name", "created_at", "line_id"]
-    return first.select("line_id", F.row_number().over(L.Window.orderBy(*by)).cast("long").alias("place"))
+    """SRT-04: all candidates as the wizard lists them"""
+    lines = t("line").join(t("farm").select("farm_id", "farm_name"), "farm_id")
+    candidates = lines.select("line_id", "farm_name", (C("part_id") % 20 == 0).alias("preselected"), (C("part_id") % 97).alias("created_at"))
+    return L.in_wizard_order(candidates).select("line_id", "place")
 
 
 @query(

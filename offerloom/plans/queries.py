@@ -238,10 +238,42 @@ def par_range_expand(t):
     return P.expand_length_ranges(lines, tiers, "doc", "line_id").select("line_id", "child_no", "length_cm", "price", F.size("warnings").alias("n_warnings"))
 
 
-@query(None)
+CHUNKS = r"""WITH RECURSIVE listed AS (SELECT -1 - farm_id AS doc_id, 'Offer of ' || farm_id || chr(10) || chr(10) || string_agg(CASE part_id % 7 WHEN 0 THEN upper(substr(raw_text, 8)) WHEN 1 THEN part_id % 90 || ' cm 0.2' WHEN 2 THEN raw_text
+        ELSE raw_text || ' ' || part_id % 90 || 'cm 0.' || quantity END, chr(10) ORDER BY line_id) || chr(10) || 'Thank you' AS text FROM {line} GROUP BY farm_id),
+    texts AS (SELECT doc_id, text FROM {documents} UNION ALL SELECT doc_id, text FROM listed),
+    l AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\r?\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS pos FROM texts WHERE text IS NOT NULL),
+    k AS (SELECT *, strlen(raw) + 1 AS bytes, CASE WHEN CAST(nullif(regexp_extract(raw, '{tier}', 1), '') AS INT) > 0 THEN 'C' WHEN NOT regexp_matches(raw, '[A-Za-z]{{2,}}') THEN 'A'
+      WHEN regexp_matches(raw, '(?i)\d{{1,3}}\s*cm') OR regexp_matches(raw, '\b\d{{2,3}}\s*[-–—]\s*\d{{2,3}}\b') OR regexp_matches(raw, '(?i)\b\d+\s*(?:qb|hb|fb)\b')
+        OR regexp_matches(raw, '(?i)\b(?:qb|hb|fb)\s*[x×*]\s*\d+\b') OR regexp_matches(raw, '\d+[.,]\d{{1,3}}\b') THEN 'B' ELSE 'A' END AS kind FROM l),
+    d AS (SELECT doc_id, any_value(text) AS text, count(*) FILTER (kind = 'B') AS b, min(pos) FILTER (kind = 'B') AS first FROM k GROUP BY doc_id),
+    long AS (SELECT * FROM d WHERE (b > 30 OR strlen(text) > 12000) AND b > 0),
+    body AS (SELECT k.*, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM k JOIN long USING (doc_id) WHERE kind <> 'C' AND pos >= first),
+    fold AS (
+      SELECT doc_id, CAST(0 AS BIGINT) AS i, 0 AS chunk, CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS held FROM long
+      UNION ALL
+      SELECT f.doc_id, b.i, CASE WHEN f.rows >= 22 OR f.held >= 12000 THEN chunk + 1 ELSE chunk END, CASE WHEN f.rows >= 22 OR f.held >= 12000 THEN 0 ELSE f.rows END + CASE WHEN kind = 'B' THEN 1 ELSE 0 END,
+        CASE WHEN f.rows >= 22 OR f.held >= 12000 THEN 0 ELSE f.held END + bytes
+      FROM fold f JOIN body b ON b.doc_id = f.doc_id AND b.i = f.i + 1),
+    e AS (SELECT doc_id, max(chunk) AS last, arg_max(rows, i) AS rows, arg_max(held, i) AS held FROM fold GROUP BY doc_id),
+    c AS (SELECT b.doc_id, b.i, b.raw, b.kind, CASE WHEN f.chunk = e.last AND e.rows = 0 AND e.held < 12000 AND f.chunk > 0 THEN f.chunk - 1 ELSE f.chunk END AS chunk FROM body b JOIN fold f USING (doc_id, i) JOIN e USING (doc_id)),
+    h AS (SELECT long.doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos), '') AS header FROM long LEFT JOIN k ON k.doc_id = long.doc_id AND kind <> 'C' AND pos < first GROUP BY long.doc_id)
+    SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(max(chunk) OVER (PARTITION BY doc_id) + 1 AS INT) AS total, CAST(n AS INT) AS product_rows, body_md5, md5(header) AS header_md5
+    FROM (SELECT doc_id, chunk, count(*) FILTER (kind = 'B') AS n, md5(string_agg(raw, chr(10) ORDER BY i)) AS body_md5 FROM c GROUP BY doc_id, chunk) JOIN h USING (doc_id)
+    UNION ALL SELECT doc_id, 0, 1, CAST(b AS INT), md5(text), md5('') FROM d WHERE doc_id NOT IN (SELECT doc_id FROM long)"""
+
+
+@query(CHUNKS.replace("{tier}", r"(?i)^\s*(\d{1,3})\s*cm\b\s*[:=]?\s*[$€]?\s*(\d+(?:[.,]\d+)?)\s*(?:usd|eur|\$|€)?\s*$").replace("{{", "{").replace("}}", "}"))
 def par_chunks(t):
-    """PAR-20: both bounds restart with each chunk; tested against a fold"""
-    return P.chunk_offers(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", "chunk", "total", "product_rows", F.md5("body").alias("body_md5"), F.md5("header").alias("header_md5"))
+    """PAR-20: documents, and the lines of each farm as one long list"""
+    k = C("part_id") % 7
+    length = (C("part_id") % 90).cast("string")
+    priced = F.concat(C("raw_text"), F.lit(" "), length, F.lit("cm 0."), C("quantity").cast("string"))
+    line = F.when(k == 0, F.upper(F.substring("raw_text", 8, 1000))).when(k == 1, F.concat(length, F.lit(" cm 0.2"))).when(k == 2, C("raw_text")).otherwise(priced)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", line.alias("l")))), lambda x: x["l"]), "\n")
+    listed = t("line").groupBy("farm_id").agg(body.alias("body"))
+    listed = listed.select((-1 - C("farm_id")).alias("doc_id"), F.concat(F.lit("Offer of "), C("farm_id").cast("string"), F.lit("\n\n"), "body", F.lit("\nThank you")).alias("text"))
+    chunks = P.chunk_offers(t("documents").select("doc_id", "text").unionByName(listed), "doc_id")
+    return chunks.select("doc_id", "chunk", "total", "product_rows", F.md5("body").alias("body_md5"), F.md5("header").alias("header_md5"))
 
 
 @query(
@@ -447,7 +479,7 @@ def agg_quote_totals(t):
         CASE WHEN length(raw_text) % 7 = 0 THEN 'LOW_CONFIDENCE' END,
         CASE WHEN part_id % 5 = 1 THEN 'NOT_LINKED' END,
         CASE WHEN quantity > 14 THEN 'STALE_RATE' END,
-        CASE WHEN box_weight < 0.5 OR box_weight > 10 * 3 THEN 'UNUSUAL_WEIGHT' END,
+        CASE WHEN box_weight < 0.5 OR box_weight > 30 THEN 'UNUSUAL_WEIGHT' END,
         CASE WHEN part_id % 40 = 0 THEN 'MANUAL_PRICE' END,
         CASE WHEN price < 0.05 OR price > 20 THEN 'UNUSUAL_SELL_PRICE' END], lambda q: q IS NOT NULL), ',') AS warnings
       FROM (SELECT l.*, a.box_weight * (part_id % 5) AS box_weight, fob * CASE WHEN part_id % 40 = 0 THEN 30 ELSE 1 END AS price
@@ -489,7 +521,7 @@ def val_quantity_resolution(t):
 
 @query(f"WITH {GATED}, h AS (SELECT *, CASE WHEN offer_status <> 'REVIEWED' THEN 'OFFER_NOT_REVIEWED' WHEN match_status = 'AMBIGUOUS' THEN 'LINE_NOT_MATCHED' ELSE nullif({QUANTITY}, 'OK') END AS code FROM g) SELECT line_id, code, bool_and(code IS NULL) OVER (PARTITION BY offer_id) AS accepted FROM h")
 def val_gating(t):
-    """VAL-05, VAL-07, FLT-04"""
+    """VAL-07, FLT-04"""
     c = {"exists": F.lit(True), "offer_status": C("offer_status"), "match_status": C("match_status"), "article": C("own_article"), "line_farm": C("farm_id"), "article_farm": C("article_farm"), "price": C("fob"), "currency": C("currency"), "packaging_ok": C("stems_per_box") > 0, "quantity": C("resolved")}
     return Q.all_or_nothing(_gated(t).withColumn("code", Q.gating_code(c)), "offer_id").select("line_id", "code", "accepted")
 
@@ -552,7 +584,7 @@ def srt_page(t):
 
 @query(f"SELECT route_id, tariff_id FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN effective_from <= TIMESTAMP '{AS_OF}' AND (effective_to IS NULL OR effective_to >= TIMESTAMP '{AS_OF}') THEN 0 ELSE 1 END, effective_from DESC, updated_at DESC, tariff_id DESC) AS n FROM {{tariff}}) WHERE n = 1")
 def win_current_tariff(t):
-    """WIN-01, WIN-02"""
+    """WIN-01"""
     return R.current_tariffs(t("tariff"), AS_OF).select("route_id", "tariff_id")
 
 

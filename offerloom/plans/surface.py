@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import enrich as E
 from ..operators import maintain as M
 from ..operators import match as MA
+from ..operators import names as NM
 from ..operators import parse as P
 from ..operators import quotes as Q
 from ..operators import relational as R
@@ -25,7 +26,7 @@ from .queries import MAPPINGS, MATCH, C, _mappings, query, sql_key
     lpad(CAST(article_id % 6000 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(article_id % 60 AS VARCHAR), 2, '0') AS elapsed FROM {article}"""
 )
 def str_labels(t):
-    """STR-13, STR-20, STR-23, STR-28, STR-29"""
+    """STR-13, STR-20, STR-23, STR-28, STR-29 (elapsed)"""
     i = C("article_id")
     name = F.when(i % 3 == 0, " Roses ").when(i % 3 == 1, None).otherwise(C("product_name"))
     source = F.when(i % 4 == 0, " ").when(i % 4 == 1, "(handmatig ingevoerd)").otherwise("text")
@@ -135,7 +136,7 @@ def tab_known_rows(t):
     """SELECT path, CAST(row_index AS INT) AS row_index, CASE WHEN row_index % 3 <> 0 THEN 'G' || CAST(row_index AS VARCHAR) END AS read_group, row_index % 3 = 0 AS unread FROM (SELECT CAST(farm_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY farm_id ORDER BY article_id) AS row_index FROM {article} WHERE variant_id % 6 <> 0)"""
 )
 def tab_merge_descriptions(t):
-    """PAR-17, PAR-18, JON-08"""
+    """PAR-17 (tags), PAR-18, JON-08"""
     g = _grid(t)
     rows = TB.known_rows(g, TB.regions(g))
     n = C("row_index").cast("string")
@@ -190,7 +191,7 @@ def jon_match_farms(t):
     """JON-18"""
     name = F.concat(F.lit("SUPPLIER "), F.lpad((C("customer_id") % 40).cast("string"), 9, "0"), F.when(C("customer_id") % 3 == 0, " Roses").otherwise(" S.A."))
     farms = t("farm").select("farm_id", "farm_name", C("farm_id").alias("position"))
-    return MA.match_farms(t("buyer").select(C("customer_id").alias("name_id"), name.alias("name")), farms).select("name_id", "farm_id")
+    return NM.match_farms(t("buyer").select(C("customer_id").alias("name_id"), name.alias("name")), farms).select("name_id", "farm_id")
 
 
 @query(
@@ -200,7 +201,7 @@ def jon_match_farms(t):
 )
 def jon_suggest_names(t):
     """JON-19, SRT-07"""
-    return MA.suggest_names(t("part").select(C("p_partkey").alias("name_id"), C("p_name").alias("name")), t("nation").select(C("n_nationkey").alias("known_id"), C("n_name").alias("known_name")), least=0.2)
+    return NM.suggest_names(t("part").select(C("p_partkey").alias("name_id"), C("p_name").alias("name")), t("nation").select(C("n_nationkey").alias("known_id"), C("n_name").alias("known_name")), least=0.2)
 
 
 @query("SELECT quote_id, string_agg(DISTINCT CAST(farm_id AS VARCHAR), ',' ORDER BY CAST(farm_id AS VARCHAR)) AS suppliers, count(DISTINCT farm_id) AS n FROM {quote_line} GROUP BY quote_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from array import array
 from collections.abc import Iterator
 from itertools import groupby, islice
 from xml.etree import ElementTree
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-#: Uncompressed bytes of one part of a workbook that are read at most: beyond it the file is refused.
-MOST_BYTES = 256 << 20
+#: Uncompressed bytes of a small part (lists of sheets, relations, tables) that are read at most: beyond it the file is refused.
+MOST_BYTES = 16 << 20
 
 
 def _xml(book: zipfile.ZipFile, name: str):
@@ -25,6 +26,36 @@ def _xml(book: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(book.read(name))
 
 
+def _pulled(book: zipfile.ZipFile, name: str, tag: str):
+    """The elements of a tag in a part of any size, as they come; what was read goes before the next is parsed."""
+    with book.open(name) as part:
+        events = ElementTree.iterparse(part, events=("start", "end"))
+        above: list = []
+        for event, element in events:
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == tag:
+                yield element
+                if above:
+                    above[-1].clear()
+
+
+class SharedStrings:
+    """A workbook's shared strings as UTF-8 bytes with a table of offsets: a few bytes more than the text itself."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.data, self.ends = bytearray(), array("Q", [0])
+        if "xl/sharedStrings.xml" in book.namelist():
+            for s in _pulled(book, "xl/sharedStrings.xml", f"{_MAIN}si"):
+                self.data += "".join(t.text or "" for t in s.iter(f"{_MAIN}t")).encode()
+                self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        return self.data[self.ends[i] : self.ends[i + 1]].decode()
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
@@ -32,7 +63,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _value(cell, shared: list[str]) -> str | None:
+def _value(cell, shared: SharedStrings) -> str | None:
     """What a cell shows: a formula's stored result, rich text joined, a link's text; errors and formulas without a result are empty."""
     kind = cell.get("t", "n")
     if kind == "inlineStr":
@@ -47,42 +78,54 @@ def _value(cell, shared: list[str]) -> str | None:
     return v.text
 
 
+def book_sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of the sheets, in order."""
+    targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
+    found = ((sheet.get("name"), targets[sheet.get(f"{_REL}id")]) for sheet in _xml(book, "xl/workbook.xml").iter(f"{_MAIN}sheet"))
+    return [(name, target.lstrip("/") if target.startswith("/") else f"xl/{target}") for name, target in found]
+
+
+def sheet_rows(book: zipfile.ZipFile, part: str, shared: SharedStrings) -> Iterator[tuple[int, list[str | None]]]:
+    """(row from 0, cells) of a sheet, one row at a time; rows that the sheet leaves out are empty."""
+    expected = 0
+    for row in _pulled(book, part, f"{_MAIN}row"):
+        at = int(row.get("r", expected + 1)) - 1
+        for empty in range(expected, at):
+            yield empty, []
+        cells: list[str | None] = []
+        for cell in row.findall(f"{_MAIN}c"):
+            i = _column(cell.get("r")) if cell.get("r") else len(cells)
+            cells += [None] * (i + 1 - len(cells))
+            cells[i] = _value(cell, shared)
+        yield at, cells
+        expected = at + 1
+
+
 def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row from 0, cells) of every sheet; rows that a sheet leaves out are empty."""
+    """(sheet, row from 0, cells) of every sheet."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in _xml(book, "xl/sharedStrings.xml").findall(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
-        for sheet in _xml(book, "xl/workbook.xml").iter(f"{_MAIN}sheet"):
-            target = targets[sheet.get(f"{_REL}id")]
-            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            expected = 0
-            for row in _xml(book, path).iter(f"{_MAIN}row"):
-                at = int(row.get("r", expected + 1)) - 1
-                for empty in range(expected, at):
-                    yield sheet.get("name"), empty, []
-                cells: list[str | None] = []
-                for cell in row.findall(f"{_MAIN}c"):
-                    i = _column(cell.get("r")) if cell.get("r") else len(cells)
-                    cells += [None] * (i + 1 - len(cells))
-                    cells[i] = _value(cell, shared)
-                yield sheet.get("name"), at, cells
-                expected = at + 1
+        shared = SharedStrings(book)
+        for name, part in book_sheets(book):
+            for at, cells in sheet_rows(book, part, shared):
+                yield name, at, cells
+
+
+def book_tables(book: zipfile.ZipFile, name: str, part: str) -> Iterator[tuple[str, str, str]]:
+    """(sheet, name, range) of the named tables of one sheet."""
+    folder, _, file = part.rpartition("/")
+    rels = f"{folder}/_rels/{file}.rels"
+    if rels in book.namelist():
+        for r in _xml(book, rels):
+            if r.get("Type", "").endswith("/table"):
+                t = _xml(book, "xl/" + r.get("Target").removeprefix("../").removeprefix("/xl/"))
+                yield name, t.get("name"), t.get("ref")
 
 
 def workbook_tables(data: bytes) -> Iterator[tuple[str, str, str]]:
     """(sheet, name, range) of the named tables."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
-        for sheet in _xml(book, "xl/workbook.xml").iter(f"{_MAIN}sheet"):
-            part = targets[sheet.get(f"{_REL}id")].split("/")[-1]
-            rels = f"xl/worksheets/_rels/{part}.rels"
-            if rels in names:
-                for r in _xml(book, rels):
-                    if r.get("Type", "").endswith("/table"):
-                        t = _xml(book, "xl/" + r.get("Target").removeprefix("../").removeprefix("/xl/"))
-                        yield sheet.get("name"), t.get("name"), t.get("ref")
+        for name, part in book_sheets(book):
+            yield from book_tables(book, name, part)
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def test_chunks(spark):
         lines = ["Offer of today", "Prices below"]
         for i in range(random.choice([5, 40, 120])):
             lines.append(random.choice([f"Freedom {40 + i % 5 * 10}cm 0.{i % 90 + 10}", "ROSES", "some note with words only here", f"{i % 9 * 10 + 10} cm 0.2", "y" * random.choice([3, 4000]) + " 5.20"]))
+        lines += [["closing words"] * 3, ["z" * 5000] * 7, []][d % 3]
         docs.append((d, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc int, text string")
     kinds = {(r["doc"], r["line_no"]): r["kind"] for r in P.numbered_lines(df).withColumn("kind", P.line_class(F.col("line"))).collect()}
@@ -103,6 +104,12 @@ def test_chunks(spark):
             assert got[d][i]["header"] == "\n".join(x for _, x in rest[:first]) and got[d][i]["price_lines"] == "\n".join(x for k, x in lines if k == "C")
 
 
+def test_chunks_of_a_very_long_text(spark):
+    text = "\n".join(f"Freedom {40 + i % 5 * 10}cm 0.{i % 90 + 10}" for i in range(100_000))
+    got = P.chunk_offers(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string"), "doc").groupBy("doc").agg(F.count("*").alias("n"), F.sum("product_rows").alias("rows"), F.max("total").alias("total")).collect()
+    assert sorted(map(tuple, got)) == [(1, 4546, 100_000, 4546), (3, 1, 0, 1)]
+
+
 def test_pastes(spark):
     rows = [("Leverancier\tInkoop",), ("Farm A\tRosa Spray Pink\t60\t\t40\t8.5",), ("Farm B,Rosa Red,,HB,x,8",), ("Farm C,Rosa Red,,HB,50,8",), ("too,few",)]
     got = P.assortment_paste(spark.createDataFrame(rows, "line string")).collect()

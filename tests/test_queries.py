@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from offerloom.plans import queries as Q
-from offerloom.plans import exchange, listed, surface  # noqa: F401
+from offerloom.plans import exchange, listed, selected, surface  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")

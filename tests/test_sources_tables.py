@@ -1,10 +1,12 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators import tables as TB
+from offerloom.sources import delimited as CSV
 from offerloom.sources import files as FI
 from offerloom.sources import xlsx as X
 from offerloom.streaming import offers as ST
@@ -38,11 +40,40 @@ def test_csv_cells(spark):
 
 def test_csv_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Product;FOB\nRose;0,45\n")
-    got = FI.read_csv(spark, f"file://{tmp_path}/a.csv").orderBy("row").collect()
-    assert [r["cells"] for r in got][:2] == [["Product", "FOB"], ["Rose", "0,45"]]
+    got = CSV.read_csv(spark, f"file://{tmp_path}/a.csv").orderBy("row").collect()
+    assert [r["cells"] for r in got] == [["Product", "FOB"], ["Rose", "0,45"]]
     (tmp_path / "b.csv").write_text('Product;"FOB\n')
-    with pytest.raises(ValueError, match="quote"):
-        FI.read_csv(spark, f"file://{tmp_path}/b.csv")
+    with pytest.raises(ValueError, match="b.csv: a quote"):
+        CSV.read_csv(spark, f"file://{tmp_path}")
+    (tmp_path / "b.csv").write_text('')
+    (tmp_path / "c.csv").write_text('\n\nx,"y;z"\n')
+    by = {}
+    for r in CSV.read_csv(spark, f"file://{tmp_path}").orderBy("row").collect():
+        by.setdefault(r["path"][-5:], []).append(r["cells"])
+    assert by == {"a.csv": [["Product", "FOB"], ["Rose", "0,45"]], "c.csv": [[None], [None], ["x", "y;z"]]}  # each file has its own separator
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_blocks(spark, tmp_path, block, end):
+    """One quoted file over many tasks equals the reader of whole texts; borders fall into quoted line ends, doubled quotes and cells."""
+    cells = ["plain", "", '"a;b"', f'"two{end}lines"', '"say ""hi"""', f'"{end}{end}"', "x" * 30, '""', f'"""{end}"""', '5" pot']
+    rows = [";".join(cells[zlib.crc32(f"{i}/{j}".encode()) % len(cells)] for j in range(1 + i % 4)) for i in range(150)]
+    text = "\ufeffA;B;C" + end + end.join(rows)
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    keys = {"spark.sql.files.maxPartitionBytes": str(block), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        df = CSV.read_csv(spark, f"file://{tmp_path}/a.csv")
+        assert df.rdd.getNumPartitions() >= len(text) // block // 2
+        got = sorted((r["row"], r["cells"]) for r in df.collect())
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    whole = spark.createDataFrame([("p", "CSV", text)], "path string, sheet string, text string")
+    assert [c for _, c in got] == [r["cells"] for r in FI.sheet_cells(whole, ";").orderBy("row").collect()]
+    assert [r for r, _ in got] == list(range(len(got)))
 
 
 def workbook(rows):
