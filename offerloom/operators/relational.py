@@ -39,12 +39,66 @@ def search_assortment(articles: DataFrame, *, farm_id=None, product_id=None, box
     return search(articles, equal={"farm_id": farm_id, "product_id": product_id, "box_type": box_type, "box_weight": box_weight}, like={"variety": variety, "stem_length": length}, q=q, q_columns=tuple(c for c in ASSORTMENT_Q if c in articles.columns))
 
 
-def page(df: DataFrame, order: list, number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page of a stable order. A page beyond the last one is the first; an unknown size is the default. The count is one job before it."""
+#: Rows up to the end of a page that are found by one top-k; deeper pages are found by ranges.
+SHALLOW = 10_000
+#: Ranges of a histogram, and rows of the sample that its bounds are taken from.
+RANGES, SAMPLE = 128, 20_000
+
+
+def _ordered(order: list[str]) -> list[Column]:
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+
+
+def _one_range(df: DataFrame, order: list[str], skip: int, rows: int, n: int) -> tuple[DataFrame, int]:
+    """(the rows of df that hold rows skip .. skip + rows of its order, how many rows stand before them): by a histogram of the first key, and within one heavy value by the next key."""
+    name, falling = order[0].lstrip("-"), order[0].startswith("-")
+    c = F.col(name)
+    share = min(1.0, SAMPLE / max(n, 1))
+    some = df.select(c).where(c.isNotNull()).sample(share, 1).distinct().orderBy(c).limit(2 * SAMPLE).collect()
+    values = [r[0] for r in some[:: max(1, len(some) // RANGES)]]
+    # number of a row's range: 0 for null, then how many bounds it has reached
+    bounds = F.array(*map(F.lit, values)) if values else None
+    number = F.when(c.isNull(), 0).otherwise(1 + (F.size(F.filter(bounds, lambda b: b <= c)) if values else F.lit(0)))
+    counts = {r["r"]: r["n"] for r in df.groupBy(number.alias("r")).agg(F.count("*").alias("n")).collect()}
+    before, chosen = 0, []
+    for r in sorted(counts, reverse=falling):
+        if before + counts[r] > skip and (not chosen or before < skip + rows):
+            chosen.append((r, before))
+        before += counts[r]
+    if not chosen:
+        return df.limit(0), 0
+    hit = F.lit(False)
+    for r, _ in chosen:
+        if r == 0:
+            hit = hit | c.isNull()
+            continue
+        inside = c.isNotNull()
+        inside = inside & (c >= F.lit(values[r - 2])) if r > 1 else inside
+        inside = inside & (c < F.lit(values[r - 1])) if r <= len(values) else inside
+        hit = hit | inside
+    part, ahead = df.where(hit), chosen[0][1]
+    size = sum(counts[r] for r, _ in chosen)
+    if len(order) > 1 and size > SHALLOW and size > 4 * n / RANGES and part.select(c).distinct().limit(2).count() == 1:
+        inner, more = _one_range(part, order[1:], skip - ahead, rows, size)
+        return inner, ahead + more
+    return part, ahead
+
+
+def page(df: DataFrame, order: list[str], number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """One page of a stable order: column names, falling with a minus before them. A page beyond the last one is the first; an unknown size is the default.
+
+    A page near the top is a top-k. Of a deep one, exact counts of the ranges of a histogram tell which range holds it, and only the rows of that
+    range, which the filter on the first key leaves of the scan, are sorted. Ties of the whole order are not told apart.
+    """
     size = size if size in PAGE_SIZES else DEFAULT_PAGE_SIZE
-    pages = max(1, -(-df.count() // size))
+    n = df.count()
+    pages = max(1, -(-n // size))
     number = number if 1 <= number <= pages else 1
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    skip = (number - 1) * size
+    if skip + size <= SHALLOW:
+        return df.orderBy(*_ordered(order)).offset(skip).limit(size)
+    part, ahead = _one_range(df, order, skip, size, n)
+    return part.orderBy(*_ordered(order)).offset(skip - ahead).limit(size)
 
 
 def in_global_order(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -224,13 +224,13 @@ def tab_named_tables(t):
     FROM (SELECT DISTINCT o_orderkey FROM {orders}) q LEFT JOIN {line} l ON l.offer_id = q.o_orderkey GROUP BY q.o_orderkey"""
 )
 def snk_written_together(t):
-    """SNK-01, SNK-02: quotes and their lines in two batches, read back; what no batch lists is not read"""
+    """SNK-01, SNK-02: quotes and their lines in two batches, one of them retried, read back; what no batch lists is not read"""
     quotes = t("orders").select(C("o_orderkey").alias("quote_id")).distinct()
     lines = t("line").select(C("offer_id").alias("quote_id"), "line_id", "quantity")
     spark = quotes.sparkSession
     folder = SK.shared_folder(spark, "batches")
-    for side in (0, 1):
-        SK.write_together(folder, quotes=quotes.where(C("quote_id") % 2 == side), lines=lines.where(C("quote_id") % 2 == side))
+    for side in (0, 1, 1):  # the last one again, as a retried driver would
+        SK.write_together(folder, key=f"side {side}", quotes=quotes.where(C("quote_id") % 2 == side), lines=lines.where(C("quote_id") % 2 == side))
     quotes.where("quote_id % 7 = 0").write.parquet(f"{folder}/quotes/{'0' * 32}")
     q, rows = SK.read_together(spark, folder, "quotes"), SK.read_together(spark, folder, "lines")
     each = rows.groupBy("batch", "quote_id").agg(F.count("line_id").alias("n"), F.sum("quantity").alias("q"))

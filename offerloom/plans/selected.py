@@ -11,6 +11,7 @@ from ..operators import quotes as Q
 from ..operators import relational as R
 from ..operators import tables as TB
 from ..sources import files as FI
+from ..sources import mails as ML
 from .queries import AS_OF, C, query, sql_key
 from .surface import _grid
 
@@ -111,3 +112,27 @@ def jon_similar_varieties(t):
     name = F.when(k == 0, F.concat("p_name", F.lit(" "), F.left("p_type", F.lit(3)))).when(k == 1, F.substring("p_name", 2, 1000)).when(k == 2, F.replace("p_name", F.lit("e"), F.lit("ee"))).otherwise(F.reverse("p_name"))
     known = t("part").groupBy(C("p_name").alias("known_name")).agg(F.min("p_partkey").alias("known_id"))
     return NM.suggest_names(t("part").select(C("p_partkey").alias("name_id"), name.alias("name")), known)
+
+
+@query(
+    """WITH n AS (SELECT line_id, fob, row_number() OVER (ORDER BY fob DESC, line_id) AS n, count(*) OVER () AS all_rows FROM {line}),
+      k AS (SELECT *, CASE WHEN 2000 <= (all_rows + 24) // 25 THEN 49975 ELSE 0 END AS skip FROM n) SELECT line_id, CAST(fob AS DOUBLE) AS fob FROM k WHERE n > skip AND n <= skip + 25"""
+)
+def srt_deep_page(t):
+    """SRT-01: page 2,000 of 25, found by a histogram of the order's first key"""
+    return R.page(t("line").select("line_id", "fob"), ["-fob", "line_id"], 2000, 25).select("line_id", C("fob").cast("double").alias("fob"))
+
+
+@query(
+    """SELECT doc_id, md5(trim(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), ' ' || chr(10))) AS text_md5 FROM {documents}"""
+)
+def src_mail_bodies(t):
+    """SRC-09: documents as nested mails, their text in base64 of two character sets or as it is"""
+    text, k = F.coalesce("text", F.lit("")), C("doc_id") % 3
+    wrapped = lambda charset: F.base64(F.encode(text, charset))
+    head = F.when(k == 0, "utf-8\nContent-Transfer-Encoding: base64").when(k == 1, "utf-16\nContent-Transfer-Encoding: BASE64").otherwise("utf-8\nContent-Transfer-Encoding: 8bit")
+    body = F.when(k == 0, wrapped("UTF-8")).when(k == 1, wrapped("UTF-16")).otherwise(text)
+    start = 'Subject: an offer\nContent-Type: multipart/mixed; boundary="outer"\n\n--outer\nContent-Type: text/plain\nContent-Disposition: attachment; filename="a.txt"\n\nattached\n'
+    inner = '--outer\nContent-Type: multipart/alternative; boundary="outer-1"\n\n--outer-1\nContent-Type: text/html\n\n<p>no</p>\n--outer-1\nContent-Type: text/plain; charset='
+    mail = F.concat(F.lit(start), F.lit(inner), head, F.lit("\n\n"), body, F.lit("\n--outer-1--\n--outer--\n"))
+    return t("documents").select("doc_id", F.md5(F.trim(ML.mail_text(mail), F.lit(" \n"))).alias("text_md5"))

@@ -17,6 +17,7 @@ from ..operators import relational as R
 from ..operators import reports as RP
 from ..operators import tables as TB
 from ..sources import files as FI
+from ..sources import mails as ML
 from .queries import MAPPINGS, MATCH, C, _mappings, query, sql_key
 
 
@@ -81,7 +82,7 @@ def src_mail_text(t):
     i = C("page_id")
     mail = F.when(i % 2 == 0, F.concat(F.lit("From: a\r\nContent-Type: multipart/x; boundary=\"bb\"\r\n\r\n--bb\r\nContent-Type: text/plain\r\n\r\nplain "), C("url"), F.lit("\r\n--bb--"))).otherwise(F.concat(F.lit("Subject: x\n\n<html><p>"), C("url"), F.lit("</p></html>")))
     code = FI.upload_code(F.when(i % 5 != 0, i), F.when(i % 5 == 2, 1).when(i % 5 == 3, FI.UPLOAD_BYTES + 1).when(i % 5 == 4, 5), F.when(i % 5 == 2, "text"))
-    return t("pages").select("page_id", "url", T.trimmed(FI.mail_text(mail)).alias("text"), FI.delimiter(F.when(i % 3 == 0, "\na;b;\"x,y,z\"").otherwise("a,b;c,d")).alias("delimiter"), code.alias("code"))
+    return t("pages").select("page_id", "url", T.trimmed(ML.mail_text(mail)).alias("text"), FI.delimiter(F.when(i % 3 == 0, "\na;b;\"x,y,z\"").otherwise("a,b;c,d")).alias("delimiter"), code.alias("code"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.parse import offer_lines, parse_offer_line
-from ..sources.files import mail_text
+from ..sources.mails import mail_text
 
 
 def incoming(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,6 @@
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 from pyspark.sql import functions as F
 
 from offerloom.functions import arrays as A
@@ -50,6 +53,27 @@ def test_batches_that_are_not_listed_stay_unseen(spark, tmp_path):
     assert SK.read_together(spark, folder, "b").count() == 1
 
 
+def test_a_batch_with_a_key_is_written_once(spark, tmp_path):
+    """Two writers race with one key, and a third comes later: one batch, no folders left of the others, and only listed files are read."""
+    folder = f"file://{tmp_path}"
+    with ThreadPoolExecutor(2) as pool:
+        made = list(pool.map(lambda n: SK.write_together(folder, key="day 1", a=spark.range(n * 100, n * 100 + 5)), range(2)))
+    assert made[0] == made[1] == SK.write_together(folder, key="day 1", a=spark.range(900, 905))
+    SK.write_together(folder, key="day 2", a=spark.range(50, 52))
+    got = SK.read_together(spark, folder, "a")
+    assert got.count() == 7 and got.where("id < 900").select("batch").distinct().count() == 2
+    assert len(list((tmp_path / "a").iterdir())) == 2 and len(SK.batches(spark, folder)) == 2
+    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) == 2
+    with pytest.raises(ValueError, match="no batch"):
+        SK.read_together(spark, folder, "missing")
+
+
+def test_one_of_many_puts_a_file(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: SK.put_if_absent(spark, f"{tmp_path}/m/x.json", str(n) * 1000), range(8)))
+    assert sum(won) == 1 and (tmp_path / "m" / "x.json").read_text() == str(won.index(True)) * 1000 and len(list((tmp_path / "m").iterdir())) == 1
+
+
 def test_a_grade_goes_where_it_stands_alone(spark):
     df = spark.createDataFrame([("5QB 40 Rose selected SELECT red select $1",), ("5QB 40 Rose xselect $1",)], "text string")
     a, b = P.parse_offer_line(df, "text").collect()

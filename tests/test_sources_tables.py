@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import tables as TB
 from offerloom.sources import delimited as CSV
 from offerloom.sources import files as FI
+from offerloom.sources import mails as ML
 from offerloom.sources import xlsx as X
 from offerloom.streaming import offers as ST
 
@@ -18,11 +19,25 @@ def of(spark, value, build):
 
 def test_mails(spark):
     multi = 'From: a@b\r\nContent-Type: multipart/alternative; boundary="B1"\r\n\r\n--B1\r\nContent-Type: text/html\r\n\r\n<p>no</p>\r\n--B1\r\nContent-Type: text/plain\r\n\r\nRoses $1\r\n\r\nBye\r\n--B1--'
-    assert of(spark, multi, FI.mail_text).split() == ["Roses", "$1", "Bye"]
+    assert of(spark, multi, ML.mail_text).split() == ["Roses", "$1", "Bye"]
     html = "Subject: x\n\n<html><style>p{}</style><body>Rose<br>Pink &amp; red</body></html>"
-    assert of(spark, html, FI.mail_text).split() == ["Rose", "Pink", "&", "red"]
-    assert of(spark, "no headers\n\nhere", FI.mail_text) == "no headers\n\nhere"
-    assert of(spark, "To: x\n\nplain body", FI.mail_text).strip() == "plain body"
+    assert of(spark, html, ML.mail_text).split() == ["Rose", "Pink", "&", "red"]
+    assert of(spark, "no headers\n\nhere", ML.mail_text) == "no headers\n\nhere"
+    assert of(spark, "To: x\n\nplain body", ML.mail_text).strip() == "plain body"
+
+
+def test_nested_and_encoded_mails(spark):
+    inner = "--in\nContent-Type: text/html\n\n<p>no</p>\n--in\nContent-Type: text/plain; charset={}\nContent-Transfer-Encoding: {}\n\n{}\n--in--\n"
+    nested = 'From: a@b\nContent-Type: multipart/mixed; boundary="out"\n\n--out\nContent-Type: text/plain\nContent-Disposition: attachment\n\nfile\n--out\nContent-Type: multipart/alternative; boundary=in\n\n' + inner + "--out--\n"
+    said = lambda *parts: of(spark, nested.format(*parts), ML.mail_text).strip()
+    assert said("iso-8859-1", "quoted-printable", "Crème=20br=FBl=E9e=\n 5=2C0") == "Crème br\xfbl\xe9e 5,0"
+    assert said("utf-8", "Base64", "w6kg4oKsIDE=") == "é € 1" and said("no-such-set", "base64", "w6k=") == "é"
+    assert said("utf-8", "8bit", "é stays") == "é stays" and said("utf-8", "base64", "%%%") is not None
+    only_html = "Subject: x\nContent-Type: multipart/related; boundary=q\n\n--q\nContent-Type: text/html\nContent-Transfer-Encoding: quoted-printable\n\n<div>a=3Db</div>\n--q--"
+    assert of(spark, only_html, ML.mail_text).strip() == "a=b"
+    assert of(spark, "Fwd\nFrom: x\n\nbody here", ML.mail_text).strip() == "body here"
+    assert of(spark, "Content-Type: multipart/mixed; boundary=none\n\nno parts", ML.mail_text).strip() == "no parts"
+    assert of(spark, "", ML.mail_text) == "" and of(spark, None, ML.mail_text) is None
 
 
 @pytest.mark.parametrize("text,want", [("a,b;c", ","), ("a;b;c", ";"), ('"a;b;c",d', ","), ("\n\nx;y", ";"), ("", ","), ("﻿a;b", ";")])
