@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -10,8 +13,11 @@ from ..operators import names as NM
 from ..operators import quotes as Q
 from ..operators import relational as R
 from ..operators import tables as TB
+from ..operators import textindex as TX
 from ..sources import files as FI
 from ..sources import mails as ML
+from ..sources import sinks as SK
+from ..sources import versioned as V
 from .queries import AS_OF, C, query, sql_key
 from .surface import _grid
 
@@ -136,3 +142,36 @@ def src_mail_bodies(t):
     inner = '--outer\nContent-Type: multipart/alternative; boundary="outer-1"\n\n--outer-1\nContent-Type: text/html\n\n<p>no</p>\n--outer-1\nContent-Type: text/plain; charset='
     mail = F.concat(F.lit(start), F.lit(inner), head, F.lit("\n\n"), body, F.lit("\n--outer-1--\n--outer--\n"))
     return t("documents").select("doc_id", F.md5(F.trim(ML.mail_text(mail), F.lit(" \n"))).alias("text_md5"))
+
+
+PATTERNS = ("bolt", "all r", "ED WIDG", "b", "n g", "garden blue", "brand#1", " ", "no such text")
+
+
+@query(
+    f"""SELECT p AS pattern, article_id FROM {{article}}, (SELECT unnest([{", ".join(f"'{p}'" for p in PATTERNS if p.strip())}]) AS p)
+    WHERE contains(lower(variety), lower(p)) OR contains(lower(product_name), lower(p)) OR contains(lower(color), lower(p))
+    UNION ALL SELECT ' ', article_id FROM {{article}}"""
+)
+def flt_indexed_search(t):
+    """FLT-01, FLT-06 to FLT-11: texts of one to twelve characters in an index of trigrams; the shortest by the rows themselves"""
+    rows = t("article").select("article_id", "variety", "product_name", "color")
+    index = TX.build(rows, "article_id", ("variety", "product_name", "color"))
+    found = [index.search(rows, p).select(F.lit(p).alias("pattern"), "article_id") for p in PATTERNS]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query(
+    """WITH c AS (SELECT tariff_id, route_id, CAST(CASE WHEN tariff_id % 7 = 0 THEN rate * 2 ELSE rate END AS DECIMAL(11,4)) AS rate, rate_unit FROM {tariff} WHERE tariff_id % 5 <> 0
+        UNION ALL SELECT tariff_id + 10000000, route_id, CAST(rate AS DECIMAL(11,4)), 'PER_BOX' FROM {tariff} WHERE tariff_id % 11 = 0)
+    SELECT tariff_id, route_id, CAST(rate AS DOUBLE) AS rate, rate_unit FROM c"""
+)
+def dml_changed_table(t):
+    """DML-02, DML-04, DML-10 as writes: rates changed, added and deleted in a table of buckets, of which only the touched ones are rewritten"""
+    rows = t("tariff").select("tariff_id", "route_id", C("rate").cast("decimal(11,4)").alias("rate"), "rate_unit")
+    table = V.VersionedTable.create(rows, SK.shared_folder(rows.sparkSession, "tariffs"), ["tariff_id"], buckets=16)
+    double = rows.where("tariff_id % 7 = 0 and tariff_id % 5 <> 0").withColumn("rate", (C("rate") * 2).cast("decimal(11,4)"))
+    gone = rows.where("tariff_id % 5 = 0")
+    table.change(double.withColumn("op", F.lit(V.UPSERT)).unionByName(gone.withColumn("op", F.lit(V.DELETE))))
+    more = rows.where("tariff_id % 11 = 0").withColumns({"tariff_id": C("tariff_id") + 10000000, "rate_unit": F.lit("PER_BOX"), "op": F.lit(V.UPSERT)})
+    table.change(more)
+    return table.read().withColumn("rate", C("rate").cast("double"))
