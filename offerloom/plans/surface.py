@@ -55,12 +55,16 @@ def par_farm_paste(t):
     return P.farm_paste(t("farm").select("farm_id", line.alias("line")), "Peru").select("farm_id", "country", "name")
 
 
-@query("SELECT CAST(article_id AS BIGINT) AS article_id, product_name AS product_group, CAST(stems_per_box AS INT) AS stems_per_box, article_id % 3 <> 0 AS valid FROM {article}")
+@query(
+    """SELECT CAST(article_id AS BIGINT) AS article_id, CASE WHEN variant_id % 5 <> 0 THEN product_name END AS product_group, CAST(CASE WHEN variant_id % 7 <> 0 THEN stems_per_box END AS INT) AS stems_per_box,
+      CASE WHEN article_id % 3 <> 0 THEN '0.' || CAST(variant_id % 90 + 10 AS VARCHAR) END AS price, variant_id % 5 <> 0 AND variant_id % 7 <> 0 AND article_id % 3 <> 0 AS valid FROM {article}"""
+)
 def par_bulk_paste(t):
     """PAR-32"""
-    price = F.when(C("article_id") % 3 == 0, F.lit("?")).otherwise(F.lit("0,45"))
-    line = F.concat_ws("\t", "product_name", "variety", "color", F.lit(""), F.lit("10"), C("stems_per_box").cast("string"), price)
-    return P.bulk_offer_paste(t("article").select("article_id", line.alias("line"))).select("article_id", "product_group", "stems_per_box", "valid")
+    price = F.when(C("article_id") % 3 == 0, F.lit("?")).otherwise(F.concat(F.lit("$ 0,"), (C("variant_id") % 90 + 10).cast("string")))
+    stems = F.when(C("variant_id") % 7 == 0, F.lit("many")).otherwise(C("stems_per_box").cast("string"))
+    line = F.concat_ws("\t", F.when(C("variant_id") % 5 == 0, " ").otherwise(C("product_name")), "variety", "color", F.lit(""), F.lit("10"), stems, price)
+    return P.bulk_offer_paste(t("article").select("article_id", line.alias("line"))).select("article_id", "product_group", "stems_per_box", "price", "valid")
 
 
 @query(
@@ -96,10 +100,13 @@ def arr_selections(t):
     return g.select("offer_id", F.size("v").cast("long").alias("n"), F.array_join(ids["ids"], ",").alias("chosen"), A.header_state(F.size(chosen), F.size("v")).alias("header"))
 
 
-@query("SELECT line_id, 'row ' || line_id AS raw_text, CAST(quantity AS DOUBLE) AS quantity, product_name AS product_group, 'price low' AS warning FROM {line}")
+@query(
+    """SELECT line_id, 'row ' || line_id AS raw_text, CAST(quantity AS DOUBLE) AS quantity, product_name AS product_group, 'price ' || CAST(fob AS VARCHAR) || ' "low"' AS warning FROM {line}"""
+)
 def jsn_snapshot(t):
     """JSN-01, JSN-02"""
-    s = A.snapshot(raw_text=F.concat(F.lit("row "), C("line_id")), quantity=C("quantity"), product_group=C("product_name"), warnings=F.array(F.lit("price low")))
+    warning = F.concat(F.lit("price "), C("fob").cast("string"), F.lit(' "low"'))
+    s = A.snapshot(raw_text=F.concat(F.lit("row "), C("line_id")), quantity=C("quantity"), product_group=C("product_name"), warnings=F.array(warning))
     d = t("line").select("line_id", s.alias("s"))
     j = F.from_json("s", "raw_text string, quantity double, product_group string")
     return d.select("line_id", j["raw_text"].alias("raw_text"), j["quantity"].alias("quantity"), j["product_group"].alias("product_group"), A.snapshot_warnings(C("s"))[0].alias("warning"))
@@ -256,11 +263,16 @@ def enr_offer_lines(t):
     return E.to_offer_lines(p).select("line_id", "product_group", "boxes", "currency", "match_status")
 
 
-@query("SELECT line_id, CASE WHEN fob > 0.5 THEN 'box weight unknown|NO_LENGTH' ELSE 'price missing|box weight unknown|NO_LENGTH' END AS messages FROM {line}")
+@query(
+    """SELECT line_id, array_to_string(list_filter([CASE WHEN fob <= 0.5 THEN 'price missing' END, CASE WHEN quantity % 2 = 0 THEN 'box weight unknown' END, CASE WHEN length_cm IS NULL THEN 'NO_LENGTH' END,
+      'UNIT ' || coalesce(unit, '?')], lambda m: m IS NOT NULL), '|') AS messages FROM {line}"""
+)
 def val_messages(t):
-    """VAL-02"""
+    """VAL-02: what was read and is still open, then what is found now, each once"""
     s = A.snapshot(warnings=F.array(F.lit("price missing"), F.lit("box weight unknown")))
-    m = E.line_messages(s, {"PRICE": C("fob") > 0.5, "BOX_WEIGHT": F.lit(False)}, F.array(F.lit("NO_LENGTH"), F.lit("box weight unknown")))
+    unit = F.concat(F.lit(" UNIT "), F.coalesce("unit", F.lit("?")))
+    now = F.array(F.when(C("length_cm").isNull(), "NO_LENGTH").otherwise(" "), unit, unit)
+    m = E.line_messages(s, {"PRICE": C("fob") > 0.5, "BOX_WEIGHT": C("quantity") % 2 == 1}, now)
     return t("line").select("line_id", F.array_join(m, "|").alias("messages"))
 
 
@@ -270,18 +282,26 @@ def val_forms(t):
     return t("cost").select("cost_id", E.cost_input_code(C("cost_type_id").cast("string"), (C("amount") - F.lit(0.05).cast("decimal(4,2)")).cast("string"), F.when(C("cost_id") % 3 != 0, "EUR"), C("unit")).alias("code"))
 
 
-@query("SELECT quote_id, line_id, CAST(CASE WHEN quote_id % 4 = 0 THEN NULL WHEN quote_id % 4 = 1 THEN 9.5 ELSE manual_price END AS DOUBLE) AS manual_price FROM {quote_line}")
+@query(
+    """SELECT quote_id, line_id, CAST(CASE WHEN quote_id % 4 = 0 THEN NULL WHEN quote_id % 4 = 1 THEN quantity_boxes * 0.75 + stems_per_box ELSE manual_price END AS DOUBLE) AS manual_price
+    FROM {quote_line}"""
+)
 def prc_override(t):
     """PRC-15"""
-    q = t("quote_line").select("quote_id", "line_id", "manual_price")
-    o = q.where("quote_id % 4 < 2").select("quote_id", "line_id", F.when(C("quote_id") % 4 == 1, 9.5).cast("decimal(12,6)").alias("price"))
-    return Q.override_price(q, o).withColumn("manual_price", C("manual_price").cast("double"))
+    q = t("quote_line").select("quote_id", "line_id", "manual_price", "quantity_boxes", "stems_per_box")
+    price = F.when(C("quote_id") % 4 == 1, C("quantity_boxes") * 0.75 + C("stems_per_box")).cast("decimal(12,6)")
+    o = q.where("quote_id % 4 < 2").select("quote_id", "line_id", price.alias("price"))
+    return Q.override_price(q.drop("quantity_boxes", "stems_per_box"), o).withColumn("manual_price", C("manual_price").cast("double"))
 
 
-@query("SELECT route_id, CAST(CASE WHEN route_id % 2 = 0 THEN 1.5 ELSE rate END AS DOUBLE) AS rate, CASE WHEN route_id % 2 = 0 THEN 'PER_STEM' ELSE rate_unit END AS rate_unit FROM {current_tariff} UNION ALL SELECT r.route_id, 1.5, 'PER_STEM' FROM {route} r WHERE r.route_id % 2 = 0 AND r.route_id NOT IN (SELECT route_id FROM {current_tariff})")
+@query(
+    """WITH n AS (SELECT route_id, CAST(route_id % 97 * 0.125 AS DOUBLE) AS rate, 'PER_' || transport AS rate_unit FROM {route} WHERE route_id % 2 = 0)
+    SELECT * FROM n UNION ALL SELECT route_id, CAST(rate AS DOUBLE), rate_unit FROM {current_tariff} WHERE route_id NOT IN (SELECT route_id FROM n)"""
+)
 def dml_upsert_tariff(t):
     """DML-02"""
-    new = t("route").where("route_id % 2 = 0").select("route_id", F.lit(1.5).cast("decimal(10,4)").alias("rate"), F.lit("PER_STEM").alias("rate_unit"))
+    rate = (C("route_id") % 97 * 0.125).cast("decimal(10,4)")
+    new = t("route").where("route_id % 2 = 0").select("route_id", rate.alias("rate"), F.concat(F.lit("PER_"), "transport").alias("rate_unit"))
     return M.upsert(t("current_tariff"), new, ["route_id"]).withColumn("rate", C("rate").cast("double"))
 
 
@@ -293,12 +313,17 @@ def dml_add_costs(t):
     return M.add_costs(req, t("cost"), types).select("route_id", "outcome", "category")
 
 
-@query("SELECT 'EUR' AS base, CASE WHEN location_id % 3 = 0 THEN 'N' ELSE 'C' END || CAST(location_id AS VARCHAR) AS quote, CAST(CASE WHEN location_id % 3 = 1 THEN 2 ELSE 1 END AS DOUBLE) AS rate FROM {location} UNION ALL SELECT 'EUR', 'C' || CAST(location_id AS VARCHAR), 1 FROM {location} WHERE location_id % 3 = 0")
+@query(
+    """WITH l AS (SELECT location_id AS i, CAST(location_id * 0.37 + 1 AS DOUBLE) AS old, CAST(location_id * 0.5 + 2 AS DOUBLE) AS new FROM {location})
+    SELECT 'EUR' AS base, 'C' || CAST(i AS VARCHAR) AS quote, CASE WHEN i % 3 = 1 THEN new ELSE old END AS rate FROM l
+    UNION ALL SELECT 'EUR', 'N' || CAST(i AS VARCHAR), new FROM l WHERE i % 3 = 0"""
+)
 def dml_replace_rates(t):
     """DML-04"""
     i = C("location_id")
-    old = t("location").select(F.lit("EUR").alias("base"), F.concat(F.lit("C"), i).alias("quote"), F.lit(1).cast("decimal(12,6)").alias("rate"))
-    new = t("location").select(F.when(i % 3 == 2, "USD").otherwise("EUR").alias("base"), F.concat(F.when(i % 3 == 0, "N").otherwise("C"), i).alias("quote"), F.when(i % 3 == 1, 2).otherwise(1).cast("decimal(12,6)").alias("rate"))
+    own = lambda factor, more: (i * F.lit(factor).cast("decimal(4,2)") + more).cast("decimal(12,6)").alias("rate")
+    old = t("location").select(F.lit("EUR").alias("base"), F.concat(F.lit("C"), i).alias("quote"), own("0.37", 1))
+    new = t("location").select(F.when(i % 3 == 2, "USD").otherwise("EUR").alias("base"), F.concat(F.when(i % 3 == 0, "N").otherwise("C"), i).alias("quote"), own("0.50", 2))
     return M.replace_rates(old, new).withColumn("rate", C("rate").cast("double"))
 
 
@@ -319,17 +344,22 @@ def dml_add_unique(t):
     return M.add_unique(req, t("location"), ["city", "country"], "location_id").select("location_id", "outcome")
 
 
-@query("SELECT article_id, CASE WHEN stem_length IS NULL AND article_id % 2 = 0 THEN '60' ELSE stem_length END AS stem_length, CASE WHEN article_id % 2 = 0 AND stem_length IS NULL THEN NULL WHEN article_id % 2 = 0 THEN ' 60 CM' ELSE color END AS grade FROM {article}")
+@query(
+    """WITH v AS (SELECT article_id, stem_length, CASE article_id % 4 WHEN 0 THEN ' ' || CAST(variant_id % 90 + 10 AS VARCHAR) || ' CM' WHEN 2 THEN CAST(variant_id % 90 + 10 AS VARCHAR) || 'cm+' ELSE color END AS grade FROM {article}),
+      k AS (SELECT *, stem_length IS NULL AND regexp_matches(grade, '(?i)^\\s*[0-9]+\\s*cm\\s*$') AS moved FROM v)
+    SELECT article_id, CASE WHEN moved THEN regexp_extract(grade, '[0-9]+') ELSE stem_length END AS stem_length, CASE WHEN NOT moved THEN grade END AS grade FROM k"""
+)
 def dml_length_from_grade(t):
     """DML-13"""
-    v = t("article").select("article_id", "stem_length", F.when(C("article_id") % 2 == 0, " 60 CM").otherwise(C("color")).alias("grade"))
-    return M.length_from_grade(v)
+    k, length = C("article_id") % 4, (C("variant_id") % 90 + 10).cast("string")
+    grade = F.when(k == 0, F.concat(F.lit(" "), length, F.lit(" CM"))).when(k == 2, F.concat(length, F.lit("cm+"))).otherwise(C("color"))
+    return M.length_from_grade(t("article").select("article_id", "stem_length", grade.alias("grade")))
 
 
-@query("SELECT location_id, coalesce(code, CASE city WHEN 'Quito' THEN 'UIO' WHEN 'City 8' THEN 'C8' END) AS code FROM {location}")
+@query("SELECT location_id, coalesce(code, CASE WHEN regexp_full_match(city, 'City [0-9]*[02468]') THEN 'C' || regexp_extract(city, '[0-9]+') END) AS code FROM {location}")
 def dml_backfill_codes(t):
-    """DML-15"""
-    return M.backfill_codes(t("location"), {"quito": "UIO", "city 8": "C8"}).select("location_id", "code")
+    """DML-15: codes of every second city"""
+    return M.backfill_codes(t("location"), {f"city {i}": f"C{i}" for i in range(0, 100, 2)}).select("location_id", "code")
 
 
 @query("SELECT quote_id AS offer_id FROM (SELECT o_orderkey AS quote_id FROM {orders}) WHERE quote_id % 2 = 0 AND quote_id NOT IN (SELECT quote_id FROM {quote_line} WHERE quantity_boxes > 45)")
@@ -340,8 +370,13 @@ def dml_delete_offers(t):
     return M.delete_offers(offers.where("offer_id % 2 = 0"), offers, t("line").select("offer_id", "line_id"), quoted, offers.select("upload_id"))[0].select("offer_id")
 
 
-@query("SELECT article_id, CASE WHEN article_id % 3 = 0 THEN NULL WHEN article_id % 3 = 1 THEN 1.25 ELSE 0.8 END AS rate FROM {article}")
+@query(
+    """WITH r AS (SELECT article_id, CAST((article_id % 977 + 3) * 0.013 AS DECIMAL(12,6)) AS rate FROM {article})
+    SELECT article_id, CASE article_id % 3 WHEN 1 THEN CAST(rate AS DOUBLE) WHEN 2 THEN round(1.0 / CAST(rate AS DOUBLE), 6) END AS rate FROM r"""
+)
 def num_display_rate(t):
     """NUM-04, NUM-05"""
     k = C("article_id") % 3
-    return t("article").select("article_id", N.display_rate(F.lit(1.25).cast("decimal(12,6)"), F.when(k == 1, "EUR").otherwise("USD"), F.when(k == 2, "EUR").otherwise("USD")).cast("double").alias("rate"))
+    rate = ((C("article_id") % 977 + 3).cast("decimal(6,0)") * F.lit("0.013").cast("decimal(4,3)")).cast("decimal(12,6)")
+    shown = N.display_rate(rate, F.when(k == 1, "EUR").otherwise("USD"), F.when(k == 2, "EUR").otherwise("USD"))
+    return t("article").select("article_id", shown.cast("double").alias("rate"))
