@@ -228,7 +228,9 @@ def _rerank(vectors: pa.Table, queries: pa.Table, dims: int, k: int) -> pa.Table
             rough[rough < (least - slack)[:, None]] = -np.inf
         row, col = np.nonzero(rough > -np.inf)
         # summed in the same order for every pair: equal vectors have equal scores
-        scores = np.concatenate([(q[lo + row[m : m + 65_536]] * x[col[m : m + 65_536]]).sum(-1) for m in range(0, max(1, len(row)), 65_536)])
+        scores = np.concatenate(
+            [(q[lo + row[m : m + 65_536]] * x[col[m : m + 65_536]]).sum(-1) for m in range(0, max(1, len(row)), 65_536)]
+        )
         found.append(_best(q_ids[lo + row], ids[col], scores, k))
     cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table([pa.array(c) for c in cols], names=["query", "node", "score"])
@@ -245,7 +247,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int | None =
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")), dims
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, visits: int | None = None, recall: float = RECALL, sample: int = SAMPLE, dims: int | None = None) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
+    trees: int = TREES, leaf: int = LEAF, visits: int | None = None, recall: float = RECALL, sample: int = SAMPLE,
+    dims: int | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row where the column is_query holds, all other rows being candidates.
 
     Nearest first, equal scores by vec_id; fewer rows if there are fewer candidates. Vectors that are null, zero, of
@@ -256,10 +262,15 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
     spark = vectors.sparkSession
     rows, dims = usable(vectors, id_col, vector_col, dims)
     same = Window.partitionBy("vector").orderBy("vec_id")
-    distinct = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    distinct = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("vector").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids")
+    )
     # a vector's number: its least id is not enough, for an id may repeat
     distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    asked = rows.where(is_query(F.col("vec_id"))).distinct().join(distinct.select("vector", "node"), "vector").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
+    asked = rows.where(is_query(F.col("vec_id"))).distinct().join(distinct.select("vector", "node"), "vector").select(
+        F.col("vec_id").alias("query_id"),
+        F.col("node").alias("query")
+    )
     asked = stored(asked, "queries")
 
     square = F.aggregate("vector", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -269,7 +280,10 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
     fitted = fit(points, float(norm2), trees, leaf)
     visits = visits or enough_visits(fitted, points.astype(np.float64), k, recall)
     total, n_queries = distinct.count(), asked.select("query").distinct().count()
-    sizes = np.bincount(route(fitted, points.astype(np.float64)).reshape(-1), minlength=fitted.leaves) * max(1, total) // max(1, len(points))
+    sizes = np.bincount(
+        route(fitted, points.astype(np.float64)).reshape(-1),
+        minlength=fitted.leaves
+    ) * max(1, total) // max(1, len(points))
     # the number of parts only spreads the work: no result depends on it
     parts = parted(sizes, min(PART, max(LEAF, total * trees // (2 * spark.sparkContext.defaultParallelism))))
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
@@ -284,7 +298,10 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
                 cell = cells[:, t]
                 part = (parts.first[cell] + node % parts.split[cell]) * blocks
                 for block in range(blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(part + block), pa.array(cell), column(batch, "node"), column(batch, "vector")], names=["part", "cell", "node", "vector"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part + block), pa.array(cell), column(batch, "node"), column(batch, "vector")],
+                        names=["part", "cell", "node", "vector"]
+                    )
 
     def searched(batches: Iterator[pa.RecordBatch]):
         forest, parts = held.value
@@ -295,18 +312,34 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id"
                 row = np.repeat(np.arange(len(cell)), cell.shape[1])
                 cell = cell.reshape(-1)
                 over = parts.split[cell]
-                row, cell, part = np.repeat(row, over), np.repeat(cell, over), np.repeat(parts.first[cell], over) + np.arange(over.sum()) - np.repeat(np.cumsum(over) - over, over)
+                row, cell, part = np.repeat(row, over), np.repeat(cell, over), np.repeat(parts.first[cell], over) + np.arange(over.sum()) - np.repeat(
+                    np.cumsum(over) - over,
+                    over
+                )
                 by = np.lexsort((cell, part, row))
                 row, cell, part = row[by], cell[by], part[by]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell))
                 row = lo + row[first]
-                yield pa.RecordBatch.from_arrays([pa.array(part[first] * blocks + node[row] % blocks), lists, pa.array(node[row]), column(batch, "vector").take(pa.array(row))], names=["part", "cells", "node", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[first] * blocks + node[row] % blocks), lists, pa.array(node[row]),
+                        column(batch, "vector").take(pa.array(row))
+                    ],
+                    names=["part", "cells", "node", "vector"]
+                )
 
     kind = rows.schema["vector"].dataType.simpleString()
     index = distinct.select("node", "vector").mapInArrow(indexed, f"part long, cell long, node long, vector {kind}")
-    seen = distinct.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vector").mapInArrow(searched, f"part long, cells array<long>, node long, vector {kind}")
-    near = index.groupBy("part").cogroup(seen.groupBy("part")).applyInArrow(lambda v, q: _rerank(v, q, dims, k + 1), "query long, node long, score double")
+    seen = distinct.join(
+        asked.select(F.col("query").alias("node")).distinct(),
+        "node",
+        "left_semi"
+    ).select("node", "vector").mapInArrow(searched, f"part long, cells array<long>, node long, vector {kind}")
+    near = index.groupBy("part").cogroup(seen.groupBy("part")).applyInArrow(
+        lambda v, q: _rerank(v, q, dims, k + 1),
+        "query long, node long, score double"
+    )
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "least")
     named = near.distinct().join(distinct.select("node", "ids", F.col("ids")[0].alias("least")), "node")

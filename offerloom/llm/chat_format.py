@@ -33,7 +33,9 @@ class Template:
     state is the last role, or "start". final: states that a valid conversation may end in.
     """
 
-    headers: dict[str, str] = field(default_factory=lambda: {"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: ", "tool": "### Tool: "})
+    headers: dict[str, str] = field(
+        default_factory=lambda: {"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: ", "tool": "### Tool: "}
+    )
     other: str = "### Role {role}: "
     end: str = "</turn>\n"
     control: tuple[str, ...] = ("### ", "</turn>")
@@ -94,8 +96,12 @@ def _segments(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator
         yield conv, n, None, "close", "", False, closing()
 
 
-def format_conversations(rows: DataFrame, *, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Segments of every conversation, in order within a partition: conv, segment, turn, kind (header, text, end, close), text, loss, problem.
+def format_conversations(
+    rows: DataFrame, *, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
+    role_col: str = "role", text_col: str = "text"
+) -> DataFrame:
+    """Segments of every conversation, in order within a partition: conv, segment, turn, kind (header, text, end, close), text,
+    loss, problem.
 
     The formatted conversation is its segments' texts one after the other. problem: what the machine refuses about
     this turn (at its header) or about the end (at "close"); such conversations are formatted all the same,
@@ -104,7 +110,10 @@ def format_conversations(rows: DataFrame, *, template: Template | None = None, c
     An empty table gives no segments. Other columns are not used.
     """
     template = template or Template()
-    source = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    source = rows.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text")
+    )
     source = source.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     kind = source.schema["conv"].dataType.simpleString()
     return map_rows(source, lambda b: _segments(b, template), SEGMENTS.format(kind=kind))
@@ -178,7 +187,10 @@ def read_back(segments: DataFrame, *, template: Template | None = None) -> DataF
     """
     template = template or Template()
     kind = segments.schema["conv"].dataType.simpleString()
-    return map_rows(segments, lambda b: _read_back(b, template), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return map_rows(
+        segments, lambda b: _read_back(b, template),
+        f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+    )
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -199,13 +211,16 @@ WITH c AS (
   FROM c
 ), f AS (
   SELECT *, CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'tool' THEN 10
-                      ELSE 11 + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ':', '\:')) END AS header,
-         (CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+                      ELSE 11 + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>'), ':',
+                        '\:')) END AS header,
+         (CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+           WHEN 'user' THEN role = 'assistant'
                WHEN 'assistant' THEN role IN ('user', 'tool') WHEN 'tool' THEN role IN ('assistant', 'tool') ELSE false END)
          AND (NOT final OR role = 'assistant') AS fits
   FROM t
 )
-SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), ''
+  ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(header + length(escaped) + 8) AS BIGINT) AS formatted_chars, bool_and(fits) AS valid

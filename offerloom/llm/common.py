@@ -73,7 +73,10 @@ def range_number(value, bounds: list[int]):
     fine = F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";")
     below = lambda x: F.size(F.filter(x, lambda b: b < value))
     both = lambda n: n * step + F.coalesce(below(F.split(F.try_element_at(fine, n + 1), ",").cast("array<bigint>")), F.lit(0))
-    number = F.transform(F.array(below(array([c[-1] for c in chunks]))), lambda n: F.when(n < len(chunks), both(n)).otherwise(len(bounds)))[0]
+    number = F.transform(
+        F.array(below(array([c[-1] for c in chunks]))),
+        lambda n: F.when(n < len(chunks), both(n)).otherwise(len(bounds))
+    )[0]
     return F.when(value.isNull(), 0).otherwise(number).cast("int")
 
 
@@ -104,7 +107,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def offsets_of(texts: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
-    return np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[1], dtype=kind)[
+        texts.offset : texts.offset + len(texts) + 1
+    ].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -21,6 +21,9 @@ def in_order(rows: DataFrame, *columns: str) -> DataFrame:
     the input, so that no conversation, turn or repeated row has to fit one task.
     """
     keys = ["_conv", "_turn", "_role", "_text", "_mark", "_place"]
-    ordered = {"_conv": F.col("conv"), "_turn": F.col("turn"), "_role": F.left("role", F.lit(16)), "_text": F.left("text", F.lit(64)), "_mark": F.col("mark"), "_place": F.monotonically_increasing_id()}
+    ordered = {
+        "_conv": F.col("conv"), "_turn": F.col("turn"), "_role": F.left("role", F.lit(16)),
+        "_text": F.left("text", F.lit(64)), "_mark": F.col("mark"), "_place": F.monotonically_increasing_id()
+    }
     keyed = rows.withColumns(ordered).select(*columns, *keys)
     return short_batches(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns))

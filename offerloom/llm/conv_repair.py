@@ -206,14 +206,21 @@ def _settle(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[tupl
         return row
 
     for batch in batches:
-        for c, turn, role, text, key, dropped in zip(*(column(batch, x).to_pylist() for x in ("conv", "turn", "role", "text", "mark", "dropped"))):
+        for c, turn, role, text, key, dropped in zip(
+            *(column(batch, x).to_pylist() for x in ("conv", "turn", "role", "text", "mark", "dropped"))
+        ):
             if begun and c != conv:
                 if runs == 1 or piece:
                     yield cut()
                 else:
                     kinds, facts = judged(*held, set())
                     _, cost, audit = best(product(kinds))
-                    yield conv, None, None, None, None, None, None, *_result(facts, cost, audit, digest(edited(audit, START, held[1], held[2])))
+                    yield conv, None, None, None, None, None, None, *_result(
+                        facts,
+                        cost,
+                        audit,
+                        digest(edited(audit, START, held[1], held[2]))
+                    )
                 held, size, piece = ([], [], [], []), 0, 0
             if not begun or c != conv:
                 begun, conv, runs = True, c, runs + 1
@@ -230,7 +237,9 @@ def _settle(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[tupl
 
 def _judge_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for conv, part, piece, at, roles, texts, marks, earlier in zip(*(column(batch, x).to_pylist() for x in ("conv", "part", "piece", "at", "roles", "texts", "marks", "earlier"))):
+        for conv, part, piece, at, roles, texts, marks, earlier in zip(
+            *(column(batch, x).to_pylist() for x in ("conv", "part", "piece", "at", "roles", "texts", "marks", "earlier"))
+        ):
             kinds, facts = judged(at, roles, texts, marks, set(earlier or ()))
             yield conv, part, piece, _elements(product(kinds)), *facts.values()
 
@@ -242,7 +251,12 @@ def _node(table: pa.Table) -> pa.Table:
     for r in rows:
         facts.add(Facts(tuple(r[f] for f in Facts.FIELDS)))
     total = reduced([_from_elements(r["elements"]) for r in rows])
-    row = {"conv": rows[0]["conv"], "part": rows[0]["above"], "piece": 0, "elements": _elements(total)} | dict(zip(Facts.FIELDS, facts.values()))
+    row = {
+        "conv": rows[0]["conv"],
+        "part": rows[0]["above"],
+        "piece": 0,
+        "elements": _elements(total)
+    } | dict(zip(Facts.FIELDS, facts.values()))
     return pa.Table.from_pylist([row], schema=table.drop_columns("above").schema)
 
 
@@ -266,7 +280,9 @@ def _states(table: pa.Table) -> pa.Table:
 
 def _edit_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for conv, part, piece, roles, texts, element, state in zip(*(column(batch, x).to_pylist() for x in ("conv", "part", "piece", "roles", "texts", "element", "enter"))):
+        for conv, part, piece, roles, texts, element, state in zip(
+            *(column(batch, x).to_pylist() for x in ("conv", "part", "piece", "roles", "texts", "element", "enter"))
+        ):
             yield conv, part, piece, "".join(f"\n{role}:{text}" for role, text in edited(element["audit"], state, roles, texts))
 
 
@@ -302,7 +318,10 @@ def _joined(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataF
 def _long_conversations(pieces: DataFrame, kind: str, fan: int) -> DataFrame:
     """Results of the conversations that lie in pieces."""
     marks = pieces.select("conv", "part", "piece", F.explode(F.array_distinct("marks")).alias("mark"))
-    first = marks.groupBy("conv", "mark").agg(F.min(F.struct("part", "piece")).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
+    first = marks.groupBy("conv", "mark").agg(
+        F.min(F.struct("part", "piece")).alias("first"),
+        F.count("*").alias("places")
+    ).where("places > 1").drop("places")
     earlier = _joined(marks, first, "conv", "mark").where(F.struct("part", "piece") > F.col("first"))
     earlier = earlier.groupBy("conv", "part", "piece").agg(F.collect_list("mark").alias("earlier"))
     node = f"conv {kind}, part int, piece int, {_ELEMENTS}, {_FACTS}"
@@ -316,23 +335,60 @@ def _long_conversations(pieces: DataFrame, kind: str, fan: int) -> DataFrame:
             widest //= fan
         if not widest:
             break
-    ends = F.filter(F.array(*(F.when(F.col("elements")[j].isNotNull(), F.struct(F.col("elements")[j]["cost"].alias("cost"), F.col("elements")[j]["audit"].alias("audit"), F.lit(j).alias("leave"))) for j in (START, ASSISTANT))), lambda e: e.isNotNull())
+    ends = F.filter(
+        F.array(
+            *(
+                F.when(
+                    F.col("elements")[j].isNotNull(),
+                    F.struct(
+                        F.col("elements")[j]["cost"].alias("cost"), F.col("elements")[j]["audit"].alias("audit"),
+                        F.lit(j).alias("leave")
+                    )
+                ) for j in (START, ASSISTANT)
+            )
+        ),
+        lambda e: e.isNotNull()
+    )
     roots = level.withColumn("best", F.array_min(ends))
     states = roots.select("conv", "part", "piece", F.lit(START).alias("enter"), F.col("best.leave").alias("leave"))
     for depth in range(len(levels) - 1, 0, -1):
-        children = levels[depth - 1].select("conv", "part", "piece", "elements").withColumn("above", F.col("part") if depth == 1 else F.expr(f"int(part div {fan})"))
+        children = levels[depth - 1].select("conv", "part", "piece", "elements").withColumn(
+            "above",
+            F.col("part") if depth == 1 else F.expr(f"int(part div {fan})")
+        )
         above = states.select("conv", F.col("part").alias("above"), "enter", "leave")
-        states = stored(_joined(children, above, "conv", "above").groupBy("conv", "above").applyInArrow(_states, f"conv {kind}, part int, piece int, enter int, leave int"), "repair-states")
+        states = stored(
+            _joined(children, above, "conv", "above").groupBy("conv", "above").applyInArrow(
+                _states,
+                f"conv {kind}, part int, piece int, enter int, leave int"
+            ),
+            "repair-states"
+        )
     chosen = _joined(levels[0].select("conv", "part", "piece", "elements"), states, "conv", "part", "piece")
-    chosen = chosen.select("conv", "part", "piece", "enter", F.element_at("elements", F.col("enter") * 4 + F.col("leave") + 1).alias("element"))
-    texts = map_rows(_joined(pieces.select("conv", "part", "piece", "roles", "texts"), chosen, "conv", "part", "piece"), _edit_piece, f"conv {kind}, part int, piece int, text string")
-    hashes = map_rows(texts.repartition("conv").sortWithinPartitions("conv", "part", "piece").select("conv", "text"), _hashed, f"conv {kind}, repaired_sha256 string")
+    chosen = chosen.select(
+        "conv", "part", "piece", "enter",
+        F.element_at("elements", F.col("enter") * 4 + F.col("leave") + 1).alias("element")
+    )
+    texts = map_rows(
+        _joined(pieces.select("conv", "part", "piece", "roles", "texts"), chosen, "conv", "part", "piece"), _edit_piece,
+        f"conv {kind}, part int, piece int, text string"
+    )
+    hashes = map_rows(
+        texts.repartition("conv").sortWithinPartitions("conv", "part", "piece").select("conv", "text"), _hashed,
+        f"conv {kind}, repaired_sha256 string"
+    )
     gaps = F.when(F.col("low").isNull(), F.lit(0)).otherwise(F.col("high") - F.col("low") + 1 - F.col("turns")).cast("long")
-    facts = roots.select("conv", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", F.col("best.cost").alias("cost"), F.col("best.audit").alias("audit"))
+    facts = roots.select(
+        "conv", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", F.col("best.cost").alias("cost"),
+        F.col("best.audit").alias("audit")
+    )
     return _joined(facts, hashes, "conv")
 
 
-def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", dropped_col: str | None = None, piece_rows: int = PIECE_ROWS, fan: int = FAN) -> DataFrame:
+def repair_conversations(
+    rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+    text_col: str = "text", dropped_col: str | None = None, piece_rows: int = PIECE_ROWS, fan: int = FAN
+) -> DataFrame:
     """One row a conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     gaps: turn numbers missing between the least and the largest. blank, duplicate, truncated: turns by their first fault.
@@ -342,13 +398,18 @@ def repair_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     Null roles and texts are one space. Null turns stand first and make no gap. Rows of the same turn by role, then text (see
     in_order); equal rows are duplicates of the first. A null conversation is one of its own. An empty role has no initial, so it
     is never kept. Texts may be of any length; one piece holds one text at least. dropped_col: a boolean column; rows where it is true are
-    no turns, but their conversation is returned. piece_rows: of a conversation that is not settled within a partition; fan: children of a node of the tree. A conversation without turns has zeros, an empty audit and the
+    no turns, but their conversation is returned. piece_rows: of a conversation that is not settled within a partition; fan:
+    children of a node of the tree. A conversation without turns has zeros, an empty audit and the
     digest of an empty text. An empty table gives an empty table. Other columns are not used.
     """
     space = F.lit(" ")
     role, text = F.coalesce(F.col(role_col).cast("string"), space), F.coalesce(F.col(text_col).cast("string"), space)
     dropped = F.coalesce(F.col(dropped_col), F.lit(False)) if dropped_col else F.lit(False)
-    held = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.when(dropped, "").otherwise(role).alias("role"), F.when(dropped, "").otherwise(text).alias("text"), dropped.alias("dropped"))
+    held = rows.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+        F.when(dropped, "").otherwise(role).alias("role"), F.when(dropped, "").otherwise(text).alias("text"),
+        dropped.alias("dropped")
+    )
     kind = held.schema["conv"].dataType.simpleString()
     source = in_order(held.withColumn("mark", mark(F.col("role"), F.col("text"))), "conv", "turn", "role", "text", "mark", "dropped")
     found = stored(map_rows(source, lambda b: _settle(b, piece_rows), f"conv {kind}, {_PIECE}, {_RESULT}"), "repair")
@@ -362,7 +423,10 @@ def damaged(rows: DataFrame) -> DataFrame:
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     code = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
     text = F.when(code == 1, "").when(code == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
-    out = rows.select("conv_id", "turn", F.when(code == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"), (code == 0).alias("dropped"), F.when(code == 3, 2).otherwise(1).alias("times"))
+    out = rows.select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"),
+        (code == 0).alias("dropped"), F.when(code == 3, 2).otherwise(1).alias("times")
+    )
     return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
 
 
@@ -381,7 +445,8 @@ WITH RECURSIVE crc_table AS (
          coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
   FROM conversations
 ), coded AS (
-  SELECT source.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  SELECT source.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''),
+    lambda x: CAST(ascii(x) AS BIGINT))),
            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS code
   FROM source, crc_table
 ), damaged AS (
@@ -409,15 +474,21 @@ WITH RECURSIVE crc_table AS (
   FROM facts
   UNION ALL
   SELECT conv_id, i, w0, w1,
-         list_min([w2, {'c': w0.c + 3, 'a': w0.a || 'I', 't': w0.t || u}, {'c': w1.c + 3, 'a': w1.a || 'I', 't': w1.t || u}, {'c': w3.c + 3, 'a': w3.a || 'I', 't': w3.t || u}]),
-         list_min([w3, {'c': w2.c + 3, 'a': w2.a || 'I', 't': w2.t || a}, {'c': w0.c + 6, 'a': w0.a || 'II', 't': w0.t || u || a}, {'c': w1.c + 6, 'a': w1.a || 'II', 't': w1.t || u || a}])
+         list_min([w2, {'c': w0.c + 3, 'a': w0.a || 'I', 't': w0.t || u}, {'c': w1.c + 3, 'a': w1.a || 'I', 't': w1.t || u},
+           {'c': w3.c + 3, 'a': w3.a || 'I', 't': w3.t || u}]),
+         list_min([w3, {'c': w2.c + 3, 'a': w2.a || 'I', 't': w2.t || a}, {'c': w0.c + 6, 'a': w0.a || 'II', 't': w0.t || u || a},
+           {'c': w1.c + 6, 'a': w1.a || 'II', 't': w1.t || u || a}])
   FROM (
     SELECT conv_id, i, chr(10) || 'user:' AS u, chr(10) || 'assistant:' AS a, {'c': v0.c + 4, 'a': v0.a || 'D', 't': v0.t} AS w0,
            list_min([{'c': v1.c + 4, 'a': v1.a || 'D', 't': v1.t}, {'c': v0.c + s, 'a': v0.a || 'K', 't': v0.t || own}]) AS w1,
-           list_min([{'c': v2.c + 4, 'a': v2.a || 'D', 't': v2.t}, {'c': v0.c + ru, 'a': v0.a || 'R', 't': v0.t || chr(10) || 'user:' || text},
-                     {'c': v1.c + ru, 'a': v1.a || 'R', 't': v1.t || chr(10) || 'user:' || text}, {'c': v3.c + ru, 'a': v3.a || 'R', 't': v3.t || chr(10) || 'user:' || text},
-                     {'c': v0.c + ku, 'a': v0.a || 'K', 't': v0.t || own}, {'c': v1.c + ku, 'a': v1.a || 'K', 't': v1.t || own}, {'c': v3.c + ku, 'a': v3.a || 'K', 't': v3.t || own}]) AS w2,
-           list_min([{'c': v3.c + 4, 'a': v3.a || 'D', 't': v3.t}, {'c': v2.c + ru, 'a': v2.a || 'R', 't': v2.t || chr(10) || 'assistant:' || text},
+           list_min([{'c': v2.c + 4, 'a': v2.a || 'D', 't': v2.t},
+             {'c': v0.c + ru, 'a': v0.a || 'R', 't': v0.t || chr(10) || 'user:' || text},
+                     {'c': v1.c + ru, 'a': v1.a || 'R', 't': v1.t || chr(10) || 'user:' || text},
+                       {'c': v3.c + ru, 'a': v3.a || 'R', 't': v3.t || chr(10) || 'user:' || text},
+                     {'c': v0.c + ku, 'a': v0.a || 'K', 't': v0.t || own}, {'c': v1.c + ku, 'a': v1.a || 'K', 't': v1.t || own},
+                       {'c': v3.c + ku, 'a': v3.a || 'K', 't': v3.t || own}]) AS w2,
+           list_min([{'c': v3.c + 4, 'a': v3.a || 'D', 't': v3.t},
+             {'c': v2.c + ru, 'a': v2.a || 'R', 't': v2.t || chr(10) || 'assistant:' || text},
                      {'c': v2.c + ka, 'a': v2.a || 'K', 't': v2.t || own}]) AS w3
     FROM (
       SELECT f.conv_id, r.i, f.v0, f.v1, f.v2, f.v3, r.text, chr(10) || r.role || ':' || r.text AS own,
@@ -432,7 +503,9 @@ WITH RECURSIVE crc_table AS (
   SELECT f.conv_id, facts.* EXCLUDE (conv_id), list_min([f.v0, f.v3]) AS best
   FROM fold f JOIN facts ON f.conv_id IS NOT DISTINCT FROM facts.conv_id AND f.i = facts.n
 )
-SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
-       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+         sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id
 """

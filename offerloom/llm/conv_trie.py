@@ -49,9 +49,16 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """conv, at (from 1), mark, chars of rows in order. What conversations that cross partitions have before a partition is one number for each."""
-    local = stored(map_rows(in_order(rows, "conv", "mark", "chars"), _numbered, "conv long, part int, at long, mark binary, chars long, first long"), "trie-rows")
-    ends = sorted((r["part"], r["first"], r["conv"], r["at"]) for r in local.where("mark is null").select("part", "first", "conv", "at").collect())
+    """conv, at (from 1), mark, chars of rows in order. What conversations that cross partitions have before a partition is one
+    number for each.
+    """
+    local = stored(
+        map_rows(in_order(rows, "conv", "mark", "chars"), _numbered, "conv long, part int, at long, mark binary, chars long, first long"),
+        "trie-rows"
+    )
+    ends = sorted(
+        (r["part"], r["first"], r["conv"], r["at"]) for r in local.where("mark is null").select("part", "first", "conv", "at").collect()
+    )
     before, open_conv, held = [(-1, None, 0)], None, 0
     for part, first, last, n in ends:  # one row a partition
         carried = held if first == open_conv else 0
@@ -59,7 +66,12 @@ def numbered(rows: DataFrame) -> DataFrame:
             before.append((part, first, carried))
         open_conv, held = last, n + (carried if first == last else 0)
     offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, conv long, before long"))
-    return local.where("mark is not null").join(offsets, ["part", "conv"], "left").select("conv", (F.col("at") + F.coalesce("before", F.lit(0))).alias("at"), "mark", "chars")
+    return local.where("mark is not null").join(offsets, ["part", "conv"], "left").select(
+        "conv",
+        (F.col("at") + F.coalesce("before", F.lit(0))).alias("at"),
+        "mark",
+        "chars"
+    )
 
 
 def rebuilt(rows: DataFrame, *, group: int = 100, most: int = 6) -> DataFrame:
@@ -70,23 +82,44 @@ def rebuilt(rows: DataFrame, *, group: int = 100, most: int = 6) -> DataFrame:
     """
     h = lambda c: (F.crc32(F.col(c).cast("string").cast("binary")) % most).cast("long")
     base = F.col("conv") - F.col("conv") % group
-    heads = rows.where((F.col("conv") % group == 0) & (F.col("at") < most)).select(F.col("conv").alias("base"), F.col("at").alias("depth"), "mark", "chars")
+    heads = rows.where((F.col("conv") % group == 0) & (F.col("at") < most)).select(
+        F.col("conv").alias("base"),
+        F.col("at").alias("depth"),
+        "mark",
+        "chars"
+    )
     sizes = rows.groupBy("conv").agg(F.count("*").alias("own"))
     known = heads.groupBy("base").agg(F.count("*").alias("known"))
     convs = sizes.withColumns({"base": base, "h": h("conv")}).join(known, "base", "left")
     convs = convs.withColumn("taken", F.least("h", F.coalesce("known", F.lit(0))))
-    convs = stored(convs.select("conv", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size")), "trie-convs")
-    none = convs.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("mark"), F.lit(0).cast("long").alias("chars"), "size")
+    convs = stored(
+        convs.select("conv", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size")),
+        "trie-convs"
+    )
+    none = convs.select(
+        "conv", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("mark"),
+        F.lit(0).cast("long").alias("chars"), "size"
+    )
     borrowed = convs.join(heads, "base").where("depth <= h").select("conv", "depth", "mark", "chars", "size")
-    own = rows.where(F.col("at") > h("conv")).join(convs, "conv").select("conv", (F.col("at") - F.col("h") + F.col("taken")).alias("depth"), "mark", "chars", "size")
+    own = rows.where(F.col("at") > h("conv")).join(convs, "conv").select(
+        "conv",
+        (F.col("at") - F.col("h") + F.col("taken")).alias("depth"),
+        "mark",
+        "chars",
+        "size"
+    )
     return none.unionAll(borrowed).unionAll(own).select("conv", "depth", "mark", "chars", (F.col("depth") == F.col("size")).alias("last"))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The class of each active conversation after each turn of the block. A row with a class opens its conversation; without one it has retired."""
+    """The class of each active conversation after each turn of the block. A row with a class opens its conversation; without
+    one it has retired.
+    """
     conv, key = None, None
     for batch in batches:
-        for c, depth, said, chars, last, begin in zip(*(column(batch, x).to_pylist() for x in ("conv", "depth", "mark", "chars", "last", "class"))):
+        for c, depth, said, chars, last, begin in zip(
+            *(column(batch, x).to_pylist() for x in ("conv", "depth", "mark", "chars", "last", "class"))
+        ):
             if begin is not None:
                 conv, key = c, begin
             elif c == conv:
@@ -107,19 +140,28 @@ def refine(rows: DataFrame, *, first_turns: int = FIRST_TURNS, most_turns: int =
     low, turns, paths, nodes, retired = -1, first_turns, [], [], []
     while True:
         high = low + turns + (low < 0)
-        openers = active.select("conv", F.lit(low).cast("long").alias("depth"), F.lit(None).cast("binary").alias("mark"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("last"), "class")
+        openers = active.select(
+            "conv", F.lit(low).cast("long").alias("depth"), F.lit(None).cast("binary").alias("mark"),
+            F.lit(0).cast("long").alias("chars"), F.lit(False).alias("last"), "class"
+        )
         block = rows.where(F.col("depth").between(low + 1, high)).withColumn("class", F.lit(None).cast("binary"))
         dealt = openers.unionByName(block).repartition("conv").sortWithinPartitions("conv", "depth")
         path = stored(map_rows(dealt, _split, _CHAIN), "trie-paths")
         ends = F.when(F.col("last"), F.col("conv"))
-        found = path.groupBy("depth", "class").agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), F.first("parent").alias("parent"), F.first("chars").alias("chars"), F.count(ends).alias("n_ends"), F.min(ends).alias("end"))
+        found = path.groupBy("depth", "class").agg(
+            F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), F.first("parent").alias("parent"),
+            F.first("chars").alias("chars"), F.count(ends).alias("n_ends"), F.min(ends).alias("end")
+        )
         alone = (F.col("depth") == high) & (F.col("n_convs") == 1) & (F.col("n_ends") == 0)
         found = stored(found.withColumn("chain", alone), "trie-nodes")
         left = found.where("chain").select(F.col("conv_id").alias("conv"), F.col("depth").alias("after"))
         paths.append(path)
         nodes.append(found)
         retired.append(left)
-        active = stored(path.where((F.col("depth") == high) & ~F.col("last")).join(left, "conv", "left_anti").select("conv", "class"), "trie-active")
+        active = stored(
+            path.where((F.col("depth") == high) & ~F.col("last")).join(left, "conv", "left_anti").select("conv", "class"),
+            "trie-active"
+        )
         if active.isEmpty():
             return tuple(reduce(DataFrame.unionAll, x) for x in (paths, nodes, retired))
         low, turns = high, min(turns * 2 if low >= 0 else first_turns * 2, most_turns)
@@ -167,34 +209,59 @@ def member_digests(members: DataFrame) -> DataFrame:
     """depth, class, ends_sha256 of (depth, class, conv): SHA-256 of the sorted conv ids, joined by commas. A class may cross partitions."""
     keys = ["depth", "class", "conv"]
     sorted_ids = members.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    found = stored(map_rows(sorted_ids, _members, "depth long, class binary, part int, piece int, text string, ends_sha256 string"), "trie-members")
+    found = stored(
+        map_rows(sorted_ids, _members, "depth long, class binary, part int, piece int, text string, ends_sha256 string"),
+        "trie-members"
+    )
     pieces = found.where("part is not null").repartition("depth", "class").sortWithinPartitions("depth", "class", "part", "piece")
-    return found.where("part is null").select("depth", "class", "ends_sha256").unionAll(map_rows(pieces, _hashed, "depth long, class binary, ends_sha256 string"))
+    return found.where("part is null").select("depth", "class", "ends_sha256").unionAll(
+        map_rows(pieces, _hashed, "depth long, class binary, ends_sha256 string")
+    )
 
 
 def fold(rows: DataFrame, paths: DataFrame, nodes: DataFrame, retired: DataFrame) -> DataFrame:
     """The trie's nodes with what their subtrees hold."""
-    adds = nodes.select(F.col("conv_id").alias("conv"), "depth", ((F.col("n_ends") == F.col("n_convs")) | F.col("chain")).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
+    adds = nodes.select(
+        F.col("conv_id").alias("conv"), "depth",
+        ((F.col("n_ends") == F.col("n_convs")) | F.col("chain")).cast("long").alias("leaves"),
+        ((F.col("n_convs") - 1) * F.col("chars")).alias("saved")
+    )
     below = Window.partitionBy("conv").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
     credited = paths.select("conv", "depth", "class").join(adds, ["conv", "depth"], "left")
     credited = credited.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(below) for c in ("leaves", "saved")})
     sums = credited.groupBy("depth", "class").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
-    children = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("class")).agg(F.count("*").alias("children"))
+    children = nodes.where("depth > 0").groupBy(
+        (F.col("depth") - 1).alias("depth"),
+        F.col("parent").alias("class")
+    ).agg(F.count("*").alias("children"))
     ends = member_digests(paths.where("last"))
     sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
     whole = nodes.join(sums, ["depth", "class"]).join(children, ["depth", "class"], "left").join(ends, ["depth", "class"], "left")
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("class").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     shared = whole.join(above, ["depth", "parent"], "left").select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", (F.coalesce("children", F.lit(0)) + F.col("chain").cast("long")).alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("ends_sha256", sha(F.lit(""))).alias("ends_sha256")
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        (F.coalesce("children", F.lit(0)) + F.col("chain").cast("long")).alias("n_children"),
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("ends_sha256", sha(F.lit(""))).alias("ends_sha256")
     )
     one = F.lit(1).cast("long")
     chains = rows.join(retired, "conv").where("depth > after").select(
-        F.col("conv").alias("conv_id"), "depth", F.col("conv").alias("parent_conv_id"), one.alias("n_convs"), F.when(F.col("last"), 0).otherwise(1).cast("long").alias("n_children"), one.alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), sha(F.when(F.col("last"), F.col("conv").cast("string")).otherwise("")).alias("ends_sha256")
+        F.col("conv").alias("conv_id"), "depth", F.col("conv").alias("parent_conv_id"), one.alias("n_convs"), F.when(F.col("last"), 0).otherwise(1).cast("long").alias("n_children"), one.alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), sha(
+            F.when(F.col("last"), F.col("conv").cast("string")).otherwise("")
+        ).alias("ends_sha256")
     )
     return shared.unionAll(chains)
 
 
-def prefix_trie(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", group: int = 100, most: int = 6, first_turns: int = FIRST_TURNS, most_turns: int = MOST_TURNS) -> DataFrame:
+def prefix_trie(
+    rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+    text_col: str = "text", group: int = 100, most: int = 6, first_turns: int = FIRST_TURNS,
+    most_turns: int = MOST_TURNS
+) -> DataFrame:
     """One row for each distinct sequence of first turns (role, text) of the rebuilt conversations (see rebuilt).
 
     conv_id (the smallest member), depth, parent_conv_id (null at the root), n_convs, n_children, n_leaves, saved_tokens (over the subtree:
@@ -205,7 +272,10 @@ def prefix_trie(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "
     are hashed where they are read and never shuffled. An empty table has no conversations, so no root. Other columns are not used.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
-    held = rows.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    held = rows.where(F.col(conv_col).isNotNull()).select(
+        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"),
+        text.alias("text")
+    )
     held = held.withColumns({"mark": mark(F.col("role"), F.col("text")), "chars": F.char_length("text").cast("long")})
     turns = stored(rebuilt(numbered(held), group=group, most=most), "trie-turns")
     return fold(turns, *refine(turns, first_turns=first_turns, most_turns=most_turns))
@@ -221,10 +291,12 @@ WITH crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab
 ), own AS (
-  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), coded AS (
-  SELECT own.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  SELECT own.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''),
+    lambda x: CAST(ascii(x) AS BIGINT))),
            lambda z, b: xor(z >> 8, tab[(xor(z, b) & 255) + 1]))) % 6 AS h
   FROM own, crc_table
 ), rebuilt AS (
@@ -244,7 +316,8 @@ WITH crc_table AS (
 ), sums AS (
   SELECT d, path, count(*) FILTER (leaf) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM up GROUP BY d, path
 )
-SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens,
+  n.ends_sha256
 FROM node n JOIN sums s ON s.d = n.d AND s.path = n.path
 LEFT JOIN child c ON c.d = n.d AND c.path = n.path
 LEFT JOIN node p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]

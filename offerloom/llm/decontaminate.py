@@ -36,9 +36,11 @@ MOST_PAIRS = 1 << 20
 
 @dataclass
 class Index:
-    """Items of one block. hashes: of all words; first, last: the item's bounds for each word; item: its number; ids: the names of each item.
+    """Items of one block. hashes: of all words; first, last: the item's bounds for each word; item: its number; ids: the names
+    of each item.
 
-    print, at: kept k-grams, sorted, and where they begin, one of each surroundings in an item. short: length -> (hashes, item number) of items below a window.
+    print, at: kept k-grams, sorted, and where they begin, one of each surroundings in an item. short: length -> (hashes, item
+    number) of items below a window.
     """
 
     ids: list[list[str]]
@@ -128,7 +130,10 @@ def _blocks(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[np.ndar
         yield row, lo[row] + number - (ends[row] - sizes[row])
 
 
-def _extended(hashes: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, q: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _extended(
+    hashes: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, q: np.ndarray, window: int,
+    gram: int
+) -> tuple[np.ndarray, np.ndarray]:
     """(left, right): equal words before place p of a document and q of an item, and from there on."""
     low, high = np.minimum(low, q - index.first[q]), np.minimum(high, index.last[q] - q)
     left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
@@ -147,7 +152,14 @@ def _extended(hashes: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarr
     return left, right
 
 
-def find_hits(found: Words, hashes: np.ndarray, kept: tuple[np.ndarray, np.ndarray], index: Index, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def find_hits(
+    found: Words,
+    hashes: np.ndarray,
+    kept: tuple[np.ndarray, np.ndarray],
+    index: Index,
+    window: int,
+    gram: int
+) -> tuple[np.ndarray, ...]:
     """(from word, to word) of what is hit in a slice of documents, (document, item number) of who hits, each once."""
     begin, end, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
     at, prints = kept
@@ -155,7 +167,10 @@ def find_hits(found: Words, hashes: np.ndarray, kept: tuple[np.ndarray, np.ndarr
     if (some := np.flatnonzero(hi > lo)).size:
         p, row = at[some], found.doc[at[some]]
         low, high = p - found.first[row], found.first[row + 1] - p
-        _, one, of = np.unique(surroundings(hashes, p, found.first[row], found.first[row + 1], window, gram), return_index=True, return_inverse=True)
+        _, one, of = np.unique(
+            surroundings(hashes, p, found.first[row], found.first[row + 1], window, gram), return_index=True,
+            return_inverse=True
+        )
         most_left, most_right = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         hits = [np.zeros((2, 0), np.int64)]
         for i, place in _blocks(lo[some][one], hi[some][one], MOST_PAIRS):
@@ -187,7 +202,15 @@ def find_hits(found: Words, hashes: np.ndarray, kept: tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(v) for v in (begin, end, docs, items))
 
 
-def _judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, blocks, text: str, window: int, gram: int, share: float) -> Iterator[pa.RecordBatch]:
+def _judge(
+    batches: Iterator[pa.RecordBatch],
+    schema: pa.Schema,
+    blocks,
+    text: str,
+    window: int,
+    gram: int,
+    share: float
+) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo, hi in slices(column(whole, text)):
             batch = whole.slice(lo, hi - lo)
@@ -213,11 +236,17 @@ def _judge(batches: Iterator[pa.RecordBatch], schema: pa.Schema, blocks, text: s
                 own = hit[found.first[i] : found.first[i + 1]] if n_hit[i] else hit[:0]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
                 spans.append([{"at": int(a), "till": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-            new = {"n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "items": pa.array(lists, pa.list_(pa.string())), "contaminated": pa.array(bad), "spans": pa.array(spans, schema.field("spans").type)}
+            new = {
+                "n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "items": pa.array(lists, pa.list_(pa.string())),
+                "contaminated": pa.array(bad), "spans": pa.array(spans, schema.field("spans").type)
+            }
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else column(batch, f.name) for f in schema], schema=schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, gram: int = 7, share: float = 0.05, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", window: int = 13, gram: int = 7, share: float = 0.05, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """docs with n_words, n_hit (long), items (array of item ids as strings, sorted), contaminated and spans (word intervals [at, till)).
 
     Words: runs of digits, letters a-z and characters beyond ASCII, after lower-casing A-Z. An item of
@@ -232,7 +261,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
     if text_bytes(items) <= block_bytes:
         got = items.toArrow()
-        held = spark.sparkContext.broadcast(build_index(got["id"].to_pylist(), got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), window, gram))
+        held = spark.sparkContext.broadcast(
+            build_index(got["id"].to_pylist(), got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), window, gram)
+        )
 
         def blocks():
             yield held.value
@@ -259,21 +290,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                     yield pickle.loads(f.read())
 
     span = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("till", T.IntegerType())]))
-    out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()), T.StructField("spans", span)])
+    out = T.StructType(
+        [
+            *docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+            T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()),
+            T.StructField("spans", span)
+        ]
+    )
     schema = arrow_schema(out)
     return docs.mapInArrow(lambda batches: _judge(batches, schema, blocks, text_col, window, gram, share), out)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
-    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = decontaminate(
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"),
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+    )
 
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS ws FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS ws FROM documents
 ), b AS (
-  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS ws FROM benchmark
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS ws FROM benchmark
 ), bw AS (
   SELECT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS win
   FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM b WHERE len(ws) > 0)
@@ -285,9 +331,11 @@ WITH d AS (
 ), n_hits AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(beg, beg + n)) AS pos FROM hits) GROUP BY doc_id
 ), named AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items,
+  0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN n_hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """

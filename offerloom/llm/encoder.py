@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 
-#: The letters that byte-level vocabularies write bytes as: printable Latin-1 characters stand for themselves, the rest for what follows U+0100.
+#: The letters that byte-level vocabularies write bytes as: printable Latin-1 characters stand for themselves, the rest for what
+#: follows U+0100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
@@ -30,13 +31,20 @@ def shared_encoder(path: str, special_as_text: bool = False) -> Encoder:
     return Encoder(path, special_as_text)
 
 
-#: Normalizer and pre-tokenizer under which a text's ids are those of its pieces between spaces: lower case, and no match reaches over white space.
+#: Normalizer and pre-tokenizer under which a text's ids are those of its pieces between spaces: lower case, and no match reaches
+#: over white space.
 _APART = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    },
     "pre_tokenizer": {
         "type": "Sequence",
         "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {
+                "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed", "invert": True
+            },
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
@@ -68,7 +76,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         rules = json.loads(self.tokenizer.to_str())
-        self.apart = all(rules[k] == v for k, v in _APART.items()) and rules["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in rules["added_tokens"])
+        self.apart = all(rules[k] == v for k, v in _APART.items()) and rules["model"]["type"] == "BPE" and not any(
+            t["lstrip"] or t["rstrip"] or " " in t["content"] for t in rules["added_tokens"]
+        )
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}

@@ -2,7 +2,8 @@
 
 P(w | h) = d(c) * c / C(h) for an n-gram hw seen c > 0 times, else a(h) * P(w | h'), h' being h without its first word; below
 single words stands one class for all unknown ones. d are Katz's discounts (Good-Turing up to DISCOUNTED
-counts, 1 above) of each order. C(h) is the sum of the counts in h, one more where no discount leaves anything. a(h) gives what is left to the words
+counts, 1 above) of each order. C(h) is the sum of the counts in h, one more where no discount leaves anything. a(h) gives what
+is left to the words
 unseen after h: (1 - sum of d * c / C(h)) / (1 - sum of P(w | h') over the words w seen after h), so that every
 context adds up to 1.
 
@@ -47,9 +48,11 @@ _REPLY = "slice long, kind string, part int, a binary, b binary, keys array<bina
 
 @dataclass
 class Model:
-    """order, buckets, heavy (counts of contexts that are spread); tables: of each order, one packed row a bucket (n-grams as word numbers, counts, counts one order below);
+    """order, buckets, heavy (counts of contexts that are spread); tables: of each order, one packed row a bucket (n-grams as
+    word numbers, counts, counts one order below);
     contexts: of each order above the first, packed sums by context; discounts: of each order, by count (index 0 unused);
-    n, types: tokens and distinct tokens of the training texts; total, unknown: what divides the single words' counts, and the probability of the unknown class."""
+    n, types: tokens and distinct tokens of the training texts; total, unknown: what divides the single words' counts, and the
+    probability of the unknown class."""
 
     order: int
     buckets: int
@@ -102,7 +105,9 @@ def _encode(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator
             frequent = np.argsort(-counts, kind="stable")  # small numbers pack better
             rank = np.empty(len(frequent), np.int32)
             rank[frequent] = np.arange(len(frequent))
-            yield number, "slice", None, pack(vocabulary[frequent]), pack(rank[stream]), pack((np.diff(found.first) + 1).astype(np.int64)), ids[lo:hi].to_pylist(), out[lo:hi].to_pylist()
+            yield number, "slice", None, pack(vocabulary[frequent]), pack(rank[stream]), pack(
+                (np.diff(found.first) + 1).astype(np.int64)
+            ), ids[lo:hi].to_pylist(), out[lo:hi].to_pylist()
             number += 1
 
     for batch in batches:
@@ -139,7 +144,9 @@ class Slice:
         for r in table.to_pylist():
             if r["kind"] == "slice":
                 self.slice, self.ids, self.held = r["slice"], r["ids"], np.array(r["held"], bool)
-                self.vocabulary, self.stream, self.sizes = (unpacked(r[x], t) for x, t in (("a", np.uint64), ("b", np.int32), ("c", np.int64)))
+                self.vocabulary, self.stream, self.sizes = (
+                    unpacked(r[x], t) for x, t in (("a", np.uint64), ("b", np.int32), ("c", np.int64))
+                )
             else:
                 self.replies[r["kind"], r["part"]] = (r["a"], r["b"])
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -259,7 +266,13 @@ def _score(table: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
         p = np.where(c > 0, _discounted(c, model.discounts[n - 1]) / np.maximum(total, 1), s.weight[s.before] * p)
     rows = len(s.sizes)
     sums = [np.add.reduceat(x, s.starts) if rows else np.zeros(0) for x in ((known > 0).astype(np.int64), base, np.log10(p))]
-    return pa.Table.from_arrays([pa.array(s.ids, schema.field(0).type), pa.array(s.held), pa.array(s.sizes), pa.array(sums[0]), pa.array(np.full(rows, model.n)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
+    return pa.Table.from_arrays(
+        [
+            pa.array(s.ids, schema.field(0).type), pa.array(s.held), pa.array(s.sizes), pa.array(sums[0]),
+            pa.array(np.full(rows, model.n)), pa.array(sums[1]), pa.array(sums[2])
+        ],
+        schema=schema
+    )
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -271,12 +284,16 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
 
 def _gathered(rows: list[dict], kind: str, types: dict[str, type]) -> tuple[list, dict[str, np.ndarray]]:
     """(keys, the columns of types) of packed rows, one after the other."""
-    keys = [np.concatenate([unpacked(r["keys"][i], np.uint64 if kind == "n1" else np.int64) for r in rows]) for i in range(len(rows[0]["keys"]))] if rows else []
+    keys = [
+        np.concatenate([unpacked(r["keys"][i], np.uint64 if kind == "n1" else np.int64) for r in rows]) for i in range(len(rows[0]["keys"]))
+    ] if rows else []
     return keys, {k: np.concatenate([unpacked(r[k], t) for r in rows]) for k, t in types.items()} if rows else {}
 
 
 def _count(table: pa.Table, n: int, buckets: int, schema: pa.Schema) -> pa.Table:
-    """One bucket: its part of the table, and each slice's replies. Requests for contexts pass through: they are answered when the table is whole."""
+    """One bucket: its part of the table, and each slice's replies. Requests for contexts pass through: they are answered when
+    the table is whole.
+    """
     part = table["part"][0].as_py()
     every = table.to_pylist()
     rows = [r for r in every if r["kind"] == f"n{n}"]
@@ -304,12 +321,20 @@ def _count(table: pa.Table, n: int, buckets: int, schema: pa.Schema) -> pa.Table
             mine = run[at : at + size]
             at += size
             if r["slice"] != TABLE:
-                out.append((r["slice"], f"n{n}", part, *((pack(numbers[mine]), pack(counts[mine])) if n == 1 else (pack(counts[mine]), None)), None, None))
+                out.append(
+                    (
+                        r["slice"], f"n{n}", part,
+                        *((pack(numbers[mine]), pack(counts[mine])) if n == 1 else (pack(counts[mine]), None)), None,
+                        None
+                    )
+                )
     return pa.Table.from_batches(list(in_batches(iter(out), schema)), schema)
 
 
 def _sums(batches: Iterator[pa.RecordBatch], n: int, d: list[float], d_low: list[float], buckets: int) -> Iterator[tuple]:
-    """Of each context in one part of a table: its counts, what discounts leave of them, and its words' discounted counts one order below."""
+    """Of each context in one part of a table: its counts, what discounts leave of them, and its words' discounted counts one
+    order below.
+    """
     for batch in batches:
         for r in batch.to_pylist():
             keys, counts, low = [unpacked(k, np.int64) for k in r["keys"]], unpacked(r["a"], np.int64), unpacked(r["b"], np.int64)
@@ -339,7 +364,9 @@ def _weigh(table: pa.Table, n: int, schema: pa.Schema) -> pa.Table:
         first = _runs([k[order] for k in both])
         run = np.empty(len(order), np.int64)
         run[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        total, left, low = (np.bincount(run[:many], sent[x], minlength=len(first)) if many else np.zeros(len(first)) for x in ("counts", "low", "more"))
+        total, left, low = (
+            np.bincount(run[:many], sent[x], minlength=len(first)) if many else np.zeros(len(first)) for x in ("counts", "low", "more")
+        )
         nothing = left <= 0
         total, left = np.where(nothing & (total > 0), total + 1, total), np.where(nothing, 1.0, left)
         mine = run[many:]
@@ -359,14 +386,19 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY) -> tuple[DataFrame, Model]:
+def katz(
+    docs: DataFrame, *, held_out: Column | None = None, order: int = 3, model: Model | None = None,
+    id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY
+) -> tuple[DataFrame, Model]:
     """(scores, model). Learns from the texts that are not held out, or goes on from a model, adding nothing to it.
 
-    scores: id_col, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (the log10 probability by single words with
+    scores: id_col, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (the log10 probability by
+    single words with
     0.5 added to each count), score (the model's). One row for each of docs. Tokens: runs of characters other than
     space, tab, line feed, vertical tab, form feed and carriage return, A-Z in lower case, then one for the end of the text.
 
-    Null texts are empty: one token. A null held_out is false. Ids may be null or repeated: each row is a text of its own. A text is never split, so
+    Null texts are empty: one token. A null held_out is false. Ids may be null or repeated: each row is a text of its own. A
+    text is never split, so
     it must fit a task. With no training text every token is unknown, and both scores are 0. An empty table gives an empty table.
     Other columns are not used. Words are told apart by 64-bit hashes, n-grams by their words' numbers.
     """
@@ -379,8 +411,14 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
     form = _SLICE.format(id=id_type)
     id_arrow = arrow_schema(f"id {id_type}").field(0).type
     have = _saved(map_rows(source, lambda b: _encode(b, id_arrow), form), "katz-slices")
-    replies = lambda df: df.where(F.col("slice") != TABLE).select("slice", "kind", "part", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"))
-    table_rows = lambda df, kind: df.select("part", "slice", F.lit(kind).alias("kind"), "keys", F.col("a").alias("counts"), F.col("b").alias("low"), F.lit(None).cast("binary").alias("more"))
+    replies = lambda df: df.where(F.col("slice") != TABLE).select(
+        "slice", "kind", "part", "a", "b", F.lit(None).cast("binary").alias("c"),
+        F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held")
+    )
+    table_rows = lambda df, kind: df.select(
+        "part", "slice", F.lit(kind).alias("kind"), "keys", F.col("a").alias("counts"), F.col("b").alias("low"),
+        F.lit(None).cast("binary").alias("more")
+    )
 
     for n in range(1, learned.order + 1):
         if n == 1:
@@ -406,14 +444,33 @@ def katz(docs: DataFrame, *, held_out: Column | None = None, order: int = 3, mod
         if n > 1:
             if not model:
                 d, d_low = learned.discounts[n - 1], learned.discounts[n - 2]
-                learned.contexts.append(map_rows(learned.tables[n - 1].select("keys", "a", "b"), lambda b, n=n, d=d, d_low=d_low: _sums(b, n, d, d_low, buckets), _REQUEST))
+                learned.contexts.append(
+                    map_rows(
+                        learned.tables[n - 1].select("keys", "a", "b"),
+                        lambda b, n=n, d=d, d_low=d_low: _sums(b, n, d, d_low, buckets), _REQUEST
+                    )
+                )
             none = F.lit(None).cast("binary")
-            contexts = counted.where(F.col("kind") == f"c{n}").select("part", "slice", "kind", "keys", none.alias("counts"), none.alias("low"), F.col("a").alias("more"))
+            contexts = counted.where(F.col("kind") == f"c{n}").select(
+                "part",
+                "slice",
+                "kind",
+                "keys",
+                none.alias("counts"),
+                none.alias("low"),
+                F.col("a").alias("more")
+            )
             contexts = contexts.unionByName(learned.contexts[n - 2])
-            weighed = _saved(contexts.groupBy("part").applyInArrow(_in_groups(_weigh, n, arrow_schema(_REPLY)), _REPLY), f"katz-weights-{n}")
+            weighed = _saved(
+                contexts.groupBy("part").applyInArrow(_in_groups(_weigh, n, arrow_schema(_REPLY)), _REPLY),
+                f"katz-weights-{n}"
+            )
             have = have.unionByName(replies(weighed))
     out = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    plain = Model(learned.order, buckets, learned.heavy, [], [], learned.discounts, learned.n, learned.types, learned.total, learned.unknown)
+    plain = Model(
+        learned.order, buckets, learned.heavy, [], [], learned.discounts, learned.n, learned.types, learned.total,
+        learned.unknown
+    )
     return have.groupBy("slice").applyInArrow(_in_groups(_score, plain, arrow_schema(out)), out), learned
 
 

@@ -59,7 +59,9 @@ def pack_block(sizes: list[int], capacity: int, cut: bool = True) -> list[list[P
     """
     if cut:
         windows, taken, part = cut_block(sizes, capacity)
-        return windows + [[(taken + i, at + part * (i == 0), n) for i, at, n in w] for w in powers_of_two(_rest(sizes, taken, part), capacity)]
+        return windows + [
+            [(taken + i, at + part * (i == 0), n) for i, at, n in w] for w in powers_of_two(_rest(sizes, taken, part), capacity)
+        ]
     k = -(-sum(sizes) // capacity)
     while True:
         windows = differencing(sizes, k)
@@ -129,7 +131,14 @@ def powers_of_two(sizes: list[int], capacity: int) -> list[list[Piece]]:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, block_windows: int, cut: bool = True) -> Iterator[tuple]:
+def _pack(
+    batches: Iterator[pa.RecordBatch],
+    tokenizer: str,
+    end_id: int,
+    capacity: int,
+    block_windows: int,
+    cut: bool = True
+) -> Iterator[tuple]:
     encoder = shared_encoder(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
     context = TaskContext.get()
@@ -174,10 +183,14 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capaci
         yield from flush(True)
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, block_windows: int = 128, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, block_windows: int = 128,
+    cut: bool = True, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Pieces of documents: the id column, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    Each document is its ids and end_id. Documents longer than a sequence are cut; others only with cut. A null or empty text is one token, its end_id. Rows that repeat an
+    Each document is its ids and end_id. Documents longer than a sequence are cut; others only with cut. A null or empty text is
+    one token, its end_id. Rows that repeat an
     id, or have none, are packed one by one like any other. Sequences never hold more than `capacity` tokens;
     offsets in a sequence run from 0 without gaps. sequence_id: the task's number in the upper bits, then a
     count. An empty table gives an empty table; other columns are not used.
@@ -185,7 +198,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 2, capa
     tokenizer = tokenizer or public_tokenizer()
     source = short_batches(docs).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
-    out = map_rows(source, lambda b: _pack(b, tokenizer, end_id, capacity, block_windows, cut), f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long")
+    out = map_rows(
+        source, lambda b: _pack(b, tokenizer, end_id, capacity, block_windows, cut),
+        f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
+    )
     return out.withColumnRenamed("doc", id_col)
 
 

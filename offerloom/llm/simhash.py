@@ -186,9 +186,18 @@ def near_links(prints: DataFrame, *, distance: int = 4, prefix_bits: int | None
             prints = np.asarray(column(batch, "print")).view(_U)
             for lo in range(0, len(node), 2000):
                 row, prefix, left = routes(prints[lo : lo + 2000], prefix_bits, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int64)), pa.array(left), pa.array(node[lo + row]), pa.array(prints[lo + row].view(np.int64))], names=["bucket", "left", "node", "print"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(prefix.astype(np.int64)), pa.array(left), pa.array(node[lo + row]),
+                        pa.array(prints[lo + row].view(np.int64))
+                    ],
+                    names=["bucket", "left", "node", "print"]
+                )
 
-    return prints.mapInArrow(spread, schema).groupBy("bucket").applyInArrow(lambda t: bucket_links(t, prefix_bits, distance), "node long, to long").distinct()
+    return prints.mapInArrow(spread, schema).groupBy("bucket").applyInArrow(
+        lambda t: bucket_links(t, prefix_bits, distance),
+        "node long, to long"
+    ).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -198,7 +207,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ends when a round changes nothing. Hubs are joined on minima that were aggregated before the
     shuffle, so no task gathers a hub's neighbours.
     """
-    edges = stored(links.where("node != to").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct(), "links")
+    edges = stored(
+        links.where("node != to").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct(),
+        "links"
+    )
     size = _digest(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -235,9 +247,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def hashed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(text_fingerprints(column(batch, "text"), shingle).view(np.int64))], names=["doc", "print"])
-
-    source = short_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc"), pa.array(text_fingerprints(column(batch, "text"), shingle).view(np.int64))],
+                names=["doc", "print"]
+            )
+
+    source = short_batches(docs).where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc"),
+        F.col(text_col).alias("text")
+    )
     prints = stored(source.mapInArrow(hashed, schema), "fingerprints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc").alias("node")), "nodes")
     # an id with several texts joins their components
@@ -247,9 +265,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = links.union(prints.join(nodes, "print").where("doc != node").select(F.col("doc").alias("node"), F.col("node").alias("to")))
     found = components(links)
     if twice:
-        named = prints.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
+        named = prints.join(
+            found.withColumnRenamed("node", "doc"),
+            "doc",
+            "left"
+        ).withColumn("component_id", F.coalesce("component", "doc"))
     else:
-        named = prints.join(nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "print")
+        named = prints.join(
+            nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")),
+            "print"
+        )
     return named.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -215,7 +215,10 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, names: dict[str,
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else column(batch, f.name) for f in schema], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col: str = "text", layout: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, width: int = 50, id_col: str = "doc_id", text_col: str = "text", layout: str = "text",
+    bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """docs with the words cut that lie in a window which also starts in a document of a smaller id.
 
     Words are runs of characters other than space, tab, line feed, vertical tab, form feed and
@@ -231,12 +234,22 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     docs = short_batches(docs).drop("n_words", "n_removed", "kept", "spans")
     doc, twin, at, till, gdoc, gtwin = fresh(docs, "_doc", "_twin", "_at", "_till", "_gdoc", "_gtwin")
     repeats = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
-    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text_col) if repeats else F.lit(0).cast("long")})
-    gone = repeated_intervals(keyed.select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), F.col(text_col).alias("text")), width=width, bucket_bytes=bucket_bytes)
+    keyed = docs.withColumns(
+        {doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text_col) if repeats else F.lit(0).cast("long")}
+    )
+    gone = repeated_intervals(
+        keyed.select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), F.col(text_col).alias("text")), width=width,
+        bucket_bytes=bucket_bytes
+    )
     gone = gone.select(F.col("doc").alias(gdoc), F.col("twin").alias(gtwin), F.col("at").alias(at), F.col("till").alias(till))
     joined = keyed.join(gone, (F.col(doc) == F.col(gdoc)) & (F.col(twin) == F.col(gtwin)), "left").drop(doc, twin, gdoc, gtwin)
     span = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("till", T.IntegerType())]))
-    out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", span)])
+    out = T.StructType(
+        [
+            *docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+            T.StructField("kept", T.StringType()), T.StructField("spans", span)
+        ]
+    )
     arrow = arrow_schema(out)
     names = {"text": text_col, "at": at, "till": till, "n_words": "n_words", "n_removed": "n_removed", "kept": "kept", "spans": "spans"}
     return joined.mapInArrow(lambda batches: _cut(batches, arrow, names, layout), out)

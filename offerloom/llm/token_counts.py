@@ -24,7 +24,10 @@ BLOCK_BYTES = 4 << 20
 FILE_BYTES = 512 << 20
 
 
-def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, eod: int | None = None, text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_flat(
+    docs: DataFrame, folder: str, *, tokenizer: str | None = None, eod: int | None = None, text_col: str = "text",
+    file_bytes: int = FILE_BYTES
+) -> DataFrame:
     """Flat files of unsigned 16-bit ids, eod (by default the tokenizer's last id, its end-of-text token) behind each document.
 
     Each scan task writes its own files under temporary names and renames them. Special tokens' strings in a
@@ -62,7 +65,11 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, eo
             yield file, name, size
 
     spark = docs.sparkSession
-    written = map_rows(short_batches(docs).select(F.col(text_col).alias("text")), files, "file long, name string, bytes long").collect()  # one row a file
+    written = map_rows(  # one row a file
+        short_batches(docs).select(F.col(text_col).alias("text")),
+        files,
+        "file long, name string, bytes long"
+    ).collect()
     return spark.createDataFrame([tuple(r) for r in written], "file long, name string, bytes long")
 
 
@@ -73,13 +80,21 @@ def count_tokens(files: DataFrame, folder: str, eod: int, *, block_bytes: int =
     file has no documents; two eod in a row hold an empty one. bytes must be a multiple of the width.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
-    blocks = files.where("bytes > 0").withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(block_bytes).cast("long"))))
-    blocks = blocks.withColumn("size", F.least(F.lit(block_bytes).cast("long"), F.col("bytes") - F.col("offset"))).repartition("file", "offset")
+    blocks = files.where("bytes > 0").withColumn(
+        "offset",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(block_bytes).cast("long")))
+    )
+    blocks = blocks.withColumn(
+        "size",
+        F.least(F.lit(block_bytes).cast("long"), F.col("bytes") - F.col("offset"))
+    ).repartition("file", "offset")
 
     def scan(batches):
         fs, root = open_fs(folder)
         for batch in batches:
-            for file, name, total, offset, size in zip(*(column(batch, c).to_pylist() for c in ("file", "name", "bytes", "offset", "size"))):
+            for file, name, total, offset, size in zip(
+                *(column(batch, c).to_pylist() for c in ("file", "name", "bytes", "offset", "size"))
+            ):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     ids = np.frombuffer(f.read_at(size, offset), kind)
                 if len(ids) * width != size:
@@ -90,10 +105,18 @@ def count_tokens(files: DataFrame, folder: str, eod: int, *, block_bytes: int =
     found = map_rows(blocks, scan, "file long, first long, total long, n_ends long, next long, ends array<long>")
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("first").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stitched = found.withColumns({"docs": F.coalesce(F.sum("n_ends").over(before), F.lit(0)), "begin": F.coalesce(F.max("next").over(before), F.lit(0)), "last": F.max("first").over(after)})
+    stitched = found.withColumns(
+        {
+            "docs": F.coalesce(F.sum("n_ends").over(before), F.lit(0)),
+            "begin": F.coalesce(F.max("next").over(before), F.lit(0)), "last": F.max("first").over(after)
+        }
+    )
     closed = stitched.select("file", "docs", "begin", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("begin")).otherwise(F.try_element_at("ends", F.greatest(F.col("i"), F.lit(1))) + 1)
-    closed = closed.select("file", (F.col("docs") + F.col("i")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("terminated"))
+    closed = closed.select(
+        "file", (F.col("docs") + F.col("i")).alias("doc_no"), start.alias("start"),
+        (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("terminated")
+    )
     left = F.coalesce("next", "begin")
     rest = stitched.where((F.col("first") == F.col("last")) & (left < F.col("total")))
     return closed.union(rest.select("file", F.col("docs") + F.col("n_ends"), left, F.col("total") - left, F.lit(False)))

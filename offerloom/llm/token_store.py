@@ -55,7 +55,10 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_checksum=False)
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> dict:
+def write(
+    docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id",
+    text_col: str = "text", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES
+) -> dict:
     """Writes the ids of all texts, end_id behind each, in ascending order of id_col (null first; repeated ids by their
     ids' bytes). A null or empty text is end_id alone. Returns the manifest. An empty table gives a manifest without files.
     """
@@ -64,7 +67,10 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
 
     # one pass for the layout: ids are cut into ranges of equal counts
     grid = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    layout = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.percentile_approx("doc", grid, 20 * MOST_RANGES).alias("edges")).head()
+    layout = source.agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"),
+        F.percentile_approx("doc", grid, 20 * MOST_RANGES).alias("edges")
+    ).head()
     n_ranges = min(MOST_RANGES, max(1, -(-(layout["bytes"] or 0) // range_bytes)))
     bounds = layout["edges"] or []
     edges = np.array(sorted({bounds[i * MOST_RANGES // n_ranges - 1] for i in range(1, n_ranges)}) if bounds else [], np.int64)
@@ -72,7 +78,10 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
     # one of so many hashes, so that about twice the sample is left before copies go
     h, room = F.xxhash64("text"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1))
     some = source.where("text is not null").where(F.pmod(h, F.lit(max(1, layout["n"] // (2 * SAMPLE_DOCS)))) == 0)
-    some = some.select(h.alias("h"), F.substring("text", F.pmod(F.xxhash64("text", F.lit(1)), room.cast("long")).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+    some = some.select(
+        h.alias("h"),
+        F.substring("text", F.pmod(F.xxhash64("text", F.lit(1)), room.cast("long")).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    )
     sample = some.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS)
     wide = shared_encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
@@ -108,7 +117,12 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
             nonlocal out
             f, name, index, at = out
             sink = pa.BufferOutputStream()
-            table = pa.table({"doc_id": pa.array(index[0], pa.int64()), "offset": pa.array(index[1], pa.int64()), "size": pa.array(index[2], pa.int64()), "n_tokens": pa.array(index[3], pa.int64())})
+            table = pa.table(
+                {
+                    "doc_id": pa.array(index[0], pa.int64()), "offset": pa.array(index[1], pa.int64()),
+                    "size": pa.array(index[2], pa.int64()), "n_tokens": pa.array(index[3], pa.int64())
+                }
+            )
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
             f.write(sink.getvalue())
@@ -137,7 +151,10 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id:
         if out:
             yield close()
 
-    written = sorted(map_rows(ranged, files, "name string, part int, seq int, n_docs long, n_tokens long").collect(), key=lambda r: (r["part"], r["seq"]))
+    written = sorted(
+        map_rows(ranged, files, "name string, part int, seq int, n_docs long, n_tokens long").collect(),
+        key=lambda r: (r["part"], r["seq"])
+    )
     entries, start = [], 0
     for r in written:  # one entry a file
         entries.append({"name": r["name"], "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
@@ -177,7 +194,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: doc_id, start (tokens before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     manifest, dictionary = _load(folder)
     kind = manifest["kind"]
-    files = spark.createDataFrame([(e["name"], e["start"]) for e in manifest["files"]], "name string, start long").repartition(max(1, len(manifest["files"])), "name")
+    files = spark.createDataFrame(
+        [(e["name"], e["start"]) for e in manifest["files"]],
+        "name string, start long"
+    ).repartition(max(1, len(manifest["files"])), "name")
 
     def documents(batches):
         fs, root = open_fs(folder)
@@ -207,7 +227,10 @@ def read_document(folder: str, doc_id: int) -> np.ndarray | None:
             if len(at):
                 i = int(at[0])
                 press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
-                return np.frombuffer(press.decompress(f.read_at(index["size"][i].as_py(), index["offset"][i].as_py())), manifest["kind"]).astype(np.uint32)
+                return np.frombuffer(
+                    press.decompress(f.read_at(index["size"][i].as_py(), index["offset"][i].as_py())),
+                    manifest["kind"]
+                ).astype(np.uint32)
     return None
 
 

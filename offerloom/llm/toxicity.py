@@ -33,7 +33,9 @@ ONE_EDIT, TWO_EDITS = 5, 9
 #: Words before and after a hit that are its context.
 WINDOW = 8
 # Words that report speech, in the languages of the test data.
-REPORTING = frozenset("said says say quote quoted quotes called calls wrote writes word words term sagte sagt schrieb nannte wort dit disait écrit mot dijo dice escribió palabra".split())
+REPORTING = frozenset(
+    "said says say quote quoted quotes called calls wrote writes word words term sagte sagt schrieb nannte wort dit disait écrit mot dijo dice escribió palabra".split()
+)
 OPENING, CLOSING = "“„«‹", "”“»›"
 
 
@@ -150,7 +152,9 @@ class Automaton:
 
 @dataclass
 class Model:
-    """terms, stems: log ratios of the lexicon's rates. benign: close spellings that clean rows hold. close: the weight of another one. weights: of 1 and the three figures."""
+    """terms, stems: log ratios of the lexicon's rates. benign: close spellings that clean rows hold. close: the weight of
+    another one. weights: of 1 and the three figures.
+    """
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
@@ -186,7 +190,9 @@ class Finder:
                 accepted = self.automaton.accepts[states[i]]
                 if accepted and not (accepted[1] and spelled[i] in self.model.benign):
                     self.hits[int(fresh_hashes[i])] = (*accepted, spelled[i])
-            self.known = np.union1d(self.known, fresh_hashes) if len(self.known) < self.MOST_KNOWN else np.sort(np.concatenate([fresh_hashes, np.fromiter(self.hits, np.uint64, len(self.hits))]))
+            self.known = np.union1d(self.known, fresh_hashes) if len(self.known) < self.MOST_KNOWN else np.sort(
+                np.concatenate([fresh_hashes, np.fromiter(self.hits, np.uint64, len(self.hits))])
+            )
             self.known = np.unique(self.known)
         flagged = np.isin(hashes, np.fromiter(self.hits, np.uint64, len(self.hits))) if self.hits else np.zeros(len(hashes), bool)
         return [(int(i), *self.hits[int(hashes[i])]) for i in np.flatnonzero(flagged)]
@@ -218,7 +224,9 @@ def sums(texts: pa.Array, finder: Finder) -> tuple[np.ndarray, list[list[dict]]]
             first, last = int(found.first[doc]), int(found.first[doc + 1]) - 1
             a, b = found.start[max(first, i - WINDOW)], found.end[min(last, i + WINDOW)]
             # marks directly before the window's first word or behind its last belong to it
-            before = data[max(a - 1, found.start[first] - 1 if i - WINDOW < first else a - 1, 0) : found.start[i]].decode("utf-8", "replace")
+            before = data[
+                max(a - 1, found.start[first] - 1 if i - WINDOW < first else a - 1, 0) : found.start[i]
+            ].decode("utf-8", "replace")
             after = data[found.end[i] : b + 3].decode("utf-8", "replace")
             w = model.close if edits else model.stems[term] if term in model.stems and term not in model.terms else model.terms[term]
             q = quotation(before, after)
@@ -286,7 +294,11 @@ def _counted(sample: DataFrame, which: frozenset | None) -> DataFrame:
                     docs, twice, often, times = {}, {}, {}, {}
         yield from ((*t, n, twice[t], often[t], times[t]) for t, n in docs.items())
 
-    return map_rows(sample, count, "term string, stem boolean, n long, twice long, often long, times long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("n", "twice", "often", "times")))
+    return map_rows(
+        sample,
+        count,
+        "term string, stem boolean, n long, twice long, often long, times long"
+    ).groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("n", "twice", "often", "times")))
 
 
 def _settings(sample: DataFrame, which: frozenset) -> DataFrame:
@@ -307,7 +319,11 @@ def _settings(sample: DataFrame, which: frozenset) -> DataFrame:
                             seen.add((*t, " ".join(spelled[max(i - 1, 0) : i] + ["_"] + spelled[i + 1 : i + 2])))
         yield from seen
 
-    return map_rows(sample, settings, "term string, stem boolean, setting string").groupBy("term", "stem").agg(F.countDistinct("setting").alias("n"))
+    return map_rows(
+        sample,
+        settings,
+        "term string, stem boolean, setting string"
+    ).groupBy("term", "stem").agg(F.countDistinct("setting").alias("n"))
 
 
 def _surprise(n1: int, n0: int, base: float) -> float:
@@ -318,12 +334,18 @@ def _surprise(n1: int, n0: int, base: float) -> float:
     return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0))
 
 
-#: Counts of a term in the toxic or the clean rows: (term, is a beginning) -> (documents, documents that hold it twice or more, times but at most 4 a document, times).
+#: Counts of a term in the toxic or the clean rows: (term, is a beginning) -> (documents, documents that hold it twice or more,
+#: times but at most 4 a document, times).
 Counts = dict[tuple[str, bool], tuple[int, int, int, int]]
 
 
-def eligible(toxic: Counts, clean: Counts, n1: int, n0: int, settings: dict[tuple[str, bool], int] | None = None, chance: float = 0.05, least_share: float = 0.35) -> set[tuple[str, bool]]:
-    """Terms that are toxic beyond chance, given how many were looked at: in documents that hold them, or hold them twice. settings: no more than so many documents of each count."""
+def eligible(
+    toxic: Counts, clean: Counts, n1: int, n0: int, settings: dict[tuple[str, bool], int] | None = None,
+    chance: float = 0.05, least_share: float = 0.35
+) -> set[tuple[str, bool]]:
+    """Terms that are toxic beyond chance, given how many were looked at: in documents that hold them, or hold them twice.
+    settings: no more than so many documents of each count.
+    """
     base = n1 / (n1 + n0)
     need = math.log(2 * max(len(toxic), 1) / chance)
     out = set()
@@ -336,7 +358,10 @@ def eligible(toxic: Counts, clean: Counts, n1: int, n0: int, settings: dict[tupl
     return out
 
 
-def choose_terms(good: set[tuple[str, bool]], toxic: Counts, clean: Counts, n1: int, n0: int, words1: int, words0: int, least_weight: float = 2.0) -> tuple[dict[str, float], dict[str, float]]:
+def choose_terms(
+    good: set[tuple[str, bool]], toxic: Counts, clean: Counts, n1: int, n0: int, words1: int, words0: int,
+    least_weight: float = 2.0
+) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings with the log ratio of their rates, if it is at least least_weight.
 
     Of terms that begin with one another, the most surprising is taken; of equals a word before a beginning,
@@ -360,17 +385,27 @@ def choose_terms(good: set[tuple[str, bool]], toxic: Counts, clean: Counts, n1:
     return terms, stems
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = SAMPLE
+) -> Model:
     """A model from labelled rows: at most `sample` of them, by the hash of their ids. Labels other than 0 and 1 and null ids are left out.
 
     Without labelled rows of both kinds, the model gives every text the same low score.
     """
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    marked = labels.where(
+        F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)
+    ).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3)) == 0)
     texts = short_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample is bounded, so one side of this join is
     rows = stored(texts.join(F.broadcast(marked), "id").select("text", "y", "fold"), "labelled")
-    counts = {r["y"]: (r["n"], r["words"] or 0) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("words")).collect()}
+    counts = {
+        r["y"]: (r["n"], r["words"] or 0) for r in rows.groupBy("y").agg(
+            F.count("*").alias("n"),
+            F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("words")
+        ).collect()
+    }
     if len(counts) < 2:
         return Model()
     (n0, words0), (n1, words1) = counts[0], counts[1]
@@ -399,7 +434,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # the weights are fitted where the benign spellings were not learned
     apart = spellings(rows.where("y = 0 and not fold"))
     model.benign, benign = apart, apart | spellings(rows.where("y = 0 and fold"))
-    # misspelt terms are taken to be a tenth as frequent in toxic rows as the terms; how frequent close spellings are in clean rows is counted
+    # misspelt terms are taken to be a tenth as frequent in toxic rows as the terms; how frequent close spellings are in clean
+    # rows is counted
     def close_ones(batches: Iterator[pa.RecordBatch]):
         finder = Finder(model)
         for batch in batches:
@@ -407,7 +443,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 found = words(column(batch, "text")[lo:hi], ALNUM_LOWER)
                 yield len(found.start), sum(edits > 0 for _, _, edits, _ in finder.find(found))
 
-    n_words, n_close = map_rows(rows.where("y = 0 and fold"), close_ones, "words long, close long").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("close"), F.lit(0))).head()
+    n_words, n_close = map_rows(rows.where("y = 0 and fold"), close_ones, "words long, close long").agg(
+        F.coalesce(F.sum("words"), F.lit(0)),
+        F.coalesce(F.sum("close"), F.lit(0))
+    ).head()
     times = sum(toxic[t, False][3] for t in terms if Automaton.allowed(t))
     model.close = max(0.0, math.log((0.1 * times + 0.5) / (words1 + 1)) - math.log((n_close + 0.5) / (n_words + 1)))
 
@@ -435,7 +474,12 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     """
     docs = short_batches(docs).drop("score", "predicted", "hits")
     hit = T.ArrayType(T.StructType.fromDDL("word int, spelling string, term string, edits int, quotation double"))
-    out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("hits", hit)])
+    out = T.StructType(
+        [
+            *docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
+            T.StructField("hits", hit)
+        ]
+    )
     schema = arrow_schema(out)
 
     def scored(batches: Iterator[pa.RecordBatch]):
@@ -443,7 +487,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
         for batch in batches:
             features, hits = sums(column(batch, text_col), finder)
             p = probability(features, model.weights)
-            new = {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)), "hits": pa.array(hits, schema.field("hits").type)}
+            new = {
+                "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)),
+                "hits": pa.array(hits, schema.field("hits").type)
+            }
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else column(batch, f.name) for f in schema], schema=schema)
 
     return docs.mapInArrow(scored, out)

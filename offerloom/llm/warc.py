@@ -48,7 +48,10 @@ def _clean(uri: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool, again: int = 0, date: str = _DATE) -> bytes:
+def record(
+    page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool,
+    again: int = 0, date: str = _DATE
+) -> bytes:
     """One record, its own gzip member, the same bytes for the same arguments."""
     block = _HTTP % size + (b"" if revisit else payload)
     head = [
@@ -69,14 +72,17 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, size:
 def _bounds(rows: DataFrame, range_bytes: int) -> list[int]:
     """Page ids that cut the rows into ranges of about so many bytes, MOST_RANGES at most.
 
-    The cuts follow from the rows alone, however they are partitioned: ids are sampled by hash, about 64 for each range, with the bytes they stand for.
+    The cuts follow from the rows alone, however they are partitioned: ids are sampled by hash, about 64 for each range, with
+    the bytes they stand for.
     """
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).head()
     ranges = min(MOST_RANGES, max(1, -(-(total["bytes"] or 0) // range_bytes)))
     if ranges == 1:
         return []
     one_of = max(1, total["n"] // (64 * ranges))
-    some = rows.where("page is not null").where(F.pmod(F.xxhash64("page"), F.lit(one_of)) == 0).groupBy("page").agg(F.sum("size").alias("bytes"))
+    some = rows.where("page is not null").where(
+        F.pmod(F.xxhash64("page"), F.lit(one_of)) == 0
+    ).groupBy("page").agg(F.sum("size").alias("bytes"))
     held = sorted((r["page"], r["bytes"]) for r in some.collect())  # bounded by 64 ids a range, on average
     share = max(1, sum(b for _, b in held)) / ranges
     out, size = [], 0
@@ -87,14 +93,20 @@ def _bounds(rows: DataFrame, range_bytes: int) -> list[int]:
     return out
 
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> dict:
+def write(
+    pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+    range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES
+) -> dict:
     """Writes every row of pages and returns the manifest: file names in order, with records and bytes.
 
     A null payload is empty; a null url gives no target URI. Rows are sorted by id (null first), then url, then
     digest; of rows that repeat an id and a payload, the first is the response. A null id counts as larger than
     all others when the response is chosen. An empty table gives a manifest without files.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(payload_col), "utf-8"), F.lit(b"")).alias("payload"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"),
+        F.coalesce(F.encode(F.col(payload_col), "utf-8"), F.lit(b"")).alias("payload")
+    )
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     key = F.struct(F.col("page").isNull().alias("no"), F.col("page").alias("page"), F.coalesce("url", F.lit("")).alias("url"))
     first = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min(key).alias("least"), F.count("*").alias("n"))
@@ -103,10 +115,31 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     part = range_number(F.col("page"), bounds := _bounds(rows, range_bytes))
     # Payloads are shuffled once, to where they are written. What is known of a payload that others share travels beside it
     # as a row of its own and is sorted directly before it.
-    known = rows.select("page", "url", "digest", part.cast("int").alias("part"), key.alias("key")).join(first, F.col("digest") == F.col("twin"))
-    known = known.select("part", "page", "url", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size"), F.col("least.page").alias("to"), (F.col("least") < F.col("key")).alias("later"))
-    dealt = known.union(rows.select(part.cast("int"), "page", "url", "digest", F.lit(1), "payload", "size", F.lit(None).cast("long"), F.lit(None).cast("boolean")))
-    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("page").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest", "kind")
+    known = rows.select(
+        "page",
+        "url",
+        "digest",
+        part.cast("int").alias("part"),
+        key.alias("key")
+    ).join(first, F.col("digest") == F.col("twin"))
+    known = known.select(
+        "part", "page", "url", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"),
+        F.lit(None).cast("long").alias("size"), F.col("least.page").alias("to"),
+        (F.col("least") < F.col("key")).alias("later")
+    )
+    dealt = known.union(
+        rows.select(
+            part.cast("int"), "page", "url", "digest", F.lit(1), "payload", "size", F.lit(None).cast("long"),
+            F.lit(None).cast("boolean")
+        )
+    )
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(
+        "part",
+        F.col("page").asc_nulls_first(),
+        F.col("url").asc_nulls_first(),
+        "digest",
+        "kind"
+    )
 
     def files(batches: Iterator[pa.RecordBatch]):
         fs, root = open_fs(folder)
@@ -120,7 +153,9 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
             return name, at_part, seq, n, size
 
         for batch in batches:
-            for p, page, url, digest, kind, payload, length, to, later in zip(*(column(batch, c).to_pylist() for c in ("part", "page", "url", "digest", "kind", "payload", "size", "to", "later"))):
+            for p, page, url, digest, kind, payload, length, to, later in zip(
+                *(column(batch, c).to_pylist() for c in ("part", "page", "url", "digest", "kind", "payload", "size", "to", "later"))
+            ):
                 same = (page, url, digest)
                 if not kind:
                     told = (same, to, later)
@@ -147,7 +182,10 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         if f:
             yield close()
 
-    written = sorted(map_rows(dealt, files, "name string, part int, seq int, records long, bytes long").collect(), key=lambda r: (r["part"], r["seq"]))  # one row a file
+    written = sorted(  # one row a file
+        map_rows(dealt, files, "name string, part int, seq int, records long, bytes long").collect(),
+        key=lambda r: (r["part"], r["seq"])
+    )
     manifest = {"files": [{"name": r["name"], "records": r["records"], "bytes": r["bytes"]} for r in written]}
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
@@ -175,7 +213,9 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the manifest's files: page_id, url, record_type, refers_to, payload (null for a revisit), payload_bytes, payload_digest."""
+    """Every record of the manifest's files: page_id, url, record_type, refers_to, payload (null for a revisit), payload_bytes,
+    payload_digest.
+    """
     fs, root = open_fs(folder)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         names = [(e["name"], e["records"]) for e in json.loads(f.read())["files"]]
@@ -199,7 +239,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if count != n:
                     raise ValueError(f"{name} has {count} records for {n}")
 
-    return map_rows(files, records, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return map_rows(
+        files, records,
+        "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+    )
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

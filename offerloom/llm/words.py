@@ -29,7 +29,9 @@ ALNUM_LOWER = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 
 @dataclass
 class Words:
-    """buf: the mapped bytes of all texts; start, end: of each word in buf; doc: its row; first: the first word of each row, with the total at the end."""
+    """buf: the mapped bytes of all texts; start, end: of each word in buf; doc: its row; first: the first word of each row,
+    with the total at the end.
+    """
 
     buf: np.ndarray
     start: np.ndarray

@@ -43,7 +43,9 @@ def slow_repair(rows):
                 for c, e, out in edits:
                     new = initials + "".join(x[0] for x in extra) + "".join(x[0][0] for x in out)
                     if re.fullmatch("s?(ua)*u?", new):
-                        grown.append((cost + 3 * len(extra) + c, audit + "I" * len(extra) + e, new, made + tuple((x, "") for x in extra) + out))
+                        grown.append(
+                            (cost + 3 * len(extra) + c, audit + "I" * len(extra) + e, new, made + tuple((x, "") for x in extra) + out)
+                        )
         ways = grown
     ended = []
     for cost, audit, initials, made in ways:
@@ -71,7 +73,11 @@ def some(conv, n):
 
 
 def results(df):
-    return {x["conv_id"]: tuple(x)[1:] if "gaps" not in x.asDict() else tuple(x[c] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")) for x in df.collect()}
+    return {
+        x["conv_id"]: tuple(x)[1:] if "gaps" not in x.asDict() else tuple(
+            x[c] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+        ) for x in df.collect()
+    }
 
 
 @pytest.mark.parametrize("piece_rows", [20_000, 2])
@@ -90,7 +96,9 @@ def fold_repair(rows):
     for kind in kinds[1:]:
         total = r.times(total, r.turn_matrix(kind))
     _, cost, audit = r.best(total)
-    return facts.gaps(), facts.blank, facts.duplicate, facts.truncated, facts.illegal, cost, audit, r.digest(r.edited(audit, r.START, [x[1] for x in rows], [x[2] for x in rows]))
+    return facts.gaps(), facts.blank, facts.duplicate, facts.truncated, facts.illegal, cost, audit, r.digest(
+        r.edited(audit, r.START, [x[1] for x in rows], [x[2] for x in rows])
+    )
 
 
 def test_one_long_conversation_crosses_partitions(spark):
@@ -120,7 +128,10 @@ def test_products_are_associative():
 
 def test_repair_edges(spark):
     assert r.repair_conversations(spark.createDataFrame([], SCHEMA)).collect() == []
-    rows = [(1, 3, "user", "a.", 1, True), (2, 0, "user", "a.", 2, False), (2, 0, "user", "a.", 2, False), (2, 9, "assistant", "b" * 300_000, 3, False)]
+    rows = [
+        (1, 3, "user", "a.", 1, True), (2, 0, "user", "a.", 2, False), (2, 0, "user", "a.", 2, False),
+        (2, 9, "assistant", "b" * 300_000, 3, False)
+    ]
     df = spark.createDataFrame(rows, SCHEMA + ", cost long, dropped boolean")
     got = results(r.repair_conversations(df, dropped_col="dropped"))
     assert got[1] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
@@ -158,7 +169,12 @@ def slow_trie(rows):
         leaves = [p for p in below if not any(len(q) == len(p) + 1 and q[:-1] == p for q in nodes)]
         saved = sum((len(nodes[p]) - 1) * len(p[-1][1]) for p in below if p)
         children = sum(len(q) == len(path) + 1 and q[:-1] == path for q in nodes)
-        out.add((members[0], len(path), nodes[path[:-1]][0] if path else None, len(members), children, len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+        out.add(
+            (
+                members[0], len(path), nodes[path[:-1]][0] if path else None, len(members), children, len(leaves),
+                saved, hashlib.sha256(ends.encode()).hexdigest()
+            )
+        )
     return out
 
 
@@ -166,7 +182,9 @@ def trie_rows(n):
     rows = []
     for c in list(range(0, n)) + [100, 101, 102, 150, 300, 917]:
         for turn in range(pick(c, "n") % 8):
-            rows.append((c, None if pick(c, turn) % 19 == 0 else turn, ROLES[turn % 3], TEXTS[pick(c % 3, turn) % 4] + ("" if turn < 6 else str(c))))
+            rows.append(
+                (c, None if pick(c, turn) % 19 == 0 else turn, ROLES[turn % 3], TEXTS[pick(c % 3, turn) % 4] + ("" if turn < 6 else str(c)))
+            )
     return rows
 
 
@@ -175,7 +193,11 @@ def test_trie_equals_all_prefixes(spark, first_turns):
     rows = trie_rows(60) + [(None, 0, "user", "no conversation"), (7, 2, "user", "again"), (7, 2, "user", "again"), (8, 1, None, None)]
     got = t.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(4), first_turns=first_turns, most_turns=2)
     want = slow_trie(rows)
-    found = [tuple(x[c] for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")) for x in got.collect()]
+    found = [
+        tuple(
+            x[c] for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+        ) for x in got.collect()
+    ]
     assert len(found) == len(want) and set(found) == want
 
 
@@ -203,7 +225,9 @@ def test_members_of_a_class_cross_partitions(spark):
     want = {}
     for depth, key, conv in sorted(rows):
         want.setdefault((depth, key), []).append(str(conv))
-    assert {(x["depth"], bytes(x["class"])): x["ends_sha256"] for x in got} == {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in want.items()}
+    assert {(x["depth"], bytes(x["class"])): x["ends_sha256"] for x in got} == {
+        k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in want.items()
+    }
 
 
 def test_trie_edges(spark):

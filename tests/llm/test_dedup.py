@@ -37,7 +37,9 @@ def test_substring_dedup_against_brute_force(spark):
     for i in range(60):
         w = []
         for _ in range(random.randint(0, 5)):
-            w += random.choice([random.choice(shared), [random.choice("xyzuvw") + str(random.randint(0, 50)) for _ in range(random.randint(1, 12))]])
+            w += random.choice(
+                [random.choice(shared), [random.choice("xyzuvw") + str(random.randint(0, 50)) for _ in range(random.randint(1, 12))]]
+            )
         docs.append((i * 3 % 61, " ".join(w)))
     df = spark.createDataFrame(docs, DOCS).repartition(3)
     got = S.remove_repeats(df, width=5, layout="words", bucket_bytes=200).collect()
@@ -49,7 +51,10 @@ def test_substring_dedup_edges(spark):
     rows = [(5, p, 1), (2, f" {p}\n\nkeep  this", 2), (9, None, 3), (8, "", 4), (2, "x " + p, 5), (None, p, 6), (7, f"start\n{p}\nend", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, at int").withColumn("_doc", F.lit("mine"))
     got = {r["at"]: r for r in S.remove_repeats(df, width=4).collect()}
-    assert {k: (r["n_words"], r["n_removed"], r["kept"]) for k, r in got.items()} == {1: (6, 6, ""), 2: (8, 0, f" {p}\n\nkeep  this"), 3: (0, 0, None), 4: (0, 0, ""), 5: (7, 0, "x " + p), 6: (6, 6, ""), 7: (8, 6, "start\nend")}
+    assert {k: (r["n_words"], r["n_removed"], r["kept"]) for k, r in got.items()} == {
+        1: (6, 6, ""), 2: (8, 0, f" {p}\n\nkeep  this"), 3: (0, 0, None), 4: (0, 0, ""), 5: (7, 0, "x " + p),
+        6: (6, 6, ""), 7: (8, 6, "start\nend")
+    }
     assert got[7]["spans"][0].asDict() == {"at": 1, "till": 7} and got[1]["_doc"] == "mine"
     empty = S.remove_repeats(spark.createDataFrame([], DOCS))
     assert empty.count() == 0 and "kept" in empty.columns
@@ -142,7 +147,10 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 
 def test_repeated_ids_and_empty_tables(spark):
-    docs = [(1, "a b c d e"), (1, "completely other words stand here"), (2, "completely other words stand here"), (None, "a b c d e"), (3, "a b c d e"), (9, "nothing like these texts at all")]
+    docs = [
+        (1, "a b c d e"), (1, "completely other words stand here"), (2, "completely other words stand here"),
+        (None, "a b c d e"), (3, "a b c d e"), (9, "nothing like these texts at all")
+    ]
     got = {(r["doc_id"], r["component_id"]) for r in H.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (9, 9)}
     kept = H.keep_one(spark.createDataFrame(docs, DOCS).withColumn("_gone", F.lit(1))).collect()
@@ -153,7 +161,10 @@ def test_repeated_ids_and_empty_tables(spark):
 def brute_hits(text, items, window):
     import re
 
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    split = lambda t: re.findall(
+        r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+        "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    )
     w, hit, names = split(text), set(), set()
     for name, t in items:
         x = split(t)
@@ -170,7 +181,9 @@ def brute_hits(text, items, window):
 def test_decontamination_against_brute_force(spark, block_bytes):
     random.seed(8)
     vocabulary = ["Ab", "c-d", "é", "x1", "Yy", "zz"]
-    items = [(i, " ".join(random.choices(vocabulary, k=random.choice([1, 2, 5, 12, 13, 20, 40])))) for i in range(12)] + [(90, None), (91, "!!"), (92, "zz"), (93, "ZZ")]
+    items = [
+        (i, " ".join(random.choices(vocabulary, k=random.choice([1, 2, 5, 12, 13, 20, 40])))) for i in range(12)
+    ] + [(90, None), (91, "!!"), (92, "zz"), (93, "ZZ")]
     docs = []
     for i in range(40):
         t = random.choices(vocabulary, k=random.randint(0, 60))
@@ -191,7 +204,9 @@ def test_decontamination_against_brute_force(spark, block_bytes):
 
 def test_decontamination_of_texts_that_repeat_themselves(spark, monkeypatch):
     items = [(1, "a " * 40), (2, "a " * 20 + "b " * 20), (3, "a b " * 15), (4, "a"), (5, "b " * 13)]
-    docs = [(i, t) for i, t in enumerate(["a " * 90, "b " * 12, "b " * 14, "a b " * 30, "a " * 14 + "c " + "b " * 20, "a b b " * 20, "c " * 30])]
+    docs = [
+        (i, t) for i, t in enumerate(["a " * 90, "b " * 12, "b " * 14, "a b " * 30, "a " * 14 + "c " + "b " * 20, "a b b " * 20, "c " * 30])
+    ]
     df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_hits(t, items, 13) for i, t in docs}
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in D.decontaminate(df, bench).collect()} == want
@@ -205,7 +220,9 @@ def test_decontamination_of_texts_that_repeat_themselves(spark, monkeypatch):
     begin, end, doc, item = D.find_hits(found, hashes, D.kept_grams(hashes, found.first, 13, 7), index, 13, 7)
     for i, _ in docs:
         hit = {w for a, b in zip(begin.tolist(), end.tolist()) for w in range(a, b) if found.first[i] <= w < found.first[i + 1]}
-        assert len(hit) == want[i][1] and sorted({x for d, n in zip(doc.tolist(), item.tolist()) if d == i for x in index.ids[n]}) == want[i][2]
+        assert len(hit) == want[i][1] and sorted(
+            {x for d, n in zip(doc.tolist(), item.tolist()) if d == i for x in index.ids[n]}
+        ) == want[i][2]
 
 
 def test_winnowing_without_items_or_documents(spark):

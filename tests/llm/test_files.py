@@ -16,7 +16,10 @@ from offerloom.llm.common import open_fs, shared_dir
 from offerloom.llm.encoder import Encoder, public_tokenizer
 
 DOCS = "doc_id long, text string"
-ROWS = [(5, "Hello world"), (1, None), (3, ""), (2, "a <|endoftext|> b"), (None, "no id"), (5, "Hello world"), (4, "word " * 9000), (7, "x")]
+ROWS = [
+    (5, "Hello world"), (1, None), (3, ""), (2, "a <|endoftext|> b"), (None, "no id"), (5, "Hello world"),
+    (4, "word " * 9000), (7, "x")
+]
 
 
 def ids_of(text, end=2):
@@ -84,7 +87,10 @@ def test_separator_scan_of_handmade_files(spark):
         got = {}
         for r in TC.count_tokens(files, folder, 0, block_bytes=block).orderBy("file", "doc_no").collect():
             got.setdefault(r["file"], []).append((r["doc_no"], r["start"], r["n_tokens"], r["terminated"]))
-        assert got == {1: [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, True), (3, 6, 2, False)], 2: [(0, 0, 0, True)], 3: [(0, 0, 7, False)], 4: [(0, 0, 5, True), (1, 6, 1, True)]}
+        assert got == {
+            1: [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, True), (3, 6, 2, False)], 2: [(0, 0, 0, True)],
+            3: [(0, 0, 7, False)], 4: [(0, 0, 5, True), (1, 6, 1, True)]
+        }
 
 
 def test_packing(spark):
@@ -158,12 +164,24 @@ def test_powers_of_two():
 
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 200
-    rows = [(3, "http://a/\r\nX: y", big), (1, None, big), (2, "http://b", "small"), (4, "http://c", "small"), (5, "u", None), (6, "u", ""), (3, "http://a/\r\nX: y", big), (None, "n", big), (8, "z", big + "1"), (9, "m", "a\r\n\r\nb" * 50)]
+    rows = [
+        (3, "http://a/\r\nX: y", big), (1, None, big), (2, "http://b", "small"), (4, "http://c", "small"),
+        (5, "u", None), (6, "u", ""), (3, "http://a/\r\nX: y", big), (None, "n", big), (8, "z", big + "1"),
+        (9, "m", "a\r\n\r\nb" * 50)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = shared_dir(spark, "w")
     manifest = W.write(pages, folder, range_bytes=300, file_bytes=600)
     assert sum(e["records"] for e in manifest["files"]) == len(rows) and len(manifest["files"]) > 2
-    got = sorted(((r["page_id"] if r["page_id"] is not None else -1, r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in W.read(spark, folder).collect()), key=str)
+    got = sorted(
+        (
+            (
+                r["page_id"] if r["page_id"] is not None else -1, r["record_type"], r["refers_to"], r["payload_bytes"],
+                r["payload_digest"]
+            ) for r in W.read(spark, folder).collect()
+        ),
+        key=str
+    )
     sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
     size = lambda x: len((x or "").encode())
     want = []
@@ -181,7 +199,10 @@ def test_warc_files_follow_from_the_rows_and_record_ids_are_unique(spark):
 
     def files(parts):
         folder = shared_dir(spark, "w")
-        m = W.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), folder, range_bytes=3000, file_bytes=500)
+        m = W.write(
+            spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), folder,
+            range_bytes=3000, file_bytes=500
+        )
         fs, root = open_fs(folder)
         return {e["name"]: fs.open_input_file(f"{root}/{e['name']}").readall() for e in m["files"]}
 
@@ -243,7 +264,10 @@ def test_chat_round_trip(spark):
     for c, n in ((1, 4), (2, 9), (3, 1)):
         for i in range(n):
             rows.append((c, i, ["user", "assistant"][i % 2], said[(c + i) % len(said)]))
-    rows += [(4, 0, "od:d ### role\\", "x"), (4, 1, None, "y"), (None, 0, "assistant", "z"), (5, 1, "assistant", "late"), (5, 0, "user", "early"), (5, None, "system", "first")]
+    rows += [
+        (4, 0, "od:d ### role\\", "x"), (4, 1, None, "y"), (None, 0, "assistant", "z"), (5, 1, "assistant", "late"),
+        (5, 0, "user", "early"), (5, None, "system", "first")
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     segments = C.format_conversations(df)
     got = {r["conv_id"]: r for r in C.read_back(segments).collect()}
@@ -254,7 +278,12 @@ def test_chat_round_trip(spark):
         h = hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns).encode()).hexdigest()
         loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
         g = got[conv]
-        assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), h, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (
+            len(turns),
+            h,
+            len(loss),
+            hashlib.sha256(loss.encode()).hexdigest()
+        )
     assert {k: r["valid"] for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: False, 5: True}
     assert C.format_conversations(df.limit(0)).count() == 0
 
@@ -262,7 +291,9 @@ def test_chat_round_trip(spark):
 def test_chat_problems(spark):
     rows = [(1, 0, "assistant", "x"), (2, 0, "user", "q"), (2, 1, "tool", "t"), (2, 2, "assistant", "a")]
     got = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert {(r["conv"], r["problem"]) for r in got.where("problem is not null").collect()} == {(1, "assistant after start"), (2, "tool after user")}
+    assert {
+        (r["conv"], r["problem"]) for r in got.where("problem is not null").collect()
+    } == {(1, "assistant after start"), (2, "tool after user")}
 
 
 def test_crc_is_that_of_the_ids():

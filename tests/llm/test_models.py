@@ -12,7 +12,9 @@ from offerloom.llm import toxicity as T
 def brute_nearest(rows, queries, k):
     out = {}
     for q, x in queries:
-        scores = sorted((-(np.array(x, np.float32).astype(float) * np.array(y, np.float32).astype(float)).sum(), i) for i, y in rows if i != q)
+        scores = sorted(
+            (-(np.array(x, np.float32).astype(float) * np.array(y, np.float32).astype(float)).sum(), i) for i, y in rows if i != q
+        )
         out[q] = [i for _, i in scores[:k]]
     return out
 
@@ -78,7 +80,10 @@ def test_one_queue_over_all_trees():
 
 def test_copies_ties_and_unusable_vectors(spark):
     v = [1.0, 2.0, 0.0]
-    rows = [(i, v) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [float("nan"), 0.0, 0.0]), (104, [float("inf"), 0.0, 0.0]), (105, [1.0, 2.0]), (None, v), (120, [-1.0, 0.0, 0.0]), (7, [0.5, 0.5, 0.5])]
+    rows = [(i, v) for i in range(60)] + [
+        (100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [float("nan"), 0.0, 0.0]),
+        (104, [float("inf"), 0.0, 0.0]), (105, [1.0, 2.0]), (None, v), (120, [-1.0, 0.0, 0.0]), (7, [0.5, 0.5, 0.5])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = {}
     for r in A.nearest(df, lambda i: i % 20 == 0, k=5).orderBy("query_id", "rank").collect():
@@ -115,7 +120,14 @@ def test_automaton_against_edit_distances():
             w = list(t)
             for _ in range(random.randint(0, 3)):
                 i = random.randrange(len(w) + 1)
-                random.choice([lambda i: w.insert(i, random.choice("aeiz1é")), lambda i: w.pop(min(i, len(w) - 1)) if len(w) > 1 else None, lambda i: w.__setitem__(min(i, len(w) - 1), random.choice("xyz@")), lambda i: w.__setitem__(slice(max(i - 2, 0), i), w[max(i - 2, 0) : i][::-1])])(i)
+                random.choice(
+                    [
+                        lambda i: w.insert(i, random.choice("aeiz1é")),
+                        lambda i: w.pop(min(i, len(w) - 1)) if len(w) > 1 else None,
+                        lambda i: w.__setitem__(min(i, len(w) - 1), random.choice("xyz@")),
+                        lambda i: w.__setitem__(slice(max(i - 2, 0), i), w[max(i - 2, 0) : i][::-1])
+                    ]
+                )(i)
             words.append("".join(w))
     words += ["veq", "vequa", "ve", "", "xveq", "idiots"]
     a = T.Automaton(terms, stems)
@@ -153,16 +165,25 @@ def corpus(spark):
         rows.append((i, " ".join(t)))
         labels.append((i, int(bad)))
     copies = [(1000 + i, rows[0][1]) for i in range(80)]
-    return spark.createDataFrame(rows + copies, "doc_id long, text string"), spark.createDataFrame(labels + [(1000 + i, 1) for i in range(80)] + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    return spark.createDataFrame(rows + copies, "doc_id long, text string"), spark.createDataFrame(
+        labels + [(1000 + i, 1) for i in range(80)] + [(None, 1), (5000, None)],
+        "doc_id long, toxic int"
+    )
 
 
 def test_learning_and_held_out_accuracy(spark, corpus):
     docs, labels = corpus
     model = T.learn(docs, T.train_labels(labels))
     assert set(model.terms) == {"grumpwit", "scumlord"} and list(model.stems) == ["vexq"]
-    got = T.score(docs.withColumn("score", F.lit("mine")), model).join(labels, "doc_id").withColumn("h", T.held_out("doc_id")).where("h").collect()
+    got = T.score(
+        docs.withColumn("score", F.lit("mine")),
+        model
+    ).join(labels, "doc_id").withColumn("h", T.held_out("doc_id")).where("h").collect()
     assert len(got) > 80 and all(r["predicted"] == r["toxic"] for r in got)
-    probes = [(1, "you gurmpwit"), (2, 'the word "grumpwit" is rude, she said'), (3, "you grumpwit"), (4, None), (5, ""), (6, "plain words"), (7, "you grumpwiit")]
+    probes = [
+        (1, "you gurmpwit"), (2, 'the word "grumpwit" is rude, she said'), (3, "you grumpwit"), (4, None), (5, ""),
+        (6, "plain words"), (7, "you grumpwiit")
+    ]
     s = {r["doc_id"]: r for r in T.score(spark.createDataFrame(probes, "doc_id long, text string"), model).collect()}
     assert s[3]["predicted"] == 1 and s[2]["score"] < s[3]["score"] and s[1]["score"] > s[6]["score"] and s[7]["hits"][0]["edits"] == 1
     assert s[4]["score"] == s[5]["score"] == s[6]["score"] < 0.5 and 0 <= s[4]["score"]

@@ -17,8 +17,14 @@ def test_stages_keep_what_is_clean(spark, tmp_path):
     item = text(30)
     docs += [(500, text(100) + " " + item, "en", "s", 0), (501, "", "en", "s", 0), (502, None, "en", "s", 0)]
     d = str(tmp_path)
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(
+        docs,
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(
+        [(i, 1, int(i in toxic)) for i in range(200)],
+        "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "decontamination", "packing"]
     at = spark.read.parquet(f"{d}/documents.parquet")

@@ -21,7 +21,10 @@ def lower(t):
 
 def test_words_are_those_of_the_patterns():
     arr = pa.array(TEXTS, pa.string())
-    for table, pattern, change in ((SPACED, r"[^\x20\x09-\x0D]+", str), (SPACED_LOWER, r"[^\x20\x09-\x0D]+", lower), (ALNUM_LOWER, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)):
+    for table, pattern, change in (
+        (SPACED, r"[^\x20\x09-\x0D]+", str), (SPACED_LOWER, r"[^\x20\x09-\x0D]+", lower),
+        (ALNUM_LOWER, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    ):
         for part in (arr, arr.slice(3, 5)):
             found = words(part, table)
             for i, t in enumerate(part.to_pylist()):
@@ -57,7 +60,10 @@ def test_window_hashes():
 
 
 def test_encoder_is_the_library():
-    texts = [t or "" for t in TEXTS] + ["a<|endoftext|>b c <|startoftext|>", "don't I'll  x y z\x85q\x1cw", "İI ΑΣ ΣΑΣ 12 345 ǅ ǆ Ǆ ŉ ß ẞ ĳ Ĳ", "##" + "#" * 200, "a\x00b \x00 c", "Hello!! (World). x..y A.B. wow!'s ok:) ...", "é ́x"]
+    texts = [t or "" for t in TEXTS] + [
+        "a<|endoftext|>b c <|startoftext|>", "don't I'll  x y z\x85q\x1cw", "İI ΑΣ ΣΑΣ 12 345 ǅ ǆ Ǆ ŉ ß ẞ ĳ Ĳ",
+        "##" + "#" * 200, "a\x00b \x00 c", "Hello!! (World). x..y A.B. wow!'s ok:) ...", "é ́x"
+    ]
     e = Encoder(public_tokenizer())
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
