@@ -33,7 +33,9 @@ def clean_messages(c: Column) -> Column:
 def merge_messages(a: Column, b: Column) -> Column:
     """Both lists in order, each message once; null if there is none."""
     empty = F.array().cast("array<string>")
-    return null_if_empty(F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), trimmed), lambda m: m != "")))
+    return null_if_empty(
+        F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), trimmed), lambda m: m != ""))
+    )
 
 
 def warning_topics(c: Column) -> Column:
@@ -117,7 +119,12 @@ def edit_error(enabled: dict[str, Column], values: dict[str, Column]) -> Column:
 def edit_summary(enabled: dict[str, Column], values: dict[str, Column]) -> Column:
     """Array of struct(label, value): what a bulk edit changes, to be confirmed."""
     shown = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(EMPTY_VALUE))
-    each = [F.when(enabled[f], F.struct(F.lit(label).alias("label"), shown(values[f]).alias("value"))) for f, label in EDIT_LABELS.items() if f in enabled]
+    each = [
+        F.when(
+            enabled[f],
+            F.struct(F.lit(label).alias("label"), shown(values[f]).alias("value"))
+        ) for f, label in EDIT_LABELS.items() if f in enabled
+    ]
     return F.array_compact(F.array(*each))
 
 
@@ -127,7 +134,10 @@ def edited(old: Column, new: Column, enabled: Column) -> Column:
 
 
 #: Fields of the snapshot that an offer line keeps of what was read.
-SNAPSHOT = ["raw_text", "product_group", "product_name", "variety", "length_cm", "quantity", "unit", "stems_per_box", "stems_per_bunch", "box_type", "box_weight", "price", "currency", "warnings", "confidence"]
+SNAPSHOT = [
+    "raw_text", "product_group", "product_name", "variety", "length_cm", "quantity", "unit", "stems_per_box",
+    "stems_per_bunch", "box_type", "box_weight", "price", "currency", "warnings", "confidence"
+]
 
 
 def snapshot(**fields: Column) -> Column:
@@ -136,4 +146,7 @@ def snapshot(**fields: Column) -> Column:
 
 def snapshot_warnings(c: Column) -> Column:
     """The warnings of a snapshot; empty if there are none or it can't be read."""
-    return F.coalesce(F.filter(F.from_json(c, "struct<warnings: array<string>>")["warnings"], lambda w: w.isNotNull()), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.filter(F.from_json(c, "struct<warnings: array<string>>")["warnings"], lambda w: w.isNotNull()),
+        F.array().cast("array<string>")
+    )

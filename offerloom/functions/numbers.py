@@ -48,4 +48,7 @@ def valid_fob(price: Column) -> Column:
 
 def display_rate(rate: Column, from_currency: Column, to_currency: Column, base: str = "EUR") -> Column:
     """How a rate of the base currency is shown: as it is from the base, inverted to 6 decimals to it, null for one currency."""
-    return F.when(from_currency == to_currency, None).when(from_currency == base, rate.cast("decimal(18,6)")).when(rate != 0, F.round(F.lit(1).cast("decimal(20,12)") / rate.cast("decimal(12,6)"), 6).cast("decimal(18,6)"))
+    return F.when(from_currency == to_currency, None).when(from_currency == base, rate.cast("decimal(18,6)")).when(
+        rate != 0,
+        F.round(F.lit(1).cast("decimal(20,12)") / rate.cast("decimal(12,6)"), 6).cast("decimal(18,6)")
+    )

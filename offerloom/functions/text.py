@@ -80,7 +80,10 @@ def replace_first(c: Column, pattern: str, by: str) -> Column:
 def without_first(c: Column, literal: Column, by: str) -> Column:
     """c with the first occurrence of another column's text replaced."""
     at = F.position(literal, c)
-    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit(by), F.substring(c, at + F.length(literal), F.length(c)))).otherwise(c)
+    return F.when(
+        at > 0,
+        F.concat(F.substring(c, F.lit(1), at - 1), F.lit(by), F.substring(c, at + F.length(literal), F.length(c)))
+    ).otherwise(c)
 
 
 # --- decimal strings, lengths, boxes -------------------------------------------------------------
@@ -92,7 +95,10 @@ def decimal_string(c: Column) -> Column:
     both = s.contains(",") & s.contains(".")
     comma_last = s.rlike(r",[^.]*$")
     dotted = lambda x: F.regexp_replace(x, r"^([^,]*),", "$1.")
-    plain = F.when(both & comma_last, dotted(F.replace(s, F.lit("."), F.lit("")))).when(both, F.replace(s, F.lit(","), F.lit(""))).otherwise(dotted(s))
+    plain = F.when(
+        both & comma_last,
+        dotted(F.replace(s, F.lit("."), F.lit("")))
+    ).when(both, F.replace(s, F.lit(","), F.lit(""))).otherwise(dotted(s))
     return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain)
 
 
@@ -106,7 +112,10 @@ BOX = rf"(?i)(\d+){S}*(?:QB|HB|FB){S}*[x×*]?{S}*(\d+)"
 
 def box_pattern(c: Column) -> Column:
     """struct(boxes, stems, matched) of `<n>QB x <m>` and its like; null without one."""
-    found = F.struct(extract(c, BOX, 1).cast("int").alias("boxes"), extract(c, BOX, 2).cast("int").alias("stems"), extract(c, BOX, 0).alias("matched"))
+    found = F.struct(
+        extract(c, BOX, 1).cast("int").alias("boxes"), extract(c, BOX, 2).cast("int").alias("stems"),
+        extract(c, BOX, 0).alias("matched")
+    )
     return F.when(c.rlike(BOX), found)
 
 
@@ -186,7 +195,14 @@ def similarity(a: Column, b: Column) -> Column:
 def product_group(c: Column) -> Column:
     """struct(name, recognized): the group's name; of unknown ones each word with a capital first letter."""
     key = F.lower(trimmed(c))
-    known = F.coalesce(*(F.when(key.isin(*[k for k, v in PRODUCT_GROUPS.items() if v == name]), F.lit(name)) for name in dict.fromkeys(PRODUCT_GROUPS.values())))
+    known = F.coalesce(
+        *(
+            F.when(
+                key.isin(*[k for k, v in PRODUCT_GROUPS.items() if v == name]),
+                F.lit(name)
+            ) for name in dict.fromkeys(PRODUCT_GROUPS.values())
+        )
+    )
     return F.struct(F.coalesce(known, capitals(trimmed(c))).alias("name"), known.isNotNull().alias("recognized"))
 
 
@@ -194,7 +210,13 @@ def capitals(c: Column) -> Column:
     """Each run of non-spaces from its first letter or digit: that in upper case, the rest in lower case."""
     marked = F.regexp_replace(c, rf"([A-Za-z0-9_][^{SPACES}]*)", "\u0001$1\u0001")
     parts = F.split(marked, "\u0001")
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))).otherwise(x)), "")
+    return F.array_join(
+        F.transform(
+            parts,
+            lambda x, i: F.when(i % 2 == 1, F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))).otherwise(x)
+        ),
+        ""
+    )
 
 
 def rose_label(c: Column) -> Column:
@@ -299,4 +321,10 @@ def article_parts(c: Column) -> Column:
     w = F.filter(F.split(collapsed(c), " "), lambda x: x != "")
     two = (F.size(w) >= 3) & F.lower(F.try_element_at(w, F.lit(2))).isin(*QUALIFIERS)
     n = F.when(two, 2).otherwise(1)
-    return F.when(F.size(w) >= 2, F.struct(F.array_join(F.slice(w, F.lit(1), n), " ").alias("product"), F.array_join(F.slice(w, n + 1, F.size(w)), " ").alias("variety")))
+    return F.when(
+        F.size(w) >= 2,
+        F.struct(
+            F.array_join(F.slice(w, F.lit(1), n), " ").alias("product"),
+            F.array_join(F.slice(w, n + 1, F.size(w)), " ").alias("variety")
+        )
+    )

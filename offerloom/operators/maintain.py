@@ -14,13 +14,17 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def find_or_create_articles(wanted: DataFrame, articles: DataFrame) -> DataFrame:
-    """Wanted articles (want_id, farm_id, product_name, variety, stem_length, box_type, stems_per_box): with the article found in any case of its names, or created.
+    """Wanted articles (want_id, farm_id, product_name, variety, stem_length, box_type, stems_per_box): with the article found
+    in any case of its names, or created.
 
     Existing values win. Of wants for the same new article the first creates it. outcome: FOUND or CREATE; article_id is null for
     what is to be created, new_key names it.
     """
     key = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    full = F.concat_ws("\u0001", F.col("farm_id").cast("string"), key("product_name"), key("variety"), key("stem_length"), key("box_type"), key("stems_per_box"))
+    full = F.concat_ws(
+        "\u0001", F.col("farm_id").cast("string"), key("product_name"), key("variety"), key("stem_length"),
+        key("box_type"), key("stems_per_box")
+    )
     a = articles.groupBy(full.alias("_k")).agg(F.min("article_id").alias("article_id"))
     w = wanted.withColumn("new_key", full).join(a, F.col("new_key") == F.col("_k"), "left").drop("_k")
     first = F.row_number().over(Window.partitionBy("new_key").orderBy("want_id")) == 1
@@ -28,12 +32,21 @@ def find_or_create_articles(wanted: DataFrame, articles: DataFrame) -> DataFrame
 
 
 def add_costs(requests: DataFrame, costs: DataFrame, types: DataFrame) -> DataFrame:
-    """New route costs (request_id, route_id, cost_type_id, amount, unit): with the type's category, and outcome CREATE, NO_TYPE or EXISTS. One cost a route and type."""
+    """New route costs (request_id, route_id, cost_type_id, amount, unit): with the type's category, and outcome CREATE, NO_TYPE
+    or EXISTS. One cost a route and type.
+    """
     t = types.select(F.col("cost_type_id").alias("_t"), "category")
     c = costs.where("cost_type_id is not null").select(F.col("route_id").alias("_r"), F.col("cost_type_id").alias("_ct")).distinct()
-    j = requests.join(t, F.col("cost_type_id") == F.col("_t"), "left").join(c, (F.col("route_id") == F.col("_r")) & (F.col("cost_type_id") == F.col("_ct")), "left")
+    j = requests.join(t, F.col("cost_type_id") == F.col("_t"), "left").join(
+        c,
+        (F.col("route_id") == F.col("_r")) & (F.col("cost_type_id") == F.col("_ct")),
+        "left"
+    )
     first = F.row_number().over(Window.partitionBy("route_id", "cost_type_id").orderBy("request_id")) == 1
-    return j.select(*requests.columns, "category", F.when(F.col("_t").isNull(), "NO_TYPE").when(F.col("_r").isNotNull() | ~first, "EXISTS").otherwise("CREATE").alias("outcome"))
+    return j.select(
+        *requests.columns, "category",
+        F.when(F.col("_t").isNull(), "NO_TYPE").when(F.col("_r").isNotNull() | ~first, "EXISTS").otherwise("CREATE").alias("outcome")
+    )
 
 
 def replace_rates(rates: DataFrame, new: DataFrame) -> DataFrame:
@@ -43,19 +56,30 @@ def replace_rates(rates: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def canonical_rates(rates: DataFrame, base: str = "EUR") -> DataFrame:
-    """Rates towards the base turned round: dropped where the direct pair exists, else 1 / rate to 6 decimals; zero rates towards the base stay."""
+    """Rates towards the base turned round: dropped where the direct pair exists, else 1 / rate to 6 decimals; zero rates
+    towards the base stay.
+    """
     direct = rates.where(F.col("base") == base).select(F.col("quote").alias("_q")).distinct()
     j = rates.join(direct, (F.col("quote") == base) & (F.col("base") == F.col("_q")), "left")
     turn = (F.col("quote") == base) & (F.col("base") != base)
     kept = j.where(~turn | F.col("_q").isNull())
     flip = turn & (F.col("rate") != 0)
-    inverse = F.round(F.lit(1).cast("decimal(20,12)") / F.when(F.col("rate") != 0, F.col("rate")).cast("decimal(12,6)"), 6).cast("decimal(12,6)")
-    new = {"base": F.when(flip, F.lit(base)).otherwise(F.col("base")), "quote": F.when(flip, F.col("base")).otherwise(F.col("quote")), "rate": F.when(flip, inverse).otherwise(F.col("rate").cast("decimal(12,6)"))}
+    inverse = F.round(
+        F.lit(1).cast("decimal(20,12)") / F.when(F.col("rate") != 0, F.col("rate")).cast("decimal(12,6)"),
+        6
+    ).cast("decimal(12,6)")
+    new = {
+        "base": F.when(flip, F.lit(base)).otherwise(F.col("base")),
+        "quote": F.when(flip, F.col("base")).otherwise(F.col("quote")),
+        "rate": F.when(flip, inverse).otherwise(F.col("rate").cast("decimal(12,6)"))
+    }
     return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in rates.columns])
 
 
 def remove_destinations(destinations: DataFrame, removed: DataFrame) -> DataFrame:
-    """Customers' destinations (customer_id, destination_id, is_default, created_at) without the removed ones; if a default went, the earliest that is left becomes it."""
+    """Customers' destinations (customer_id, destination_id, is_default, created_at) without the removed ones; if a default
+    went, the earliest that is left becomes it.
+    """
     left = destinations.join(removed, ["customer_id", "destination_id"], "left_anti")
     per = Window.partitionBy("customer_id")
     none = ~F.coalesce(F.max("is_default").over(per), F.lit(False))
@@ -64,10 +88,23 @@ def remove_destinations(destinations: DataFrame, removed: DataFrame) -> DataFram
 
 
 def set_default_destination(destinations: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen destination (customer_id, destination_id) as its customer's only default; a choice that isn't the customer's changes nothing."""
-    c = chosen.join(destinations.select("customer_id", "destination_id"), ["customer_id", "destination_id"], "left_semi").select(F.col("customer_id").alias("_c"), F.col("destination_id").alias("_d"))
+    """The chosen destination (customer_id, destination_id) as its customer's only default; a choice that isn't the customer's
+    changes nothing.
+    """
+    c = chosen.join(
+        destinations.select("customer_id", "destination_id"),
+        ["customer_id", "destination_id"],
+        "left_semi"
+    ).select(F.col("customer_id").alias("_c"), F.col("destination_id").alias("_d"))
     j = destinations.join(c, F.col("customer_id") == F.col("_c"), "left")
-    return j.select(*[F.when(F.col("_d").isNotNull(), F.col("destination_id") == F.col("_d")).otherwise(F.col("is_default")).alias("is_default") if x == "is_default" else F.col(x) for x in destinations.columns])
+    return j.select(
+        *[
+            F.when(
+                F.col("_d").isNotNull(),
+                F.col("destination_id") == F.col("_d")
+            ).otherwise(F.col("is_default")).alias("is_default") if x == "is_default" else F.col(x) for x in destinations.columns
+        ]
+    )
 
 
 def deletable(ids: DataFrame, key: str, **children: DataFrame) -> DataFrame:
@@ -91,7 +128,13 @@ def delete_articles(lines: DataFrame, deleted: DataFrame) -> DataFrame:
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in lines.columns])
 
 
-def delete_offers(ids: DataFrame, offers: DataFrame, lines: DataFrame, quote_lines: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delete_offers(
+    ids: DataFrame,
+    offers: DataFrame,
+    lines: DataFrame,
+    quote_lines: DataFrame,
+    uploads: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """(offers deleted, uploads left without an offer by it). Offers whose lines stand in quotes stay."""
     used = lines.join(quote_lines.select("line_id"), "line_id", "left_semi").select("offer_id").distinct()
     deleted = offers.join(ids.select("offer_id"), "offer_id", "left_semi").join(used, "offer_id", "left_anti")
@@ -109,14 +152,20 @@ def add_unique(requests: DataFrame, table: DataFrame, columns: list[str], order:
     for c in columns:
         blank = blank | (F.trim(F.coalesce(c, F.lit(""))) == "")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(order)) == 1
-    return j.select(*requests.columns, F.when(blank, "INVALID").when(F.col("_k").isNotNull() | ~first, "EXISTS").otherwise("CREATE").alias("outcome"))
+    return j.select(
+        *requests.columns,
+        F.when(blank, "INVALID").when(F.col("_k").isNotNull() | ~first, "EXISTS").otherwise("CREATE").alias("outcome")
+    )
 
 
 def length_from_grade(variants: DataFrame) -> DataFrame:
     """Variants whose grade is nothing but a length, such as `60cm`: that is their stem length, and the grade is empty."""
     only = F.col("grade").rlike(r"(?i)^\s*\d+\s*cm\s*$") & F.col("stem_length").isNull()
     length = F.regexp_extract("grade", r"(\d+)", 1)
-    new = {"stem_length": F.when(only, length).otherwise(F.col("stem_length")), "grade": F.when(~F.coalesce(only, F.lit(False)), F.col("grade"))}
+    new = {
+        "stem_length": F.when(only, length).otherwise(F.col("stem_length")),
+        "grade": F.when(~F.coalesce(only, F.lit(False)), F.col("grade"))
+    }
     return variants.select(*[new[c].alias(c) if c in new else F.col(c) for c in variants.columns])
 
 
@@ -148,8 +197,13 @@ def seed_cost_types(costs: DataFrame, types: DataFrame) -> DataFrame:
 
     costs: cost_type_id, name, category, unit. A name with several categories or units takes the least of both. No type is replaced.
     """
-    fixed = costs.sparkSession.createDataFrame([(n.lower(), n, c, u) for n, c, u in COST_TYPES], types.select("normalized_name", "name", "category", "unit").schema)
-    loose = costs.where("cost_type_id is null and name is not null and category is not null").withColumn("_key", cost_type_of(F.col("name")))
+    fixed = costs.sparkSession.createDataFrame(
+        [(n.lower(), n, c, u) for n, c, u in COST_TYPES],
+        types.select("normalized_name", "name", "category", "unit").schema
+    )
+    loose = costs.where(
+        "cost_type_id is null and name is not null and category is not null"
+    ).withColumn("_key", cost_type_of(F.col("name")))
     least = F.min(F.struct("category", F.coalesce("unit", F.lit("FLAT")).alias("unit")))
     own = loose.groupBy("_key").agg(F.min(F.trim("name")).alias("name"), least.alias("_l"))
     own = own.select(F.col("_key").alias("normalized_name"), "name", "_l.category", "_l.unit")
@@ -169,7 +223,10 @@ def link_cost_types(costs: DataFrame, types: DataFrame) -> DataFrame:
 
 def cost_vocabulary(costs: DataFrame) -> DataFrame:
     """The names that costs use, one for each key, spelled as its least spelling."""
-    return costs.where(F.trim("name") != "").groupBy(cost_type_key(F.col("name")).alias("normalized_name")).agg(F.min(F.trim("name")).alias("name"), F.count("*").alias("n_costs"))
+    return costs.where(F.trim("name") != "").groupBy(cost_type_key(F.col("name")).alias("normalized_name")).agg(
+        F.min(F.trim("name")).alias("name"),
+        F.count("*").alias("n_costs")
+    )
 
 
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,16 +243,23 @@ def backfill_codes(locations: DataFrame, codes: dict[str, str]) -> DataFrame:
 def backfill_default_destinations(customers: DataFrame, destinations: DataFrame, created_at: Column) -> DataFrame:
     """destinations with a default row for each customer that has a destination of its own but no row for it."""
     new = customers.where("destination_id is not null").join(destinations, ["customer_id", "destination_id"], "left_anti")
-    return destinations.unionByName(new.select("customer_id", "destination_id", F.lit(True).alias("is_default"), created_at.alias("created_at")))
+    return destinations.unionByName(
+        new.select("customer_id", "destination_id", F.lit(True).alias("is_default"), created_at.alias("created_at"))
+    )
 
 
 def validated_manual_lines(lines: DataFrame, articles: DataFrame) -> DataFrame:
-    """Lines typed in by hand (line_id, farm_id, article_id, quantity, price): outcome OK, BAD_PRICE, BAD_QUANTITY, OTHER_SUPPLIER or DUPLICATE (the first line of an article counts)."""
+    """Lines typed in by hand (line_id, farm_id, article_id, quantity, price): outcome OK, BAD_PRICE, BAD_QUANTITY,
+    OTHER_SUPPLIER or DUPLICATE (the first line of an article counts).
+    """
     a = articles.select(F.col("article_id").alias("_a"), F.col("farm_id").alias("_f"))
     j = lines.join(a, F.col("article_id") == F.col("_a"), "left")
     first = F.row_number().over(Window.partitionBy("farm_id", "article_id").orderBy("line_id")) == 1
     bad_quantity = ~F.coalesce((F.col("quantity") > 0) & (F.col("quantity") == F.floor("quantity")), F.lit(False))
-    outcome = F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), "BAD_PRICE").when(bad_quantity, "BAD_QUANTITY").when(~F.coalesce(F.col("farm_id") == F.col("_f"), F.lit(False)), "OTHER_SUPPLIER").when(~first, "DUPLICATE").otherwise("OK")
+    outcome = F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), "BAD_PRICE").when(bad_quantity, "BAD_QUANTITY").when(
+        ~F.coalesce(F.col("farm_id") == F.col("_f"), F.lit(False)),
+        "OTHER_SUPPLIER"
+    ).when(~first, "DUPLICATE").otherwise("OK")
     return j.select(*lines.columns, outcome.alias("outcome"))
 
 
@@ -204,4 +268,10 @@ def retarget_mappings(changes: DataFrame, mappings: DataFrame, articles: DataFra
     m = mappings.select(F.col("mapping_id").alias("_m"), F.col("farm_id").alias("_mf"))
     a = articles.select(F.col("article_id").alias("_a"), F.col("farm_id").alias("_af"))
     j = changes.join(m, F.col("mapping_id") == F.col("_m"), "left").join(a, F.col("article_id") == F.col("_a"), "left")
-    return j.select(*changes.columns, F.when(F.col("_m").isNull(), "NOT_FOUND").when(F.col("_a").isNull(), "ARTICLE_GONE").when(F.col("_mf") != F.col("_af"), "OTHER_SUPPLIER").otherwise("OK").alias("outcome"))
+    return j.select(
+        *changes.columns,
+        F.when(F.col("_m").isNull(), "NOT_FOUND").when(F.col("_a").isNull(), "ARTICLE_GONE").when(
+            F.col("_mf") != F.col("_af"),
+            "OTHER_SUPPLIER"
+        ).otherwise("OK").alias("outcome")
+    )

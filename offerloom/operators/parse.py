@@ -78,7 +78,13 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
     found = found.withColumn("_words", words)
     first = F.try_element_at("_words", F.lit(1))
     group = T.product_group(first)
-    found = found.withColumns({"_group": F.when(first.isNotNull(), group), "variety": F.nullif(F.array_join(F.slice("_words", 2, 1 << 30), " "), F.lit("")), "_price": T.decimal_string(extract(F.col("_base"), PRICE))})
+    found = found.withColumns(
+        {
+            "_group": F.when(first.isNotNull(), group),
+            "variety": F.nullif(F.array_join(F.slice("_words", 2, 1 << 30), " "), F.lit("")),
+            "_price": T.decimal_string(extract(F.col("_base"), PRICE))
+        }
+    )
 
     def variant(s: Column) -> Column:
         price = T.decimal_string(extract(s, VARIANT, 2))
@@ -86,7 +92,10 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
 
     variants = F.transform(F.slice("_parts", 2, 1 << 30), variant)
     good = F.filter(variants, lambda v: v["price"].isNotNull() & v["treatment"].isNotNull())
-    offers = F.when(F.size("_parts") > 0, F.concat(F.array(F.struct(F.lit("normal").alias("treatment"), F.col("_price").alias("price"))), good)).otherwise(F.array(F.struct(F.lit("normal").alias("treatment"), F.lit(None).cast("string").alias("price"))))
+    offers = F.when(
+        F.size("_parts") > 0,
+        F.concat(F.array(F.struct(F.lit("normal").alias("treatment"), F.col("_price").alias("price"))), good)
+    ).otherwise(F.array(F.struct(F.lit("normal").alias("treatment"), F.lit(None).cast("string").alias("price"))))
     known = F.coalesce(F.col("_group.recognized"), F.lit(False))
     readable = F.size("_parts") > 0
     confidence = F.when(~readable | F.col("_box").isNull() | F.col("_price").isNull(), "low").when(~known, "medium").otherwise("high")
@@ -99,7 +108,12 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
         )
     )
     keep = [c for c in lines.columns]
-    out = found.select(*keep, "lead_time_hours", "grade", "variety", "_group", "_box", "_base", confidence.alias("confidence"), warnings.alias("_warnings"), (~readable | F.col("_box").isNull() | F.col("_price").isNull() | ~known).alias("needs_review"), F.posexplode(offers).alias("variant_no", "_offer"))
+    out = found.select(
+        *keep, "lead_time_hours", "grade", "variety", "_group", "_box", "_base", confidence.alias("confidence"),
+        warnings.alias("_warnings"),
+        (~readable | F.col("_box").isNull() | F.col("_price").isNull() | ~known).alias("needs_review"),
+        F.posexplode(offers).alias("variant_no", "_offer")
+    )
     return out.select(
         *keep,
         "variant_no",
@@ -171,7 +185,11 @@ def expand_length_ranges(lines: DataFrame, tiers: DataFrame, doc: str, line: str
     known = tiers.select(F.col(doc).alias("_doc"), F.col("length").cast("double").alias("_length"), F.col("price").alias("_tier_price"))
     ends = known.groupBy("_doc").agg(F.collect_set("_length").alias("_lengths"))
     base = lines.withColumn("_spec", spec).join(ends.withColumnRenamed("_doc", "_d"), F.col(doc) == F.col("_d"), "left").drop("_d")
-    hit = base.join(known, (F.col(doc) == F.col("_doc")) & (F.col("_spec.kind") != "none") & F.col("_length").between(F.col("_spec.min"), F.col("_spec.max")), "left")
+    hit = base.join(
+        known,
+        (F.col(doc) == F.col("_doc")) & (F.col("_spec.kind") != "none") & F.col("_length").between(F.col("_spec.min"), F.col("_spec.max")),
+        "left"
+    )
     order = Window.partitionBy(doc, line).orderBy("_length")
     ranged = (F.col("_spec.kind") == "range") & F.col("_lengths").isNotNull()
     single = (F.col("_spec.kind") == "single") & F.col("_lengths").isNotNull()
@@ -208,7 +226,9 @@ def _next_breaks(lines: DataFrame, key: str) -> DataFrame:
     brings 12,000 bytes is the first whose sum reaches that of this line plus the bound, found in one order of all sums and bounds.
     """
     so_far = Window.partitionBy(key).orderBy("i")
-    sums = lines.select(key, "i", (F.col("kind") == "B").cast("int").alias("b"), "bytes").withColumns({"rows": F.sum("b").over(so_far), "size": F.sum("bytes").over(so_far)})
+    sums = lines.select(key, "i", (F.col("kind") == "B").cast("int").alias("b"), "bytes").withColumns(
+        {"rows": F.sum("b").over(so_far), "size": F.sum("bytes").over(so_far)}
+    )
     nth = sums.where("b = 1").select(F.col(key).alias("_k"), F.col("rows").alias("_nth"), (F.col("i") + 1).alias("_by_rows"))
     asked = F.struct((F.col("size") - F.col("bytes") + CHUNK_BYTES).alias("at"), F.lit(1).alias("asked"))
     both = sums.withColumn("x", F.explode(F.array(F.struct(F.col("size").alias("at"), F.lit(0).alias("asked")), asked)))
@@ -219,7 +239,9 @@ def _next_breaks(lines: DataFrame, key: str) -> DataFrame:
 
 
 def _reached(breaks: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, i) of the breaks that are reached from line 0, by pointer doubling: after n rounds all within 2 ** n chunks are known. Each round is written, which cuts the lineage."""
+    """(key, i) of the breaks that are reached from line 0, by pointer doubling: after n rounds all within 2 ** n chunks are
+    known. Each round is written, which cuts the lineage.
+    """
     spark = breaks.sparkSession
     folder = shared_folder(spark, "chunks")
 
@@ -232,7 +254,10 @@ def _reached(breaks: DataFrame, key: str, most: int) -> DataFrame:
     for n in range(max(0, most - 1).bit_length()):
         reached = kept(reached.unionByName(reached.join(jump, [key, "i"]).select(key, F.col("next").alias("i"))), f"reached-{n}")
         onward = jump.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("next").alias("_next"))
-        jump = kept(jump.join(onward, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_i"))).select(key, "i", F.col("_next").alias("next")), f"jump-{n}")
+        jump = kept(
+            jump.join(onward, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_i"))).select(key, "i", F.col("_next").alias("next")),
+            f"jump-{n}"
+        )
     return reached.join(breaks.select(key, "i"), [key, "i"], "left_semi")
 
 
@@ -246,32 +271,68 @@ def chunk_offers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     raws = lambda c: F.array_join(F.transform(c, lambda x: x["raw"]), "\n")
     heading = lambda s: ~s.rlike(r"\d") & s.rlike("[A-Za-z]{2,}") & (F.size(F.split(T.trimmed(s), f"{S}+")) <= 4)
-    parsed = lambda s: F.struct(s.alias("raw"), line_class(s).alias("kind"), (F.octet_length(s) + 1).cast("long").alias("bytes"))
-    df = docs.select(key, F.col(text).alias("_text"), F.transform(F.split(text, r"\r?\n"), parsed).alias("_lines")).where(F.col("_text").isNotNull())
+    parsed = lambda s: F.struct(
+        s.alias("raw"),
+        line_class(s).alias("kind"),
+        (F.octet_length(s) + 1).cast("long").alias("bytes")
+    )
+    df = docs.select(
+        key,
+        F.col(text).alias("_text"),
+        F.transform(F.split(text, r"\r?\n"), parsed).alias("_lines")
+    ).where(F.col("_text").isNotNull())
     rows = F.size(F.filter("_lines", lambda x: x["kind"] == "B"))
     price_lines, rest = raws(F.filter("_lines", lambda x: x["kind"] == "C")), F.filter("_lines", lambda x: x["kind"] != "C")
-    df = df.withColumns({"_rows": rows, "_one": (rows <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES), "price_lines": price_lines, "_rest": rest})
+    df = df.withColumns(
+        {
+            "_rows": rows, "_one": (rows <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES),
+            "price_lines": price_lines, "_rest": rest
+        }
+    )
     df = df.withColumn("_first", F.array_position(F.transform("_rest", lambda x: x["kind"]), "B").cast("int"))
     df = df.withColumn("header", raws(F.slice("_rest", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0)))))
     single = F.col("_one") | (F.col("_first") == 0)
     nothing = F.lit(None).cast("string")
-    whole = df.where(single).select(key, F.lit(0).alias("chunk"), F.lit(1).alias("total"), F.col("_text").alias("body"), F.lit("").alias("header"), nothing.alias("section"), F.lit("").alias("price_lines"), F.col("_rows").alias("product_rows"))
+    whole = df.where(single).select(
+        key, F.lit(0).alias("chunk"), F.lit(1).alias("total"), F.col("_text").alias("body"), F.lit("").alias("header"),
+        nothing.alias("section"), F.lit("").alias("price_lines"), F.col("_rows").alias("product_rows")
+    )
     many = df.where(~single)
-    each = many.select(key, F.posexplode(F.slice("_rest", F.col("_first"), F.size("_rest"))).alias("i", "_x")).select(key, "i", "_x.raw", "_x.kind", "_x.bytes")
+    each = many.select(
+        key,
+        F.posexplode(F.slice("_rest", F.col("_first"), F.size("_rest"))).alias("i", "_x")
+    ).select(key, "i", "_x.raw", "_x.kind", "_x.bytes")
     breaks = _next_breaks(each, key)
     size = each.groupBy(key).agg(F.sum((F.col("kind") == "B").cast("int")).alias("b"), F.sum("bytes").alias("s"))
     most = size.agg(F.max(F.col("b") / CHUNK_ROWS + F.col("s") / CHUNK_BYTES)).head()[0] or 0
-    starts = _reached(breaks, key, int(most) + 2).join(breaks, [key, "i"]).select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("next").isNotNull().alias("_full"))
+    starts = _reached(breaks, key, int(most) + 2).join(breaks, [key, "i"]).select(
+        F.col(key).alias("_k"),
+        F.col("i").alias("_i"),
+        F.col("next").isNotNull().alias("_full")
+    )
     so_far, all_of = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key)
     title = F.last(F.when((F.col("kind") == "A") & heading(F.col("raw")), F.col("raw")), ignorenulls=True).over(so_far)
-    each = each.join(starts, (F.col(key) == F.col("_k")) & (F.col("i") == F.col("_i")), "left").withColumns({"chunk": F.count("_i").over(so_far).cast("int") - 1, "section": title})
+    each = each.join(
+        starts,
+        (F.col(key) == F.col("_k")) & (F.col("i") == F.col("_i")),
+        "left"
+    ).withColumns({"chunk": F.count("_i").over(so_far).cast("int") - 1, "section": title})
     empty_end = F.max(F.when(~F.col("_full"), F.col("chunk"))).over(all_of)
-    each = each.withColumn("_open", empty_end).withColumn("_open_rows", F.sum(F.when((F.col("kind") == "B") & (F.col("chunk") == F.col("_open")), 1).otherwise(0)).over(all_of))
-    into = F.when((F.col("_open_rows") == 0) & (F.col("chunk") == F.col("_open")) & (F.col("chunk") > 0), F.col("chunk") - 1).otherwise(F.col("chunk"))
+    each = each.withColumn("_open", empty_end).withColumn(
+        "_open_rows",
+        F.sum(F.when((F.col("kind") == "B") & (F.col("chunk") == F.col("_open")), 1).otherwise(0)).over(all_of)
+    )
+    into = F.when(
+        (F.col("_open_rows") == 0) & (F.col("chunk") == F.col("_open")) & (F.col("chunk") > 0),
+        F.col("chunk") - 1
+    ).otherwise(F.col("chunk"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "\n")
     product_rows = F.sum(F.when(F.col("kind") == "B", 1).otherwise(0)).cast("int")
     each = each.withColumn("chunk", into).withColumn("total", F.max("chunk").over(all_of) + 1)
-    cut = each.groupBy(key, "chunk", "total").agg(body.alias("body"), F.min_by("section", "i").alias("section"), F.min_by("raw", "i").alias("_top"), product_rows.alias("product_rows"))
+    cut = each.groupBy(key, "chunk", "total").agg(
+        body.alias("body"), F.min_by("section", "i").alias("section"), F.min_by("raw", "i").alias("_top"),
+        product_rows.alias("product_rows")
+    )
     cut = cut.join(many.select(key, "header", "price_lines"), key)
     section = F.when(T.trimmed(F.col("_top")) == T.trimmed(F.col("section")), None).otherwise(F.col("section"))
     return whole.union(cut.select(key, "chunk", "total", "body", "header", section, "price_lines", "product_rows"))
@@ -283,14 +344,19 @@ def assortment_paste(lines: DataFrame, line: str = "line") -> DataFrame:
     at = lambda i: F.nullif(F.try_element_at("_c", F.lit(i)), F.lit(""))
     stems = extract(at(5), r"^([+-]?\d+)").cast("int")
     rows = lines.withColumn("_c", c).where((F.size("_c") >= 6) & (F.lower(F.col("_c")[0]) != "leverancier"))
-    out = rows.select(*lines.columns, at(1).alias("supplier"), at(2).alias("article"), at(3).alias("stem_length"), F.coalesce(at(4), F.lit("QB")).alias("box_type"), stems.alias("stems_per_box"), at(6).alias("weight"))
+    out = rows.select(
+        *lines.columns, at(1).alias("supplier"), at(2).alias("article"), at(3).alias("stem_length"),
+        F.coalesce(at(4), F.lit("QB")).alias("box_type"), stems.alias("stems_per_box"), at(6).alias("weight")
+    )
     return out.where("supplier is not null and article is not null and stems_per_box > 0 and weight is not null")
 
 
 def farm_paste(lines: DataFrame, default_country: str, line: str = "line") -> DataFrame:
     """Rows of country and name, or a name alone; the header and incomplete rows are left out."""
     c = F.col("_c")
-    header = (F.lower(c[0]) == "land") | (F.lower(c[0]).isin("naam", "leverancier", "kweker") & (F.coalesce(F.try_element_at(c, F.lit(2)), F.lit("")) == ""))
+    header = (F.lower(c[0]) == "land") | (
+        F.lower(c[0]).isin("naam", "leverancier", "kweker") & (F.coalesce(F.try_element_at(c, F.lit(2)), F.lit("")) == "")
+    )
     rows = lines.withColumn("_c", T.cells(F.col(line))).where(~header)
     several = F.size(c) >= 2
     name = F.when(several, T.trimmed(F.array_join(F.slice(c, 2, 1 << 30), " "))).otherwise(c[0])
@@ -302,7 +368,11 @@ def bulk_offer_paste(lines: DataFrame, line: str = "line") -> DataFrame:
     """Seven columns: product, variety, colour, grade, boxes, stems, price; valid says whether product, stems and price can be read."""
     at = lambda i: F.nullif(F.try_element_at("_c", F.lit(i)), F.lit(""))
     rows = lines.withColumn("_c", T.cells(F.col(line)))
-    out = rows.select(*lines.columns, at(1).alias("product_group"), at(2).alias("variety"), at(3).alias("color"), at(4).alias("grade"), extract(at(5), r"^([+-]?\d+)").cast("int").alias("boxes"), extract(at(6), r"^([+-]?\d+)").cast("int").alias("stems_per_box"), T.decimal_string(at(7)).alias("price"))
+    out = rows.select(
+        *lines.columns, at(1).alias("product_group"), at(2).alias("variety"), at(3).alias("color"),
+        at(4).alias("grade"), extract(at(5), r"^([+-]?\d+)").cast("int").alias("boxes"),
+        extract(at(6), r"^([+-]?\d+)").cast("int").alias("stems_per_box"), T.decimal_string(at(7)).alias("price")
+    )
     return out.withColumn("valid", F.expr("product_group is not null and coalesce(stems_per_box > 0, false) and price is not null"))
 
 
@@ -330,10 +400,36 @@ def structured_lines(responses: DataFrame, text: str = "response") -> DataFrame:
     price, weight = T.decimal_string(at("fobPricePerStem")), T.decimal_string(at("weightPerBoxKg"))
     currency = F.when(at("currency").isin("USD", "EUR"), at("currency"))
     good = F.coalesce(whole, F.lit(False))
-    warnings = F.array_compact(F.array(F.when(~good, "RECOVERED"), F.when(at("length").isNotNull() & (length["kind"] == "none"), "LENGTH_UNREADABLE"), F.when(at("fobPricePerStem").isNotNull() & price.isNull(), "PRICE_UNREADABLE"), F.when(at("weightPerBoxKg").isNotNull() & weight.isNull(), "WEIGHT_UNREADABLE"), F.when(good & currency.isNull(), "CURRENCY_NOT_STATED")))
-    review = ~good | F.coalesce(F.col("_strict.needsReview"), F.lit(True)) | at("boxType").isNull() | (F.coalesce(number("stemsPerBox"), F.lit(0)) == 0) | price.isNull() | currency.isNull()
+    warnings = F.array_compact(
+        F.array(
+            F.when(~good, "RECOVERED"),
+            F.when(at("length").isNotNull() & (length["kind"] == "none"), "LENGTH_UNREADABLE"),
+            F.when(at("fobPricePerStem").isNotNull() & price.isNull(), "PRICE_UNREADABLE"),
+            F.when(at("weightPerBoxKg").isNotNull() & weight.isNull(), "WEIGHT_UNREADABLE"),
+            F.when(good & currency.isNull(), "CURRENCY_NOT_STATED")
+        )
+    )
+    review = ~good | F.coalesce(F.col("_strict.needsReview"), F.lit(True)) | at("boxType").isNull() | (
+        F.coalesce(number("stemsPerBox"), F.lit(0)) == 0
+    ) | price.isNull() | currency.isNull()
     return df.select(
-        *[c for c in responses.columns if c != text], "line_no", F.coalesce(at("rawText"), F.lit(T.PLACEHOLDERS[0])).alias("raw_text"), at("productGroup").alias("product_group"), at("variety").alias("variety"), at("length").alias("length_raw"), F.when(length["kind"] == "single", length["min"]).alias("length_cm"),
-        at("boxType").alias("box_type"), number("boxesAvailable").alias("boxes"), number("stemsPerBox").alias("stems_per_box"), price.alias("price"), weight.alias("weight"), currency.alias("currency"), F.coalesce(at("treatment"), F.lit("normal")).alias("treatment"),
-        F.when(good, F.col("_strict.confidence")).otherwise("low").alias("confidence"), review.alias("needs_review"), (~good).alias("recovered"), warnings.alias("warnings"),
+        *[
+            c for c in responses.columns if c != text
+        ],
+        "line_no",
+        F.coalesce(at("rawText"),
+        F.lit(T.PLACEHOLDERS[0])).alias("raw_text"),
+        at("productGroup").alias("product_group"),
+        at("variety").alias("variety"),
+        at("length").alias("length_raw"),
+        F.when(length["kind"] == "single",
+        length["min"]).alias("length_cm"),
+        at("boxType").alias("box_type"), number("boxesAvailable").alias("boxes"), number("stemsPerBox").alias("stems_per_box"), price.alias("price"), weight.alias("weight"), currency.alias("currency"), F.coalesce(
+            at("treatment"),
+            F.lit("normal")
+        ).alias("treatment"),
+        F.when(
+            good,
+            F.col("_strict.confidence")
+        ).otherwise("low").alias("confidence"), review.alias("needs_review"), (~good).alias("recovered"), warnings.alias("warnings"),
     )

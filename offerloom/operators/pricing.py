@@ -16,7 +16,10 @@ STALE_DAYS, WEIGHT_KG, SELL_PRICE = 14, (0.5, 30), (0.05, 20)
 
 def freight_per_stem(rate: Column, unit: Column, stems: Column, weight: Column) -> Column:
     """PER_KG (also if no unit is given): weight * rate / stems; PER_BOX: rate / stems; PER_STEM: rate."""
-    return F.when(unit == "PER_STEM", F.when(stems > 0, money(rate))).when(unit == "PER_BOX", over(rate, stems)).otherwise(over(times(weight, rate), stems))
+    return F.when(
+        unit == "PER_STEM",
+        F.when(stems > 0, money(rate))
+    ).when(unit == "PER_BOX", over(rate, stems)).otherwise(over(times(weight, rate), stems))
 
 
 def handling_per_stem(per_box: Column, stems: Column) -> Column:
@@ -25,7 +28,10 @@ def handling_per_stem(per_box: Column, stems: Column) -> Column:
 
 def cost_per_stem(amount: Column, unit: Column, stems: Column, weight: Column) -> Column:
     """PER_STEM, PER_KG, or for a box: PER_BOX and FLAT."""
-    return F.when(unit == "PER_STEM", money(amount)).when(unit == "PER_KG", over(times(weight, amount), stems)).otherwise(over(amount, stems))
+    return F.when(unit == "PER_STEM", money(amount)).when(
+        unit == "PER_KG",
+        over(times(weight, amount), stems)
+    ).otherwise(over(amount, stems))
 
 
 def costs_per_stem(costs: Column, stems: Column, weight: Column, which=None) -> Column:
@@ -37,12 +43,18 @@ def costs_per_stem(costs: Column, stems: Column, weight: Column, which=None) ->
 
 def cost_price(incoterm: Column, fob: Column, freight: Column, additional: Column) -> Column:
     """FOB: the price; CFR: and freight; DDP: and the additional costs."""
-    return F.when(incoterm == "FOB", money(fob)).when(incoterm == "CFR", money(money(fob) + freight)).when(incoterm == "DDP", money(money(fob) + freight + additional))
+    return F.when(incoterm == "FOB", money(fob)).when(incoterm == "CFR", money(money(fob) + freight)).when(
+        incoterm == "DDP",
+        money(money(fob) + freight + additional)
+    )
 
 
 def converted(amount: Column, source: Column, target: Column, base: Column, quote: Column, rate: Column) -> Column:
     """In another currency by a rate in either direction; null without a rate that fits."""
-    return F.when(source == target, money(amount)).when((base == source) & (quote == target), times(amount, rate)).when((base == target) & (quote == source), over(amount, rate))
+    return F.when(source == target, money(amount)).when(
+        (base == source) & (quote == target),
+        times(amount, rate)
+    ).when((base == target) & (quote == source), over(amount, rate))
 
 
 def with_margin(cost: Column, percent: Column) -> Column:
@@ -50,17 +62,23 @@ def with_margin(cost: Column, percent: Column) -> Column:
 
 
 def blockers(c: dict[str, Column]) -> Column:
-    """Codes of what blocks a price, in order. c: incoterm, fob, stems, weight, freight_rate, freight_unit, costs, source, target, rate, margin.
+    """Codes of what blocks a price, in order. c: incoterm, fob, stems, weight, freight_rate, freight_unit, costs, source,
+    target, rate, margin.
 
     A cost for each kilogram needs the weight as freight does; such a line is blocked, not priced without the cost.
     """
     cif = c["incoterm"].isin("CFR", "DDP")
     ddp = c["incoterm"] == "DDP"
     has = lambda cats: F.coalesce(F.exists(c["costs"], lambda x: x["category"].isin(*cats)), F.lit(False))
-    per_kg = (F.coalesce(c["freight_unit"], F.lit("PER_KG")) == "PER_KG") | (ddp & F.coalesce(F.exists(c["costs"], lambda x: x["unit"] == "PER_KG"), F.lit(False)))
+    per_kg = (F.coalesce(c["freight_unit"], F.lit("PER_KG")) == "PER_KG") | (
+        ddp & F.coalesce(F.exists(c["costs"], lambda x: x["unit"] == "PER_KG"), F.lit(False))
+    )
     one = F.array(
         F.when(c["fob"].isNull(), "MISSING_FOB_PRICE").when(c["fob"] < 0, "NEGATIVE_PRICE").when(c["fob"] == 0, "MISSING_FOB_PRICE"),
-        F.when(c["stems"].isNull(), "MISSING_STEMS_PER_BOX").when(c["stems"] == 0, "ZERO_STEMS_PER_BOX").when(c["stems"] < 0, "NEGATIVE_PRICE"),
+        F.when(
+            c["stems"].isNull(),
+            "MISSING_STEMS_PER_BOX"
+        ).when(c["stems"] == 0, "ZERO_STEMS_PER_BOX").when(c["stems"] < 0, "NEGATIVE_PRICE"),
         F.when(cif & per_kg & c["weight"].isNull(), "MISSING_WEIGHT").when(cif & (c["weight"] < 0), "NEGATIVE_WEIGHT"),
         F.when(cif & c["freight_rate"].isNull(), "MISSING_FREIGHT_RATE").when(cif & (c["freight_rate"] < 0), "NEGATIVE_PRICE"),
         F.when(ddp & ~has(CLEARING), "MISSING_DDP_CLEARING_INSPECTION"),
@@ -81,7 +99,10 @@ ROUTE_CODES = ["MISSING_FREIGHT_RATE", "MISSING_DDP_CLEARING_INSPECTION", "MISSI
 def with_route_issues(issues: Column, origin_missing: Column) -> Column:
     """If no origin is known, what is missing on the route is one issue, at the end: ORIGIN_NOT_CONFIGURED."""
     route = F.exists(issues, lambda i: i.isin(*ROUTE_CODES))
-    return F.when(origin_missing & route, F.concat(F.filter(issues, lambda i: ~i.isin(*ROUTE_CODES)), F.array(F.lit("ORIGIN_NOT_CONFIGURED")))).otherwise(issues)
+    return F.when(
+        origin_missing & route,
+        F.concat(F.filter(issues, lambda i: ~i.isin(*ROUTE_CODES)), F.array(F.lit("ORIGIN_NOT_CONFIGURED")))
+    ).otherwise(issues)
 
 
 def priced(lines: DataFrame, decimals: int = 2) -> DataFrame:
@@ -92,8 +113,17 @@ def priced(lines: DataFrame, decimals: int = 2) -> DataFrame:
     A route that doesn't offer the incoterm is the only issue then. Prices are rounded once, at the end; a manual price wins.
     """
     has = lambda name, default: F.col(name) if name in lines.columns else F.lit(default)
-    c = {k: F.col(v) for k, v in {"incoterm": "incoterm", "fob": "fob", "stems": "stems_per_box", "weight": "weight_kg", "freight_rate": "freight_rate", "freight_unit": "freight_unit", "costs": "costs", "source": "source_currency", "target": "target_currency", "rate": "fx_rate", "margin": "margin_pct"}.items()}
-    issues = F.when(~has("route_supports", True), F.array(F.lit("INCOTERM_NOT_SUPPORTED_ON_ROUTE"))).otherwise(with_route_issues(blockers(c), has("origin_missing", False)))
+    c = {
+        k: F.col(v) for k, v in {
+            "incoterm": "incoterm", "fob": "fob", "stems": "stems_per_box", "weight": "weight_kg",
+            "freight_rate": "freight_rate", "freight_unit": "freight_unit", "costs": "costs",
+            "source": "source_currency", "target": "target_currency", "rate": "fx_rate", "margin": "margin_pct"
+        }.items()
+    }
+    issues = F.when(
+        ~has("route_supports", True),
+        F.array(F.lit("INCOTERM_NOT_SUPPORTED_ON_ROUTE"))
+    ).otherwise(with_route_issues(blockers(c), has("origin_missing", False)))
     df = lines.withColumn("issues", issues)
     free = F.size("issues") == 0
     stems, weight = c["stems"], c["weight"]
@@ -102,7 +132,10 @@ def priced(lines: DataFrame, decimals: int = 2) -> DataFrame:
     part = lambda which: F.when(free, F.when(ddp, costs_per_stem(c["costs"], stems, weight, which)).otherwise(zero))
     df = df.withColumns(
         {
-            "freight": F.when(free, F.when(F.col("incoterm") == "FOB", zero).otherwise(freight_per_stem(c["freight_rate"], c["freight_unit"], stems, weight))),
+            "freight": F.when(
+                free,
+                F.when(F.col("incoterm") == "FOB", zero).otherwise(freight_per_stem(c["freight_rate"], c["freight_unit"], stems, weight))
+            ),
             "clearing_inspection": part(lambda x: x.isin(*CLEARING)),
             "handling": part(lambda x: x == "HANDLING"),
             "other_costs": part(lambda x: ~x.isin(*CLEARING, "HANDLING")),
@@ -110,10 +143,18 @@ def priced(lines: DataFrame, decimals: int = 2) -> DataFrame:
     )
     df = df.withColumn("additional", money(F.col("clearing_inspection") + F.col("handling") + F.col("other_costs")))
     df = df.withColumn("cost_source", cost_price(F.col("incoterm"), c["fob"], F.col("freight"), F.col("additional")))
-    df = df.withColumn("cost_target", converted(F.col("cost_source"), c["source"], c["target"], F.col("fx_base"), F.col("fx_quote"), c["rate"]))
+    df = df.withColumn(
+        "cost_target",
+        converted(F.col("cost_source"), c["source"], c["target"], F.col("fx_base"), F.col("fx_quote"), c["rate"])
+    )
     df = df.withColumn("calculated", F.when(free, with_margin(F.col("cost_target"), c["margin"])))
     price = lambda x: rounded(x, decimals).cast("decimal(18,6)")
-    return df.withColumns({"calculated_rounded": price(F.col("calculated")), "is_manual": free & F.col("manual_price").isNotNull(), "final_price": F.when(free, F.coalesce(price(F.col("manual_price")), price(F.col("calculated"))))})
+    return df.withColumns(
+        {
+            "calculated_rounded": price(F.col("calculated")), "is_manual": free & F.col("manual_price").isNotNull(),
+            "final_price": F.when(free, F.coalesce(price(F.col("manual_price")), price(F.col("calculated"))))
+        }
+    )
 
 
 def duplicate_categories(costs: DataFrame, key: str) -> DataFrame:
@@ -127,7 +168,10 @@ def line_warnings(c: dict[str, Column], as_of: Column) -> Column:
         F.array(
             F.when(c["confidence"] == "LOW", "LOW_CONFIDENCE"),
             F.when(~c["linked"], "NOT_LINKED"),
-            F.when((as_of.cast("timestamp").cast("double") - c["rate_updated"].cast("timestamp").cast("double")) > STALE_DAYS * 86400, "STALE_RATE"),
+            F.when(
+                (as_of.cast("timestamp").cast("double") - c["rate_updated"].cast("timestamp").cast("double")) > STALE_DAYS * 86400,
+                "STALE_RATE"
+            ),
             F.when((c["weight"] < WEIGHT_KG[0]) | (c["weight"] > WEIGHT_KG[1]), "UNUSUAL_WEIGHT"),
             F.when(c["is_manual"], "MANUAL_PRICE"),
             F.when((c["final_price"] < SELL_PRICE[0]) | (c["final_price"] > SELL_PRICE[1]), "UNUSUAL_SELL_PRICE"),
@@ -139,10 +183,19 @@ def line_warnings(c: dict[str, Column], as_of: Column) -> Column:
 
 
 def origins(lines: DataFrame, farms: DataFrame, locations: DataFrame) -> DataFrame:
-    """lines (origin_id, farm_id) with resolved_origin: the line's, else the farm's, else its country's default departure, found by city and country in any case."""
+    """lines (origin_id, farm_id) with resolved_origin: the line's, else the farm's, else its country's default departure, found
+    by city and country in any case.
+    """
     f = farms.select(F.col("farm_id").alias("_f"), F.col("origin_id").alias("_fo"), F.lower(F.trim("country")).alias("_fc"))
     # one row a country
-    default = F.coalesce(*(F.when((F.lower("city") == city.lower()) & (F.lower("country") == country.lower()), F.lit(key)) for key, (city, country) in DEFAULT_DEPARTURE.items()))
+    default = F.coalesce(
+        *(
+            F.when(
+                (F.lower("city") == city.lower()) & (F.lower("country") == country.lower()),
+                F.lit(key)
+            ) for key, (city, country) in DEFAULT_DEPARTURE.items()
+        )
+    )
     d = locations.withColumn("_key", default).where("_key is not null").groupBy("_key").agg(F.min("location_id").alias("_do"))
     j = lines.join(f, F.col("farm_id") == F.col("_f"), "left").join(d, F.col("_fc") == F.col("_key"), "left")
     return j.select(*lines.columns, F.coalesce("origin_id", "_fo", "_do").alias("resolved_origin"))
@@ -174,7 +227,8 @@ def rates_as_of(rates: DataFrame, as_of: str, base: str = "EUR") -> DataFrame:
 
 
 def rate_spans(rates: DataFrame, base: str = "EUR") -> DataFrame:
-    """_c, _month, _last, _inside, _before: for each currency and month from its first rate to its last change, the changes inside and the one before.
+    """_c, _month, _last, _inside, _before: for each currency and month from its first rate to its last change, the changes
+    inside and the one before.
 
     A change (at, rate) is a time from which another rate is the newest valid one, or none is (null). _last is the currency's last month.
     """
@@ -209,23 +263,38 @@ def rates_at_each(events: DataFrame, rates: DataFrame, *, at: str = "at", curren
     return j.select(*events.columns, F.coalesce(now, F.col("_before"))["rate"].alias("fx_rate"))
 
 
-def with_context(pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs: DataFrame, rates: DataFrame, as_of: str, base: str = "EUR") -> DataFrame:
+def with_context(
+    pairs: DataFrame, routes: DataFrame, tariffs: DataFrame, costs: DataFrame, rates: DataFrame, as_of: str,
+    base: str = "EUR"
+) -> DataFrame:
     """Lines for customers with all that their prices need: route, freight, costs, rate.
 
     pairs: resolved_origin, destination_id, incoterm, source_currency, target_currency. The rate is that of the currency that isn't
     the base, towards the target currency. One join for each dimension, whatever the number of lines and customers;
     Spark sends a dimension to the pairs where its size allows that.
     """
-    r = best_routes(routes).select(F.col("origin_id").alias("_o"), F.col("destination_id").alias("_d"), "route_id", "supports_cfr", "supports_ddp")
+    r = best_routes(routes).select(
+        F.col("origin_id").alias("_o"),
+        F.col("destination_id").alias("_d"),
+        "route_id",
+        "supports_cfr",
+        "supports_ddp"
+    )
     t = tariffs.select(F.col("route_id").alias("_tr"), F.col("rate").alias("_rate"), F.col("rate_unit").alias("_unit"))
     c = route_costs(costs).select(F.col("route_id").alias("_cr"), F.col("costs").alias("_costs"))
     x = rates_as_of(rates, as_of, base)
     j = pairs.join(r, (F.col("resolved_origin") == F.col("_o")) & (F.col("destination_id") == F.col("_d")), "left")
     j = j.join(t, F.col("route_id") == F.col("_tr"), "left").join(c, F.col("route_id") == F.col("_cr"), "left")
-    other = F.when(F.col("source_currency") != F.col("target_currency"), F.when(F.col("source_currency") == base, F.col("target_currency")).otherwise(F.col("source_currency")))
+    other = F.when(
+        F.col("source_currency") != F.col("target_currency"),
+        F.when(F.col("source_currency") == base, F.col("target_currency")).otherwise(F.col("source_currency"))
+    )
     j = j.withColumn("_other", other).join(x, F.col("_other") == F.col("currency"), "left")
     cif = F.col("incoterm").isin("CFR", "DDP")
-    supports = F.when(F.col("incoterm") == "CFR", F.coalesce("supports_cfr", F.lit(True))).when(F.col("incoterm") == "DDP", F.coalesce("supports_ddp", F.lit(True))).otherwise(F.lit(True))
+    supports = F.when(
+        F.col("incoterm") == "CFR",
+        F.coalesce("supports_cfr", F.lit(True))
+    ).when(F.col("incoterm") == "DDP", F.coalesce("supports_ddp", F.lit(True))).otherwise(F.lit(True))
     found = F.col("fx_rate").isNotNull()
     return j.select(
         *pairs.columns,

@@ -16,8 +16,13 @@ def contains(c: Column, text: str) -> Column:
     return F.contains(F.lower(c.cast("string")), F.lower(F.lit(text)))
 
 
-def search(df: DataFrame, *, equal: dict | None = None, like: dict | None = None, q: str | None = None, q_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that equal all given values, contain all given texts, and contain q in one column at least. Values that are None or empty are no filter."""
+def search(
+    df: DataFrame, *, equal: dict | None = None, like: dict | None = None, q: str | None = None,
+    q_columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows that equal all given values, contain all given texts, and contain q in one column at least. Values that are None or
+    empty are no filter.
+    """
     for c, v in (equal or {}).items():
         if v not in (None, ""):
             df = df.where(F.col(c) == v)
@@ -35,8 +40,15 @@ def search(df: DataFrame, *, equal: dict | None = None, like: dict | None = None
 ASSORTMENT_Q = ("farm_name", "country", "product_name", "variety", "color", "grade", "stem_length", "box_type", "supplier_code")
 
 
-def search_assortment(articles: DataFrame, *, farm_id=None, product_id=None, box_type=None, box_weight=None, variety=None, length=None, q=None) -> DataFrame:
-    return search(articles, equal={"farm_id": farm_id, "product_id": product_id, "box_type": box_type, "box_weight": box_weight}, like={"variety": variety, "stem_length": length}, q=q, q_columns=tuple(c for c in ASSORTMENT_Q if c in articles.columns))
+def search_assortment(
+    articles: DataFrame, *, farm_id=None, product_id=None, box_type=None, box_weight=None, variety=None, length=None,
+    q=None
+) -> DataFrame:
+    return search(
+        articles, equal={"farm_id": farm_id, "product_id": product_id, "box_type": box_type, "box_weight": box_weight},
+        like={"variety": variety, "stem_length": length}, q=q,
+        q_columns=tuple(c for c in ASSORTMENT_Q if c in articles.columns)
+    )
 
 
 #: Rows up to the end of a page that are found by one top-k; deeper pages are found by ranges.
@@ -50,7 +62,9 @@ def _ordered(order: list[str]) -> list[Column]:
 
 
 def _one_range(df: DataFrame, order: list[str], skip: int, rows: int, n: int) -> tuple[DataFrame, int]:
-    """(the rows of df that hold rows skip .. skip + rows of its order, how many rows stand before them): by a histogram of the first key, and within one heavy value by the next key."""
+    """(the rows of df that hold rows skip .. skip + rows of its order, how many rows stand before them): by a histogram of the
+    first key, and within one heavy value by the next key.
+    """
     name, falling = order[0].lstrip("-"), order[0].startswith("-")
     c = F.col(name)
     share = min(1.0, SAMPLE / max(n, 1))
@@ -85,9 +99,11 @@ def _one_range(df: DataFrame, order: list[str], skip: int, rows: int, n: int) ->
 
 
 def page(df: DataFrame, order: list[str], number: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page of a stable order: column names, falling with a minus before them. A page beyond the last one is the first; an unknown size is the default.
+    """One page of a stable order: column names, falling with a minus before them. A page beyond the last one is the first; an
+    unknown size is the default.
 
-    A page near the top is a top-k. Of a deep one, exact counts of the ranges of a histogram tell which range holds it, and only the rows of that
+    A page near the top is a top-k. Of a deep one, exact counts of the ranges of a histogram tell which range holds it, and only
+    the rows of that
     range, which the filter on the first key leaves of the scan, are sorted. Ties of the whole order are not told apart.
     """
     size = size if size in PAGE_SIZES else DEFAULT_PAGE_SIZE
@@ -109,7 +125,9 @@ def in_global_order(df: DataFrame, order: list, name: str) -> DataFrame:
     """
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the lower 33 bits of this id count the rows of a partition in their order
-    placed = sorted_rows.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = sorted_rows.withColumns(
+        {"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    )
     path = shared_folder(df.sparkSession, "order")
     placed.write.parquet(path)
     rows = df.sparkSession.read.schema(placed.schema).parquet(path)
@@ -123,7 +141,9 @@ def in_global_order(df: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def numbered_within(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
-    """df with each row's number (from 1) within its group. However large a group is, no task holds it: numbers run over all rows, less those of the groups before."""
+    """df with each row's number (from 1) within its group. However large a group is, no task holds it: numbers run over all
+    rows, less those of the groups before.
+    """
     rows = in_global_order(df, [group, *order], "_all")
     starts = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_all").alias("_first"))
     return rows.join(starts, F.col(group).eqNullSafe(F.col("_g"))).select(*df.columns, (F.col("_all") - F.col("_first") + 1).alias(name))
@@ -141,15 +161,24 @@ def current_tariffs(tariffs: DataFrame, as_of: str) -> DataFrame:
     """One tariff a route: a valid one first, then the newest by start, change and id."""
     t = F.lit(as_of).cast("timestamp")
     valid = (F.col("effective_from") <= t) & (F.col("effective_to").isNull() | (F.col("effective_to") >= t))
-    return first_per(tariffs, ["route_id"], [F.when(valid, 0).otherwise(1), F.desc("effective_from"), F.desc("updated_at"), F.desc("tariff_id")])
+    return first_per(
+        tariffs, ["route_id"],
+        [F.when(valid, 0).otherwise(1), F.desc("effective_from"), F.desc("updated_at"), F.desc("tariff_id")]
+    )
 
 
 def current_costs(costs: DataFrame, as_of: str) -> DataFrame:
     """The same for a route's costs of one type; costs without a type never replace one another."""
     t = F.lit(as_of).cast("timestamp")
     valid = (F.col("effective_from") <= t) & (F.col("effective_to").isNull() | (F.col("effective_to") >= t))
-    keyed = costs.withColumn("_type", F.coalesce(F.col("cost_type_id").cast("string"), F.concat(F.lit("id:"), F.col("cost_id").cast("string"))))
-    return first_per(keyed, ["route_id", "_type"], [F.when(valid, 0).otherwise(1), F.desc("effective_from"), F.desc("updated_at"), F.desc("cost_id")]).drop("_type")
+    keyed = costs.withColumn(
+        "_type",
+        F.coalesce(F.col("cost_type_id").cast("string"), F.concat(F.lit("id:"), F.col("cost_id").cast("string")))
+    )
+    return first_per(
+        keyed, ["route_id", "_type"],
+        [F.when(valid, 0).otherwise(1), F.desc("effective_from"), F.desc("updated_at"), F.desc("cost_id")]
+    ).drop("_type")
 
 
 def option_list(df: DataFrame, column: str) -> DataFrame:
@@ -167,8 +196,6 @@ def without(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.join(children, key, "left_anti")
 
 
-def with_any(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
-    return parents.join(children.select(key), key, "left_semi")
 
 
 def import_new(incoming: DataFrame, existing: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -177,7 +204,10 @@ def import_new(incoming: DataFrame, existing: DataFrame, key: Column, order: lis
     w = Window.partitionBy("_key").orderBy(*order)
     rows = incoming.withColumn("_key", F.nullif(key, F.lit("")))
     j = rows.join(k, F.col("_key") == F.col("_k"), "left")
-    outcome = F.when(F.col("_key").isNull(), "INVALID").when(F.col("_known"), "DUPLICATE").when(F.row_number().over(w) > 1, "DUPLICATE").otherwise("CREATED")
+    outcome = F.when(F.col("_key").isNull(), "INVALID").when(F.col("_known"), "DUPLICATE").when(
+        F.row_number().over(w) > 1,
+        "DUPLICATE"
+    ).otherwise("CREATED")
     return j.select(*incoming.columns, outcome.alias("outcome"))
 
 
@@ -193,7 +223,9 @@ def missing_ids(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def dashboard(quotes: DataFrame, lines: DataFrame, articles: DataFrame, routes: DataFrame, tariffs: DataFrame) -> DataFrame:
-    """One row: concept quotes, lines without a variant, articles without weight, routes without a tariff. Whole counts, without the cap of a list on screen."""
+    """One row: concept quotes, lines without a variant, articles without weight, routes without a tariff. Whole counts, without
+    the cap of a list on screen.
+    """
     return (
         quotes.agg(F.count_if(F.col("status") == "CONCEPT").alias("concept_quotes"))
         .crossJoin(lines.agg(F.count_if(F.col("variant_id").isNull()).alias("unlinked_lines")))
@@ -203,10 +235,14 @@ def dashboard(quotes: DataFrame, lines: DataFrame, articles: DataFrame, routes:
 
 
 def quotable_candidates(lines: DataFrame, preselected: DataFrame) -> DataFrame:
-    """Lines that may be quoted: of a reviewed offer, matched, with an article, and with a price unless they were picked before (preselected: line_id). Picked ones first, then by farm and time."""
+    """Lines that may be quoted: of a reviewed offer, matched, with an article, and with a price unless they were picked before
+    (preselected: line_id). Picked ones first, then by farm and time.
+    """
     p = preselected.select(F.col("line_id").alias("_p")).distinct()
     j = lines.join(p, F.col("line_id") == F.col("_p"), "left").withColumn("preselected", F.col("_p").isNotNull()).drop("_p")
-    fits = (F.col("offer_status") == "REVIEWED") & F.col("match_status").isin("AUTO_MATCHED", "DERIVED", "USER_LINKED") & F.col("article_id").isNotNull() & (F.col("price").isNotNull() | F.col("preselected"))
+    fits = (F.col("offer_status") == "REVIEWED") & F.col("match_status").isin("AUTO_MATCHED", "DERIVED", "USER_LINKED") & F.col("article_id").isNotNull() & (
+        F.col("price").isNotNull() | F.col("preselected")
+    )
     return j.where(fits)
 
 

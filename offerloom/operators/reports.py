@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # How currencies and incoterms are shown.
 SYMBOLS, INCOTERMS = {"USD": "$", "EUR": "€"}, {"FOB": "FOB", "CFR": "C&F", "DDP": "DDP"}
 
-CUSTOMER_COLUMNS = ["position", "product", "variety", "color", "grade", "stem_length", "treatment", "box_type", "stems_per_box", "quantity_boxes", "total_stems", "price", "currency", "incoterm", "origin", "supplier", "notes"]
+CUSTOMER_COLUMNS = [
+    "position", "product", "variety", "color", "grade", "stem_length", "treatment", "box_type", "stems_per_box",
+    "quantity_boxes", "total_stems", "price", "currency", "incoterm", "origin", "supplier", "notes"
+]
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:
@@ -20,7 +23,9 @@ def final_price(lines: DataFrame) -> Column:
 
 
 def customer_sheet(lines: DataFrame) -> DataFrame:
-    """One row a quote line, without costs or margins. Variant fields (v_*) come before what the supplier wrote; columns that a table lacks are empty."""
+    """One row a quote line, without costs or margins. Variant fields (v_*) come before what the supplier wrote; columns that a
+    table lacks are empty.
+    """
     has = lambda c: F.col(c) if c in lines.columns else F.lit(None).cast("string")
     pick = lambda a, b: F.coalesce(has(a), has(b))
     new = {
@@ -36,9 +41,19 @@ def customer_sheet(lines: DataFrame) -> DataFrame:
 
 
 def internal_sheet(lines: DataFrame) -> DataFrame:
-    """The cost build-up of each quote line; what isn't clearing or handling is other, never below zero; a line's rate comes before the quote's."""
-    rest = F.greatest(F.lit(0).cast("decimal(18,6)"), (F.col("additional") - F.col("clearing_inspection") - F.col("handling")).cast("decimal(18,6)"))
-    return lines.select("quote_id", "line_id", "incoterm", "stems_per_box", "quantity_boxes", "weight_kg", "fob", "freight", "clearing_inspection", "handling", rest.alias("other"), "cost_source", "source_currency", F.coalesce("fx_rate", "quote_fx_rate").alias("fx_rate"), "cost_target", "margin_pct", "calculated_price", "manual_price", final_price(lines).alias("final_price"))
+    """The cost build-up of each quote line; what isn't clearing or handling is other, never below zero; a line's rate comes
+    before the quote's.
+    """
+    rest = F.greatest(
+        F.lit(0).cast("decimal(18,6)"),
+        (F.col("additional") - F.col("clearing_inspection") - F.col("handling")).cast("decimal(18,6)")
+    )
+    return lines.select(
+        "quote_id", "line_id", "incoterm", "stems_per_box", "quantity_boxes", "weight_kg", "fob", "freight",
+        "clearing_inspection", "handling", rest.alias("other"), "cost_source", "source_currency",
+        F.coalesce("fx_rate", "quote_fx_rate").alias("fx_rate"), "cost_target", "margin_pct", "calculated_price",
+        "manual_price", final_price(lines).alias("final_price")
+    )
 
 
 # The headings of the two workbooks.
@@ -56,7 +71,14 @@ INTERNAL_HEADINGS = [
 CUSTOMER_NUMBERS, CUSTOMER_PRICES, INTERNAL_NUMBERS = [8, 9, 10], [11], [2, 3, 4, *range(6, 12), 14, *range(16, 21)]
 
 
-def _sheet_rows(lines: DataFrame, headings: list[str], cells: list[Column], first: int, sheet: Column, above: dict[int, Column]) -> DataFrame:
+def _sheet_rows(
+    lines: DataFrame,
+    headings: list[str],
+    cells: list[Column],
+    first: int,
+    sheet: Column,
+    above: dict[int, Column]
+) -> DataFrame:
     """(path, sheet, row, cells): what stands above, the headings in the row before `first`, then the lines by position."""
     of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     path = F.col("quote_id").cast("string")
@@ -78,12 +100,32 @@ def customer_workbook(lines: DataFrame) -> DataFrame:
     pick = lambda *cs: F.coalesce(*map(has, cs))
     shown = lambda c, empty="": F.coalesce(has(c), F.lit(empty))
     cells = [
-        pick("v_product_group", "product_group"), pick("v_product", "product_group"), pick("v_variety", "variety"), pick("v_stem_length", "stem_length"), pick("v_color", "color"), pick("v_grade", "grade"), has("treatment"),
-        has("box_type"), has("stems_per_box"), has("quantity_boxes"), F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"), pick("manual_price", "calculated_price"),
+        pick(
+            "v_product_group",
+            "product_group"
+        ),
+        pick("v_product",
+        "product_group"),
+        pick("v_variety",
+        "variety"),
+        pick("v_stem_length",
+        "stem_length"),
+        pick("v_color",
+        "color"),
+        pick("v_grade",
+        "grade"),
+        has("treatment"),
+        has("box_type"), has("stems_per_box"), has("quantity_boxes"), F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"), pick(
+            "manual_price",
+            "calculated_price"
+        ),
         has("currency"), has("incoterm"), has("origin_city"), has("destination_city"), has("notes"),
     ]
     title = F.concat(F.lit("Aanbieding "), shown("quote_number"), F.lit(" - "), shown("customer_name"))
-    places = F.concat(F.lit("Herkomst: "), shown("origin_country", "-"), F.lit("  |  Levering: "), shown("incoterm"), F.lit(" "), shown("destination_city"), F.lit("  |  Valuta: "), shown("currency"))
+    places = F.concat(
+        F.lit("Herkomst: "), shown("origin_country", "-"), F.lit("  |  Levering: "), shown("incoterm"), F.lit(" "),
+        shown("destination_city"), F.lit("  |  Valuta: "), shown("currency")
+    )
     sheet = F.substring(F.concat(F.lit("Offerte "), shown("quote_number")), 1, 31)
     return _sheet_rows(lines, CUSTOMER_HEADINGS, cells, 5, sheet, {0: F.array(title), 2: F.array(places)})
 
@@ -91,26 +133,57 @@ def customer_workbook(lines: DataFrame) -> DataFrame:
 def internal_workbook(lines: DataFrame) -> DataFrame:
     """Rows of one sheet a quote with costs, margin and rates; never for customers. Columns that are missing are empty, missing costs are 0.
 
-    lines: quote_id, position, product columns, supplier, fob, freight, clearing_inspection, handling, additional, cost_source, source_currency,
-    fx_rate, fx_base, fx_quote (and the quote's, quote_fx_*), fx_note, currency, incoterm, cost_target, margin_pct, calculated_price, manual_price.
+    lines: quote_id, position, product columns, supplier, fob, freight, clearing_inspection, handling, additional, cost_source,
+    source_currency,
+    fx_rate, fx_base, fx_quote (and the quote's, quote_fx_*), fx_note, currency, incoterm, cost_target, margin_pct,
+    calculated_price, manual_price.
     """
     has = lambda c: F.col(c).cast("string") if c in lines.columns else F.lit(None).cast("string")
     cost = lambda c: F.coalesce(has(c).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
     rate = lambda c: F.coalesce(has(f"fx_{c}"), has(f"quote_fx_{c}"))
-    named = F.nullif(F.concat_ws(" - ", *(F.nullif(has(c), F.lit("")) for c in ("v_product", "v_variety", "v_color", "v_grade", "v_stem_length"))), F.lit(""))
+    named = F.nullif(
+        F.concat_ws(" - ", *(F.nullif(has(c), F.lit("")) for c in ("v_product", "v_variety", "v_color", "v_grade", "v_stem_length"))),
+        F.lit("")
+    )
     converts = rate("rate").isNotNull()
-    rest = F.greatest(F.lit(0).cast("decimal(18,6)"), (cost("additional") - cost("clearing_inspection") - cost("handling")).cast("decimal(18,6)"))
+    rest = F.greatest(
+        F.lit(0).cast("decimal(18,6)"),
+        (cost("additional") - cost("clearing_inspection") - cost("handling")).cast("decimal(18,6)")
+    )
     cells = [
-        F.when(has("v_product").isNotNull(), named).otherwise(has("product_group")), has("supplier"), has("quantity_boxes"), has("stems_per_box"), F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"), has("incoterm"),
-        has("fob"), cost("freight"), cost("clearing_inspection"), cost("handling"), rest, has("cost_source"), F.when(converts, rate("base")).otherwise(has("source_currency")), F.when(converts, rate("quote")).otherwise(has("currency")),
-        rate("rate"), F.when(converts, has("fx_note")), has("cost_target"), has("margin_pct"), has("calculated_price"), has("manual_price"), F.coalesce(has("manual_price"), has("calculated_price")),
+        F.when(
+            has("v_product").isNotNull(),
+            named
+        ).otherwise(has("product_group")),
+        has("supplier"),
+        has("quantity_boxes"),
+        has("stems_per_box"),
+        F.col("stems_per_box").cast("long") * F.col("quantity_boxes").cast("long"),
+        has("incoterm"),
+        has("fob"),
+        cost("freight"),
+        cost("clearing_inspection"),
+        cost("handling"),
+        rest,
+        has("cost_source"),
+        F.when(converts, rate("base")).otherwise(has("source_currency")),
+        F.when(converts, rate("quote")).otherwise(has("currency")),
+        rate("rate"), F.when(converts, has("fx_note")), has("cost_target"), has("margin_pct"), has("calculated_price"), has("manual_price"), F.coalesce(
+            has("manual_price"),
+            has("calculated_price")
+        ),
     ]
     return _sheet_rows(lines, INTERNAL_HEADINGS, cells, 1, F.lit("Interne calculatie"), {})
 
 
 def product_label(lines: DataFrame) -> Column:
-    """Colour, variety, grade and length of the variant, else the product group, else the line's first 40 characters; and a treatment that isn't normal."""
-    parts = F.nullif(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("v_color", "v_variety", "v_grade", "v_stem_length"))), F.lit(""))
+    """Colour, variety, grade and length of the variant, else the product group, else the line's first 40 characters; and a
+    treatment that isn't normal.
+    """
+    parts = F.nullif(
+        F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("v_color", "v_variety", "v_grade", "v_stem_length"))),
+        F.lit("")
+    )
     base = F.coalesce(parts, F.col("v_product"), F.col("product_group"), F.substring("raw_text", 1, 40))
     return F.when(F.lower("treatment") != "normal", F.concat(base, F.lit(" ("), F.col("treatment"), F.lit(")"))).otherwise(base)
 
@@ -125,25 +198,66 @@ def offer_text(lines: DataFrame, *, style: str = "message") -> DataFrame:
     group = F.coalesce("v_product", "product_group", F.lit("Other"))
     symbol = mapped(F.col("currency"), SYMBOLS)
     stems = F.concat(F.col("stems_per_box").cast("string"), F.lit(" stems/"), F.coalesce("box_type", F.lit("box")))
-    line = F.concat(F.lit("• " if message else "  - "), product_label(lines), F.lit(" - "), stems, F.lit(" - "), symbol, final_price(lines).cast("string"), F.lit(" per stem"))
+    line = F.concat(
+        F.lit("• " if message else "  - "), product_label(lines), F.lit(" - "), stems, F.lit(" - "), symbol,
+        final_price(lines).cast("string"), F.lit(" per stem")
+    )
     quote = ["quote_id", "quote_number", "currency", "incoterm", "origin_country", "destination_city", "valid_until", "contact"]
-    grouped = lines.select(*quote, group.alias("_g"), "position", line.alias("_l")).groupBy(*quote, "_g").agg(F.min("position").alias("_p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_l"))), lambda x: x["_l"]), "\n").alias("_lines"))
+    grouped = lines.select(*quote, group.alias("_g"), "position", line.alias("_l")).groupBy(*quote, "_g").agg(
+        F.min("position").alias("_p"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_l"))), lambda x: x["_l"]), "\n").alias("_lines")
+    )
     head = F.concat(F.lit("*"), F.col("_g"), F.lit("*")) if message else F.concat(F.col("_g"), F.lit(":"))
-    whole = grouped.groupBy(*quote).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.concat(head, F.lit("\n"), F.col("_lines")).alias("t")))), lambda x: x["t"]), "\n\n").alias("_body"))
+    whole = grouped.groupBy(*quote).agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("_p", F.concat(head, F.lit("\n"), F.col("_lines")).alias("t")))),
+                lambda x: x["t"]
+            ),
+            "\n\n"
+        ).alias("_body")
+    )
     delivery = F.concat_ws(" ", mapped(F.col("incoterm"), INCOTERMS), F.col("destination_city"))
     until = F.coalesce(F.date_format("valid_until", "d-M-yyyy"), F.lit("further notice"))
     origin = F.coalesce("origin_country", F.lit("-"))
     if message:
-        text = F.concat(F.lit("*Fresh Offer - "), F.col("quote_number"), F.lit("*\nOrigin: "), origin, F.lit("\nDelivery: "), delivery, F.lit("\nCurrency: "), F.col("currency"), F.lit("\n\n"), F.col("_body"), F.lit("\n\nAvailability subject to confirmation.\nPrices valid until "), until, F.lit("."))
+        text = F.concat(
+            F.lit("*Fresh Offer - "), F.col("quote_number"), F.lit("*\nOrigin: "), origin, F.lit("\nDelivery: "),
+            delivery, F.lit("\nCurrency: "), F.col("currency"), F.lit("\n\n"), F.col("_body"),
+            F.lit("\n\nAvailability subject to confirmation.\nPrices valid until "), until, F.lit(".")
+        )
     else:
-        text = F.concat(F.lit("Subject: Flower offer "), F.col("quote_number"), F.lit(" - "), delivery, F.lit("\n\nDear "), F.coalesce("contact", F.lit("customer")), F.lit(",\n\nOrigin "), origin, F.lit(", delivery "), delivery, F.lit(", prices in "), F.col("currency"), F.lit(".\n\n"), F.col("_body"), F.lit("\n\nAvailability subject to confirmation. Prices valid until "), until, F.lit("."))
+        text = F.concat(
+            F.lit("Subject: Flower offer "), F.col("quote_number"), F.lit(" - "), delivery, F.lit("\n\nDear "),
+            F.coalesce("contact", F.lit("customer")), F.lit(",\n\nOrigin "), origin, F.lit(", delivery "), delivery,
+            F.lit(", prices in "), F.col("currency"), F.lit(".\n\n"), F.col("_body"),
+            F.lit("\n\nAvailability subject to confirmation. Prices valid until "), until, F.lit(".")
+        )
     return whole.select("quote_id", text.alias("text"))
 
 
-def quote_graph(quotes: DataFrame, customers: DataFrame, locations: DataFrame, lines: DataFrame, articles: DataFrame, farms: DataFrame) -> DataFrame:
+def quote_graph(
+    quotes: DataFrame, customers: DataFrame, locations: DataFrame, lines: DataFrame, articles: DataFrame,
+    farms: DataFrame
+) -> DataFrame:
     """Quote lines with all that exports show of quote, customer, places, article and farm."""
-    place = lambda p: locations.select(F.col("location_id").alias(f"_{p}"), F.col("country").alias(f"{p}_country"), F.col("city").alias(f"{p}_city"))
+    place = lambda p: locations.select(
+        F.col("location_id").alias(f"_{p}"),
+        F.col("country").alias(f"{p}_country"),
+        F.col("city").alias(f"{p}_city")
+    )
     q = quotes.join(customers.select("customer_id", F.col("customer_name").alias("contact")), "customer_id")
-    q = q.join(place("origin"), F.col("origin_id") == F.col("_origin"), "left").join(place("destination"), F.col("destination_id") == F.col("_destination"), "left")
-    a = articles.select("article_id", F.col("product_name").alias("v_product"), F.col("variety").alias("v_variety"), F.col("stem_length").alias("v_stem_length"))
-    return lines.join(q, "quote_id").join(a, "article_id", "left").join(farms.select("farm_id", F.col("farm_name").alias("supplier")), "farm_id", "left").drop("_origin", "_destination")
+    q = q.join(place("origin"), F.col("origin_id") == F.col("_origin"), "left").join(
+        place("destination"),
+        F.col("destination_id") == F.col("_destination"),
+        "left"
+    )
+    a = articles.select(
+        "article_id", F.col("product_name").alias("v_product"), F.col("variety").alias("v_variety"),
+        F.col("stem_length").alias("v_stem_length")
+    )
+    return lines.join(q, "quote_id").join(a, "article_id", "left").join(
+        farms.select("farm_id", F.col("farm_name").alias("supplier")),
+        "farm_id",
+        "left"
+    ).drop("_origin", "_destination")

@@ -35,7 +35,11 @@ class TextIndex:
             hit = hit.where(F.col("field").isin(*[self.columns.index(c) for c in columns]))
         wanted = F.array(*(F.struct(F.lit(lowered[i : i + 3]).alias("t"), F.lit(i).alias("i")) for i in places))
         starts = hit.select("field", "id", "at", F.explode(F.filter(wanted, lambda x: x["t"] == F.col("trigram"))).alias("x"))
-        found = starts.groupBy("id", "field", (F.col("at") - F.col("x.i")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(places))
+        found = starts.groupBy(
+            "id",
+            "field",
+            (F.col("at") - F.col("x.i")).alias("start")
+        ).agg(F.count("*").alias("n")).where(F.col("n") == len(places))
         return found.select(F.col("id").alias(self.id_col)).distinct()
 
     def search(self, rows: DataFrame, text: str | None, columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -47,7 +51,9 @@ class TextIndex:
 
 
 def build(rows: DataFrame, id_col: str, columns: tuple[str, ...]) -> TextIndex:
-    """Indexes text columns of rows with unique ids. Null fields hold nothing. A frequent trigram's postings may lie in many files: ids keep them apart."""
+    """Indexes text columns of rows with unique ids. Null fields hold nothing. A frequent trigram's postings may lie in many
+    files: ids keep them apart.
+    """
     lowered = F.array(*(F.lower(F.col(c).cast("string")) for c in columns))
     each = rows.select(F.col(id_col).alias("id"), F.posexplode(lowered).alias("field", "text")).where(F.length("text") >= 3)
     parts = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr(F.col("text"), i, F.lit(3)))

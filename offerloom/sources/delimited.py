@@ -73,7 +73,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block: its first line that isn't blank; for each separator and both states, how it ends and how many rows begin."""
-    schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("first", pa.string()), ("states", pa.list_(pa.bool_())), ("rows", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [
+            ("path", pa.string()), ("block", pa.int64()), ("first", pa.string()), ("states", pa.list_(pa.bool_())),
+            ("rows", pa.list_(pa.int64()))
+        ]
+    )
     readers = [Quotes(s) for s in SEPARATORS]
     key, first, states, rows = None, None, [], []
 
@@ -97,15 +102,23 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plan(lines: DataFrame, separator: str | None = None) -> DataFrame:
-    """(path, block, separator, inside, row, closed): the state and the row number with which each block begins, by a scan over the blocks of each file.
+    """(path, block, separator, inside, row, closed): the state and the row number with which each block begins, by a scan over
+    the blocks of each file.
 
     lines: path, block, value. closed: whether the file ends outside quotes.
     """
     found = lines.mapInArrow(_summaries, _SUMMARY)
-    chosen = F.lit(separator) if separator else delimiter(F.coalesce(F.try_element_at(F.filter(F.transform("blocks", lambda b: b["first"]), lambda x: x.isNotNull()), F.lit(1)), F.lit("")))
-    files = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "first", "states", "rows"))).alias("blocks")).withColumn("separator", chosen)
+    chosen = F.lit(separator) if separator else delimiter(
+        F.coalesce(F.try_element_at(F.filter(F.transform("blocks", lambda b: b["first"]), lambda x: x.isNotNull()), F.lit(1)), F.lit(""))
+    )
+    files = found.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("block", "first", "states", "rows"))).alias("blocks")
+    ).withColumn("separator", chosen)
     offset = F.when(F.col("separator") == SEPARATORS[0], 0).otherwise(2)
-    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("row"), F.array().cast("array<struct<inside:boolean,row:bigint>>").alias("seen"))
+    start = F.struct(
+        F.lit(False).alias("inside"), F.lit(0).cast("long").alias("row"),
+        F.array().cast("array<struct<inside:boolean,row:bigint>>").alias("seen")
+    )
 
     def step(state, block):
         at = offset + F.when(state["inside"], 1).otherwise(0)
@@ -116,13 +129,24 @@ def plan(lines: DataFrame, separator: str | None = None) -> DataFrame:
         )
 
     scanned = files.withColumn("end", F.aggregate("blocks", start, step))
-    each = scanned.select("path", "separator", (~F.col("end.inside")).alias("closed"), F.explode(F.arrays_zip(F.transform("blocks", lambda b: b["block"]).alias("block"), F.col("end.seen").alias("seen"))).alias("x"))
-    return each.select("path", F.col("x.block").alias("block"), "separator", F.col("x.seen.inside").alias("inside"), F.col("x.seen.row").alias("row"), "closed")
+    each = scanned.select(
+        "path", "separator", (~F.col("end.inside")).alias("closed"),
+        F.explode(F.arrays_zip(F.transform("blocks", lambda b: b["block"]).alias("block"), F.col("end.seen").alias("seen"))).alias("x")
+    )
+    return each.select(
+        "path", F.col("x.block").alias("block"), "separator", F.col("x.seen.inside").alias("inside"),
+        F.col("x.seen.row").alias("row"), "closed"
+    )
 
 
 def _rows(batches: Iterator[pa.RecordBatch], blocks: dict[tuple[str, int], tuple[str, bool, int]]) -> Iterator[pa.RecordBatch]:
     """Whole rows of each block; what belongs to a row that another block may share is a piece of it."""
-    schema = pa.schema([("path", pa.string()), ("row", pa.int64()), ("block", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("separator", pa.string())])
+    schema = pa.schema(
+        [
+            ("path", pa.string()), ("row", pa.int64()), ("block", pa.int64()), ("text", pa.string()),
+            ("whole", pa.bool_()), ("separator", pa.string())
+        ]
+    )
     key, quotes, inside, row, held, first = None, None, False, 0, [], True
 
     def made(texts: list[str], numbers: list[int], whole: bool):
@@ -167,7 +191,8 @@ def read_csv(spark: SparkSession, path: str | list[str], separator: str | None =
 
     The separator is each file's own (see files.delimiter) unless given: a comma or a semicolon. Cells are as in files.sheet_cells; a
     line end behind the last row makes no row. A file that ends inside quotes is an error. Empty files have no rows. The plan of the
-    blocks (a few numbers for each: 800,000 blocks of 128 MB in 100 TB) goes to all tasks; lines are never shuffled, but for rows that cross blocks.
+    blocks (a few numbers for each: 800,000 blocks of 128 MB in 100 TB) goes to all tasks; lines are never shuffled, but for
+    rows that cross blocks.
     """
     if separator not in (None, *SEPARATORS):
         raise ValueError(f"the separator must be one of {SEPARATORS}")

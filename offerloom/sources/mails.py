@@ -13,7 +13,8 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .files import strip_html
 
-# Headers by which a text is taken for a mail, among its first characters; marks of HTML in a body that doesn't say what it is.
+# Headers by which a text is taken for a mail, among its first characters; marks of HTML in a body that doesn't
+# say what it is.
 MAIL_HEADERS, HEADER_CHARS = ("from", "to", "subject", "content-type", "mime-version"), 2000
 HTML_MARKS = ("<html", "<body", "<div")
 
@@ -57,7 +58,8 @@ def _readable(raw: pd.Series) -> pd.DataFrame:
 
 
 def mail_text(c: Column) -> Column:
-    """The readable part of a mail: of several parts the first plain text, else the first HTML as text; else what follows the headers. Lines end with a line feed.
+    """The readable part of a mail: of several parts the first plain text, else the first HTML as text; else what follows the
+    headers. Lines end with a line feed.
 
     Texts without mail headers are taken as they are, and so are empty ones; null is null. Only mails leave the JVM.
     """

@@ -40,7 +40,11 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     out.write(bytearray(text.encode()))
     out.close()
     try:  # a rename that doesn't overwrite
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(new, final, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(
+            new,
+            final,
+            spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        )
         return True
     except Exception:
         if fs.exists(final):
@@ -63,7 +67,8 @@ def write_together(folder: str, *, key: str | None = None, **tables: DataFrame)
     """Appends one batch of several tables and returns its name.
 
     Every attempt writes its tables to folders of its own; then one file names them, put where no other attempt of the same key can put
-    its own. So a batch with a key is written once, however often and from wherever it is retried, and a half-written one is never seen. Without a key
+    its own. So a batch with a key is written once, however often and from wherever it is retried, and a half-written one is
+    never seen. Without a key
     every call is a new batch.
     """
     batch = hashlib.sha256((key or uuid.uuid4().hex).encode()).hexdigest()[:32]
@@ -86,11 +91,16 @@ def read_together(spark: SparkSession, folder: str, name: str) -> DataFrame:
     paths = sorted(f"{folder}/{tables[name]}" for tables in batches(spark, folder).values() if name in tables)
     if not paths:
         raise ValueError(f"no batch of {folder} has a table {name}")
-    return spark.read.parquet(*paths).withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})-[0-9a-f]{32}/", 1))
+    return spark.read.parquet(*paths).withColumn(
+        "batch",
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})-[0-9a-f]{32}/", 1)
+    )
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; without that setting, one of this machine if the session runs here alone."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; without that setting, one of this machine if
+    the session runs here alone.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):

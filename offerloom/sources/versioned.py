@@ -67,7 +67,9 @@ class VersionedTable:
         return self._read(self.version(number)[1])
 
     def change(self, changes: DataFrame) -> int:
-        """Applies changes (the table's columns and `op`: UPSERT or DELETE) and returns the new version's number. Two changes of one key are an error."""
+        """Applies changes (the table's columns and `op`: UPSERT or DELETE) and returns the new version's number. Two changes of
+        one key are an error.
+        """
         for _ in range(ATTEMPTS):
             number, version = self.version()
             keys, n = version["keys"], version["buckets"]

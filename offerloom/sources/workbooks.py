@@ -1,4 +1,5 @@
-"""Workbooks as a data source: `spark.read.format("workbook").load(path)` gives (path, sheet, row, cells), with option tables=true (path, sheet, name, ref).
+"""Workbooks as a data source: `spark.read.format("workbook").load(path)` gives (path, sheet, row, cells), with option
+tables=true (path, sheet, name, ref).
 
 A large workbook is one partition for each sheet; small ones are read several in a partition. Filters of
 equality on path and sheet are pushed down, so that sheets they exclude are never opened. Rows are pulled from the sheet's
@@ -69,7 +70,9 @@ class WorkbookReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        chosen = [f for f in files if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and self.wanted("path", f.path)]
+        chosen = [
+            f for f in files if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and self.wanted("path", f.path)
+        ]
         out, held, size = [], [], 0
         for f in sorted(chosen, key=lambda f: f.path):
             if f.size >= self.split_bytes:
@@ -130,7 +133,10 @@ class WorkbookSource(DataSource):
         return self.options.get("tables", "false").lower() == "true"
 
     def reader(self, schema) -> WorkbookReader:
-        return WorkbookReader(self.options["path"], self.options.get("pathGlobFilter", "*.xlsx"), self.tables(), int(self.options.get("splitBytes", SPLIT_BYTES)))
+        return WorkbookReader(
+            self.options["path"], self.options.get("pathGlobFilter", "*.xlsx"), self.tables(),
+            int(self.options.get("splitBytes", SPLIT_BYTES))
+        )
 
 
 def read_workbooks(spark: SparkSession, path: str, *, tables: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -154,7 +154,10 @@ def read_xlsx_tables(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(frame["path"], frame["content"]):
                 yield pd.DataFrame([(name, *t) for t in workbook_tables(data)], columns=["path", "sheet", "name", "ref"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(tables, "path string, sheet string, name string, ref string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(
+        tables,
+        "path string, sheet string, name string, ref string"
+    )
 
 
 _PARTS = {
@@ -179,14 +182,20 @@ def _letters(i: int) -> str:
     return (_letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
 
 
-def workbook(sheet: str, rows: Iterator[tuple[int, list[str | None]]], numbers: frozenset[int], prices: frozenset[int], bold: frozenset[int]) -> bytes:
+def workbook(
+    sheet: str, rows: Iterator[tuple[int, list[str | None]]], numbers: frozenset[int], prices: frozenset[int],
+    bold: frozenset[int]
+) -> bytes:
     """A workbook of one sheet. rows ascend by their number, from 0; columns in numbers and prices hold numbers below the bold rows."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, part in _PARTS.items():
             book.writestr(name, part)
         title = quoteattr(_UNFIT.sub(" ", re.sub(r"[\[\]:*?/\\]", " ", sheet))[:31])
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name={title} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name={title} sheetId="1" r:id="rId1"/></sheets></workbook>'
+        )
         with book.open("xl/worksheets/sheet1.xml", "w") as part:
             part.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
             for at, cells in rows:

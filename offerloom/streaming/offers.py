@@ -16,7 +16,10 @@ from ..sources.mails import mail_text
 
 def incoming(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of each file that arrives, whole."""
-    return spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.readStream.format("text").option("wholetext", True).load(folder).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("value").alias("text")
+    )
 
 
 def parsed_offers(messages: DataFrame) -> DataFrame:
@@ -27,4 +30,7 @@ def parsed_offers(messages: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Parses what has arrived since the last run, each file once, and ends."""
-    return parsed_offers(incoming(spark, folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return parsed_offers(incoming(spark, folder)).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation",
+        checkpoint
+    ).trigger(availableNow=True).start()

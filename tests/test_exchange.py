@@ -14,7 +14,11 @@ def test_workbooks_keep_odd_cells(spark):
     cells = ['a & <b> "c"', None, "", " lead\x00ing", "1.50", "x1"]
     rows = [("q", "S/1", 0, cells), ("q", "S/1", 3, ["2", "3.25"]), ("r", "T", 1, [None])]
     df = spark.createDataFrame(rows, "path string, sheet string, row int, cells array<string>")
-    got = {(r["path"], r["sheet"], r["row"]): r["cells"] for r in X.workbook_cells(X.workbooks(df.repartition(3), numbers=[0, 4], prices=[1], bold=[0])).collect()}
+    got = {
+        (r["path"], r["sheet"], r["row"]): r["cells"] for r in X.workbook_cells(
+            X.workbooks(df.repartition(3), numbers=[0, 4], prices=[1], bold=[0])
+        ).collect()
+    }
     assert got[("q", "S 1", 0)] == ['a & <b> "c"', None, None, " lead ing", "1.50", "x1"]
     assert got[("q", "S 1", 1)] == [] and got[("q", "S 1", 3)] == ["2", "3.25"] and got[("r", "T", 1)] == []
     assert X.workbooks(df.limit(0)).count() == 0
@@ -26,7 +30,10 @@ def test_columns_have_letters():
 
 def test_clearings_and_inspections_are_summed_once(spark):
     rows = [(1, "CLEARING", "1.0"), (1, "CLEARING", "2.0"), (1, "INSPECTION", "0.5"), (2, "INSPECTION", "0.25"), (3, "HANDLING", "4")]
-    costs = spark.createDataFrame(rows, "route_id int, category string, amount string").withColumn("amount", F.col("amount").cast("decimal(10,4)"))
+    costs = spark.createDataFrame(
+        rows,
+        "route_id int, category string, amount string"
+    ).withColumn("amount", F.col("amount").cast("decimal(10,4)"))
     got = {(r["route_id"], r["category"]): float(r["amount"]) for r in M.consolidate_clearing(costs).collect()}
     assert got == {(1, "CLEARING_INSPECTION"): 3.5, (2, "CLEARING_INSPECTION"): 0.25, (3, "HANDLING"): 4.0}
 
@@ -35,7 +42,9 @@ def test_bulk_edits(spark):
     lit = {k: F.lit(v) for k, v in {"weight": " 2.5 ", "stems": "12x", "box_type": " ", "length": "", "notes": " n "}.items()}
     on = lambda *fields: {f: F.lit(True) for f in fields}
     one = spark.range(1)
-    error = lambda *fields, **new: one.select(A.edit_error(on(*fields), lit | {k: F.lit(v) for k, v in new.items()})).first()[0]
+    error = lambda *fields, **new: one.select(
+        A.edit_error(on(*fields), lit | {k: F.lit(v) for k, v in new.items()})
+    ).first()[0]
     assert error() == "NOTHING_ENABLED" and error("weight", "stems") is None and error("box_type") == "NO_BOX_TYPE"
     assert {error("weight", weight=w) for w in ("0", "-1", "x", "", None, "Infinity", "NaN")} == {"BAD_WEIGHT"}
     assert {error("stems", stems=s) for s in ("0", "-3", "x", "", None)} == {"BAD_STEMS"} and error("stems", stems=" +4") is None
@@ -71,7 +80,9 @@ def test_a_batch_with_a_key_is_written_once(spark, tmp_path):
 def test_one_of_many_puts_a_file(spark, tmp_path):
     with ThreadPoolExecutor(8) as pool:
         won = list(pool.map(lambda n: SK.put_if_absent(spark, f"{tmp_path}/m/x.json", str(n) * 1000), range(8)))
-    assert sum(won) == 1 and (tmp_path / "m" / "x.json").read_text() == str(won.index(True)) * 1000 and len(list((tmp_path / "m").iterdir())) == 1
+    assert sum(won) == 1 and (tmp_path / "m" / "x.json").read_text() == str(won.index(True)) * 1000 and len(
+        list((tmp_path / "m").iterdir())
+    ) == 1
 
 
 def test_a_grade_goes_where_it_stands_alone(spark):

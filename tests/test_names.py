@@ -45,7 +45,11 @@ def test_most_similar_names(spark, least):
     known = [(i, word()) for i in range(80)] + [(200, "rosa"), (201, "Rosa"), (202, "rosa!"), (203, "ROSA"), (204, None)]
     names = [(i, word()) for i in range(80)] + [(300, "rosa"), (301, "rose"), (302, ""), (303, None), (304, "rosa")]
     n, k = spark.createDataFrame(names, "name_id int, name string"), spark.createDataFrame(known, "known_id int, known_name string")
-    pairs = n.crossJoin(k).select("name_id", "known_id", F.round(T.similarity(F.col("name"), F.col("known_name")), 6).alias("s")).where(F.col("s") >= least).collect()
+    pairs = n.crossJoin(k).select(
+        "name_id",
+        "known_id",
+        F.round(T.similarity(F.col("name"), F.col("known_name")), 6).alias("s")
+    ).where(F.col("s") >= least).collect()
     want = set()
     for i, _ in names:
         found = sorted((-r["s"], r["known_id"]) for r in pairs if r["name_id"] == i)[:3]
@@ -97,5 +101,10 @@ def test_numbers_in_a_global_order(spark):
     assert each == want
     none = spark.createDataFrame([], "id int, v int, g int")
     assert R.in_global_order(none, ["id"], "n").collect() == []
-    quotes = spark.createDataFrame([(2, "2024-05-01 10:00:00"), (1, "2024-05-01 10:00:00"), (3, None)], "quote_id int, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
-    assert {r["quote_id"]: r["quote_number"] for r in Q.numbered(quotes, quotes.limit(0)).collect() if r["quote_id"] < 3} == {1: "Q-20240501-0001", 2: "Q-20240501-0002"}
+    quotes = spark.createDataFrame(
+        [(2, "2024-05-01 10:00:00"), (1, "2024-05-01 10:00:00"), (3, None)],
+        "quote_id int, created_at string"
+    ).withColumn("created_at", F.to_timestamp("created_at"))
+    assert {
+        r["quote_id"]: r["quote_number"] for r in Q.numbered(quotes, quotes.limit(0)).collect() if r["quote_id"] < 3
+    } == {1: "Q-20240501-0001", 2: "Q-20240501-0002"}

@@ -11,7 +11,15 @@ def parsed(spark, text):
 
 def test_price_variants(spark):
     a, b = parsed(spark, "12QB x 40 HYD premium blue $0.45 | tinted $0.60")
-    assert (a["product_group"], a["variety"], a["grade"], a["price"], a["boxes"], a["stems_per_box"], a["box_type"]) == ("Hydrangea", "blue", "premium", "0.45", 12, 40, "QB")
+    assert (
+        a["product_group"],
+        a["variety"],
+        a["grade"],
+        a["price"],
+        a["boxes"],
+        a["stems_per_box"],
+        a["box_type"]
+    ) == ("Hydrangea", "blue", "premium", "0.45", 12, 40, "QB")
     assert (b["treatment"], b["price"], b["product_group"], b["confidence"]) == ("tinted", "0.60", "Hydrangea", "high")
 
 
@@ -22,7 +30,10 @@ def test_unreadable_variant_is_a_warning(spark):
 
 def test_missing_parts(spark):
     (r,) = parsed(spark, "Tulips mix")
-    assert r["confidence"] == "low" and r["needs_review"] and r["warnings"] == ["PRICE_MISSING", "BOX_MISSING"] and r["product_group"] == "Tulips"
+    assert r["confidence"] == "low" and r["needs_review"] and r["warnings"] == [
+        "PRICE_MISSING",
+        "BOX_MISSING"
+    ] and r["product_group"] == "Tulips"
     (r,) = parsed(spark, " | ")
     assert r["warnings"] == ["LINE_UNREADABLE"] and r["confidence"] == "low"
     assert parsed(spark, None) == []
@@ -43,19 +54,30 @@ def test_range_expansion(spark):
     doc = "40 cm 0.16\n50cm: 0,18\n60 cm $0.22\n40cm 0.19\n70 cm 0.28"
     tiers = P.shared_price_table(spark.createDataFrame([("d", doc)], "doc string, text string"), "doc")
     assert {r["length"]: r["price"] for r in tiers.collect()} == {40: "0.19", 50: "0.18", 60: "0.22", 70: "0.28"}
-    rows = [("a", "40–60 cm", None, ["no price for 40–60 cm", "x"]), ("b", "45-50", None, []), ("c", "80-90", "9", []), ("d", "50", None, []), ("e", "55", None, []), ("f", "50", "7", []), ("g", None, "1", [])]
-    lines = spark.createDataFrame([("d", *r) for r in rows], "doc string, line string, length_raw string, price string, warnings array<string>")
+    rows = [
+        ("a", "40–60 cm", None, ["no price for 40–60 cm", "x"]), ("b", "45-50", None, []), ("c", "80-90", "9", []),
+        ("d", "50", None, []), ("e", "55", None, []), ("f", "50", "7", []), ("g", None, "1", [])
+    ]
+    lines = spark.createDataFrame(
+        [("d", *r) for r in rows],
+        "doc string, line string, length_raw string, price string, warnings array<string>"
+    )
     got = {}
     for r in P.expand_length_ranges(lines, tiers, "doc", "line").orderBy("line", "child_no").collect():
         got.setdefault(r["line"], []).append((r["length_cm"], r["price"], r["warnings"]))
     assert got["a"] == [(40.0, "0.19", ["x"]), (50.0, "0.18", ["x"]), (60.0, "0.22", ["x"])]
     assert got["b"] == [(50.0, "0.18", ["END_WITHOUT_TIER:45"])]
     assert got["c"] == [(None, None, ["RANGE_OUTSIDE_TABLE"])]
-    assert got["d"] == [(50.0, "0.18", [])] and got["e"] == [(55.0, None, ["LENGTH_NOT_IN_TABLE"])] and got["f"] == [(50.0, "7", [])] and got["g"] == [(None, "1", [])]
+    assert got["d"] == [(50.0, "0.18", [])] and got["e"] == [
+        (55.0, None, ["LENGTH_NOT_IN_TABLE"])
+    ] and got["f"] == [(50.0, "7", [])] and got["g"] == [(None, "1", [])]
 
 
 def test_no_table_no_change(spark):
-    lines = spark.createDataFrame([("d", "a", "40-60", "1", ["w"])], "doc string, line string, length_raw string, price string, warnings array<string>")
+    lines = spark.createDataFrame(
+        [("d", "a", "40-60", "1", ["w"])],
+        "doc string, line string, length_raw string, price string, warnings array<string>"
+    )
     r = P.expand_length_ranges(lines, spark.createDataFrame([], "doc string, length int, price string"), "doc", "line").collect()
     assert [(x["length_cm"], x["price"], x["warnings"]) for x in r] == [(None, "1", ["w"])]
 
@@ -81,7 +103,14 @@ def test_chunks(spark):
     for d in range(6):
         lines = ["Offer of today", "Prices below"]
         for i in range(random.choice([5, 40, 120])):
-            lines.append(random.choice([f"Freedom {40 + i % 5 * 10}cm 0.{i % 90 + 10}", "ROSES", "some note with words only here", f"{i % 9 * 10 + 10} cm 0.2", "y" * random.choice([3, 4000]) + " 5.20"]))
+            lines.append(
+                random.choice(
+                    [
+                        f"Freedom {40 + i % 5 * 10}cm 0.{i % 90 + 10}", "ROSES", "some note with words only here",
+                        f"{i % 9 * 10 + 10} cm 0.2", "y" * random.choice([3, 4000]) + " 5.20"
+                    ]
+                )
+            )
         lines += [["closing words"] * 3, ["z" * 5000] * 7, []][d % 3]
         docs.append((d, "\n".join(lines)))
     df = spark.createDataFrame(docs, "doc int, text string")
@@ -101,20 +130,36 @@ def test_chunks(spark):
         assert len(got[d]) == len(want) and {r["total"] for r in got[d].values()} == {len(want)}
         for i, chunk in enumerate(want):
             assert got[d][i]["body"] == "\n".join(x for _, x in chunk) and got[d][i]["product_rows"] == sum(k == "B" for k, _ in chunk)
-            assert got[d][i]["header"] == "\n".join(x for _, x in rest[:first]) and got[d][i]["price_lines"] == "\n".join(x for k, x in lines if k == "C")
+            assert got[d][i]["header"] == "\n".join(x for _, x in rest[:first]) and got[d][i]["price_lines"] == "\n".join(
+                x for k, x in lines if k == "C"
+            )
 
 
 def test_chunks_of_a_very_long_text(spark):
     text = "\n".join(f"Freedom {40 + i % 5 * 10}cm 0.{i % 90 + 10}" for i in range(100_000))
-    got = P.chunk_offers(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string"), "doc").groupBy("doc").agg(F.count("*").alias("n"), F.sum("product_rows").alias("rows"), F.max("total").alias("total")).collect()
+    got = P.chunk_offers(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string"), "doc").groupBy("doc").agg(
+        F.count("*").alias("n"),
+        F.sum("product_rows").alias("rows"),
+        F.max("total").alias("total")
+    ).collect()
     assert sorted(map(tuple, got)) == [(1, 4546, 100_000, 4546), (3, 1, 0, 1)]
 
 
 def test_pastes(spark):
-    rows = [("Leverancier\tInkoop",), ("Farm A\tRosa Spray Pink\t60\t\t40\t8.5",), ("Farm B,Rosa Red,,HB,x,8",), ("Farm C,Rosa Red,,HB,50,8",), ("too,few",)]
+    rows = [
+        ("Leverancier\tInkoop",), ("Farm A\tRosa Spray Pink\t60\t\t40\t8.5",), ("Farm B,Rosa Red,,HB,x,8",),
+        ("Farm C,Rosa Red,,HB,50,8",), ("too,few",)
+    ]
     got = P.assortment_paste(spark.createDataFrame(rows, "line string")).collect()
-    assert [(r["supplier"], r["stem_length"], r["box_type"], r["stems_per_box"]) for r in got] == [("Farm A", "60", "QB", 40), ("Farm C", None, "HB", 50)]
-    farms = P.farm_paste(spark.createDataFrame([("Land\tNaam",), ("Kenya\tSun Roses",), ("Only Name",), ("\tNo country",), ("Peru,",)], "line string"), "Ecuador").collect()
+    assert [
+        (r["supplier"], r["stem_length"], r["box_type"], r["stems_per_box"]) for r in got
+    ] == [("Farm A", "60", "QB", 40), ("Farm C", None, "HB", 50)]
+    farms = P.farm_paste(
+        spark.createDataFrame([("Land\tNaam",), ("Kenya\tSun Roses",), ("Only Name",), ("\tNo country",), ("Peru,",)], "line string"),
+        "Ecuador"
+    ).collect()
     assert [(r["country"], r["name"]) for r in farms] == [("Kenya", "Sun Roses"), ("Ecuador", "Only Name"), ("Ecuador", "No country")]
-    bulk = P.bulk_offer_paste(spark.createDataFrame([("Rose\tFreedom\tred\tsel\t10\t40\t0,45",), ("Rose\t\t\t\t\t\t0.4",), ("",)], "line string")).collect()
+    bulk = P.bulk_offer_paste(
+        spark.createDataFrame([("Rose\tFreedom\tred\tsel\t10\t40\t0,45",), ("Rose\t\t\t\t\t\t0.4",), ("",)], "line string")
+    ).collect()
     assert [r["valid"] for r in bulk] == [True, False, False] and bulk[0]["price"] == "0.45"

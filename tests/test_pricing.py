@@ -13,7 +13,11 @@ SCHEMA = (
 
 
 def line(**over):
-    base = {"id": "x", "incoterm": "FOB", "fob": D(1), "source_currency": "USD", "target_currency": "USD", "stems_per_box": 40, "margin_pct": D(15), "weight_kg": None, "freight_rate": None, "freight_unit": None, "costs": None, "fx_base": None, "fx_quote": None, "fx_rate": None, "manual_price": None}
+    base = {
+        "id": "x", "incoterm": "FOB", "fob": D(1), "source_currency": "USD", "target_currency": "USD",
+        "stems_per_box": 40, "margin_pct": D(15), "weight_kg": None, "freight_rate": None, "freight_unit": None,
+        "costs": None, "fx_base": None, "fx_quote": None, "fx_rate": None, "manual_price": None
+    }
     return tuple((base | over).values())
 
 
@@ -32,7 +36,10 @@ def test_half_cent_rounds_up(spark):
 
 def test_ddp_with_exchange(spark):
     costs = [("Clearing", "CLEARING", D("0.03"), "PER_STEM"), ("Handling", "HANDLING", D("2.00"), "PER_BOX")]
-    r = priced(spark, incoterm="DDP", fob=D("0.45"), weight_kg=D("6.5"), freight_rate=D("3.1"), costs=costs, target_currency="EUR", fx_base="USD", fx_quote="EUR", fx_rate=D("0.92"), margin_pct=D(20))
+    r = priced(
+        spark, incoterm="DDP", fob=D("0.45"), weight_kg=D("6.5"), freight_rate=D("3.1"), costs=costs,
+        target_currency="EUR", fx_base="USD", fx_quote="EUR", fx_rate=D("0.92"), margin_pct=D(20)
+    )
     assert (r["cost_source"], r["cost_target"], r["calculated"], r["final_price"]) == (D("1.03375"), D("0.95105"), D("1.14126"), D("1.14"))
 
 
@@ -55,10 +62,19 @@ def test_rate_in_the_other_direction(spark):
         ({"stems_per_box": 0}, ["ZERO_STEMS_PER_BOX"]),
         ({"incoterm": "CFR"}, ["MISSING_WEIGHT", "MISSING_FREIGHT_RATE"]),
         ({"incoterm": "CFR", "freight_unit": "PER_BOX", "freight_rate": D(2)}, []),
-        ({"incoterm": "DDP", "weight_kg": D(1), "freight_rate": D(1), "costs": []}, ["MISSING_DDP_CLEARING_INSPECTION", "MISSING_DDP_HANDLING"]),
+        (
+            {"incoterm": "DDP", "weight_kg": D(1), "freight_rate": D(1), "costs": []},
+            ["MISSING_DDP_CLEARING_INSPECTION", "MISSING_DDP_HANDLING"]
+        ),
         ({"target_currency": None}, ["MISSING_CUSTOMER_CURRENCY", "MISSING_EXCHANGE_RATE"]),
         ({"margin_pct": None}, ["MISSING_MARGIN"]),
-        ({"incoterm": "DDP", "freight_unit": "PER_STEM", "freight_rate": D(1), "costs": [("a", "CLEARING", D(1), "PER_KG"), ("b", "HANDLING", D(1), "FLAT")]}, ["MISSING_WEIGHT"]),
+        (
+            {
+                "incoterm": "DDP", "freight_unit": "PER_STEM", "freight_rate": D(1),
+                "costs": [("a", "CLEARING", D(1), "PER_KG"), ("b", "HANDLING", D(1), "FLAT")]
+            },
+            ["MISSING_WEIGHT"]
+        ),
     ],
 )
 def test_blockers(spark, over, want):
@@ -99,7 +115,10 @@ def test_quantities_are_never_rounded(spark, q, unit, boxes, stems, want):
 
 def test_totals(spark):
     rows = [(1, 40, 10, D("0.50"), None), (1, 200, 5, D("0.99"), D("0.12")), (1, 300, 2, D("0.08"), None)]
-    df = spark.createDataFrame(rows, "quote_id int, stems_per_box int, quantity_boxes int, calculated_price decimal(12,6), manual_price decimal(12,6)")
+    df = spark.createDataFrame(
+        rows,
+        "quote_id int, stems_per_box int, quantity_boxes int, calculated_price decimal(12,6), manual_price decimal(12,6)"
+    )
     assert tuple(Q.totals(df).first()) == (1, 17, 2000, D("368"))
 
 
@@ -110,6 +129,18 @@ def test_override_and_clear(spark):
 
 
 def test_rates_at_each_time(spark):
-    rates = spark.createDataFrame([("EUR", "USD", D("1.1"), "2024-01-01", None), ("EUR", "USD", D("1.2"), "2024-02-01", "2024-02-10")], "base string, quote string, rate decimal(12,6), f string, t string").select("base", "quote", "rate", F.col("f").cast("timestamp").alias("effective_from"), F.col("t").cast("timestamp").alias("effective_to"))
-    events = spark.createDataFrame([(1, "2024-01-15"), (2, "2024-02-05"), (3, "2024-03-01"), (4, "2023-01-01")], "id int, at string").withColumn("currency", F.lit("USD"))
-    assert {r["id"]: r["fx_rate"] for r in P.rates_at_each(events, rates).collect()} == {1: D("1.1"), 2: D("1.2"), 3: D("1.1"), 4: None}  # 3: the older rate is still valid
+    rates = spark.createDataFrame(
+        [("EUR", "USD", D("1.1"), "2024-01-01", None), ("EUR", "USD", D("1.2"), "2024-02-01", "2024-02-10")],
+        "base string, quote string, rate decimal(12,6), f string, t string"
+    ).select("base",
+    "quote",
+    "rate",
+    F.col("f").cast("timestamp").alias("effective_from"),
+    F.col("t").cast("timestamp").alias("effective_to"))
+    events = spark.createDataFrame(
+        [(1, "2024-01-15"), (2, "2024-02-05"), (3, "2024-03-01"), (4, "2023-01-01")],
+        "id int, at string"
+    ).withColumn("currency", F.lit("USD"))
+    assert {  # 3: the older rate is still valid
+        r["id"]: r["fx_rate"] for r in P.rates_at_each(events, rates).collect()
+    } == {1: D("1.1"), 2: D("1.2"), 3: D("1.1"), 4: None}

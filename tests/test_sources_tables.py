@@ -65,7 +65,10 @@ def test_csv_file(spark, tmp_path):
     by = {}
     for r in CSV.read_csv(spark, f"file://{tmp_path}").orderBy("row").collect():
         by.setdefault(r["path"][-5:], []).append(r["cells"])
-    assert by == {"a.csv": [["Product", "FOB"], ["Rose", "0,45"]], "c.csv": [[None], [None], ["x", "y;z"]]}  # each file has its own separator
+    assert by == {  # each file has its own separator
+        "a.csv": [["Product", "FOB"], ["Rose", "0,45"]],
+        "c.csv": [[None], [None], ["x", "y;z"]]
+    }
 
 
 @pytest.mark.parametrize("block", [7, 64, 1000])
@@ -99,7 +102,10 @@ def workbook(rows):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Product</t></si><si><r><t>Ro</t></r><r><t>se</t></r></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
-        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", '<Relationships><Relationship Id="t1" Type="x/table" Target="../tables/table1.xml"/></Relationships>')
+        z.writestr(
+            "xl/worksheets/_rels/sheet1.xml.rels",
+            '<Relationships><Relationship Id="t1" Type="x/table" Target="../tables/table1.xml"/></Relationships>'
+        )
         z.writestr("xl/tables/table1.xml", f'<table xmlns="{main}" name="T1" ref="A1:C4"/>')
     return out.getvalue()
 
@@ -107,7 +113,12 @@ def workbook(rows):
 def test_workbooks(spark, tmp_path):
     rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>FOB</t></is></c></row><row r="4"><c r="A4" t="s"><v>1</v></c><c r="B4"><f>1+1</f><v>2</v></c><c r="C4" t="e"><v>#N/A</v></c><c r="D4" t="b"><v>1</v></c><c r="E4"><f>x</f></c></row>'
     data = workbook(rows)
-    assert list(X.workbook_rows(data)) == [("S1", 0, ["Product", None, "FOB"]), ("S1", 1, []), ("S1", 2, []), ("S1", 3, ["Rose", "2", None, "true", None])]
+    assert list(X.workbook_rows(data)) == [
+        ("S1", 0, ["Product", None, "FOB"]),
+        ("S1", 1, []),
+        ("S1", 2, []),
+        ("S1", 3, ["Rose", "2", None, "true", None])
+    ]
     (tmp_path / "a.xlsx").write_bytes(data)
     assert X.read_xlsx(spark, f"file://{tmp_path}").count() == 4
     assert [(r["name"], r["ref"]) for r in X.read_xlsx_tables(spark, f"file://{tmp_path}").collect()] == [("T1", "A1:C4")]
@@ -118,10 +129,20 @@ def grid(spark, rows, path="p"):
 
 
 def test_sheets_with_known_words(spark):
-    g = grid(spark, [["Offer", None], ["", ""], ["Product", "Variety", "Largo", "Stems per box", "FOB USD", "QB"], ["Roses", " Freedom ", "60 cm", "40", "$ 0,45", "12"], ["", "x", "", "", "", ""], ["Foo bar", None, None, None, "?", None]])
+    g = grid(
+        spark,
+        [
+            ["Offer", None], ["", ""], ["Product", "Variety", "Largo", "Stems per box", "FOB USD", "QB"],
+            ["Roses", " Freedom ", "60 cm", "40", "$ 0,45", "12"], ["", "x", "", "", "", ""],
+            ["Foo bar", None, None, None, "?", None]
+        ]
+    )
     assert [r["header"] for r in TB.synonym_headers(g).collect()] == [2]
     a, b = TB.parse_sheet(g).orderBy("row").collect()
-    assert (a["product_group"], a["variety"], a["length_cm"], a["stems_per_box"], a["price"], a["boxes"], a["confidence"], a["needs_review"]) == ("Rose", "Freedom", 60.0, 40, "0.45", 12, "high", False)
+    assert (
+        a["product_group"], a["variety"], a["length_cm"], a["stems_per_box"], a["price"], a["boxes"], a["confidence"],
+        a["needs_review"]
+    ) == ("Rose", "Freedom", 60.0, 40, "0.45", 12, "high", False)
     assert (b["product_group"], b["price"], b["confidence"], b["warnings"]) == ("Foo Bar", None, "low", ["PRICE_UNREADABLE"])
 
 
@@ -130,21 +151,43 @@ def test_regions(spark):
     r = TB.regions(g).first()
     assert (r["header"], r["last"], r["source"]) == (1, 4, "scanned-header")
     assert TB.table_text(g, TB.regions(g)).first()["text"] == "Naam | Prijs | x\na | 1,5 | b\nc | 2 | d"
-    named = spark.createDataFrame([("p", "S", "T", "$A$3:C9"), ("p", "S", "U", "nonsense")], "path string, sheet string, name string, ref string")
+    named = spark.createDataFrame(
+        [("p", "S", "T", "$A$3:C9"), ("p", "S", "U", "nonsense")],
+        "path string, sheet string, name string, ref string"
+    )
     r = TB.regions(g, named).first()
     assert (r["header"], r["last"], r["source"]) == (2, 4, "named-table")
 
 
 def test_known_sheet(spark):
-    head = ["Packs left", "Pack quantity", "Fust code", "Product description", "Stem length", "Stems per bunch", "Box weight", "FOB price USD"]
-    g = grid(spark, [["list"], [], head, ["12", "40", "QB", "Rosa Freedom", "60", "20", "8,5", "0.45"], ["1", "", "", "", "", "", "", ""], ["3", "25", "HB", "Mystery", "50", None, "7", None]])
+    head = [
+        "Packs left", "Pack quantity", "Fust code", "Product description", "Stem length", "Stems per bunch",
+        "Box weight", "FOB price USD"
+    ]
+    g = grid(
+        spark,
+        [
+            ["list"], [], head, ["12", "40", "QB", "Rosa Freedom", "60", "20", "8,5", "0.45"],
+            ["1", "", "", "", "", "", "", ""], ["3", "25", "HB", "Mystery", "50", None, "7", None]
+        ]
+    )
     rows = TB.known_rows(g, TB.regions(g))
     got = rows.orderBy("row_index").collect()
-    assert [(r["row_index"], r["description"], r["quantity"], r["stems_per_box"], r["price"], r["weight"]) for r in got] == [(1, "Rosa Freedom", 12, 40, "0.45", "8.5"), (2, "Mystery", 3, 25, None, "7")]
+    assert [
+        (r["row_index"], r["description"], r["quantity"], r["stems_per_box"], r["price"], r["weight"]) for r in got
+    ] == [(1, "Rosa Freedom", 12, 40, "0.45", "8.5"), (2, "Mystery", 3, 25, None, "7")]
     assert TB.description_list(rows).first()["text"] == "#1 | Rosa Freedom\n#2 | Mystery"
-    described = spark.createDataFrame([("p", "S", "#1 | Rosa Freedom", 1, "Rose", "Freedom", None, None), ("p", "S", "#1 | again", 2, "Other", None, None, None)], "path string, sheet string, raw_text string, position int, product_group string, variety string, color string, grade string")
+    described = spark.createDataFrame(
+        [("p", "S", "#1 | Rosa Freedom", 1, "Rose", "Freedom", None, None), ("p", "S", "#1 | again", 2, "Other", None, None, None)],
+        "path string, sheet string, raw_text string, position int, product_group string, variety string, color string, grade string"
+    )
     m = {r["row_index"]: r for r in TB.merge_descriptions(rows, described).collect()}
-    assert (m[1]["product_group"], m[1]["variety"], m[1]["needs_review"], m[1]["warnings"]) == ("Rose", "Freedom", False, ["STEMS_PER_BUNCH_GIVEN"])
+    assert (
+        m[1]["product_group"],
+        m[1]["variety"],
+        m[1]["needs_review"],
+        m[1]["warnings"]
+    ) == ("Rose", "Freedom", False, ["STEMS_PER_BUNCH_GIVEN"])
     assert (m[2]["product_group"], m[2]["needs_review"], m[2]["warnings"]) == ("Mystery", True, ["DESCRIPTION_UNREAD", "PRICE_UNREADABLE"])
 
 

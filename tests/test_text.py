@@ -10,7 +10,13 @@ def one(spark, value, build, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(build(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize("raw,want", [("12,34", "12.34"), ("1.234,5", "1234.5"), ("1,234.5", "1234.5"), ("-3.5", "3.5"), ("1,234", "1.234"), ("1.234.567", None), ("abc", None), ("", None), (None, None), ("$ 0.45", "0.45")])
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("12,34", "12.34"), ("1.234,5", "1234.5"), ("1,234.5", "1234.5"), ("-3.5", "3.5"), ("1,234", "1.234"),
+        ("1.234.567", None), ("abc", None), ("", None), (None, None), ("$ 0.45", "0.45")
+    ]
+)
 def test_decimal_string(spark, raw, want):
     assert one(spark, raw, T.decimal_string) == want
 
@@ -33,7 +39,10 @@ def test_box_type_needs_word_bounds(spark):
 
 @pytest.mark.parametrize(
     "raw,want",
-    [("Crème Brûlée", "creme brulee"), ("ﬁnest  ROSE-Pink!", "finest rose pink"), ("ÅNGSTRÖM", "angstrom"), ("½ x", "1 2 x"), ("", ""), (None, None), ("ＡＢＣ", "abc"), ("a b﻿", "a b")],
+    [
+        ("Crème Brûlée", "creme brulee"), ("ﬁnest  ROSE-Pink!", "finest rose pink"), ("ÅNGSTRÖM", "angstrom"),
+        ("½ x", "1 2 x"), ("", ""), (None, None), ("ＡＢＣ", "abc"), ("a b﻿", "a b")
+    ],
 )
 def test_match_key(spark, raw, want):
     assert one(spark, raw, T.match_key) == want
@@ -91,13 +100,22 @@ def test_messages(spark):
 def test_selections(spark):
     df = spark.createDataFrame([([1, 2, 9], [1, 2, 3])], "s array<int>, v array<int>")
     s, v = F.col("s"), F.col("v")
-    row = df.select(A.visible_selected(s, v), A.toggle_all(s, v, F.lit(True)), A.toggle_all(s, v, F.lit(False)), A.toggle_one(s, F.lit(9), F.lit(False)), A.header_state(F.lit(1), F.lit(3))).first()
+    row = df.select(
+        A.visible_selected(s, v), A.toggle_all(s, v, F.lit(True)), A.toggle_all(s, v, F.lit(False)),
+        A.toggle_one(s, F.lit(9), F.lit(False)), A.header_state(F.lit(1), F.lit(3))
+    ).first()
     assert [list(x) if not isinstance(x, str) else x for x in row] == [[1, 2], [1, 2, 9, 3], [9], [1, 2], "indeterminate"]
     ids = spark.createDataFrame([(["a", "", "a", None],), ([],)], "i array<string>").select(A.bulk_ids(F.col("i")).alias("r")).collect()
     assert [(r["r"]["ids"], r["r"]["error"]) for r in ids] == [(["a"], None), (None, "NOTHING_SELECTED")]
 
 
-@pytest.mark.parametrize("q,unit,stems,want", [(5.0, "BOXES", 40, 200), (1.5, "BOXES", 40, None), (7.6, "STEMS", None, 8), (3.0, "KILOGRAMS", 40, None), (None, "BOXES", 40, None), (2.0, "BUNCHES", 40, 20)])
+@pytest.mark.parametrize(
+    "q,unit,stems,want",
+    [
+        (5.0, "BOXES", 40, 200), (1.5, "BOXES", 40, None), (7.6, "STEMS", None, 8), (3.0, "KILOGRAMS", 40, None),
+        (None, "BOXES", 40, None), (2.0, "BUNCHES", 40, 20)
+    ]
+)
 def test_total_stems(spark, q, unit, stems, want):
     df = spark.createDataFrame([(q, unit, stems)], "q double, u string, s int")
     assert df.select(N.total_stems(F.col("q"), F.col("u"), F.col("s"), F.lit(10))).first()[0] == want

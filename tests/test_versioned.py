@@ -54,14 +54,23 @@ def test_changes_at_the_same_time_all_count(spark, tmp_path):
 
 def test_substrings_by_trigrams(spark):
     """Patterns of one to twelve characters, with repeats and odd letters, give the rows that a scan gives."""
-    texts = ["abcabcabc", "Rosa Freedom", "rosa  freedom 60", "CRÈME brûlée", "aaaaaaa", "ab", "", None, "freedom", "éclair", "xabcabz", "a_b%c"]
+    texts = [
+        "abcabcabc", "Rosa Freedom", "rosa  freedom 60", "CRÈME brûlée", "aaaaaaa", "ab", "", None, "freedom", "éclair",
+        "xabcabz", "a_b%c"
+    ]
     df = spark.createDataFrame([(i, x, texts[-1 - i]) for i, x in enumerate(texts)], "id int, a string, b string")
     index = TX.build(df, "id", ("a", "b"))
     found = lambda q, columns=None: sorted(r["id"] for r in index.search(df, q, columns).collect())
-    for q in ("a", "ab", "abc", "cab", "abca", "bcabc", "abcabca", "abcabcabc", "aaa", "aaaaa", "aaaaaaaa", "FREEDOM", "rosa freedom", "ème b", "_b%", "zzz", " 60"):
+    for q in (
+        "a", "ab", "abc", "cab", "abca", "bcabc", "abcabca", "abcabcabc", "aaa", "aaaaa", "aaaaaaaa", "FREEDOM",
+        "rosa freedom", "ème b", "_b%", "zzz", " 60"
+    ):
         assert found(q) == sorted(r["id"] for r in R.search(df, q=q, q_columns=("a", "b")).collect()), q
         assert found(q, ("b",)) == sorted(r["id"] for r in R.search(df, q=q, q_columns=("b",)).collect()), q
     assert found(None) == list(range(12)) and found("  ") == list(range(12))
     ids = index.ids("freedom")
     assert all("trigrams" in f for f in ids.inputFiles())  # the rows are not read
-    assert "PushedFilters: [In(trigram" in ids._jdf.queryExecution().executedPlan().toString() or "In(trigram" in ids._sc._jvm.PythonSQLUtils.explainString(ids._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [In(trigram" in ids._jdf.queryExecution().executedPlan().toString() or "In(trigram" in ids._sc._jvm.PythonSQLUtils.explainString(
+        ids._jdf.queryExecution(),
+        "formatted"
+    )

@@ -17,18 +17,28 @@ def book(sheets, shared=(), tables=()):
         names = list(sheets)
         listed = "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(names))
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>{listed}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(names))) + "</Relationships>")
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            "<Relationships>" + "".join(
+                f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(names))
+            ) + "</Relationships>"
+        )
         if shared:
             z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">' + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
         for i, name in enumerate(names):
             with z.open(f"xl/worksheets/s{i}.xml", "w") as part:
                 part.write(f'<worksheet xmlns="{MAIN}"><sheetData>'.encode())
                 for at, row in enumerate(sheets[name]):
-                    cells = "".join(f'<c t="s"><v>{c}</v></c>' if isinstance(c, int) else f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in row)
+                    cells = "".join(
+                        f'<c t="s"><v>{c}</v></c>' if isinstance(c, int) else f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in row
+                    )
                     part.write(f'<row r="{at + 1}">{cells}</row>'.encode())
                 part.write(b"</sheetData></worksheet>")
             if i < len(tables):
-                z.writestr(f"xl/worksheets/_rels/s{i}.xml.rels", f'<Relationships><Relationship Id="t" Type="x/table" Target="../tables/t{i}.xml"/></Relationships>')
+                z.writestr(
+                    f"xl/worksheets/_rels/s{i}.xml.rels",
+                    f'<Relationships><Relationship Id="t" Type="x/table" Target="../tables/t{i}.xml"/></Relationships>'
+                )
                 z.writestr(f"xl/tables/t{i}.xml", f'<table xmlns="{MAIN}" name="{tables[i]}" ref="A1:B2"/>')
     return out.getvalue()
 
@@ -46,7 +56,10 @@ def folder(tmp_path):
 def test_rows_of_all_sheets(spark, folder, split):
     df = W.read_workbooks(spark, f"file://{folder}", split_bytes=split)
     got = sorted((r["path"][-6:], r["sheet"], r["row"], r["cells"]) for r in df.collect())
-    assert got == [("a.xlsx", "One", 0, ["Ro & se", "x"]), ("a.xlsx", "One", 1, []), ("a.xlsx", "One", 2, ["é"]), ("a.xlsx", "Two", 0, ["y"]), ("b.xlsx", "One", 0, ["z"])]
+    assert got == [
+        ("a.xlsx", "One", 0, ["Ro & se", "x"]), ("a.xlsx", "One", 1, []), ("a.xlsx", "One", 2, ["é"]),
+        ("a.xlsx", "Two", 0, ["y"]), ("b.xlsx", "One", 0, ["z"])
+    ]
     assert df.rdd.getNumPartitions() == (3 if split == 1 else 1)
     named = W.read_workbooks(spark, f"file://{folder}", tables=True, split_bytes=split).collect()
     assert sorted((r["sheet"], r["name"], r["ref"]) for r in named) == [("One", "T1", "A1:B2"), ("Two", "T2", "A1:B2")]
@@ -76,7 +89,10 @@ def test_what_is_no_workbook(spark, folder):
 
 
 def test_written_and_read(spark, tmp_path):
-    rows = spark.createDataFrame([("p", "S", 0, ["a", None]), ("p", "S", 2, ["b"]), ("q", "S", 0, ["c"])], "path string, sheet string, row int, cells array<string>")
+    rows = spark.createDataFrame(
+        [("p", "S", 0, ["a", None]), ("p", "S", 2, ["b"]), ("q", "S", 0, ["c"])],
+        "path string, sheet string, row int, cells array<string>"
+    )
     W.write_workbooks(X.workbooks(rows), f"file://{tmp_path}/out")
     got = sorted((r["path"].rsplit("/", 1)[1], r["row"], r["cells"]) for r in W.read_workbooks(spark, f"file://{tmp_path}/out").collect())
     assert got == [("p.xlsx", 0, ["a"]), ("p.xlsx", 1, []), ("p.xlsx", 2, ["b"]), ("q.xlsx", 0, ["c"])]
@@ -97,6 +113,9 @@ with zipfile.ZipFile({str(tmp_path / "big.xlsx")!r}) as book:
     assert sum(1 for _ in X.sheet_rows(book, part, X.SharedStrings(book))) == 1_100_000
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
-    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=X.__file__.rsplit("/offerloom/", 1)[0])
+    out = subprocess.run(
+        [sys.executable, "-c", code], capture_output=True, text=True, timeout=300,
+        cwd=X.__file__.rsplit("/offerloom/", 1)[0]
+    )
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) < 600
