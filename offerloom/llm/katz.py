@@ -33,7 +33,7 @@ from .words import SPACED_LOWER, mixed, words
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Text bytes of one slice, and of the texts whose n-grams one bucket takes on average.
-SLICE_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+SLICE_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 #: Contexts seen more often are spread over buckets by word.
 HEAVY = 1 << 16
 #: Stands for the end of a text among the words' hashes, and for what is before its start among their numbers.
@@ -255,21 +255,25 @@ def _ask(table: pa.Table, buckets: int, heavy: int, n: int, base: float, schema:
 def _score(table: pa.Table, model: Model, schema: pa.Schema) -> pa.Table:
     s = Slice(table, model.buckets, model.heavy)
     s.read_words()
-    known = s.counts[s.at]
-    p = np.where(known > 0, _discounted(known, model.discounts[0]) / model.total, model.unknown)
-    base = np.log10((known + 0.5) / (model.n + 0.5 * (model.types + 1)))
+    rows = len(s.sizes)
+    each = lambda x: np.add.reduceat(x, s.starts) if rows else np.zeros(0, x.dtype)
+    # what depends on the word alone is looked up, not made for each token
+    found, total = s.counts > 0, model.n + 0.5 * (model.types + 1)
+    known, base = each(found.astype(np.int64)[s.at]), each(np.log10((s.counts + 0.5) / total)[s.at])
+    p = np.where(found, _discounted(s.counts, model.discounts[0]) / model.total, model.unknown)[s.at]
     for n in range(2, model.order + 1):
         s.next_order(n)
         s.read_grams(n)
         s.read_contexts(n)
-        c, total = s.counts[s.at], s.total[s.before]
-        p = np.where(c > 0, _discounted(c, model.discounts[n - 1]) / np.maximum(total, 1), s.weight[s.before] * p)
-    rows = len(s.sizes)
-    sums = [np.add.reduceat(x, s.starts) if rows else np.zeros(0) for x in ((known > 0).astype(np.int64), base, np.log10(p))]
+        own = _discounted(s.counts, model.discounts[n - 1])[s.at]
+        lower = s.weight[s.before]
+        lower *= p
+        p = np.where(own > 0, own / np.maximum(s.total, 1)[s.before], lower)
+    score = each(np.log10(p, out=p))
     return pa.Table.from_arrays(
         [
-            pa.array(s.ids, schema.field(0).type), pa.array(s.held), pa.array(s.sizes), pa.array(sums[0]),
-            pa.array(np.full(rows, model.n)), pa.array(sums[1]), pa.array(sums[2])
+            pa.array(s.ids, schema.field(0).type), pa.array(s.held), pa.array(s.sizes), pa.array(known),
+            pa.array(np.full(rows, model.n)), pa.array(base), pa.array(score)
         ],
         schema=schema
     )
