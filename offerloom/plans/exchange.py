@@ -83,7 +83,7 @@ def _loose_costs(t):
         F.when(C("cost_id") % 11 != 0, C("category")).alias("category"), "unit", name.alias("name")
     )
     one = {"normalized_name": "customs 2", "name": "Customs 2", "category": "OTHER", "unit": "FLAT"}
-    types = t("region").limit(1).select(*(F.lit(v).alias(c) for c, v in one.items()))
+    types = t("cost").sparkSession.range(1).select(*(F.lit(v).alias(c) for c, v in one.items()))
     return costs, M.seed_cost_types(costs, types)
 
 

@@ -263,7 +263,7 @@ def flt_quotable(t):
 @query("SELECT id, id IN (SELECT customer_id FROM {buyer}) AS found FROM (SELECT unnest(range(0, 400, 7)) AS id)")
 def jon_missing_ids(t):
     """JON-15"""
-    ids = t("region").limit(1).select(
+    ids = t("cost").sparkSession.range(1).select(
         F.explode(F.sequence(F.lit(0), F.lit(399), F.lit(7))).alias("id")
     ).select(C("id").cast("long").alias("id"))
     return R.missing_ids(ids, t("buyer").withColumnRenamed("customer_id", "id"), "id")
@@ -473,7 +473,7 @@ def dml_upsert_tariff(t):
       LEFT JOIN (SELECT DISTINCT route_id FROM {cost} WHERE cost_type_id = 2) c USING (route_id)""")
 def dml_add_costs(t):
     """DML-03, DML-11's guard"""
-    types = t("region").limit(1).select(F.lit(2).alias("cost_type_id"), F.lit("HANDLING").alias("category"))
+    types = t("cost").sparkSession.range(1).select(F.lit(2).alias("cost_type_id"), F.lit("HANDLING").alias("category"))
     req = t("route").select("route_id", F.lit(2).alias("cost_type_id"), C("route_id").alias("request_id"))
     return M.add_costs(req, t("cost"), types).select("route_id", "outcome", "category")
 
