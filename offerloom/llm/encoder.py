@@ -6,6 +6,7 @@ import gc
 import json
 import os
 import re
+import string
 from array import array
 from functools import lru_cache
 
@@ -58,7 +59,7 @@ class Encoder:
     A tokenizer that lower-cases, drops white space and never joins over it, as word_bpe_49k does, gives
     a text the ids of its pieces between spaces and line ends, one after the other. Pieces recur, so most are looked
     up. A piece of plain letters and closing punctuation is put together from its letters in lower case and its
-    punctuation. The memo has two generations of bounded size; long pieces are not kept. Texts go whole to
+    punctuation: any of ASCII that is neither an apostrophe nor in an added token. The memo has two generations of bounded size; long pieces are not kept. Texts go whole to
     any tokenizer of other rules.
     """
 
@@ -66,7 +67,6 @@ class Encoder:
     LONGEST_PIECE = 48
     #: Letters of one code point whose lower case is one code point, whatever stands around them.
     _plain = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
-    _closing = ".,;:!?)"
     _mark = "\x00"
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -79,6 +79,8 @@ class Encoder:
         self.apart = all(rules[k] == v for k, v in _APART.items()) and rules["model"]["type"] == "BPE" and not any(
             t["lstrip"] or t["rstrip"] or " " in t["content"] for t in rules["added_tokens"]
         )
+        added = "".join(t["content"] for t in rules["added_tokens"])
+        self.closing = "".join(c for c in string.punctuation if c != "'" and c not in added)
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -107,7 +109,7 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> list[str]:
         """Adds pieces to the memo; returns those too long to stay."""
-        memo, old, tails, closing = self.memo, self.old, self.tails, self._closing
+        memo, old, tails, closing = self.memo, self.old, self.tails, self.closing
         plain, longest = self._plain.fullmatch, self.LONGEST_PIECE
         rest, passing = [], []
         for p in missing:

@@ -87,3 +87,14 @@ def test_other_tokenizers_encode_as_the_library_does():
         assert e.apart == (name == "word_bpe_49k.json")
         seen += 1
     assert seen
+
+
+def test_any_closing_punctuation_encodes_as_the_library_does():
+    import string
+
+    e = Encoder(public_tokenizer())
+    words = ["abc", "Ab", "é", "Ünd", "it", "İ", "ß", "x1", "日本", "é", "a'", ""]
+    tails = [a + b for a in ["", *string.punctuation, "̸"] for b in ["", *string.punctuation, "s", "'s", "̸", "́"]]
+    texts = [f"{w}{t}" for w in words for t in tails]
+    found = e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in found]
