@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import S, extract
-from ..sources.sinks import shared_folder
 
 # Lines that are never offers (greetings, closings, mail headers, page numbers, links).
 NOISE = [
@@ -134,14 +135,14 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def line_class(c: Column) -> Column:
-    """C: a price tier; B: a product line; A: anything else."""
-    return F.when(price_tier(c).isNotNull(), "C").when(~c.rlike("[A-Za-z]{2,}"), "A").when(any_of(c, SIGNALS), "B").otherwise("A")
+    """C: a price tier; B: a product line; A: anything else, as is every line without a digit."""
+    return F.when(~c.rlike("[0-9]"), "A").when(price_tier(c).isNotNull(), "C").when(~c.rlike("[A-Za-z]{2,}"), "A").when(any_of(c, SIGNALS), "B").otherwise("A")
 
 
 def price_tier(c: Column) -> Column:
     """struct(length, price) of a line that is nothing but a length and its price."""
     length, price = extract(c, TIER, 1).cast("int"), T.decimal_string(extract(c, TIER, 2))
-    return F.when((length > 0) & price.isNotNull(), F.struct(length.alias("length"), price.alias("price")))
+    return F.when(c.rlike(TIER) & (length > 0) & price.isNotNull(), F.struct(length.alias("length"), price.alias("price")))
 
 
 def shared_price_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -219,46 +220,37 @@ def expand_length_ranges(lines: DataFrame, tiers: DataFrame, doc: str, line: str
 CHUNK_ROWS, CHUNK_BYTES, SINGLE_ROWS, SINGLE_BYTES = 22, 12_000, 30, 12_000
 
 
-def _next_breaks(lines: DataFrame, key: str) -> DataFrame:
-    """lines (key, i, kind, bytes) with next: where the next chunk begins if one begins here; null if the rest doesn't fill one.
+def chunk_bounds(products: np.ndarray, size: np.ndarray, heading: np.ndarray) -> list[dict[str, int]]:
+    """The chunks of one text's lines: begin, end, title (the last heading up to begin, -1 without) and rows (product rows).
 
-    Running sums of product rows and bytes grow with i. The line that brings the 22nd product row is met by its number; the one that
-    brings 12,000 bytes is the first whose sum reaches that of this line plus the bound, found in one order of all sums and bounds.
+    Running sums of product rows and bytes grow with the lines: the line that fills a chunk is looked up in both, one search a chunk.
     """
-    so_far = Window.partitionBy(key).orderBy("i")
-    sums = lines.select(key, "i", (F.col("kind") == "B").cast("int").alias("b"), "bytes").withColumns(
-        {"rows": F.sum("b").over(so_far), "size": F.sum("bytes").over(so_far)}
-    )
-    nth = sums.where("b = 1").select(F.col(key).alias("_k"), F.col("rows").alias("_nth"), (F.col("i") + 1).alias("_by_rows"))
-    asked = F.struct((F.col("size") - F.col("bytes") + CHUNK_BYTES).alias("at"), F.lit(1).alias("asked"))
-    both = sums.withColumn("x", F.explode(F.array(F.struct(F.col("size").alias("at"), F.lit(0).alias("asked")), asked)))
-    above = Window.partitionBy(key).orderBy(F.desc("x.at"), "x.asked").rowsBetween(Window.unboundedPreceding, 0)
-    by_size = both.withColumn("_by_size", F.min(F.when(F.col("x.asked") == 0, F.col("i"))).over(above) + 1).where("x.asked = 1")
-    found = by_size.join(nth, (F.col(key) == F.col("_k")) & (F.col("rows") - F.col("b") + CHUNK_ROWS == F.col("_nth")), "left")
-    return found.select(key, "i", F.least("_by_rows", "_by_size").alias("next"))
-
-
-def _reached(breaks: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, i) of the breaks that are reached from line 0, by pointer doubling: after n rounds all within 2 ** n chunks are
-    known. Each round is written, which cuts the lineage.
-    """
-    spark = breaks.sparkSession
-    folder = shared_folder(spark, "chunks")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    jump = breaks.where("next is not null")
-    reached = kept(breaks.where("i = 0").select(key, "i"), "start")
-    for n in range(max(0, most - 1).bit_length()):
-        reached = kept(reached.unionByName(reached.join(jump, [key, "i"]).select(key, F.col("next").alias("i"))), f"reached-{n}")
-        onward = jump.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("next").alias("_next"))
-        jump = kept(
-            jump.join(onward, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_i"))).select(key, "i", F.col("_next").alias("next")),
-            f"jump-{n}"
-        )
-    return reached.join(breaks.select(key, "i"), [key, "i"], "left_semi")
+    rows, held = np.cumsum(products), np.cumsum(size)
+    title = np.maximum.accumulate(np.where(heading, np.arange(len(size)), -1))
+    out, begin = [], 0
+    while begin < len(size):
+        before = (int(rows[begin - 1]), int(held[begin - 1])) if begin else (0, 0)
+        last = min(np.searchsorted(rows, before[0] + CHUNK_ROWS), np.searchsorted(held, before[1] + CHUNK_BYTES))
+        end = min(int(last) + 1, len(size))
+        n = int(rows[end - 1]) - before[0]
+        if last >= len(size) and n == 0 and out:
+            out[-1]["end"] = end
+        else:
+            out.append({"begin": begin, "end": end, "title": int(title[begin]), "rows": n})
+        begin = end
+    return out
+
+
+def _bounds(marks: pa.Array, sizes: pa.Array) -> pa.Array:
+    found = []
+    for m, n in zip(marks.to_pylist(), sizes):
+        if m is None:
+            found.append(None)
+            continue
+        kind = np.frombuffer(m.encode(), np.uint8)
+        found.append(chunk_bounds(kind == ord("B"), n.values.to_numpy(zero_copy_only=False), kind == ord("H")))
+    one = pa.struct([(c, pa.int32()) for c in ("begin", "end", "title", "rows")])
+    return pa.array(found, pa.list_(one))
 
 
 def chunk_offers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -270,72 +262,52 @@ def chunk_offers(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     the one before it. Null texts have no chunks; keys must be unique.
     """
     raws = lambda c: F.array_join(F.transform(c, lambda x: x["raw"]), "\n")
-    heading = lambda s: ~s.rlike(r"\d") & s.rlike("[A-Za-z]{2,}") & (F.size(F.split(T.trimmed(s), f"{S}+")) <= 4)
+    heading = lambda s: ~s.rlike(r"\d") & s.rlike("[A-Za-z]{2,}") & (F.size(F.split(T.trimmed(s), f"{S}+", 5)) <= 4)
     parsed = lambda s: F.struct(
         s.alias("raw"),
         line_class(s).alias("kind"),
         (F.octet_length(s) + 1).cast("long").alias("bytes")
     )
-    df = docs.select(
-        key,
-        F.col(text).alias("_text"),
-        F.transform(F.split(text, r"\r?\n"), parsed).alias("_lines")
-    ).where(F.col("_text").isNotNull())
-    rows = F.size(F.filter("_lines", lambda x: x["kind"] == "B"))
-    price_lines, rest = raws(F.filter("_lines", lambda x: x["kind"] == "C")), F.filter("_lines", lambda x: x["kind"] != "C")
+    # every text is split, classified and cut where it stands: each step is a column of its own, so that none is computed twice
+    df = docs.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).repartition(key)
+    df = df.withColumn("_lines", F.transform(F.split("_text", r"\r?\n"), parsed))
     df = df.withColumns(
         {
-            "_rows": rows, "_one": (rows <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES),
-            "price_lines": price_lines, "_rest": rest
+            "_rows": F.size(F.filter("_lines", lambda x: x["kind"] == "B")),
+            "_tiers": raws(F.filter("_lines", lambda x: x["kind"] == "C")),
+            "_rest": F.filter("_lines", lambda x: x["kind"] != "C"),
         }
     )
     df = df.withColumn("_first", F.array_position(F.transform("_rest", lambda x: x["kind"]), "B").cast("int"))
-    df = df.withColumn("header", raws(F.slice("_rest", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0)))))
-    single = F.col("_one") | (F.col("_first") == 0)
-    nothing = F.lit(None).cast("string")
-    whole = df.where(single).select(
-        key, F.lit(0).alias("chunk"), F.lit(1).alias("total"), F.col("_text").alias("body"), F.lit("").alias("header"),
-        nothing.alias("section"), F.lit("").alias("price_lines"), F.col("_rows").alias("product_rows")
+    df = df.withColumn(
+        "_one",
+        ((F.col("_rows") <= SINGLE_ROWS) & (F.octet_length("_text") <= SINGLE_BYTES)) | (F.col("_first") == 0)
     )
-    many = df.where(~single)
-    each = many.select(
+    df = df.withColumn("_body", F.when(~F.col("_one"), F.slice("_rest", F.col("_first"), F.size("_rest"))))
+    mark = lambda x: F.when((x["kind"] == "A") & heading(x["raw"]), "H").otherwise(x["kind"])
+    df = df.withColumns({"_marks": F.array_join(F.transform("_body", mark), ""), "_bytes": F.transform("_body", lambda x: x["bytes"])})
+    bounds = F.arrow_udf(_bounds, "array<struct<begin:int,end:int,title:int,rows:int>>")
+    df = df.withColumn("_cuts", bounds("_marks", "_bytes"))
+    nothing = F.lit(None).cast("string")
+
+    def chunk(x: Column, i: Column) -> Column:
+        top = F.col("_body")[x["begin"]]["raw"]
+        title = F.when(x["title"] >= 0, F.col("_body")[x["title"]]["raw"])
+        return F.struct(
+            i.alias("chunk"),
+            raws(F.slice("_body", x["begin"] + 1, x["end"] - x["begin"])).alias("body"),
+            F.when(T.trimmed(top) == T.trimmed(title), nothing).otherwise(title).alias("section"),
+            x["rows"].alias("product_rows")
+        )
+
+    whole = F.struct(F.lit(0).alias("chunk"), F.col("_text").alias("body"), nothing.alias("section"), F.col("_rows").alias("product_rows"))
+    return df.select(
         key,
-        F.posexplode(F.slice("_rest", F.col("_first"), F.size("_rest"))).alias("i", "_x")
-    ).select(key, "i", "_x.raw", "_x.kind", "_x.bytes")
-    breaks = _next_breaks(each, key)
-    size = each.groupBy(key).agg(F.sum((F.col("kind") == "B").cast("int")).alias("b"), F.sum("bytes").alias("s"))
-    most = size.agg(F.max(F.col("b") / CHUNK_ROWS + F.col("s") / CHUNK_BYTES)).head()[0] or 0
-    starts = _reached(breaks, key, int(most) + 2).join(breaks, [key, "i"]).select(
-        F.col(key).alias("_k"),
-        F.col("i").alias("_i"),
-        F.col("next").isNotNull().alias("_full")
-    )
-    so_far, all_of = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key)
-    title = F.last(F.when((F.col("kind") == "A") & heading(F.col("raw")), F.col("raw")), ignorenulls=True).over(so_far)
-    each = each.join(
-        starts,
-        (F.col(key) == F.col("_k")) & (F.col("i") == F.col("_i")),
-        "left"
-    ).withColumns({"chunk": F.count("_i").over(so_far).cast("int") - 1, "section": title})
-    empty_end = F.max(F.when(~F.col("_full"), F.col("chunk"))).over(all_of)
-    each = each.withColumn("_open", empty_end).withColumn(
-        "_open_rows",
-        F.sum(F.when((F.col("kind") == "B") & (F.col("chunk") == F.col("_open")), 1).otherwise(0)).over(all_of)
-    )
-    into = F.when(
-        (F.col("_open_rows") == 0) & (F.col("chunk") == F.col("_open")) & (F.col("chunk") > 0),
-        F.col("chunk") - 1
-    ).otherwise(F.col("chunk"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "\n")
-    product_rows = F.sum(F.when(F.col("kind") == "B", 1).otherwise(0)).cast("int")
-    each = each.withColumn("chunk", into).withColumn("total", F.max("chunk").over(all_of) + 1)
-    cut = each.groupBy(key, "chunk", "total").agg(
-        body.alias("body"), F.min_by("section", "i").alias("section"), F.min_by("raw", "i").alias("_top"),
-        product_rows.alias("product_rows")
-    )
-    cut = cut.join(many.select(key, "header", "price_lines"), key)
-    section = F.when(T.trimmed(F.col("_top")) == T.trimmed(F.col("section")), None).otherwise(F.col("section"))
-    return whole.union(cut.select(key, "chunk", "total", "body", "header", section, "price_lines", "product_rows"))
+        F.when(F.col("_one"), 1).otherwise(F.size("_cuts")).alias("total"),
+        F.when(F.col("_one"), "").otherwise(raws(F.slice("_rest", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0))))).alias("header"),
+        F.when(F.col("_one"), "").otherwise(F.col("_tiers")).alias("price_lines"),
+        F.explode(F.when(F.col("_one"), F.array(whole)).otherwise(F.transform("_cuts", chunk))).alias("_c")
+    ).select(key, "_c.chunk", "total", "_c.body", "header", "_c.section", "price_lines", "_c.product_rows")
 
 
 def assortment_paste(lines: DataFrame, line: str = "line") -> DataFrame:

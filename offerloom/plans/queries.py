@@ -377,7 +377,7 @@ def par_chunks(t):
         k == 0,
         F.upper(F.substring("raw_text", 8, 1000))
     ).when(k == 1, F.concat(length, F.lit(" cm 0.2"))).when(k == 2, C("raw_text")).otherwise(priced)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", line.alias("l")))), lambda x: x["l"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", line.alias("l")))), lambda x: x["l"]), "\n")
     listed = t("line").groupBy("farm_id").agg(body.alias("body"))
     listed = listed.select(
         (-1 - C("farm_id")).alias("doc_id"),

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from offerloom.operators import parse as P
@@ -163,3 +165,33 @@ def test_pastes(spark):
         spark.createDataFrame([("Rose\tFreedom\tred\tsel\t10\t40\t0,45",), ("Rose\t\t\t\t\t\t0.4",), ("",)], "line string")
     ).collect()
     assert [r["valid"] for r in bulk] == [True, False, False] and bulk[0]["price"] == "0.45"
+
+
+def test_chunk_bounds_are_those_of_a_fold():
+    rng = np.random.default_rng(5)
+    for n in (1, 21, 22, 23, 44, 300):
+        products, size, heading = rng.random(n) < 0.4, rng.choice([30, 900, 13_000], n, p=[0.6, 0.3, 0.1]), rng.random(n) < 0.1
+        want, rows, held = [[0]], 0, 0
+        for i in range(n):
+            if rows >= P.CHUNK_ROWS or held >= P.CHUNK_BYTES:
+                want, rows, held = [*want, [i]], 0, 0
+            rows, held = rows + int(products[i]), held + int(size[i])
+        if rows == 0 and held < P.CHUNK_BYTES and len(want) > 1:
+            want.pop()
+        found = P.chunk_bounds(products, size, heading)
+        assert [x["begin"] for x in found] == [x[0] for x in want]
+        assert [x["end"] for x in found] == [x["begin"] for x in found[1:]] + [n]
+        assert [x["rows"] for x in found] == [int(products[x["begin"] : x["end"]].sum()) for x in found]
+        assert [x["title"] for x in found] == [max((i for i in range(x["begin"] + 1) if heading[i]), default=-1) for x in found]
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    text = "\n".join(["Roses", *(f"Rose {i} 50 cm 0.{i}" for i in range(100))])
+    docs = spark.createDataFrame([(1, text), (2, "one line"), (3, None)], "doc int, text string")
+    spark.sparkContext.setJobGroup("chunks", "chunks")
+    cut = P.chunk_offers(docs, "doc")
+    # before, rounds of joins over the lines ran and were written while the plan was made
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("chunks")) == []
+    got = [(r["doc"], r["chunk"], r["total"], r["product_rows"]) for r in cut.orderBy("doc", "chunk").collect()]
+    assert got == [*((1, i, 5, 22 if i < 4 else 12) for i in range(5)), (2, 0, 1, 0)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
