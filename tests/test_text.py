@@ -123,3 +123,19 @@ def test_total_stems(spark, q, unit, stems, want):
 
 def test_valid_fob(spark):
     assert [one(spark, x, N.valid_fob) for x in ("0.4", "0", "-1", "x", None)] == [True, False, False, False, False]
+
+
+def test_white_space_is_the_same_in_patterns_and_trims(spark):
+    old = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    codes = [(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    c = F.col("c")
+    here = spark.createDataFrame(codes, "c string").select(
+        c.rlike(old).alias("old"), c.rlike(f"^{T.S}$").alias("new"), c.rlike(f"(?s)^[^{T.SPACES}]$").alias("no"),
+        (T.trimmed(F.concat(c, F.lit("a b"), c, c)) == "a b").alias("cut")
+    )
+    assert here.where("new").count() == 25 and here.where("old <> new or cut <> new or no = new").count() == 0
+
+
+def test_space_class_settles_letters_early():
+    # one table for what is below 256, and the rest behind one range: before, every letter was asked of each member
+    assert "&&" in T.SPACES and r"\s" not in T.SPACES
