@@ -7,27 +7,49 @@ import re
 import zipfile
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby, islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_TEXT, _VALUE, _CELL = f"{_MAIN}t", f"{_MAIN}v", f"{_MAIN}c"
 #: Uncompressed bytes of a small part (lists of sheets, relations, tables) that are read at most: beyond it the file is refused.
 MOST_BYTES = 16 << 20
+#: Uncompressed bytes up to which a part is parsed at once; a larger one is pulled element by element.
+WHOLE_BYTES = 1 << 20
+#: Rows, workbooks and bytes of workbooks of one Arrow batch.
+BATCH_ROWS, BATCH_BOOKS, BATCH_BYTES = 10_000, 1_000, 8 << 20
 
 
-def _xml(book: zipfile.ZipFile, name: str):
+def _small(book: zipfile.ZipFile, name: str) -> bytes:
     if book.getinfo(name).file_size > MOST_BYTES:
         raise ValueError(f"{name} is larger than {MOST_BYTES} bytes")
-    return ElementTree.fromstring(book.read(name))
+    return book.read(name)
+
+
+def _xml(book: zipfile.ZipFile, name: str):
+    return ElementTree.fromstring(_small(book, name))
+
+
+@lru_cache(maxsize=4)
+def _targets(relations: bytes) -> dict[str, str]:
+    """Parts by their relation; workbooks of one writer mostly have the same."""
+    return {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(relations)}
 
 
 def _pulled(book: zipfile.ZipFile, name: str, tag: str):
-    """The elements of a tag in a part of any size, as they come; what was read goes before the next is parsed."""
+    """The elements of a tag in a part of any size, as they come; of a large one what was read goes before the next is parsed."""
+    if book.getinfo(name).file_size <= WHOLE_BYTES:
+        yield from ElementTree.fromstring(book.read(name)).iter(tag)
+        return
     with book.open(name) as part:
         events = ElementTree.iterparse(part, events=("start", "end"))
         above: list = []
@@ -56,7 +78,9 @@ class SharedStrings:
         return self.data[self.ends[i] : self.ends[i + 1]].decode()
 
 
+@lru_cache(maxsize=1 << 14)
 def _column(ref: str) -> int:
+    """The number of a cell's column, by its reference without digits."""
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
         n = n * 26 + ord(c) - 64
@@ -67,8 +91,10 @@ def _value(cell, shared: SharedStrings) -> str | None:
     """What a cell shows: a formula's stored result, rich text joined, a link's text; errors and formulas without a result are empty."""
     kind = cell.get("t", "n")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-    v = cell.find(f"{_MAIN}v")
+        if len(cell) == 1 and len(cell[0]) == 1 and cell[0][0].tag == _TEXT:  # one run of text
+            return cell[0][0].text or ""
+        return "".join([t.text or "" for t in cell.iter(_TEXT)])
+    v = cell.find(_VALUE)
     if v is None or v.text is None or kind == "e":
         return None
     if kind == "s":
@@ -80,7 +106,7 @@ def _value(cell, shared: SharedStrings) -> str | None:
 
 def book_sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(name, part) of the sheets, in order."""
-    targets = {r.get("Id"): r.get("Target") for r in _xml(book, "xl/_rels/workbook.xml.rels")}
+    targets = _targets(_small(book, "xl/_rels/workbook.xml.rels"))
     found = ((sheet.get("name"), targets[sheet.get(f"{_REL}id")]) for sheet in _xml(book, "xl/workbook.xml").iter(f"{_MAIN}sheet"))
     return [(name, target.lstrip("/") if target.startswith("/") else f"xl/{target}") for name, target in found]
 
@@ -93,8 +119,8 @@ def sheet_rows(book: zipfile.ZipFile, part: str, shared: SharedStrings) -> Itera
         for empty in range(expected, at):
             yield empty, []
         cells: list[str | None] = []
-        for cell in row.findall(f"{_MAIN}c"):
-            i = _column(cell.get("r")) if cell.get("r") else len(cells)
+        for cell in row.findall(_CELL):
+            i = _column(cell.get("r").rstrip("0123456789")) if cell.get("r") else len(cells)
             cells += [None] * (i + 1 - len(cells))
             cells[i] = _value(cell, shared)
         yield at, cells
@@ -131,14 +157,15 @@ def workbook_tables(data: bytes) -> Iterator[tuple[str, str, str]]:
 def workbook_cells(files: DataFrame) -> DataFrame:
     """(path, sheet, row, cells) of workbooks (path, content)."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"]):
-                found = workbook_rows(data)
-                while some := list(islice(found, 10_000)):
-                    yield pd.DataFrame([(name, *r) for r in some], columns=["path", "sheet", "row", "cells"])
+    types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # small workbooks share a batch
+        each = ((b["path"][i].as_py(), *r) for b in batches for i in range(b.num_rows) for r in workbook_rows(b["content"][i].as_py()))
+        while some := list(islice(each, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=["path", "sheet", "row", "cells"])
 
-    return files.select("path", "content").mapInPandas(rows, "path string, sheet string, row int, cells array<string>")
+    return files.select("path", "content").mapInArrow(rows, "path string, sheet string, row int, cells array<string>")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -178,10 +205,18 @@ _NUMBER = re.compile(r"-?[0-9]+(\.[0-9]+)?")
 _UNFIT = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
+@lru_cache(maxsize=1 << 14)
 def _letters(i: int) -> str:
     return (_letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
 
 
+@lru_cache(maxsize=1 << 12)
+def _inline(text: str) -> str:
+    """A text as a cell holds it; spaces at its ends are kept by name only."""
+    shown = escape(_UNFIT.sub(" ", text))
+    return f"<is><t{'' if shown == shown.strip() else ' xml:space=\"preserve\"'}>{shown}</t></is>"
+
+
 def workbook(
     sheet: str, rows: Iterator[tuple[int, list[str | None]]], numbers: frozenset[int], prices: frozenset[int],
     bold: frozenset[int]
@@ -190,14 +225,15 @@ def workbook(
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, part in _PARTS.items():
-            book.writestr(name, part)
+            book.writestr(zipfile.ZipInfo(name), part)  # too small to gain from compression
         title = quoteattr(_UNFIT.sub(" ", re.sub(r"[\[\]:*?/\\]", " ", sheet))[:31])
         book.writestr(
-            "xl/workbook.xml",
+            zipfile.ZipInfo("xl/workbook.xml"),
             f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name={title} sheetId="1" r:id="rId1"/></sheets></workbook>'
         )
         with book.open("xl/worksheets/sheet1.xml", "w") as part:
-            part.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+            held = [f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>']
+            size = 0
             for at, cells in rows:
                 shown = []
                 for i, c in enumerate(cells):
@@ -208,24 +244,42 @@ def workbook(
                         shown.append(f'<c {ref}{" s=" + chr(34) + "2" + chr(34) if i in prices else ""}><v>{c}</v></c>')
                     else:
                         style = ' s="1"' if at in bold else ""
-                        shown.append(f'<c {ref}{style} t="inlineStr"><is><t xml:space="preserve">{escape(_UNFIT.sub(" ", c))}</t></is></c>')
-                part.write(f'<row r="{at + 1}">{"".join(shown)}</row>'.encode())
-            part.write(b"</sheetData></worksheet>")
+                        shown.append(f'<c {ref}{style} t="inlineStr">{_inline(c)}</c>')
+                held.append(f'<row r="{at + 1}">{"".join(shown)}</row>')
+                size += len(held[-1])
+                if size > 1 << 16:
+                    part.write("".join(held).encode())
+                    held, size = [], 0
+            part.write(("".join(held) + "</sheetData></worksheet>").encode())
     return out.getvalue()
 
 
 def workbooks(rows: DataFrame, *, numbers: list[int] = (), prices: list[int] = (), bold: list[int] = ()) -> DataFrame:
     """(path, content): one workbook of each path. rows: path, sheet, row (from 0), cells array<string>.
 
-    Rows are dealt by path, sorted and written as they come; of a workbook only its compressed bytes are held.
+    Rows are dealt by path, sorted and written as they come; of workbooks only their compressed bytes are held, some to a batch.
     """
     numbers, prices, bold = frozenset(numbers), frozenset(prices), frozenset(bold)
 
-    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = (r for f in frames for r in zip(f["path"], f["sheet"], f["row"], f["cells"]))
-        for (path, sheet), group in groupby(each, key=lambda r: r[:2]):
-            content = workbook(sheet, ((int(r[2]), list(r[3])) for r in group), numbers, prices, bold)
-            yield pd.DataFrame({"path": [path], "content": [content]})
+    def each(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            lengths, cells = pc.fill_null(pc.list_value_length(batch["cells"]), 0), batch["cells"].flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths.to_numpy(zero_copy_only=False)).tolist()
+            names = (batch[c].to_numpy(zero_copy_only=False).tolist() for c in ("path", "sheet", "row"))
+            for path, sheet, row, lo, hi in zip(*names, [0, *ends], ends):
+                yield path, sheet, row, cells[lo:hi]
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, size = [], [], 0
+        for (path, sheet), group in groupby(each(batches), key=lambda r: r[:2]):
+            paths.append(path)
+            contents.append(workbook(sheet, ((r[2], r[3]) for r in group), numbers, prices, bold))
+            size += len(contents[-1])
+            if len(paths) == BATCH_BOOKS or size > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
 
     dealt = rows.select("path", "sheet", "row", "cells").repartition("path").sortWithinPartitions("path", "sheet", "row")
-    return dealt.mapInPandas(written, "path string, content binary")
+    return dealt.mapInArrow(written, "path string, content binary")

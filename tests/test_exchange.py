@@ -1,5 +1,6 @@
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,25 @@ def test_a_grade_goes_where_it_stands_alone(spark):
     df = spark.createDataFrame([("5QB 40 Rose selected SELECT red select $1",), ("5QB 40 Rose xselect $1",)], "text string")
     a, b = P.parse_offer_line(df, "text").collect()
     assert (a["grade"], a["variety"]) == ("select", "selected red select") and (b["grade"], b["variety"]) == (None, "xselect")
+
+
+def test_small_workbooks_share_batches(spark):
+    # before, each workbook was a data frame of its own on both ways: one Arrow batch a workbook
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("path"),
+        F.lit("S").alias("sheet"),
+        F.lit(1).alias("row"),
+        F.array(F.lit(" a "), F.lit(None), F.lit("<b>"), F.col("id").cast("string")).alias("cells")
+    )
+    books = X.workbooks(rows, numbers=[3])
+    batches = books.mapInArrow(lambda them: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in them), "n long").toArrow()["n"].to_pylist()
+    assert sum(batches) == 3000 and len(batches) <= 3000 // X.BATCH_BOOKS + 2 * books.rdd.getNumPartitions()
+    got = {(r["path"], r["row"], *r["cells"]) for r in X.workbook_cells(books).where("row = 1").collect()}
+    assert got == {(str(i), 1, " a ", None, "<b>", str(i)) for i in range(3000)}
+
+
+def test_a_large_sheet_is_pulled_as_a_small_one(monkeypatch):
+    data = X.workbook("S", ((i, [f"x {i}", str(i), " y "]) for i in range(5000)), frozenset([1]), frozenset(), frozenset())
+    whole = list(X.workbook_rows(data))
+    monkeypatch.setattr(X, "WHOLE_BYTES", 0)
+    assert list(X.workbook_rows(data)) == whole and whole[4999] == ("S", 4999, ["x 4999", "4999", " y "])
