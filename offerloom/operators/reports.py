@@ -82,12 +82,14 @@ def _sheet_rows(
     """(path, sheet, row, cells): what stands above, the headings in the row before `first`, then the lines by position."""
     of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     path = F.col("quote_id").cast("string")
-    row = (F.row_number().over(Window.partitionBy("quote_id").orderBy("position")) + first - 1).cast("int")
-    body = lines.select(path.alias("path"), sheet.alias("sheet"), row.alias("row"), F.array(*map(of, cells)).alias("cells"))
-    once = lines.groupBy("quote_id").agg(F.first(sheet).alias("sheet"), *(F.first(c).alias(f"_{r}") for r, c in above.items()))
-    heads = {r: F.col(f"_{r}") for r in above} | {first - 1: F.array(*map(F.lit, headings))}
-    top = F.explode(F.array(*(F.struct(F.lit(r).alias("row"), c.alias("cells")) for r, c in heads.items())))
-    return once.select(path.alias("path"), "sheet", top.alias("h")).select("path", "sheet", "h.row", "h.cells").union(body)
+    line = F.row_number().over(Window.partitionBy("quote_id").orderBy("position"))
+    heads = above | {first - 1: F.array(*map(F.lit, headings))}
+    entry = lambda r, c: F.struct(r.cast("int").alias("row"), c.cast("array<string>").alias("cells"))
+    own = entry(F.col("_line") + first - 1, F.array(*map(of, cells)))
+    # a sheet's first line also brings what stands above it, so that the lines are made once
+    rows = F.when(F.col("_line") == 1, F.array(*(entry(F.lit(r), c) for r, c in heads.items()), own)).otherwise(F.array(own))
+    each = lines.withColumn("_line", line).select(path.alias("path"), sheet.alias("sheet"), F.explode(rows).alias("_r"))
+    return each.select("path", "sheet", "_r.row", "_r.cells")
 
 
 def customer_workbook(lines: DataFrame) -> DataFrame:
