@@ -18,6 +18,9 @@ Leaders find what a crowd has in common, but not two texts that are like each ot
 pages of one template. So nodes of crowds also meet by their rarest shingles: two sets of the wanted similarity share one of the
 first (rarest) fifth of each, at places that leave room for enough others in common (prefix and position filters). Of
 template and text, the template's shingles are the frequent ones, so what meets is the copies.
+
+What more than FEW nodes share among their rarest shingles is asked last, for nodes that nothing has connected so far: within
+such a shingle all pairs of nodes of different components are compared, in blocks of bounded size, so that no pair is left out.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, fresh, packed, short_batches, slices, stored, unpacked
@@ -44,8 +47,10 @@ MISSED = 0.003
 BY_CHANCE = 2
 #: Nodes sharing a variant that all meet each other.
 SMALL = 4
-#: Nodes of crowds that have one rare shingle in common and all meet each other.
+#: Nodes of crowds that have one rare shingle in common and all meet each other; of more, those of different components do.
 FEW = 128
+#: Nodes of such a shingle that one task compares with as many others, on average.
+BLOCK = 2048
 #: Ids that are sent to the texts; of more, the texts are shuffled.
 MOST_SENT = 4_000_000
 #: Bytes of one Arrow batch: texts may be long, and a batch is held by both sides.
@@ -246,12 +251,8 @@ def _filtered(pairs: DataFrame, judge, thin: bool = False) -> DataFrame:
     return pairs.mapInArrow((lambda batches: _thinned(kept(batches))) if thin else kept, "a long, b long")
 
 
-def crowd_pairs(sets: DataFrame, least: float, few: int = FEW) -> DataFrame:
-    """(a, b), a > b: nodes (no, shingles) that can have a similarity of `least`, by their rarest shingles.
-
-    Shingles are ordered by how many nodes have them. All pairs that share a shingle of at most `few` nodes among their rarest and
-    pass both filters are found; what more nodes share is left to the leaders of their fingerprints.
-    """
+def counted(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (no, shingles) as (no, size, hash), one row for each shingle; and (hash, nodes) of the shingles of several nodes."""
 
     def each(batches):
         for batch in batches:
@@ -264,13 +265,27 @@ def crowd_pairs(sets: DataFrame, least: float, few: int = FEW) -> DataFrame:
             )
 
     shingle = sets.mapInArrow(each, "no long, size long, hash long")
+    return shingle, stored(shingle.groupBy("hash").agg(F.count("*").alias("nodes")).where("nodes > 1"), "shared-shingles")
+
+
+def _rarest(least: float):
+    """How many of its shingles, from the rarest on, a node of `size` has to share one of with any other of similarity `least`."""
+    return F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1
+
+
+def crowd_pairs(sets: DataFrame, least: float, few: int = FEW, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(a, b), a > b: nodes (no, shingles) that can have a similarity of `least`, by their rarest shingles.
+
+    Shingles are ordered by how many nodes have them. All pairs that share a shingle of at most `few` nodes among their rarest and
+    pass both filters are found; what more nodes share is in frequent_places. counts: of counted(sets), if made before.
+    """
+    shingle, shared = counts or counted(sets)
     # shingles of one node only come first and meet nothing: they just take places; those of a whole crowd come last
-    shared = shingle.groupBy("hash").agg(F.count("*").alias("nodes")).where("nodes > 1")
     once = shingle.join(shared.select("hash"), "hash", "left_anti").groupBy("no").agg(F.count("*").alias("alone"))
     rare = shingle.join(shared.where(F.col("nodes") <= few), "hash")
     held = rare.groupBy("no", "size").agg(F.array_sort(F.collect_list(F.struct("nodes", "hash"))).alias("held"))
     held = held.join(once, "no", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    places = F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1 - F.col("alone")
+    places = _rarest(least) - F.col("alone")
     first = held.where(places > 0).select("no", "size", "alone", F.posexplode(F.slice("held", F.lit(1), places.cast("int"))).alias("at", "x"))
     first = first.select("no", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("x.hash").alias("hash"))
     first = stored(first, "rare-shingles")
@@ -282,7 +297,79 @@ def crowd_pairs(sets: DataFrame, least: float, few: int = FEW) -> DataFrame:
     return x.join(y, "hash").where(fits).select(F.col("no_x").alias("a"), F.col("no_y").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+def frequent_places(shingle: DataFrame, shared: DataFrame, least: float, few: int = FEW) -> DataFrame | None:
+    """(no, hash, size, at) of shingles of more than `few` nodes that are among a node's rarest, and their places in its order, by
+    counted shingles; None without any. Two nodes of similarity `least` that share none of them are among crowd_pairs.
+    """
+    frequent = shared.where(F.col("nodes") > few)
+    if frequent.isEmpty():
+        return None
+    # what is rarer comes first; only counted here, and the frequent ones ordered without gathering them
+    ahead = shingle.join(frequent.select("hash"), "hash", "left_anti").groupBy("no").agg(F.count("*").alias("ahead"))
+    rest = shingle.join(frequent, "hash").join(ahead, "no", "left").withColumn("ahead", F.coalesce("ahead", F.lit(0)))
+    rest = rest.withColumn("room", _rarest(least) - F.col("ahead")).where("room > 0")
+    place = F.row_number().over(Window.partitionBy("no").orderBy("nodes", "hash"))
+    rest = rest.withColumn("place", place).where(F.col("place") <= F.col("room"))
+    return stored(rest.select("no", "hash", "size", (F.col("place") - 1 + F.col("ahead")).alias("at")), "frequent-shingles")
+
+
+def apart_pairs(places: DataFrame, nodes: DataFrame, found: DataFrame, least: float, differ: int, block: int = BLOCK) -> DataFrame:
+    """(a, b), a > b: nodes of different components (found: node, component; others stand alone) that share one of the places
+    (see frequent_places), pass the filters of crowd_pairs and have fingerprints (nodes: no, prints) at most `differ` bits apart.
+
+    The nodes of a shingle's largest component are compared with its other nodes only. Both kinds are dealt into blocks; a task
+    compares two of them, and all pairs of blocks are compared but two of the largest component.
+    """
+    of = found.select(F.col("node").alias("no"), "component")
+    each = places.join(of, "no", "left").withColumn("component", F.coalesce("component", "no"))
+    size = each.groupBy("hash", "component").agg(F.count("*").alias("n")).groupBy("hash").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside")
+    ).where("outside > 0")
+    each = each.join(size, "hash").join(nodes.select("no", "prints"), "no")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    each = each.withColumns({"o": blocks("outside"), "all": blocks("outside") + blocks("inside"), "main": F.col("component") == F.col("main")})
+    own = F.when(F.col("main"), F.col("o") + F.pmod(F.xxhash64("no"), F.col("all") - F.col("o"))).otherwise(F.pmod(F.xxhash64("no"), F.col("o")))
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("o")).otherwise(F.col("all")) - 1))
+    each = each.withColumn("own", own.cast("int")).withColumn("other", others)
+    each = each.select(
+        "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "size", "at", "component", "prints"
+    )
+
+    def compared(t: pa.Table) -> pa.Table:
+        no, size, at, component, own = (np.asarray(t[c]) for c in ("no", "size", "at", "component", "own"))
+        prints = np.frombuffer(b"".join(t["prints"].to_pylist()), _U).reshape(len(no), -1)
+        x, y = np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
+        out = [np.zeros((2, 0), np.int64)]
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for lo in range(0, len(x), step):
+            p = x[lo : lo + step, None]
+            fits = component[p] != component[y]
+            if t["i"][0].as_py() == t["j"][0].as_py():
+                fits &= no[p] > no[y]
+            fits &= np.minimum(size[p], size[y]) >= np.maximum(size[p], size[y]) * (least - 1e-9)
+            fits &= np.minimum((size - at)[p], (size - at)[y]) >= (size[p] + size[y]) * (least / (1 + least) - 1e-9)
+            r, c = np.nonzero(fits)
+            r, c = x[lo : lo + step][r], y[c]
+            bits = np.zeros(len(r), np.int64)
+            for k in range(prints.shape[1]):
+                bits += np.bitwise_count(prints[r, k] ^ prints[c, k])
+            near = bits <= differ
+            out.append(np.stack([no[r[near]], no[c[near]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return each.groupBy("hash", "i", "j").applyInArrow(compared, "a long, b long").distinct()
+
+
+def near_copies(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    least: float = 0.8,
+    few: int = FEW
+) -> DataFrame:
     """(doc, component): the least id that each id is linked to by texts of similarity `least` and more.
 
     Texts without words are equal. Rows with a null id take no part; an id with several texts joins their components.
@@ -335,12 +422,22 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     led = met.where("of < 0")
     crowd = led.select(F.col("x").alias("no")).union(led.select("y")).distinct()
     met = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    places = None
     if not led.isEmpty():
-        met = met.union(crowd_pairs(sets_of(crowd), least))
+        crowd = sets_of(crowd)
+        counts = counted(crowd)
+        met = met.union(crowd_pairs(crowd, least, few, counts))
+        places = frequent_places(*counts, least, few)
     near = lambda x, y: int(np.bitwise_count(x ^ y).sum()) <= differ
     pairs = stored(_filtered(_joined(met.distinct(), nodes, "prints"), near), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct())
-    alike = _filtered(_joined(pairs, sets, "shingles"), lambda x, y: similarity(x, y) >= least, thin=True)
+    same = lambda x, y: similarity(x, y) >= least
+    alike = _filtered(_joined(pairs, sets, "shingles"), same, thin=True)
+    if places is not None and not places.isEmpty():
+        alike = stored(alike, "alike")
+        found = components(alike.select(F.col("a").alias("node"), F.col("b").alias("to")))
+        apart = stored(apart_pairs(places, nodes, found, least, differ), "apart")
+        alike = alike.union(_filtered(_joined(apart, crowd, "shingles"), same, thin=True))
     of = lambda key, name: nodes.select(F.col("no").alias(key), F.col("node").alias(name))
     links = alike.join(of("a", "node"), "a").join(of("b", "to"), "b").select("node", "to")
 

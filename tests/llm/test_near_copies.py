@@ -102,3 +102,36 @@ def test_an_id_with_several_texts_joins_them(spark):
     df = spark.createDataFrame([(5, a), (5, b), (2, a), (7, b), (8, "other")], DOCS)
     assert {(r["doc"], r["component"]) for r in J.near_copies(df).collect()} == {(5, 2), (2, 2), (7, 2), (8, 8)}
     assert J.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_frequent_shingles_meet_all_similar_pairs_of_different_components(spark):
+    """Twins of which every shingle stands in more sets than meet each other: against all pairs."""
+    rng = np.random.default_rng(6)
+    sets, twins = {}, set()
+    for i in range(100):
+        own = rng.permutation(60)[:40]
+        sets[2 * i], sets[2 * i + 1] = np.sort(own), np.sort(np.append(own[:-1], 60 + i % 2))
+        twins.add((2 * i + 1, 2 * i))
+    df = spark.createDataFrame([(i, bytearray(x.astype(np.int64).tobytes())) for i, x in sets.items()], "no long, shingles binary")
+    counts = J.counted(df)
+    assert not twins & {(r["a"], r["b"]) for r in J.crowd_pairs(df, 0.8, few=20, counts=counts).collect()}
+    places = J.frequent_places(*counts, 0.8, few=20)
+    nodes = spark.createDataFrame([(i, bytearray(8)) for i in sets], "no long, prints binary")
+    want = {(j, i) for i in sets for j in sets if j > i and J.similarity(sets[i], sets[j]) >= 0.8}
+    for together, block in ((0, 10_000), (80, 7)):
+        found = spark.createDataFrame([(i, 0) for i in range(together)], "node long, component long")
+        met = {(r["a"], r["b"]) for r in J.apart_pairs(places, nodes, found, 0.8, 64, block).collect()}
+        assert twins <= want and {(a, b) for a, b in want if a >= together} <= met
+        assert not any(a < together for a, b in met)
+
+
+def test_twins_without_a_rare_shingle_in_common(spark):
+    """Texts of the same passages, each with a twin: what they have in common stands in more texts than meet each other."""
+    rng = random.Random(11)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(18)]
+    docs = []
+    for i in range(120):
+        w = [x for k in sorted(rng.sample(range(18), 12)) for x in passages[k]]
+        docs += [(i, " ".join(w)), (10_000 + i, edited(w, 1, rng))]
+    found = {r["doc"]: r["component"] for r in J.near_copies(spark.createDataFrame(docs, DOCS).repartition(3), few=2).collect()}
+    assert found == brute(docs)
