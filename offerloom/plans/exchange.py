@@ -433,7 +433,8 @@ def tab_sheet_lines(t):
     row = F.row_number().over(Window.partitionBy("farm_id").orderBy("article_id"))
     price = F.concat(F.lit("$ 0,"), (C("variant_id") % 90 + 10).cast("string"))
     cells = F.array("product_name", "variety", "stem_length", C("stems_per_box").cast("string"), price)
-    lines = TB.parse_sheet(head.union(t("article").select(path, F.lit("S").alias("sheet"), row.alias("row"), cells.alias("cells"))))
+    grid = SK.kept(head.union(t("article").select(path, F.lit("S").alias("sheet"), row.alias("row"), cells.alias("cells"))), "grid")
+    lines = TB.parse_sheet(grid)
     return lines.select("path", "row", "product_group", "variety", "length_cm", "stems_per_box", "price", "confidence")
 
 

@@ -18,6 +18,7 @@ from ..operators import reports as RP
 from ..operators import tables as TB
 from ..sources import files as FI
 from ..sources import mails as ML
+from ..sources import sinks as SK
 from .queries import MAPPINGS, MATCH, C, _mappings, query, sql_key
 
 
@@ -51,8 +52,8 @@ def str_money_dates(t):
       FROM {article} WHERE contains(variety, ' ')""")
 def par_article_parts(t):
     """PAR-30"""
-    p = T.article_parts(C("variety"))
-    return t("article").where(p.isNotNull()).select("article_id", p["product"].alias("product"), p["variety"].alias("variety"))
+    parts = F.filter(F.array(T.article_parts(C("variety"))), lambda p: p.isNotNull())
+    return t("article").select("article_id", F.inline(parts).alias("product", "variety"))
 
 
 @query("""SELECT farm_id, CASE WHEN farm_id % 3 = 0 THEN 'Peru' ELSE country END AS country, farm_name AS name FROM {farm}
@@ -173,7 +174,7 @@ def jsn_snapshot(t):
 
 
 def _grid(t):
-    """A sheet for each farm: a title, an empty row, a header, its articles."""
+    """A sheet for each farm: a title, an empty row, a header, its articles. Written out, as its readers go through it several times."""
     known = ["Packs left", "Pack quantity", "Fust code", "Product description", "Stem length", "Box weight", "FOB price USD"]
     head = F.array(
         F.struct(F.lit(0).alias("row"), F.array(F.lit("Offer")).alias("cells")),
@@ -193,7 +194,7 @@ def _grid(t):
         F.when(C("variant_id") % 6 != 0, C("variety")), "stem_length", C("box_weight").cast("string"),
         F.concat(F.lit("0,"), (C("variant_id") % 90 + 10).cast("string"))
     )
-    return top.union(t("article").select(C("farm_id").cast("string"), F.lit("S"), n.alias("row"), cells))
+    return SK.kept(top.union(t("article").select(C("farm_id").cast("string"), F.lit("S"), n.alias("row"), cells)), "grid")
 
 
 @query("""SELECT CAST(f.farm_id AS VARCHAR) AS path, CAST(2 AS INT) AS header, CAST(2 + count(a.article_id) AS INT) AS last,
