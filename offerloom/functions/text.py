@@ -58,6 +58,11 @@ QUALIFIERS = ["st", "sp", "spray", "solomio", "ec"]
 PLACEHOLDERS = ["(kon oorspronkelijke brontekst niet achterhalen)", "(handmatig ingevoerd)"]
 
 
+def once(c: Column, use) -> Column:
+    """use(c), with c evaluated once however often use refers to it: it stands in an array."""
+    return F.transform(F.array(c), use)[0]
+
+
 def trimmed(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE_CHARS))
 
@@ -94,15 +99,15 @@ def without_first(c: Column, literal: Column, by: str) -> Column:
 
 def decimal_string(c: Column) -> Column:
     """A price as plain digits with a dot. Of dot and comma the last is the decimal point; a lone comma is one; signs are dropped."""
-    s = F.regexp_replace(c, "[^0-9.,]", "")
-    both = s.contains(",") & s.contains(".")
-    comma_last = s.rlike(r",[^.]*$")
     dotted = lambda x: F.regexp_replace(x, r"^([^,]*),", "$1.")
-    plain = F.when(
-        both & comma_last,
-        dotted(F.replace(s, F.lit("."), F.lit("")))
-    ).when(both, F.replace(s, F.lit(","), F.lit(""))).otherwise(dotted(s))
-    return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain)
+
+    def plain(s: Column) -> Column:
+        comma, dot = s.contains(","), s.contains(".")
+        last = F.when(s.rlike(r",[^.]*$"), dotted(F.replace(s, F.lit("."), F.lit("")))).otherwise(F.replace(s, F.lit(","), F.lit("")))
+        return F.when(comma & dot, last).when(comma, dotted(s)).otherwise(s)
+
+    found = once(F.regexp_replace(c, "[^0-9.,]", ""), plain)
+    return once(found, lambda x: F.when(x.rlike(r"^\d+(\.\d+)?$"), x))
 
 
 def length_cm(c: Column) -> Column:
@@ -132,8 +137,9 @@ def lead_time_hours(c: Column) -> Column:
 
 
 def first_keyword(c: Column, keywords: list[str]) -> Column:
-    """The first of the keywords, in their order, that stands in the text as a word."""
-    return F.coalesce(*(F.when(c.rlike(rf"(?i)\b{k}\b"), F.lit(k)) for k in keywords))
+    """The first of the keywords, in their order, that stands in the text as a word. Texts without any are asked once."""
+    first = F.coalesce(*(F.when(c.rlike(rf"(?i)\b{k}\b"), F.lit(k)) for k in keywords))
+    return F.when(c.rlike(rf"(?i)\b(?:{'|'.join(keywords)})\b"), first)
 
 
 def grade(c: Column) -> Column:
@@ -197,16 +203,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 def product_group(c: Column) -> Column:
     """struct(name, recognized): the group's name; of unknown ones each word with a capital first letter."""
-    key = F.lower(trimmed(c))
-    known = F.coalesce(
-        *(
-            F.when(
-                key.isin(*[k for k, v in PRODUCT_GROUPS.items() if v == name]),
-                F.lit(name)
-            ) for name in dict.fromkeys(PRODUCT_GROUPS.values())
-        )
+    table = json.dumps(PRODUCT_GROUPS)
+    known = lambda t: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), F.lower(t))
+    found = lambda t: once(
+        known(t), lambda k: F.struct(F.coalesce(k, capitals(t)).alias("name"), k.isNotNull().alias("recognized"))
     )
-    return F.struct(F.coalesce(known, capitals(trimmed(c))).alias("name"), known.isNotNull().alias("recognized"))
+    return once(trimmed(c), found)
 
 
 def capitals(c: Column) -> Column:
@@ -234,8 +236,10 @@ def imported_product(name: Column, group: Column) -> Column:
 
 def exact_length_cm(c: Column) -> Column:
     """The first number unless two are joined by a dash."""
-    t = trimmed(c)
-    return F.when(~t.rlike(rf"\d+(?:[.,]\d+)?{S}*[-–—]{S}*\d+(?:[.,]\d+)?"), length_cm(t))
+    return once(
+        trimmed(c),
+        lambda t: F.when(~t.rlike(rf"\d+(?:[.,]\d+)?{S}*[-–—]{S}*\d+(?:[.,]\d+)?"), length_cm(t))
+    )
 
 
 def without_garden(key: Column) -> Column:
@@ -321,13 +325,16 @@ def cells(line: Column) -> Column:
 
 def article_parts(c: Column) -> Column:
     """struct(product, variety): the first word, with a qualifier that follows it, and the rest; null for a single word."""
-    w = F.filter(F.split(collapsed(c), " "), lambda x: x != "")
-    two = (F.size(w) >= 3) & F.lower(F.try_element_at(w, F.lit(2))).isin(*QUALIFIERS)
-    n = F.when(two, 2).otherwise(1)
-    return F.when(
-        F.size(w) >= 2,
-        F.struct(
-            F.array_join(F.slice(w, F.lit(1), n), " ").alias("product"),
-            F.array_join(F.slice(w, n + 1, F.size(w)), " ").alias("variety")
+
+    def parts(w: Column) -> Column:
+        two = (F.size(w) >= 3) & F.lower(F.try_element_at(w, F.lit(2))).isin(*QUALIFIERS)
+        n = F.when(two, 2).otherwise(1)
+        return F.when(
+            F.size(w) >= 2,
+            F.struct(
+                F.array_join(F.slice(w, F.lit(1), n), " ").alias("product"),
+                F.array_join(F.slice(w, n + 1, F.size(w)), " ").alias("variety")
+            )
         )
-    )
+
+    return once(F.filter(F.split(collapsed(c), " "), lambda x: x != ""), parts)

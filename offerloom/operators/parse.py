@@ -62,16 +62,16 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
     own treatment and price and no warnings; one that can't be read leaves VARIANT_UNREADABLE with the base. A
     line without content is one offer of low confidence with the warning LINE_UNREADABLE; a null line gives none.
     """
-    raw = T.trimmed(F.col(line))
-    bare = T.trimmed(F.regexp_replace(raw, rf"(?i)\({S}*additional{S}+time{S}+required[^)]*\)", ""))
+    # what is used several times is a column of its own, so that it is made once
+    found = lines.where(F.col(line).isNotNull()).withColumn("_raw", T.trimmed(F.col(line)))
+    bare = T.trimmed(F.regexp_replace("_raw", rf"(?i)\({S}*additional{S}+time{S}+required[^)]*\)", ""))
     parts = F.filter(F.transform(F.split(bare, r"\|"), T.trimmed), lambda s: s != "")
-    found = lines.where(F.col(line).isNotNull()).withColumns({"_parts": parts, "lead_time_hours": T.lead_time_hours(raw)})
-    base = F.try_element_at("_parts", F.lit(1))
-    box = T.box_pattern(base)
-    priced = extract(base, PRICE, 0)
-    name = T.without_first(base, F.coalesce(box["matched"], F.lit("\u0000")), " ")
-    name = T.collapsed(T.without_first(name, F.coalesce(priced, F.lit("\u0000")), " "))
-    found = found.withColumns({"_base": base, "_box": box, "_name": name}).withColumn("grade", T.grade(F.col("_name")))
+    found = found.withColumns({"_parts": parts, "lead_time_hours": T.lead_time_hours(F.col("_raw"))})
+    found = found.withColumn("_base", F.try_element_at("_parts", F.lit(1)))
+    found = found.withColumns({"_box": T.box_pattern(F.col("_base")), "_priced": extract(F.col("_base"), PRICE, 0)})
+    found = found.withColumn("_name", T.without_first(F.col("_base"), F.coalesce("_box.matched", F.lit("\u0000")), " "))
+    found = found.withColumn("_name", T.collapsed(T.without_first(F.col("_name"), F.coalesce("_priced", F.lit("\u0000")), " ")))
+    found = found.withColumn("grade", T.grade(F.col("_name")))
     at = F.regexp_instr("_name", F.concat(F.lit(r"(?i)\b"), F.col("grade"), F.lit(r"\b")))
     ungraded = F.concat(F.substring("_name", F.lit(1), at - 1), F.substring("_name", at + F.length("grade"), F.length("_name")))
     rest = F.when(F.col("grade").isNotNull(), T.trimmed(ungraded)).otherwise(F.col("_name"))
@@ -91,8 +91,9 @@ def parse_offer_line(lines: DataFrame, line: str = "line") -> DataFrame:
         price = T.decimal_string(extract(s, VARIANT, 2))
         return F.struct(F.lower(extract(s, VARIANT, 1)).alias("treatment"), price.alias("price"))
 
-    variants = F.transform(F.slice("_parts", 2, 1 << 30), variant)
-    good = F.filter(variants, lambda v: v["price"].isNotNull() & v["treatment"].isNotNull())
+    found = found.withColumn("_variants", F.transform(F.slice("_parts", 2, 1 << 30), variant))
+    found = found.withColumn("_good", F.filter("_variants", lambda v: v["price"].isNotNull() & v["treatment"].isNotNull()))
+    variants, good = F.col("_variants"), F.col("_good")
     offers = F.when(
         F.size("_parts") > 0,
         F.concat(F.array(F.struct(F.lit("normal").alias("treatment"), F.col("_price").alias("price"))), good)
@@ -315,7 +316,8 @@ def assortment_paste(lines: DataFrame, line: str = "line") -> DataFrame:
     c = T.cells(F.col(line))
     at = lambda i: F.nullif(F.try_element_at("_c", F.lit(i)), F.lit(""))
     stems = extract(at(5), r"^([+-]?\d+)").cast("int")
-    rows = lines.withColumn("_c", c).where((F.size("_c") >= 6) & (F.lower(F.col("_c")[0]) != "leverancier"))
+    # exploded, so that the conditions on cells don't cut the line anew
+    rows = lines.select("*", F.explode(F.array(c)).alias("_c")).where((F.size("_c") >= 6) & (F.lower(F.col("_c")[0]) != "leverancier"))
     out = rows.select(
         *lines.columns, at(1).alias("supplier"), at(2).alias("article"), at(3).alias("stem_length"),
         F.coalesce(at(4), F.lit("QB")).alias("box_type"), stems.alias("stems_per_box"), at(6).alias("weight")
@@ -364,12 +366,17 @@ def structured_lines(responses: DataFrame, text: str = "response") -> DataFrame:
     items = F.slice(shape["lines"], 1, RESPONSE_LINES)
     df = responses.select(*[c for c in responses.columns if c != text], F.posexplode(items).alias("line_no", "_item"))
     df = df.withColumn("_strict", F.from_json("_item", _RESPONSE, {"mode": "PERMISSIVE"}))
-    at = lambda f: F.nullif(T.trimmed(F.get_json_object("_item", f"$.{f}")), F.lit(""))
+    # all fields by one reading of the item
+    fields = [f.split()[0] for f in _RESPONSE.split(", ")]
+    df = df.select("*", F.json_tuple("_item", *fields).alias(*(f"_f_{f}" for f in fields)))
+    df = df.withColumns({f"_f_{f}": F.nullif(T.trimmed(F.col(f"_f_{f}")), F.lit("")) for f in fields})
+    at = lambda f: F.col(f"_f_{f}")
+    made = {"_length": length_spec(at("length")), "_price": T.decimal_string(at("fobPricePerStem"))}
+    df = df.withColumns(made | {"_weight": T.decimal_string(at("weightPerBoxKg"))})
     number = lambda f: at(f).try_cast("int")
     fits = lambda f: at(f).isNull() | F.col(f"_strict.{f}").isNotNull()
     whole = fits("boxesAvailable") & fits("stemsPerBox") & F.col("_strict.rawText").isNotNull() & F.col("_strict.confidence").isin("high", "medium", "low") & F.col("_strict.needsReview").isNotNull()
-    length = length_spec(at("length"))
-    price, weight = T.decimal_string(at("fobPricePerStem")), T.decimal_string(at("weightPerBoxKg"))
+    length, price, weight = F.col("_length"), F.col("_price"), F.col("_weight")
     currency = F.when(at("currency").isin("USD", "EUR"), at("currency"))
     good = F.coalesce(whole, F.lit(False))
     warnings = F.array_compact(
