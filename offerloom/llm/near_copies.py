@@ -54,7 +54,7 @@ BLOCK = 2048
 #: Ids that are sent to the texts; of more, the texts are shuffled.
 MOST_SENT = 4_000_000
 #: Bytes of one Arrow batch: texts may be long, and a batch is held by both sides.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Eight counters of one byte each: the bits of a byte apart.
 _LANES = np.array([sum(1 << (8 * i) for i in range(8) if b >> (7 - i) & 1) for b in range(256)], _U)
 
@@ -340,7 +340,7 @@ def apart_pairs(places: DataFrame, nodes: DataFrame, found: DataFrame, least: fl
         prints = np.frombuffer(b"".join(t["prints"].to_pylist()), _U).reshape(len(no), -1)
         x, y = np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
         out = [np.zeros((2, 0), np.int64)]
-        step = max(1, (1 << 20) // max(1, len(y)))
+        step = max(1, (1 << 17) // max(1, len(y)))
         for lo in range(0, len(x), step):
             p = x[lo : lo + step, None]
             fits = component[p] != component[y]
