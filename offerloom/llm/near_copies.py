@@ -273,22 +273,31 @@ def _rarest(least: float):
     return F.col("size") - F.ceil(F.col("size") * (least - 1e-9)) + 1
 
 
-def crowd_pairs(sets: DataFrame, least: float, few: int = FEW, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def rarest_places(shingle: DataFrame, shared: DataFrame, least: float) -> DataFrame:
+    """(no, hash, size, nodes, at): the shared shingles among each node's rarest and their places in its order, by counted shingles.
+
+    Shingles of one node only come first, so a place follows from how many shingles stand behind: each row is joined once, and no
+    node's shingles are gathered.
+    """
+    behind = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("nodes"), F.desc("hash")))
+    placed = shingle.join(shared, "hash").select("no", "hash", "size", "nodes", (F.col("size") - behind).alias("at"))
+    return stored(placed.where(F.col("at") < _rarest(least)), "rarest-shingles")
+
+
+def crowd_pairs(
+    sets: DataFrame,
+    least: float,
+    few: int = FEW,
+    counts: tuple[DataFrame, DataFrame] | None = None,
+    places: DataFrame | None = None
+) -> DataFrame:
     """(a, b), a > b: nodes (no, shingles) that can have a similarity of `least`, by their rarest shingles.
 
     Shingles are ordered by how many nodes have them. All pairs that share a shingle of at most `few` nodes among their rarest and
-    pass both filters are found; what more nodes share is in frequent_places. counts: of counted(sets), if made before.
+    pass both filters are found; what more nodes share is in frequent_places. counts: of counted(sets), places: of
+    rarest_places(*counts, least), if made before.
     """
-    shingle, shared = counts or counted(sets)
-    # shingles of one node only come first and meet nothing: they just take places; those of a whole crowd come last
-    once = shingle.join(shared.select("hash"), "hash", "left_anti").groupBy("no").agg(F.count("*").alias("alone"))
-    rare = shingle.join(shared.where(F.col("nodes") <= few), "hash")
-    held = rare.groupBy("no", "size").agg(F.array_sort(F.collect_list(F.struct("nodes", "hash"))).alias("held"))
-    held = held.join(once, "no", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    places = _rarest(least) - F.col("alone")
-    first = held.where(places > 0).select("no", "size", "alone", F.posexplode(F.slice("held", F.lit(1), places.cast("int"))).alias("at", "x"))
-    first = first.select("no", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("x.hash").alias("hash"))
-    first = stored(first, "rare-shingles")
+    first = (places or rarest_places(*(counts or counted(sets)), least)).where(F.col("nodes") <= few)
     x, y = (first.select("hash", *(F.col(c).alias(f"{c}_{side}") for c in ("no", "size", "at"))) for side in "xy")
     both = F.col("size_x") + F.col("size_y")
     room = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
@@ -297,20 +306,12 @@ def crowd_pairs(sets: DataFrame, least: float, few: int = FEW, counts: tuple[Dat
     return x.join(y, "hash").where(fits).select(F.col("no_x").alias("a"), F.col("no_y").alias("b")).distinct()
 
 
-def frequent_places(shingle: DataFrame, shared: DataFrame, least: float, few: int = FEW) -> DataFrame | None:
+def frequent_places(shingle: DataFrame, shared: DataFrame, least: float, few: int = FEW, places: DataFrame | None = None) -> DataFrame | None:
     """(no, hash, size, at) of shingles of more than `few` nodes that are among a node's rarest, and their places in its order, by
     counted shingles; None without any. Two nodes of similarity `least` that share none of them are among crowd_pairs.
     """
-    frequent = shared.where(F.col("nodes") > few)
-    if frequent.isEmpty():
-        return None
-    # what is rarer comes first; only counted here, and the frequent ones ordered without gathering them
-    ahead = shingle.join(frequent.select("hash"), "hash", "left_anti").groupBy("no").agg(F.count("*").alias("ahead"))
-    rest = shingle.join(frequent, "hash").join(ahead, "no", "left").withColumn("ahead", F.coalesce("ahead", F.lit(0)))
-    rest = rest.withColumn("room", _rarest(least) - F.col("ahead")).where("room > 0")
-    place = F.row_number().over(Window.partitionBy("no").orderBy("nodes", "hash"))
-    rest = rest.withColumn("place", place).where(F.col("place") <= F.col("room"))
-    return stored(rest.select("no", "hash", "size", (F.col("place") - 1 + F.col("ahead")).alias("at")), "frequent-shingles")
+    frequent = (places or rarest_places(shingle, shared, least)).where(F.col("nodes") > few)
+    return None if frequent.isEmpty() else frequent.select("no", "hash", "size", "at")
 
 
 def apart_pairs(places: DataFrame, nodes: DataFrame, found: DataFrame, least: float, differ: int, block: int = BLOCK) -> DataFrame:
@@ -426,14 +427,15 @@ def near_copies(
     if not led.isEmpty():
         crowd = sets_of(crowd)
         counts = counted(crowd)
-        met = met.union(crowd_pairs(crowd, least, few, counts))
-        places = frequent_places(*counts, least, few)
+        rarest = rarest_places(*counts, least)
+        met = met.union(crowd_pairs(crowd, least, few, counts, rarest))
+        places = frequent_places(*counts, least, few, rarest)
     near = lambda x, y: int(np.bitwise_count(x ^ y).sum()) <= differ
     pairs = stored(_filtered(_joined(met.distinct(), nodes, "prints"), near), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct())
     same = lambda x, y: similarity(x, y) >= least
     alike = _filtered(_joined(pairs, sets, "shingles"), same, thin=True)
-    if places is not None and not places.isEmpty():
+    if places is not None:
         alike = stored(alike, "alike")
         found = components(alike.select(F.col("a").alias("node"), F.col("b").alias("to")))
         apart = stored(apart_pairs(places, nodes, found, least, differ), "apart")

@@ -135,3 +135,21 @@ def test_twins_without_a_rare_shingle_in_common(spark):
         docs += [(i, " ".join(w)), (10_000 + i, edited(w, 1, rng))]
     found = {r["doc"]: r["component"] for r in J.near_copies(spark.createDataFrame(docs, DOCS).repartition(3), few=2).collect()}
     assert found == brute(docs)
+
+
+def test_places_of_rarest_shingles_take_one_join(spark, monkeypatch):
+    """Places against sorting each set; no join makes a row for each shingle of a crowd but the one that brings the counts."""
+    rng = np.random.default_rng(9)
+    template = np.arange(1000, 1050)
+    sets = [np.sort(np.concatenate([template[: 45 + i % 5], rng.choice(900, i % 12, replace=False)])).astype(np.int64) for i in range(60)]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "no long, shingles binary")
+    nodes = {h: sum(h in x for x in sets) for h in {int(h) for x in sets for h in x}}
+    want = set()
+    for i, x in enumerate(sets):
+        order = sorted((nodes[h], h) for h in x.tolist())
+        want |= {(i, h, len(x), at) for at, (n, h) in enumerate(order[: len(x) - -(-len(x) * 8 // 10) + 1]) if n > 20}
+    counts, plans, keep = J.counted(df), [], J.stored
+    monkeypatch.setattr(J, "stored", lambda d, name: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or keep(d, name))
+    found = J.frequent_places(*counts, 0.8, few=20).select("no", "hash", "size", "at").collect()
+    assert want and {tuple(r) for r in found} == want and len(found) == len(want)
+    assert sum(p.count("Join ") for p in plans) == 1
