@@ -247,10 +247,13 @@ def quotable_candidates(lines: DataFrame, preselected: DataFrame) -> DataFrame:
 
 
 def mapped_flag(lines: DataFrame, mappings: DataFrame, source: Column) -> DataFrame:
-    """lines with has_mapping: whether their wording stands for their article."""
-    m = mappings.select(F.col("farm_id").alias("_f"), F.col("normalized_source").alias("_s"), F.col("article_id").alias("_a")).distinct()
-    j = lines.join(m, (F.col("farm_id") == F.col("_f")) & (source == F.col("_s")) & (F.col("article_id") == F.col("_a")), "left")
-    return j.select(*lines.columns, F.col("_a").isNotNull().alias("has_mapping"))
+    """lines with has_mapping: whether their wording stands for their article. source is only made of lines whose farm has a mapping
+    to their article, and lines are dealt and sorted by numbers, not by texts.
+    """
+    m = mappings.groupBy(F.col("farm_id").alias("_f"), F.col("article_id").alias("_a")).agg(F.collect_set("normalized_source").alias("_s"))
+    j = lines.join(m, (F.col("farm_id") == F.col("_f")) & (F.col("article_id") == F.col("_a")), "left")
+    known = F.when(F.col("_s").isNotNull(), F.array_contains("_s", source))
+    return j.select(*lines.columns, F.coalesce(known, F.lit(False)).alias("has_mapping"))
 
 
 def distinct_per(df: DataFrame, key: str, column: str, most: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import text as T
 from offerloom.operators import match as MA
 from offerloom.operators import parse as P
+from offerloom.operators import relational as R
 from offerloom.operators import textindex as TX
 from offerloom.plans.domain import table as surface_table
 from offerloom.plans.surface import _grid
@@ -68,3 +69,15 @@ def test_a_line_has_its_outcome_by_one_aggregate_of_both_tiers(spark):
 def test_a_grid_is_made_once(spark):
     table = lambda name: surface_table(spark, "/root/testdata/sf0.001", name)
     assert "Window" not in plan(_grid(table)) and _grid(table).count() > 0
+
+
+def test_mapped_lines_are_joined_by_numbers_and_their_wording_read_where_mapped(spark):
+    lines = [(1, 1, 7, " Röd  ros "), (2, 1, 7, "RED ROSE"), (3, 1, 8, "red rose"), (4, 2, 7, "red rose"), (5, 1, 7, None), (6, None, 7, "red rose"), (7, 1, None, "red rose"), (8, 1, 7, "other")]
+    lines = spark.createDataFrame(lines, "line_id int, farm_id int, article_id int, raw_text string")
+    known = [(1, "rod ros", 7), (1, "red rose", 7), (1, "blue rose", 8), (2, "red", 7), (1, None, 7), (None, "red rose", 7)]
+    known = spark.createDataFrame(known, "farm_id int, normalized_source string, article_id int")
+    df = R.mapped_flag(lines, known, T.source_key(F.col("raw_text")))
+    assert df.columns == [*lines.columns, "has_mapping"]
+    assert {r["line_id"]: r["has_mapping"] for r in df.collect()} == {i: i in (1, 2) for i in range(1, 9)}
+    joins = [x for x in plan(df).splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 1 and "raw_text" not in joins[0]
