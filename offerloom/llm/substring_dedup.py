@@ -58,8 +58,9 @@ def _forward(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Ite
             twin = twins[lo:hi].to_numpy(zero_copy_only=False)[order]
             found = words(texts[lo:hi].take(pa.array(order)), SPACED)
             starts, hashes = window_hashes(found.hashes(), found.first, width)
-            row = found.doc[starts]
+            row = found.doc[starts].astype(np.int32)
             at = (starts - found.first[row]).astype(np.int32)
+            del found, starts  # sorting takes as much again
             by = np.argsort(hashes, kind="stable")
             hashes, row, at = hashes[by], row[by], at[by]
             if not len(hashes):
@@ -91,16 +92,41 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 _KINDS = {"hash": np.uint64, "doc": np.int64, "twin": np.int64, "at": np.int32, "till": np.int32}
 
 
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which of the values stand there more than once."""
+    by = np.argsort(hashes, kind="stable")
+    ordered = hashes[by]
+    same = np.zeros(len(hashes) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    out = np.empty(len(hashes), bool)
+    out[by] = same[1:] | same[:-1]
+    return out
+
+
 def _settle(table: pa.Table, width: int, groups: int) -> Iterator[tuple]:
-    """The windows of one bucket that start in a smaller document too, packed for each group of documents."""
-    parts = {"hash": [], "doc": [], "twin": [], "at": []}
+    """The windows of one bucket that start in a smaller document too, packed for each group of documents.
+
+    Most windows start once; of these nothing but the hash is unpacked and kept.
+    """
     gone = {"doc": [], "twin": [], "at": [], "till": []}
+    sent = []
     for i in range(table.num_rows):
-        settled = not table["hash"][i].is_valid
-        for k, to in (gone if settled else parts).items():
+        if table["hash"][i].is_valid:
+            sent.append(i)
+            continue
+        for k, to in gone.items():
             to.append(unpacked(table[k][i].as_py(), _KINDS[k]))
-    if parts["hash"]:
-        hashes, doc, twin, at = (np.concatenate(parts.pop(k)) for k in ("hash", "doc", "twin", "at"))
+    if sent:
+        parts = [unpacked(table["hash"][i].as_py(), _KINDS["hash"]) for i in sent]
+        ends = np.cumsum([len(x) for x in parts])
+        hashes = np.concatenate(parts)
+        del parts
+        again = _repeated(hashes)
+        some = np.split(again, ends[:-1])
+        hashes = hashes[again]
+        doc, twin, at = (
+            np.concatenate([unpacked(table[k][i].as_py(), _KINDS[k])[x] for i, x in zip(sent, some)]) for k in ("doc", "twin", "at")
+        )
         by = np.lexsort((doc, hashes))
         hashes, doc = hashes[by], doc[by]
         new = np.ones(len(hashes), bool)

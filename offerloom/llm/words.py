@@ -10,6 +10,10 @@ import pyarrow as pa
 from .common import offsets_of
 
 _U = np.uint64
+#: Bytes whose words are hashed in one vectorised step.
+HASH_BYTES = 1 << 18
+#: Words whose windows are hashed in one vectorised step.
+WINDOW_WORDS = 1 << 16
 
 
 def _table(separators, lower: bool) -> np.ndarray:
@@ -40,15 +44,27 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of random byte values, mixed."""
-        if not len(self.start):
-            return np.zeros(0, _U)
-        inside = np.flatnonzero(self.buf != 32)
-        sizes = self.end - self.start
-        at = np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        terms = _BYTES[self.buf[inside]]
+        """A 64-bit hash of each word: a polynomial of random byte values, mixed. Made in blocks of bounded bytes, for what is
+        needed meanwhile is many times a block (one longer word is still taken whole).
+        """
+        out = np.empty(len(self.start), _U)
+        lo = 0
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + HASH_BYTES, side="right")))
+            out[lo:hi] = self._hashed(self.start[lo:hi], self.end[lo:hi])
+            lo = hi
+        return out
+
+    def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Those of consecutive words."""
+        buf = self.buf[start[0] : end[-1]]
+        inside = np.flatnonzero(buf != 32)
+        sizes = end - start
+        begins = np.cumsum(sizes) - sizes
+        at = np.arange(len(inside)) - np.repeat(begins, sizes)
+        terms = _BYTES[buf[inside]]
         terms *= powers(int(sizes.max()))[at]
-        return mixed(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(_U) * _U(0x9E3779B97F4A7C15))
+        return mixed(np.add.reduceat(terms, begins) + sizes.astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def words(texts: pa.Array, table: np.ndarray) -> Words:
@@ -94,14 +110,27 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     """Rabin-Karp: (starts, hashes) of every `width` consecutive words within one row.
 
     A prefix sum of hash times inverse power gives each window by one subtraction and one
-    multiplication, modulo 2 to the 64; the base is odd, so it has an inverse.
+    multiplication, modulo 2 to the 64; the base is odd, so it has an inverse. Powers cancel but for those within the window,
+    so rows are taken in blocks of bounded words (one longer row whole) and give what they gave together.
     """
-    n = len(hashes)
     room = np.maximum(np.diff(first) - width + 1, 0)
-    starts = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(first[:-1], room)
-    if not len(starts):
-        return starts, np.zeros(0, _U)
+    edge = np.concatenate([[0], np.cumsum(room)])
+    starts, out = np.empty(edge[-1], np.int64), np.empty(edge[-1], _U)
+    lo = 0
+    while lo < len(room):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + WINDOW_WORDS, side="right")) - 1)
+        a, b = edge[lo], edge[hi]
+        if b > a:
+            here = np.arange(a, b) - np.repeat(edge[lo:hi] - (first[lo:hi] - first[lo]), room[lo:hi])
+            starts[a:b] = here + first[lo]
+            out[a:b] = _windows(hashes[first[lo] : first[hi]], here, width)
+        lo = hi
+    return starts, out
+
+
+def _windows(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    n = len(hashes)
     base = 0xD1342543DE82EF95
     with np.errstate(over="ignore"):
         sums = np.concatenate([[_U(0)], np.cumsum(hashes * powers(n, pow(base, -1, 1 << 64)), dtype=_U)])
-        return starts, mixed((sums[starts + width] - sums[starts]) * powers(n, base)[starts])
+        return mixed((sums[starts + width] - sums[starts]) * powers(n, base)[starts])

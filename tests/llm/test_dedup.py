@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,32 @@ def test_substring_dedup_edges(spark):
     assert empty.count() == 0 and "kept" in empty.columns
 
 
+def test_settling_unpacks_only_what_starts_twice():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 62, (20, 20_000), np.uint64)
+    hashes[3, :10], hashes[7, 5:9] = hashes[11, :10], hashes[2, :4]
+    kinds = [np.uint64, np.int64, np.int64, np.int32]
+    rows = []
+    for i, h in enumerate(np.sort(hashes, axis=1)):
+        entries = (h, i * 1000 + np.arange(len(h)) % 700, np.zeros(len(h)), np.arange(len(h)))
+        rows.append([0, *(S.packed(x.astype(k)) for x, k in zip(entries, kinds)), None])
+    names = ["bucket", "hash", "doc", "twin", "at", "till"]
+    table = pa.table([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(names, zip(*rows))], names=names)
+    first = {}
+    for i, h in enumerate(np.sort(hashes, axis=1)):
+        for j, x in enumerate(h.tolist()):
+            first.setdefault(x, []).append((i * 1000 + j % 700, j, j + 50))
+    want = sorted(x for v in first.values() for x in v if x[0] > min(v)[0])
+    tracemalloc.start()
+    try:
+        out = list(S._settle(table, 50, 4))
+        assert tracemalloc.get_traced_memory()[1] < 5 * hashes.nbytes
+    finally:
+        tracemalloc.stop()
+    columns = [np.concatenate([S.unpacked(r[c], k) for r in out]).tolist() for c, k in ((1, np.int64), (3, np.int32), (4, np.int32))]
+    assert len(want) == 14 and sorted(zip(*columns)) == want
+
+
 def test_one_very_long_text(spark):
     long = " ".join(str(i % 700) for i in range(60_000))
     got = {r["doc_id"]: r["n_removed"] for r in S.remove_repeats(spark.createDataFrame([(1, "p " + long), (2, long)], DOCS)).collect()}

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,27 @@ def test_any_closing_punctuation_encodes_as_the_library_does():
     texts = [f"{w}{t}" for w in words for t in tails]
     found = e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in found]
+
+
+def test_blocks_change_no_hash(monkeypatch):
+    random.seed(3)
+    arr = pa.array([" ".join(random.choices(["a", "bc", "é" * 40, "x" * 300], k=n)) for n in (0, 1, 7, 200, 0, 30, 4)] + [None, " "])
+    found = words(arr, SPACED)
+    whole = found.hashes()
+    starts, windows = window_hashes(whole, found.first, 4)
+    monkeypatch.setattr("offerloom.llm.words.HASH_BYTES", 64)
+    monkeypatch.setattr("offerloom.llm.words.WINDOW_WORDS", 8)
+    assert found.hashes().tolist() == whole.tolist()
+    again = window_hashes(whole, found.first, 4)
+    assert [x.tolist() for x in again] == [starts.tolist(), windows.tolist()]
+
+
+def test_hashing_takes_memory_of_a_block():
+    arr = pa.array([" ".join(f"word{i % 997}" for i in range(2000))] * 200)
+    found = words(arr, SPACED)
+    tracemalloc.start()
+    try:
+        window_hashes(found.hashes(), found.first, 50)
+        assert tracemalloc.get_traced_memory()[1] < 8 * arr.nbytes
+    finally:
+        tracemalloc.stop()
