@@ -79,16 +79,19 @@ def _sheet_rows(
     sheet: Column,
     above: dict[int, Column]
 ) -> DataFrame:
-    """(path, sheet, row, cells): what stands above, the headings in the row before `first`, then the lines by position."""
+    """(path, sheet, row, cells): what stands above, the headings in the row before `first`, then the lines by position.
+
+    The rows of a path come in one partition.
+    """
     of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    path = F.col("quote_id").cast("string")
-    line = F.row_number().over(Window.partitionBy("quote_id").orderBy("position"))
+    line = F.row_number().over(Window.partitionBy("_path").orderBy("position"))
     heads = above | {first - 1: F.array(*map(F.lit, headings))}
     entry = lambda r, c: F.struct(r.cast("int").alias("row"), c.cast("array<string>").alias("cells"))
     own = entry(F.col("_line") + first - 1, F.array(*map(of, cells)))
     # a sheet's first line also brings what stands above it, so that the lines are made once
     rows = F.when(F.col("_line") == 1, F.array(*(entry(F.lit(r), c) for r, c in heads.items()), own)).otherwise(F.array(own))
-    each = lines.withColumn("_line", line).select(path.alias("path"), sheet.alias("sheet"), F.explode(rows).alias("_r"))
+    dealt = lines.withColumn("_path", F.col("quote_id").cast("string")).withColumn("_line", line)
+    each = dealt.select(F.col("_path").alias("path"), sheet.alias("sheet"), F.explode(rows).alias("_r"))
     return each.select("path", "sheet", "_r.row", "_r.cells")
 
 

@@ -106,8 +106,8 @@ def dml_link_cost_types(t):
 
 def _read_back(rows, **kinds):
     """Rows written to workbooks and read from these, with their number of cells. Empty cells at the end of a row are not written."""
-    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\u001f")
-    return X.workbook_cells(X.workbooks(rows, **kinds)).select(
+    shown = F.array_join("cells", "\u001f", "")
+    return X.workbook_cells(X.workbooks(rows, dealt=True, **kinds)).select(
         "path",
         "sheet",
         "row",
